@@ -28,8 +28,10 @@ def query(name: str, sql: str | None):
     return deco
 
 
-def r6(c: Column | str, name: str | None = None) -> Column:
-    """Doubles are compared after rounding to 6 places on both sides."""
+def r6(c: Column | str, name: str | None = None, digits: int = 6) -> Column:
+    """Doubles are compared after rounding to 6 places on both sides (9 where
+    exact decimal ties at the 7th place are common, e.g. slopes of 4-decimal
+    values over small integer spans)."""
     col = F.col(c) if isinstance(c, str) else c
-    out = F.round(col.cast("double"), 6)
+    out = F.round(col.cast("double"), digits)
     return out.alias(name or (c if isinstance(c, str) else "value"))
