@@ -77,15 +77,35 @@ def throughput_guarded(tokens: Column, seconds: Column) -> Column:
 
 
 def speed_comparison(baseline_seconds: Column, candidate_seconds: Column) -> Column:
-    """'Speedup r' / 'Slowdown 1/r' / 'Same' (two decimals); NULL unless both > 0."""
-    r = baseline_seconds.cast("double") / candidate_seconds.cast("double")
+    """F20 rendered: 'Speedup r' / 'Slowdown 1/r' / 'Same' (two decimals); NULL
+    unless both > 0.  Java formats a decimal tie (e.g. 4.725) half-up where
+    Python rounds the exact binary value; ``speed_kind``/``speed_factor``
+    carry the same result as data."""
+    r = F.try_divide(baseline_seconds.cast("double"), candidate_seconds.cast("double"))
     both = (baseline_seconds > 0) & (candidate_seconds > 0)
+    # values are rounded half-up to 2 places before formatting (Java and C
+    # format decimal ties differently; the rounded value prints the same)
     return (F.when(~both, F.lit(None).cast("string"))
-            .when(r > 1, F.format_string("Speedup %.2fx", r))
-            .when(r < 1, F.format_string("Slowdown %.2fx", F.lit(1.0) / r))
+            .when(r > 1, F.format_string("Speedup %.2fx", F.round(r, 2)))
+            .when(r < 1, F.format_string("Slowdown %.2fx", F.round(F.try_divide(F.lit(1.0), r), 2)))
             .otherwise(F.lit("Same")))
 
 
+def speed_kind(baseline_seconds: Column, candidate_seconds: Column) -> Column:
+    """F20 as data: 'Speedup' / 'Slowdown' / 'Same', NULL unless both > 0."""
+    r = F.try_divide(baseline_seconds.cast("double"), candidate_seconds.cast("double"))
+    both = (baseline_seconds > 0) & (candidate_seconds > 0)
+    return (F.when(~both, F.lit(None).cast("string")).when(r > 1, F.lit("Speedup"))
+            .when(r < 1, F.lit("Slowdown")).otherwise(F.lit("Same")))
+
+
+def speed_factor(baseline_seconds: Column, candidate_seconds: Column) -> Column:
+    """F20 factor: r for a speed-up, 1/r for a slow-down, 1 when equal."""
+    r = F.try_divide(baseline_seconds.cast("double"), candidate_seconds.cast("double"))
+    both = (baseline_seconds > 0) & (candidate_seconds > 0)
+    return F.when(both, F.when(r < 1, F.try_divide(F.lit(1.0), r)).otherwise(r))
+
+
 def throughput_class(tok_s: Column, gen_seconds: Column | None = None, mlx: bool = True) -> Column:
     """MLX backend: >1 excellent, >0.5 good, else slow.
     Other backend: > 10 s 'slow', < 1 tok/s 'very_slow', else 'ok'."""
@@ -102,7 +122,7 @@ def duration_text(seconds: Column) -> Column:
     h = F.floor(s / 3600)
     m = F.floor((s - h * 3600) / 60)
     sec = F.floor(s - h * 3600 - m * 60)
-    return F.format_string("%dh %dm %ds (%.1f seconds)", h, m, sec, s)
+    return F.format_string("%dh %dm %ds (%.1f seconds)", h, m, sec, F.round(s, 1))
 
 
 def weighted_loss(log_prob: Column, reward: Column, kl: Column, kl_penalty: float = KL_PENALTY) -> Column:
