@@ -37,7 +37,7 @@ def ema(batches: DataFrame, run: str, step: str, x: str, alpha: float = EMA_ALPH
     One sorted array per run (batch grain), folded by ``aggregate`` into the
     array of running values, then ``posexplode``d back and re-attached by
     position: exact, left-to-right, like the reference loop."""
-    a, b = float(alpha), 1.0 - float(alpha)
+    a, b = float(alpha), round(1.0 - float(alpha), 12)   # 0.2, not 0.19999999999999996
     per_run = batches.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"),
                                                                          F.col(x).alias("x")))).alias("_xs"))
     folded = per_run.select(run, "_xs", F.aggregate(

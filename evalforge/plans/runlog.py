@@ -30,14 +30,15 @@ samples AS (
 
 BATCHES_SQL = SAMPLES_SQL + """,
 batches0 AS (
-  SELECT run_id, epoch, batch_idx, count(*) AS batch_size, avg(reward) AS reward_mean,
+  SELECT run_id, epoch, batch_idx, count(*) AS batch_size,
+         CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / (count(*) * 100) AS reward_mean,
          coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0) / 10 AS gen_s,
          coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0) / 10 AS score_s,
          coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0) / 10 AS train_s,
-         sum(value) / 10 AS total_s,
+         CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / 10 AS total_s,
          sum(tokens) AS tokens_raw, coalesce(sum(tokens) FILTER (WHERE event_type <> 'error'), 0) AS tokens_kept,
          count(*) FILTER (WHERE event_type = 'error') AS dup_filtered,
-         avg(loss) AS loss, avg(reward) * 0.1 AS kl,
+         1 - CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / (count(*) * 100) AS loss, avg(reward) * 0.1 AS kl,
          sum(value) / 4 AS driver_alloc_gb, coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0) / 4 AS current_alloc_gb,
          max(value) / 10 AS cache_gb, min(ts) AS ts0
   FROM samples GROUP BY run_id, epoch, batch_idx
@@ -59,6 +60,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.get_json_object("props", "$.k").cast("long").alias("tokens"))
 
 
+def _dsum(col):
+    return F.sum(F.col(col).cast("decimal(12,2)")).cast("double")
+
+
 def _sum_if(cond, col):
     return F.coalesce(F.sum(F.when(cond, F.col(col))), F.lit(0))
 
@@ -68,14 +73,16 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
     t = F.col("event_type")
     b = s.groupBy("run_id", "epoch", "batch_idx").agg(
-        F.count(F.lit(1)).alias("batch_size"), F.avg("reward").alias("reward_mean"),
+        F.count(F.lit(1)).alias("batch_size"),
+        # exact decimal sums: identical doubles whatever the summation order
+        (_dsum("value") / (F.count(F.lit(1)) * 100)).alias("reward_mean"),
         (_sum_if(t == "view", "value") / 10).alias("gen_s"),
         (_sum_if(t == "click", "value") / 10).alias("score_s"),
         (_sum_if(t == "purchase", "value") / 10).alias("train_s"),
-        (F.sum("value") / 10).alias("total_s"),
+        (_dsum("value") / 10).alias("total_s"),
         F.sum("tokens").alias("tokens_raw"), _sum_if(t != "error", "tokens").alias("tokens_kept"),
         F.count_if(t == "error").alias("dup_filtered"),
-        F.avg("loss").alias("loss"), (F.avg("reward") * 0.1).alias("kl"),
+        (F.lit(1) - _dsum("value") / (F.count(F.lit(1)) * 100)).alias("loss"), (F.avg("reward") * 0.1).alias("kl"),
         (F.sum("value") / 4).alias("driver_alloc_gb"), (_sum_if(t == "click", "value") / 4).alias("current_alloc_gb"),
         (F.max("value") / 10).alias("cache_gb"), F.min("ts").alias("ts0"))
     b = RL.batch_numbers(b, "run_id", ["epoch", "batch_idx"])
@@ -180,11 +187,14 @@ def reward_slope(spark, sf_dir):
     return s.select("run_id", "epoch", r6("reward_slope", digits=9), "num_batches")
 
 
-@query("ema_reward", sql=f"""WITH {BATCHES_SQL}
-SELECT run_id, step, round(reward_mean, 6) AS reward_mean,
-       round(pow(0.8, step) * (first_value(reward_mean) OVER w / 0.8
-             + 0.2 * coalesce(sum(CASE WHEN step > 1 THEN reward_mean * pow(0.8, -step) END) OVER w, 0)), 6) AS ema
-FROM batches WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+@query("ema_reward", sql=f"""WITH RECURSIVE {BATCHES_SQL[1:]},
+emas(run_id, step, reward_mean, ema) AS (
+  SELECT run_id, step, reward_mean, reward_mean FROM batches WHERE step = 1
+  UNION ALL
+  SELECT b.run_id, b.step, b.reward_mean, 0.8 * e.ema + 0.2 * b.reward_mean
+  FROM emas e JOIN batches b ON b.run_id = e.run_id AND b.step = e.step + 1
+)
+SELECT run_id, step, round(reward_mean, 6) AS reward_mean, round(ema, 6) AS ema FROM emas""")
 def ema_reward(spark, sf_dir):
     e = SQ.ema(batches(spark, sf_dir), "run_id", "step", "reward_mean")
     return e.select("run_id", "step", r6("reward_mean"), r6("ema"))
