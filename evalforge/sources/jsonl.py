@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
 from ..functions.catalog import DEFAULT_EVAL_PROMPTS
@@ -47,7 +47,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame | None:
         return None          # missing file / folder: empty input, as the reference
 
 
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
+def _empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
@@ -59,7 +59,8 @@ def lenient_jsonl_with_rejects(spark: SparkSession, path: str,
     lines = _lines(spark, path)
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     if lines is None:
-        return (_empty(spark, st.add("ord", "bigint").add("file", "string")),
+        empty_schema = StructType(list(st.fields) + [StructField("ord", LongType()), StructField("file", StringType())])
+        return (_empty(spark, empty_schema),
                 _empty(spark, "ord BIGINT, file STRING, line STRING, reason STRING"))
     nonblank = lines.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
     keys = F.json_object_keys(F.col("line"))
