@@ -109,10 +109,36 @@ def _count_words(t: Column, words) -> Column:
     return acc
 
 
+# Cheap necessary conditions for the fixed patterns: the regex only runs on
+# texts that contain one of these substrings (or a digit), so the common
+# case costs a few substring scans instead of a backtracking regex pass.
+_GUARDS = {
+    CORRECTNESS_PATTERN: ("constraint", "guarantee", "must", "should"),
+    EFFICIENCY_PATTERNS[0]: None,          # needs a digit
+    EFFICIENCY_PATTERNS[1]: ("items", "elements", "rows", "cols", "nodes", "up to"),
+}
+
+
+def _guard(t: Column, pattern: str) -> Column | None:
+    if pattern not in _GUARDS:
+        return None
+    words = _GUARDS[pattern]
+    if words is None:
+        return t.rlike(r"\p{Nd}")
+    g = F.lit(False)
+    for w in words:
+        g = g | t.contains(w)
+    return g
+
+
 def _count_patterns(t: Column, patterns) -> Column:
     acc = F.lit(0)
     for p in patterns:
-        acc = acc + t.rlike(portable_regex(p)).cast("int")
+        hit = t.rlike(portable_regex(p))
+        g = _guard(t, p)
+        if g is not None:
+            hit = F.when(g, hit).otherwise(F.lit(False))
+        acc = acc + hit.cast("int")
     return acc
 
 

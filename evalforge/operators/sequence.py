@@ -6,18 +6,16 @@ clean-up cooldown, score-cache expiry and load-phase profiles.
 * JVM ``aggregate`` folds over one run's *batch* rows (W4), whose length is
   bounded by the run's batch count.
 * Greedy anchor recurrences (W14, W16) cannot be written as a window; they
-  run as a sorted per-key scan in ``applyInPandas`` (Arrow batches, O(n)
-  numpy loop, state of one number).  Each key's rows must fit in one task;
-  the streaming form (``streaming.stateful``) keeps only O(1) state per key
-  and is the route for keys of unbounded length.
+  run as a JVM fold over each key's sorted array that only records the
+  anchors.  Each key's rows must fit in one task; the streaming form
+  (``streaming.live``) keeps O(1) state per key and is the route for keys of
+  unbounded length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,57 +81,49 @@ def health_check(batches: DataFrame, run: str, step: str, gen_share_pct: str, ge
             .withColumn("status", F.when(F.size("issues") == 0, F.lit("OK")).otherwise(F.lit("WARN"))))
 
 
-def _cooldown_scan(pdf: pd.DataFrame, step: str, flag: str, cooldown: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(step, kind="mergesort")
-    steps = pdf[step].to_numpy()
-    want = pdf[flag].fillna(False).to_numpy(dtype=bool)
-    out = np.zeros(len(pdf), dtype=bool)
-    last = None
-    for i in range(len(steps)):
-        if want[i] and (last is None or steps[i] - last >= cooldown):
-            out[i] = True
-            last = steps[i]
-    pdf = pdf.copy()
-    pdf["triggered"] = out
-    return pdf
+def _anchor_fold(xs: Column, fire) -> Column:
+    """Greedy anchors over a sorted array of structs: ``fire(acc, e)`` says
+    whether element ``e`` becomes a new anchor given the last one; the fold
+    keeps the last anchor and the list of anchor ids (it only grows on an
+    anchor, so its copies stay proportional to the number of anchors)."""
+    init = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids"))
+    return F.aggregate(xs, init, lambda acc, e: F.when(
+        fire(acc, e), F.named_struct(F.lit("last"), e["t"], F.lit("ids"), F.concat(acc["ids"], F.array(e["id"]))))
+        .otherwise(acc))
 
 
 def gc_cooldown(batches: DataFrame, run: str, step: str, fragmentation_gb: str,
                 threshold: float = HEALTH_FRAGMENTATION_GB, cooldown: int = GC_COOLDOWN_BATCHES) -> DataFrame:
     """Trigger a clean-up when fragmentation exceeds the threshold, at
-    most once per ``cooldown`` batches since the last trigger."""
-    b = batches.select(run, step, fragmentation_gb,
-                       (F.col(fragmentation_gb) > F.lit(float(threshold))).alias("wants_gc"))
-    schema = ddl(b, [run, step, fragmentation_gb, "wants_gc"]) + ", triggered boolean"
-    return b.groupBy(run).applyInPandas(lambda pdf: _cooldown_scan(pdf, step, "wants_gc", cooldown), schema)
-
-
-def _ttl_scan(pdf: pd.DataFrame, ts: str, order: Sequence[str], ttl_us: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(list(order), kind="mergesort")
-    t = pdf[ts].to_numpy(dtype="int64")
-    hit = np.zeros(len(pdf), dtype=bool)
-    stamp = None
-    for i in range(len(t)):
-        if stamp is not None and t[i] - stamp < ttl_us:
-            hit[i] = True
-        else:
-            stamp = t[i]
-    pdf = pdf.copy()
-    pdf["cache_hit"] = hit
-    return pdf
+    most once per ``cooldown`` batches since the last trigger.  One sorted
+    array of the run's *batch* rows, folded on the JVM."""
+    b = batches.select(run, step, (F.col(fragmentation_gb) > F.lit(float(threshold))).alias("wants_gc"))
+    per_run = b.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(step).cast("bigint").alias("t"), F.col(step).cast("bigint").alias("id"),
+        F.coalesce(F.col("wants_gc"), F.lit(False)).alias("w")))).alias("_xs"))
+    fired = _anchor_fold(F.col("_xs"), lambda acc, e: e["w"] & (acc["last"].isNull()
+                                                              | (e["t"] - acc["last"] >= cooldown)))
+    out = per_run.select(run, F.explode("_xs").alias("_e"), fired["ids"].alias("_ids"))
+    return out.select(run, F.col("_e.t").cast(b.schema[step].dataType).alias(step), F.col("_e.w").alias("wants_gc"),
+                      F.array_contains("_ids", F.col("_e.id")).alias("triggered"))
 
 
 def cache_ttl(events: DataFrame, keys: Sequence[str], ts: str, tie: str,
               ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     """W16 (decision: hits do not refresh the stamp; age == TTL is a miss).
 
-    Output: the input keys, ``tie`` (a unique row id), the time in
-    microseconds and ``cache_hit``."""
-    e = events.select(*keys, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_ts_us"))
-    key_types = ", ".join(f"{k} {e.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{key_types}, {tie} {e.schema[tie].dataType.simpleString()}, _ts_us bigint, cache_hit boolean"
+    Per key, the sorted (time, id) array is folded on the JVM into the list
+    of misses (re-stamps); every other row is a hit.  Output: the input
+    keys, ``tie`` (a unique row id) and ``cache_hit``."""
     ttl_us = int(ttl_seconds) * 1_000_000
-    return e.groupBy(*keys).applyInPandas(lambda pdf: _ttl_scan(pdf, "_ts_us", ["_ts_us", tie], ttl_us), schema)
+    e = events.select(*keys, F.col(tie).cast("bigint").alias("_id"),
+                      F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    per_key = e.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("_t").alias("t"), F.col("_id").alias("id")))).alias("_xs"))
+    fired = _anchor_fold(F.col("_xs"), lambda acc, x: acc["last"].isNull() | (x["t"] - acc["last"] >= ttl_us))
+    out = per_key.select(*keys, F.explode("_xs").alias("_e"), fired["ids"].alias("_ids"))
+    return out.select(*keys, F.col("_e.id").cast(events.schema[tie].dataType).alias(tie),
+                      (~F.array_contains("_ids", F.col("_e.id"))).alias("cache_hit"))
 
 
 def ddl(df: DataFrame, cols: Sequence[str]) -> str:

@@ -160,7 +160,10 @@ SELECT doc_id, round(idx, 6) AS index, CAST(row_number() OVER (ORDER BY idx, doc
 FROM d""")
 def curriculum_order(spark, sf_dir):
     """Easy prompts first by difficulty index (ties by ord), in 4 stages."""
-    d = _difficulty(spark, sf_dir).select("doc_id", "index")
+    from ..session import cut_lineage
+    # the rubric runs once: the (doc_id, index) pairs are checkpointed before
+    # the count and the range sampling, which would otherwise recompute it
+    d = cut_lineage(_difficulty(spark, sf_dir).select("doc_id", "index"))
     total = d.count()
     pos = global_position(d, [F.col("index").asc(), F.col("doc_id").asc()])
     return pos.select("doc_id", r6("index"), "position",
