@@ -42,3 +42,20 @@ def stage_of(position: Column, total: Column | int, stages: int) -> Column:
     """Equal-width stages over positions (like ``ntile`` when total % stages == 0)."""
     t = total if isinstance(total, Column) else F.lit(int(total))
     return F.floor(position * F.lit(int(stages)) / t).cast("int")
+
+
+def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank",
+               num_partitions: int | None = None) -> DataFrame:
+    """1-based rank inside each group without a per-group window.
+
+    The rows are ranked globally by ``(group..., order...)`` with
+    ``global_position`` (range partitioning splits a hot group across many
+    tasks); a group's rank is its global position minus the position of the
+    group's first row, found by a partial ``min`` aggregate.  Adds ``name``
+    and ``<name>_count`` (the group size)."""
+    ordered = [F.col(g).asc() for g in group] + list(order)
+    pos = global_position(df, ordered, num_partitions, name="_gpos")
+    starts = pos.groupBy(*group).agg(F.min("_gpos").alias("_gstart"), F.count(F.lit(1)).alias(f"{name}_count"))
+    return (pos.join(starts, list(group))
+            .withColumn(name, F.col("_gpos") - F.col("_gstart") + 1)
+            .drop("_gpos", "_gstart"))

@@ -147,3 +147,12 @@ def diversity(samples: DataFrame, keys: Sequence[str], output: str, exact: bool
         .withColumn("unique_ratio", F.try_divide(F.col("unique_outputs").cast("double"),
                                                  F.col("outputs").cast("double"))) \
         .withColumn("dup_filtered", F.col("outputs") - F.col("unique_outputs"))
+
+
+def memory_growth(batches: DataFrame, run: str, step: str, driver_gb: str, current_gb: str) -> DataFrame:
+    """W10 fragmentation proxy (driver-allocated - current-allocated) and
+    W9 its growth since the previous batch of the run."""
+    w = Window.partitionBy(run).orderBy(step)
+    frag = F.col(driver_gb) - F.col(current_gb)
+    return (batches.withColumn("fragmentation_gb", frag)
+            .withColumn("growth_gb", F.col("fragmentation_gb") - F.lag("fragmentation_gb").over(w)))

@@ -136,10 +136,11 @@ def load_phases(samples: DataFrame, run: str, order: Sequence[str], elapsed: str
     phases 0-2, the remainder in the last, not ``ntile``), then per phase:
     duration, start -> end, peak and delta of both memory series.  Runs with
     fewer than ``min_samples`` samples are skipped."""
-    counts = samples.groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(run).orderBy(*order)
-    ranked = samples.join(counts.where(F.col("_n") >= min_samples), run) \
-        .withColumn("_rn", F.row_number().over(w))
+    from .ordering import group_rank
+    # rank inside each run without a per-run window: a run holding a third of
+    # all samples is still sorted by many range partitions
+    ranked = group_rank(samples, [run], [F.col(c).asc() for c in order], name="_rn") \
+        .withColumnRenamed("_rn_count", "_n").where(F.col("_n") >= min_samples)
     q = F.floor(F.col("_n") / 4)
     phased = ranked.withColumn("phase", F.least(F.lit(3), F.floor((F.col("_rn") - 1) / q)).cast("int"))
     rn = F.col("_rn")

@@ -182,3 +182,26 @@ def seeded_samples(spark, sf_dir):
     return s.select("ord", F.col("j").cast("bigint").alias("j"),
                     sample_seed(0, F.col("ord"), F.col("j")).alias("seed"),
                     sample_seed(None, F.col("ord"), F.col("j")).alias("seed_unseeded"))
+
+
+@query("normalized_comparison", sql=GEN_SQL + """,
+teacher AS (SELECT o_orderkey AS ord, o_totalprice / 100000 AS teacher_score FROM orders),
+r AS (SELECT g.ord, g.model, CAST(g.score AS DOUBLE) / (t.teacher_score + 1e-6) AS reward
+      FROM gens g JOIN teacher t ON g.ord = t.ord),
+per AS (SELECT ord, avg(reward) FILTER (WHERE model = 'baseline') AS br,
+               avg(reward) FILTER (WHERE model = 'fine_tuned') AS fr FROM r GROUP BY ord)
+SELECT count(*) AS num_test_cases, round(avg(br), 6) AS avg_baseline_reward_normalized,
+       round(avg(fr), 6) AS avg_fine_tuned_reward_normalized, round(avg(fr - br), 6) AS avg_reward_improvement
+FROM per""")
+def normalized_comparison(spark, sf_dir):
+    """A3 + A5 (normalised part) + J1: each prompt's teacher score (its
+    order's price / 1e5) joined once per prompt; rewards are student /
+    (teacher + eps), aggregated like the scores."""
+    from ..functions.scoring import normalized_reward
+    g = lineitem_generations(spark, sf_dir)
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"),
+                                               (F.col("o_totalprice") / 100000).alias("teacher_score"))
+    r = g.join(t, "ord").withColumn("reward", normalized_reward(F.col("score"), F.col("teacher_score")))
+    s = run_summary(compare_prompts(r, keys=["ord"], reward_col="reward", tie_cols=["t1", "t2"]))
+    return s.select("num_test_cases", r6("avg_baseline_reward_normalized"), r6("avg_fine_tuned_reward_normalized"),
+                    r6("avg_reward_improvement"))

@@ -14,7 +14,7 @@ from ..functions.format import render_number_exact
 from ..functions.scoring import throughput_guarded
 from ..operators import sequence as SQ
 from ..operators.corpus import tail
-from ..operators.logs import BATCH_COLUMNS, flatten, project_log
+from ..operators.logs import BATCH_COLUMNS, EPOCH_COLUMNS, flatten, project_log
 from .registry import query, r6
 from .runlog import GAINS_SQL, _gains
 
@@ -108,3 +108,71 @@ def render_numbers(spark, sf_dir):
     """P10: float cells rendered as ``%.4g`` text."""
     f = project_log(flatten(nested_batch_log(spark, sf_dir)), ["global_step", *_RENDER], keep=["run_id"])
     return f.select("run_id", "global_step", *[render_number_exact(F.col(f"`{c}`")).alias(c) for c in _RENDER])
+
+
+EPOCH_NESTED_SQL = """
+ep0 AS (
+  SELECT user_id AS run_id, CAST(dayofmonth(ts) AS INTEGER) AS epoch, min(ts) AS t0,
+         (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS epoch_time_s,
+         CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / (count(*) * 100) AS avg_reward,
+         1 - CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / (count(*) * 100) AS avg_loss, count(*) AS calls,
+         count(*) FILTER (WHERE event_type = 'view') / count(*) AS cache_hit_rate,
+         count(DISTINCT event_type) / count(*) AS unique_ratio,
+         sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS tok,
+         coalesce(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) FILTER (WHERE event_type <> 'error'), 0) AS tok_kept
+  FROM events GROUP BY 1, 2
+),
+eflat AS (
+  SELECT run_id, strftime(t0, '%Y-%m-%dT%H:%M:%S') AS "ts_iso", epoch AS "epoch", 'mlx' AS "generation_backend",
+         epoch_time_s AS "epoch_time_s", avg_reward AS "avg_reward", avg_loss AS "avg_loss",
+         avg_reward - lag(avg_reward) OVER (PARTITION BY run_id ORDER BY epoch) AS "reward_trend",
+         lag(avg_loss) OVER (PARTITION BY run_id ORDER BY epoch) - avg_loss AS "loss_trend",
+         calls AS "api.calls", cache_hit_rate AS "api.cache_hit_rate", unique_ratio AS "diversity.unique_ratio",
+         CASE WHEN epoch_time_s > 0 THEN tok / epoch_time_s ELSE 0.0 END AS "performance.generation.tok_s_raw",
+         CASE WHEN epoch_time_s > 0 THEN tok_kept / epoch_time_s ELSE 0.0 END AS "performance.generation.tok_s_kept",
+         CASE WHEN epoch_time_s > 0 THEN tok_kept / epoch_time_s ELSE 0.0 END AS "performance.training.tok_s"
+  FROM ep0
+)"""
+
+_EPOCH_DOUBLES = [c for c in EPOCH_COLUMNS if c not in ("ts_iso", "epoch", "generation_backend", "api.calls")]
+
+
+def nested_epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T10 epoch record: A10 + W6 trends + API calls and hit rate (A14),
+    diversity (A15) and token rates per epoch."""
+    from ..operators.runlog import epoch_trends
+    from .runlog import samples as run_samples
+    s = run_samples(spark, sf_dir)
+    t_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    g = s.groupBy("run_id", "epoch").agg(
+        F.min("ts").alias("t0"), ((F.max(t_us) - F.min(t_us)) / 1e6).alias("epoch_time_s"),
+        # exact decimal sums: identical doubles whatever the summation order
+        (F.sum(F.col("value").cast("decimal(12,2)")).cast("double") / (F.count(F.lit(1)) * 100)).alias("avg_reward"),
+        (F.lit(1) - F.sum(F.col("value").cast("decimal(12,2)")).cast("double") / (F.count(F.lit(1)) * 100))
+        .alias("avg_loss"),
+        F.count(F.lit(1)).alias("calls"),
+        (F.count_if(F.col("event_type") == "view") / F.count(F.lit(1))).alias("cache_hit_rate"),
+        (F.count_distinct("event_type") / F.count(F.lit(1))).alias("unique_ratio"),
+        F.sum("tokens").alias("tok"),
+        F.coalesce(F.sum(F.when(F.col("event_type") != "error", F.col("tokens"))), F.lit(0)).alias("tok_kept"))
+    g = epoch_trends(g, "run_id", "epoch")
+    tg = throughput_guarded
+    return g.select(
+        "run_id", F.date_format("t0", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_iso"), "epoch",
+        F.lit("mlx").alias("generation_backend"), "epoch_time_s", "avg_reward", "avg_loss", "reward_trend",
+        "loss_trend", F.struct(F.col("calls").alias("calls"), F.col("cache_hit_rate").alias("cache_hit_rate")).alias("api"),
+        F.struct(F.col("unique_ratio").alias("unique_ratio")).alias("diversity"),
+        F.struct(F.struct(tg(F.col("tok"), F.col("epoch_time_s")).alias("tok_s_raw"),
+                          tg(F.col("tok_kept"), F.col("epoch_time_s")).alias("tok_s_kept")).alias("generation"),
+                 F.struct(tg(F.col("tok_kept"), F.col("epoch_time_s")).alias("tok_s")).alias("training"))
+        .alias("performance"))
+
+
+@query("epoch_log_view", sql=f"""WITH {EPOCH_NESTED_SQL}
+SELECT run_id, {", ".join(f'round("{c}", 6) AS "{c}"' if c in _EPOCH_DOUBLES else f'"{c}"' for c in EPOCH_COLUMNS)}
+FROM eflat""")
+def epoch_log_view(spark, sf_dir):
+    """P8 (epoch grain): the 14 epoch columns of the nested epoch record."""
+    v = project_log(nested_epoch_log(spark, sf_dir), EPOCH_COLUMNS, keep=["run_id"])
+    return v.select("run_id", *[r6(F.col(f"`{c}`"), c) if c in _EPOCH_DOUBLES else F.col(f"`{c}`")
+                                for c in EPOCH_COLUMNS])

@@ -352,3 +352,15 @@ def diversity(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source", "text")
     r = RL.diversity(d, ["source"], "text")
     return r.select("source", "outputs", "unique_outputs", r6("unique_ratio"), "dup_filtered")
+
+
+@query("memory_growth", sql=f"""WITH {BATCHES_SQL}
+SELECT run_id, step, round(driver_alloc_gb - current_alloc_gb, 6) AS fragmentation_gb,
+       round((driver_alloc_gb - current_alloc_gb)
+             - lag(driver_alloc_gb - current_alloc_gb) OVER (PARTITION BY run_id ORDER BY step), 6) AS growth_gb
+FROM batches""")
+def memory_growth(spark, sf_dir):
+    """W9 + W10: fragmentation proxy per batch and its growth."""
+    b = batches(spark, sf_dir).drop("fragmentation_gb")
+    g = RL.memory_growth(b, "run_id", "step", "driver_alloc_gb", "current_alloc_gb")
+    return g.select("run_id", "step", r6("fragmentation_gb"), r6("growth_gb"))
