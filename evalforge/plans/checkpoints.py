@@ -63,8 +63,8 @@ def named_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("checkpoint_names", sql=f"""WITH {NAMED_SQL}
 SELECT checkpoint, is_checkpoint, epoch, batch, step, is_end, is_final,
-       CASE WHEN is_checkpoint THEN row_number() OVER (PARTITION BY is_checkpoint ORDER BY checkpoint) END AS name_rank,
-       CASE WHEN is_checkpoint THEN row_number() OVER (PARTITION BY is_checkpoint ORDER BY step, checkpoint) END AS step_rank
+       CAST(CASE WHEN is_checkpoint THEN row_number() OVER (PARTITION BY is_checkpoint ORDER BY checkpoint) END AS INTEGER) AS name_rank,
+       CAST(CASE WHEN is_checkpoint THEN row_number() OVER (PARTITION BY is_checkpoint ORDER BY step, checkpoint) END AS INTEGER) AS step_rank
 FROM ckpts""")
 def checkpoint_names(spark, sf_dir):
     """F29 + P7 + O3: parsed names; evaluation order is by *name*

@@ -120,8 +120,8 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY ord, model ORDER BY score DESC, j, t1, t2) AS rn FROM gens
 ),
 best AS (SELECT * FROM ranked WHERE rn = 1)
-SELECT b.ord, round(b.score, 6) AS baseline_score, round(f.score, 6) AS fine_tuned_score,
-       round(f.score - b.score, 6) AS improvement, b.j AS baseline_pick, f.j AS fine_tuned_pick,
+SELECT b.ord, CAST(round(b.score, 6) AS DOUBLE) AS baseline_score, CAST(round(f.score, 6) AS DOUBLE) AS fine_tuned_score,
+       CAST(round(f.score - b.score, 6) AS DOUBLE) AS improvement, b.j AS baseline_pick, f.j AS fine_tuned_pick,
        b.code AS baseline_code, f.code AS fine_tuned_code
 FROM best b JOIN best f ON b.ord = f.ord AND b.model = 'baseline' AND f.model = 'fine_tuned'"""
 

@@ -171,7 +171,7 @@ def curriculum_order(spark, sf_dir):
 
 
 @query("heuristic_score", sql="""
-SELECT doc_id, round(s1, 6) AS raw_score, round(s2, 6) AS wrapped_score FROM (
+SELECT doc_id, CAST(round(s1, 6) AS DOUBLE) AS raw_score, CAST(round(s2, 6) AS DOUBLE) AS wrapped_score FROM (
   SELECT doc_id,
     least(1.0, 0.5 + CASE WHEN length(text) > 50 THEN 0.1 ELSE 0.0 END
       + CASE WHEN contains(text, 'def ') OR contains(text, 'class ') OR contains(text, 'fn ') THEN 0.2 ELSE 0.0 END

@@ -36,7 +36,8 @@ batches0 AS (
          coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0) / 10 AS score_s,
          coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0) / 10 AS train_s,
          CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / 10 AS total_s,
-         sum(tokens) AS tokens_raw, coalesce(sum(tokens) FILTER (WHERE event_type <> 'error'), 0) AS tokens_kept,
+         CAST(sum(tokens) AS BIGINT) AS tokens_raw,
+         CAST(coalesce(sum(tokens) FILTER (WHERE event_type <> 'error'), 0) AS BIGINT) AS tokens_kept,
          count(*) FILTER (WHERE event_type = 'error') AS dup_filtered,
          1 - CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / (count(*) * 100) AS loss, avg(reward) * 0.1 AS kl,
          sum(value) / 4 AS driver_alloc_gb, coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0) / 4 AS current_alloc_gb,
@@ -44,7 +45,7 @@ batches0 AS (
   FROM samples GROUP BY run_id, epoch, batch_idx
 ),
 batches AS (
-  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch, batch_idx) AS step,
+  SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY epoch, batch_idx) AS INTEGER) AS step,
          driver_alloc_gb - current_alloc_gb AS fragmentation_gb,
          CASE WHEN gen_s > 0 THEN tokens_raw / gen_s ELSE 0.0 END AS gen_tps,
          CASE WHEN total_s = 0 THEN NULL ELSE gen_s / total_s * 100 END AS gen_share_pct

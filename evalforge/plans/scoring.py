@@ -23,9 +23,9 @@ from .corpus import LANG_MAP_SQL, prompt_language
 from .registry import query, r6
 from .tables import table
 
-H_SQL = ("least(1.0, 0.5 + CASE WHEN length({x}) > 50 THEN 0.1 ELSE 0.0 END"
+H_SQL = ("CAST(least(1.0, 0.5 + CASE WHEN length({x}) > 50 THEN 0.1 ELSE 0.0 END"
          " + CASE WHEN contains({x}, 'def ') OR contains({x}, 'class ') OR contains({x}, 'fn ') THEN 0.2 ELSE 0.0 END"
-         " + CASE WHEN contains({x}, chr(10)) THEN 0.1 ELSE 0.0 END)")
+         " + CASE WHEN contains({x}, chr(10)) THEN 0.1 ELSE 0.0 END) AS DOUBLE)")
 
 
 def h_sql(x: str) -> str:
@@ -100,7 +100,7 @@ def cache_hits(spark, sf_dir):
     return T.cache_hits(d, cache).select("doc_id")
 
 
-@query("scoring_context", sql="SELECT doc_id, substr(text, 1, 200) AS context, length(text) AS prompt_chars FROM documents")
+@query("scoring_context", sql="SELECT doc_id, substr(text, 1, 200) AS context, CAST(length(text) AS INTEGER) AS prompt_chars FROM documents")
 def scoring_context_q(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", scoring_context(F.col("text")).alias("context"),
@@ -140,7 +140,7 @@ def reward_floor(spark, sf_dir):
 
 @query("tiered_score", sql=f"""WITH {LABELLED_SQL},
 g AS (SELECT doc_id, s.student_score * l.quality AS h, s.prompt, s.language FROM scored s JOIN labels l USING (doc_id))
-SELECT g.doc_id, round(CASE WHEN g.h >= 0.3 THEN r.teacher_score ELSE g.h END, 6) AS final_score
+SELECT g.doc_id, CAST(round(CASE WHEN g.h >= 0.3 THEN r.teacher_score ELSE g.h END, 6) AS DOUBLE) AS final_score
 FROM g LEFT JOIN refs r ON g.prompt = r.prompt AND g.language = r.language""")
 def tiered_score_q(spark, sf_dir):
     d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
@@ -193,7 +193,7 @@ def _li(spark, sf_dir):
 
 @query("topk_samples", sql=f"""WITH {LI_SQL}
 SELECT ord, j, t1, t2, CAST(reward AS DOUBLE) AS reward, rk FROM (
-  SELECT *, row_number() OVER (PARTITION BY ord ORDER BY reward DESC, j, t1, t2) AS rk FROM li) WHERE rk <= 2""")
+  SELECT *, CAST(row_number() OVER (PARTITION BY ord ORDER BY reward DESC, j, t1, t2) AS INTEGER) AS rk FROM li) WHERE rk <= 2""")
 def topk_samples(spark, sf_dir):
     """Best 2 samples per prompt (row_number <= k also gets a partial
     WindowGroupLimit before the shuffle)."""

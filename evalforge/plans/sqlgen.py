@@ -33,10 +33,11 @@ def difficulty_sql(prompt: str, language: str, rubric: Rubric = DEFAULT_RUBRIC)
     doc = f"least(1.0, ({_words(t, rubric.documentation_words)}) / {d[3]})"
     demand = (f"least(1.0, greatest(0.0, ({w[0]} * {corr}) + ({w[1]} * {qual}) + ({w[2]} * {eff})"
               f" + ({w[3]} * {doc})))")
-    lw = "CASE " + " ".join(f"WHEN {lg} = {lit(k)} THEN {float(v)}" for k, v in rubric.language_weights.items()) \
-         + " ELSE 1.0 END"
+    lw = "CASE " + " ".join(f"WHEN {lg} = {lit(k)} THEN CAST({float(v)} AS DOUBLE)"
+                            for k, v in rubric.language_weights.items()) + " ELSE CAST(1.0 AS DOUBLE) END"
     chars = f"CAST(length({p}) AS DOUBLE)"
     index = f"{chars} * ({lw}) * (1.0 + {INDEX_DEMAND_FACTOR} * {demand})"
-    return {"token_len": "0.0", "char_len": chars, "lang_weight": lw, "rubric_demand": demand,
+    return {"token_len": "CAST(0.0 AS DOUBLE)", "char_len": chars, "lang_weight": f"CAST({lw} AS DOUBLE)",
+            "rubric_demand": demand,
             "demand_correctness": corr, "demand_code_quality": qual, "demand_efficiency": eff,
             "demand_documentation": doc, "index": index}
