@@ -57,6 +57,7 @@ def compare_prompts(gens: DataFrame, keys: Sequence[str] = ("ord",), aggregate:
     """
     agg = _check_agg(aggregate)
     keys = list(keys)
+    picks = j_col in gens.columns        # a lean (key, model, score) frame has no sample index
     exprs: list[Column] = []
     for m in MODELS:
         is_m = F.col(model_col) == F.lit(m)
@@ -65,6 +66,8 @@ def compare_prompts(gens: DataFrame, keys: Sequence[str] = ("ord",), aggregate:
         if reward_col:
             rw = F.when(is_m, F.col(reward_col))
             exprs.append((F.avg(rw) if agg == "mean" else F.max(rw)).alias(f"{m}_reward_normalized"))
+        if not picks:
+            continue
         # representative sample: the struct ordering picks the first j at the max
         pick_payload = [F.col(j_col).alias("j")]
         if code_col:
@@ -97,7 +100,7 @@ def compare_prompts(gens: DataFrame, keys: Sequence[str] = ("ord",), aggregate:
     else:
         cols += [F.lit(None).cast("double").alias(c) for c in
                  ("baseline_reward_normalized", "fine_tuned_reward_normalized", "reward_improvement")]
-    for m in MODELS:
+    for m in MODELS if picks else ():
         cols.append(F.col(f"_{m}_pick.j").alias(f"{m}_pick"))
         if code_col:
             cols.append(F.col(f"_{m}_pick.code").alias(f"{m}_code"))

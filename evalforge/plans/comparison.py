@@ -33,6 +33,14 @@ WITH gens AS (
 )"""
 
 
+def lineitem_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lean form (ord, model, score): the scan reads three columns."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_tax")
+    return li.select(F.col("l_orderkey").alias("ord"), F.expr(
+        "stack(2, 'baseline', CAST(l_discount AS DECIMAL(10,4)) * 10, "
+        "'fine_tuned', CAST(l_tax AS DECIMAL(10,4)) * 10) AS (model, score)"))
+
+
 def lineitem_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_partkey", "l_suppkey",
@@ -74,7 +82,7 @@ SELECT count(*) AS num_test_cases,
        count(*) FILTER (WHERE f - b = 0) AS num_equal
 FROM per_prompt""")
 def compare_models(spark, sf_dir):
-    s = run_summary(_per_prompt(spark, sf_dir))
+    s = run_summary(compare_prompts(lineitem_scores(spark, sf_dir), keys=["ord"]))
     return s.select("num_test_cases", r6("avg_baseline_score"), r6("avg_fine_tuned_score"),
                     r6("avg_improvement"), "num_improved", "num_degraded", "num_equal")
 
@@ -90,7 +98,7 @@ SELECT count(*) FILTER (WHERE imp > 0) AS num_improved,
        count(*) AS num_test_cases
 FROM per_prompt""")
 def improvement_distribution(spark, sf_dir):
-    s = run_summary(_per_prompt(spark, sf_dir, aggregate="max"))
+    s = run_summary(compare_prompts(lineitem_scores(spark, sf_dir), keys=["ord"], aggregate="max"))
     return s.select("num_improved", "num_degraded", "num_equal", "num_test_cases")
 
 
@@ -99,7 +107,7 @@ SELECT round(avg(b), 6) AS avg_baseline_score, round(avg(f - b), 6) AS avg_impro
        round(CASE WHEN avg(b) = 0 THEN NULL ELSE avg(f - b) / avg(b) * 100 END, 6) AS relative_improvement_pct
 FROM per_prompt""")
 def relative_improvement_q(spark, sf_dir):
-    s = relative_improvement(run_summary(_per_prompt(spark, sf_dir)))
+    s = relative_improvement(run_summary(compare_prompts(lineitem_scores(spark, sf_dir), keys=["ord"])))
     return s.select(r6("avg_baseline_score"), r6("avg_improvement"), r6("relative_improvement_pct"))
 
 
