@@ -13,6 +13,7 @@ from ..session import scratch_path
 from ..streaming import live as L
 from ..streaming.runner import run_available
 from .registry import ORACLE, query, r6
+from .runlog import BATCHES_SQL as _BATCHES_SQL_REF
 from .runlog import batches
 from .tables import table
 
@@ -159,3 +160,35 @@ def _register_shared_oracles():
 
 
 _register_shared_oracles()
+
+
+@query("stream_health", sql="""WITH """ + _BATCHES_SQL_REF[1:] + """,
+h AS (
+  SELECT run_id, step, gen_share_pct, gen_tps, fragmentation_gb, cache_gb, reward_mean,
+         fragmentation_gb - lag(fragmentation_gb) OVER (PARTITION BY run_id ORDER BY step) AS growth,
+         reward_mean - avg(CASE WHEN step <= 15 THEN reward_mean END)
+             OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gain
+  FROM batches
+)
+SELECT run_id, step, CASE WHEN len(iss) = 0 THEN 'OK' ELSE 'WARN' END AS status, array_to_string(iss, ',') AS issues
+FROM (
+  SELECT run_id, step, list_filter([
+      CASE WHEN gen_share_pct > 85.0 THEN 'gen_bottleneck' END,
+      CASE WHEN gen_tps < 6.0 THEN 'low_gen_tps' END,
+      CASE WHEN fragmentation_gb > 10.0 THEN 'fragmentation' END,
+      CASE WHEN cache_gb > 3.0 THEN 'cache_size' END,
+      CASE WHEN growth > 0.75 THEN 'fragmentation_growth' END,
+      CASE WHEN gain <= 0 THEN 'no_gain_vs_baseline' END], lambda x: x IS NOT NULL) AS iss
+  FROM h WHERE step > 3 AND step % 5 = 0)""")
+def stream_health(spark, sf_dir):
+    """Live health check over a batch-metrics log (running baseline)."""
+    b = batches(spark, sf_dir).select("run_id", "step", "epoch", "reward_mean", "gen_share_pct", "gen_tps",
+                                      "fragmentation_gb", "cache_gb")
+    folder = scratch_path(spark, "health-stream")
+    glob = stage_chunks(b, F.least(F.lit(3), F.floor((F.col("epoch") - 1) / 8)).cast("int"), 4, folder, "json")
+    s = (spark.readStream.schema("run_id BIGINT, step INT, epoch INT, reward_mean DOUBLE, gen_share_pct DOUBLE, "
+                                 "gen_tps DOUBLE, fragmentation_gb DOUBLE, cache_gb DOUBLE")
+         .option("maxFilesPerTrigger", FILES_PER_CHUNK).json(glob))
+    h = L.health_stream(s, "run_id", "step", "reward_mean", "gen_share_pct", "gen_tps", "fragmentation_gb",
+                        "cache_gb")
+    return run_available(h, "health", "append").select("run_id", "step", "status", "issues")

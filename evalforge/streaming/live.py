@@ -143,3 +143,57 @@ def gc_cooldown_stream(stream: DataFrame, run: str, step_col: str, fragmentation
 
     return s.groupBy(run).applyInPandasWithState(step, out_schema, "last LONG", "append",
                                                  GroupStateTimeout.NoTimeout)
+
+
+def health_stream(stream: DataFrame, run: str, step_col: str, reward: str, gen_share_pct: str, gen_tps: str,
+                  fragmentation_gb: str, cache_gb: str, baseline_batches: int = 15) -> DataFrame:
+    """X7 live health check (W13 + W9 + W14 on a live batch-metrics log).
+
+    State per run: previous fragmentation (growth), last clean-up trigger
+    (cooldown) and the running baseline over the first ``baseline_batches``
+    batches, so a check due before the baseline is complete uses the
+    batches seen so far.  Emits one row per due batch (after the grace
+    period, every interval) with OK/WARN and the issues."""
+    from ..operators.runlog import (HEALTH_CACHE_GB, HEALTH_GEN_BOTTLENECK_PCT, HEALTH_GEN_TARGET_TPS,
+                                    HEALTH_GRACE_BATCHES, HEALTH_GROWTH_GB, HEALTH_INTERVAL_BATCHES)
+    cols = [run, step_col, reward, gen_share_pct, gen_tps, fragmentation_gb, cache_gb]
+    s = stream.select(*cols)
+    out_schema = (f"{run} {s.schema[run].dataType.simpleString()}, {step_col} INT, status STRING, issues STRING, "
+                  "gc_triggered BOOLEAN")
+
+    def num(v):
+        return None if v is None or pd.isna(v) else float(v)
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frames = list(pdfs)
+        pdf = (frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)).sort_values(step_col)
+        prev, last, bsum, bn = state.get if state.exists else (None, None, 0.0, 0)
+        rows = []
+        for r in pdf.itertuples(index=False):
+            d = r._asdict()
+            st = int(d[step_col])
+            rew, frag = num(d[reward]), num(d[fragmentation_gb])
+            growth = None if prev is None or frag is None else frag - prev
+            prev = frag
+            if st <= baseline_batches and rew is not None:
+                bsum, bn = bsum + rew, bn + 1
+            trig = bool(frag is not None and frag > HEALTH_FRAGMENTATION_GB
+                        and (last is None or st - last >= GC_COOLDOWN_BATCHES))
+            if trig:
+                last = st
+            if st > HEALTH_GRACE_BATCHES and st % HEALTH_INTERVAL_BATCHES == 0:
+                gain = None if bn == 0 or rew is None else rew - bsum / bn
+                share, tps, cache = num(d[gen_share_pct]), num(d[gen_tps]), num(d[cache_gb])
+                issues = [name for name, bad in (
+                    ("gen_bottleneck", share is not None and share > HEALTH_GEN_BOTTLENECK_PCT),
+                    ("low_gen_tps", tps is not None and tps < HEALTH_GEN_TARGET_TPS),
+                    ("fragmentation", frag is not None and frag > HEALTH_FRAGMENTATION_GB),
+                    ("cache_size", cache is not None and cache > HEALTH_CACHE_GB),
+                    ("fragmentation_growth", growth is not None and growth > HEALTH_GROWTH_GB),
+                    ("no_gain_vs_baseline", gain is not None and gain <= 0)) if bad]
+                rows.append((key[0], st, "OK" if not issues else "WARN", ",".join(issues), trig))
+        state.update((prev, last, bsum, bn))
+        yield pd.DataFrame(rows, columns=[run, step_col, "status", "issues", "gc_triggered"])
+
+    return s.groupBy(run).applyInPandasWithState(
+        step, out_schema, "prev DOUBLE, last LONG, bsum DOUBLE, bn LONG", "append", GroupStateTimeout.NoTimeout)
