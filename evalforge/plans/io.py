@@ -82,10 +82,9 @@ def split_scan(spark, sf_dir):
     key = F.concat(F.coalesce("text", F.lit("")), F.lit("|"), F.coalesce("lang", F.lit("python")))
     d = d.withColumn("split", assign_split(key))
     root = scratch_path(spark, "splits")
-    lines = d.select("split", _good_json(d).alias("value"))
-    for s in ("train", "validation", "evaluation"):
-        lines.where(F.col("split") == s).select("value").write.text(f"{root}/{s}.jsonl")
-    return J.split_files(spark, root).select("id", "split")
+    # one pass over the corpus writes all three splits (one folder each)
+    d.select("split", _good_json(d).alias("value")).write.partitionBy("split").text(root)
+    return J.split_files(spark, root, layout="partitioned").select("id", "split")
 
 
 @query("summary_scan", sql=f"""WITH {NESTED_SQL}

@@ -95,12 +95,15 @@ def strict_prompts(spark: SparkSession, path: str, schema: str = PROMPT_SCHEMA)
             .select("r.*", "ord"))
 
 
-def split_files(spark: SparkSession, folder: str, schema: str = PROMPT_SCHEMA) -> DataFrame:
+def split_files(spark: SparkSession, folder: str, schema: str = PROMPT_SCHEMA,
+                layout: str = "named") -> DataFrame:
     """S4 + U1: ``train/validation/evaluation.jsonl`` unioned with a split
-    column; an absent split contributes no rows."""
+    column; an absent split contributes no rows.  ``layout='partitioned'``
+    reads the ``split=<name>`` folders a single partitioned write produces."""
     parts = []
     for s in SPLITS:
-        rows = lenient_jsonl(spark, f"{folder.rstrip('/')}/{s}.jsonl", schema).withColumn("split", F.lit(s))
+        path = f"{folder.rstrip('/')}/{s}.jsonl" if layout == "named" else f"{folder.rstrip('/')}/split={s}"
+        rows = lenient_jsonl(spark, path, schema).withColumn("split", F.lit(s))
         parts.append(rows)
     out = parts[0]
     for p in parts[1:]:
