@@ -35,8 +35,10 @@ def py_strip(s: Column) -> Column:
 
 
 def _escaped_language(language: Column) -> Column:
-    """``re.escape`` for the fence tag: every non-word ASCII char backslashed."""
-    return F.regexp_replace(language, r"([^A-Za-z0-9_])", r"\\$1")
+    """``re.escape`` for the fence tag: ASCII space and punctuation (except
+    ``_``) backslashed; letters, digits and non-ASCII characters stay as
+    they are (Java rejects a backslash before a letter)."""
+    return F.regexp_replace(language, r"([\x20-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E])", r"\\$1")
 
 
 def extract_code_from_reasoning(text: Column, language: Column) -> Column:

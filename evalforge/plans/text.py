@@ -57,7 +57,7 @@ def _strip_sql(x: str) -> str:
 
 
 def _extract_sql(t: str, lang: str) -> str:
-    esc = f"regexp_replace({lang}, '([^A-Za-z0-9_])', '\\\\\\1', 'g')"
+    esc = f"regexp_replace({lang}, '([\\x20-\\x2F\\x3A-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7E])', '\\\\\\1', 'g')"
     pa = f"'(?s)```' || {esc} || '?\\s*\\n(.*?)```'"
     pb = "'(?s)```\\s*\\n(.*?)```'"
     pc = f"'(?s)```' || {esc} || '?\\s*\\n(.*)'"
