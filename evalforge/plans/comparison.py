@@ -49,13 +49,14 @@ def lineitem_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("j"),
         F.expr("""stack(2,
             'baseline', CAST(l_discount AS DECIMAL(10,4)) * 10, concat('b', CAST(l_partkey AS STRING)),
-                        l_quantity,
-            'fine_tuned', CAST(l_tax AS DECIMAL(10,4)) * 10, concat('f', CAST(l_suppkey AS STRING)),
-                        l_quantity / 2)
-            AS (model, score, code, seconds)"""),
+            'fine_tuned', CAST(l_tax AS DECIMAL(10,4)) * 10, concat('f', CAST(l_suppkey AS STRING)))
+            AS (model, score, code)"""),
+        "l_quantity",
         F.floor(F.col("l_extendedprice") / 100).cast("int").alias("output_tokens"),
         F.col("l_partkey").alias("t1"), F.col("l_suppkey").alias("t2"),
-    ).withColumn("tokens_per_sec", throughput_floored(F.col("output_tokens"), F.col("seconds")))
+    ).withColumn(  # outside the generator, so Catalyst prunes it (and its input) when unused
+        "seconds", F.when(F.col("model") == "baseline", F.col("l_quantity")).otherwise(F.col("l_quantity") / 2)
+    ).drop("l_quantity").withColumn("tokens_per_sec", throughput_floored(F.col("output_tokens"), F.col("seconds")))
 
 
 def _per_prompt(spark, sf_dir, aggregate="mean", **kw):
@@ -206,10 +207,10 @@ def normalized_comparison(spark, sf_dir):
     order's price / 1e5) joined once per prompt; rewards are student /
     (teacher + eps), aggregated like the scores."""
     from ..functions.scoring import normalized_reward
-    g = lineitem_generations(spark, sf_dir)
+    g = lineitem_scores(spark, sf_dir)
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"),
                                                (F.col("o_totalprice") / 100000).alias("teacher_score"))
     r = g.join(t, "ord").withColumn("reward", normalized_reward(F.col("score"), F.col("teacher_score")))
-    s = run_summary(compare_prompts(r, keys=["ord"], reward_col="reward", tie_cols=["t1", "t2"]))
+    s = run_summary(compare_prompts(r, keys=["ord"], reward_col="reward"))
     return s.select("num_test_cases", r6("avg_baseline_reward_normalized"), r6("avg_fine_tuned_reward_normalized"),
                     r6("avg_reward_improvement"))
