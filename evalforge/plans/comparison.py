@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import throughput_floored, truncate_text
-from ..operators.compare import (compare_prompts, expand_samples, relative_improvement, run_summary,
-                                 sample_seed, top_improvements)
+from ..functions.scoring import throughput_floored
+from ..operators.compare import (compare_prompts, example_report, expand_samples, relative_improvement,
+                                 run_summary, sample_seed, top_improvements)
 from .registry import query, r6
 from .tables import table
 
@@ -175,10 +175,9 @@ SELECT ord, round(b, 6) AS baseline_score, round(f, 6) AS fine_tuned_score, roun
        CASE WHEN length(fc) <= 3 THEN fc ELSE substr(fc, 1, 3) || '...' END AS fine_tuned_code_preview
 FROM per_prompt ORDER BY f - b DESC, ord LIMIT 3""")
 def top_improvements_q(spark, sf_dir):
-    top = top_improvements(_per_prompt(spark, sf_dir), k=3, order_col="ord")
+    top = example_report(top_improvements(_per_prompt(spark, sf_dir), k=3, order_col="ord"), print_chars=3)
     return top.select("ord", r6("baseline_score"), r6("fine_tuned_score"), r6("improvement"),
-                      truncate_text(F.col("baseline_code"), 3).alias("baseline_code_preview"),
-                      truncate_text(F.col("fine_tuned_code"), 3).alias("fine_tuned_code_preview"))
+                      "baseline_code_preview", "fine_tuned_code_preview")
 
 
 @query("seeded_samples", sql="""

@@ -44,20 +44,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_LOCAL_KEY = "spark.evalforge.localSharedDir"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir``.  If it is unset and the master is
-    local, a fresh folder is created and registered (tests, laptops).  On a
-    cluster with no setting we refuse rather than write to a node-local disk.
+    local, a fresh folder is created and registered with the context (tests,
+    laptops; ``spark.checkpoint.dir`` itself cannot change after start-up).
+    On a cluster with no setting we refuse rather than write to a node-local
+    disk.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_KEY, None)
     if not d:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared (distributed) folder")
         d = tempfile.mkdtemp(prefix="evalforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        spark.conf.set(_LOCAL_KEY, d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
