@@ -157,11 +157,11 @@ def split_counts(df: DataFrame, split_col: str = "split") -> DataFrame:
             .select("split", "split_order", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def dataset_card(counts: DataFrame) -> DataFrame:
+def dataset_card(counts: DataFrame, title: str = "Dataset") -> DataFrame:
     """Card text rendered from the one-row pivot of split counts."""
     one = counts.groupBy().agg(*[F.max(F.when(F.col("split") == s, F.col("count"))).alias(s) for s in SPLITS])
     text = F.format_string(
-        "# Code RLAIF Dataset\n\n## Dataset Structure\n\n- **Training Set**: %d examples\n"
+        "# " + title.replace("%", "%%") + "\n\n## Dataset Structure\n\n- **Training Set**: %d examples\n"
         "- **Validation Set**: %d examples\n- **Evaluation Set**: %d examples\n",
         F.col("train"), F.col("validation"), F.col("evaluation"))
     return one.select(F.col("train").alias("train_count"), F.col("validation").alias("val_count"),

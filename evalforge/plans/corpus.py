@@ -142,7 +142,7 @@ def split_counts_q(spark, sf_dir):
 WITH c AS (SELECT count(*) FILTER (WHERE split = 'train') AS t, count(*) FILTER (WHERE split = 'validation') AS v,
                   count(*) FILTER (WHERE split = 'evaluation') AS e FROM ({SPLIT_SQL}))
 SELECT t AS train_count, v AS val_count, e AS eval_count,
-       '# Code RLAIF Dataset' || chr(10) || chr(10) || '## Dataset Structure' || chr(10) || chr(10)
+       '# Dataset' || chr(10) || chr(10) || '## Dataset Structure' || chr(10) || chr(10)
        || '- **Training Set**: ' || t || ' examples' || chr(10)
        || '- **Validation Set**: ' || v || ' examples' || chr(10)
        || '- **Evaluation Set**: ' || e || ' examples' || chr(10) AS card
