@@ -98,3 +98,15 @@ def repetition_cut_q(spark, sf_dir):
     cut = repetition_cut(code)
     return c.select("conv_id", "turn", F.size(F.split(code, "\n")).alias("lines_in"),
                     F.size(F.split(cut, "\n")).alias("lines_out"), F.md5(cut).alias("cut_md5"))
+
+
+@query("first_code_block", sql=None)
+def first_code_block_q(spark, sf_dir):
+    """F23 complete (rows-only; brute-force checked in tests): the first
+    fenced block when the message has one (JVM regex), otherwise the
+    repetition cut over the unfenced text (pandas UDF)."""
+    from ..operators.plugins import first_code_block
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Intro\n```python\n"), "text", F.lit("\n```\ntail"))) \
+        .otherwise(F.col("text"))
+    return c.select("conv_id", "turn", F.md5(first_code_block(t)).alias("block_md5"))

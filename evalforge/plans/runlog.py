@@ -365,3 +365,18 @@ def memory_growth(spark, sf_dir):
     b = batches(spark, sf_dir).drop("fragmentation_gb")
     g = RL.memory_growth(b, "run_id", "step", "driver_alloc_gb", "current_alloc_gb")
     return g.select("run_id", "step", r6("fragmentation_gb"), r6("growth_gb"))
+
+
+@query("training_throughput", sql=f"""WITH {SAMPLES_SQL},
+t AS (SELECT run_id, tokens, CASE WHEN value > 0 THEN tokens / (value / 10) ELSE 0.0 END AS tps
+      FROM samples WHERE event_type = 'purchase')
+SELECT run_id, round(avg(tps), 6) AS avg_tok_s, round(quantile_cont(tps, 0.99), 6) AS p99_tok_s,
+       count(*) AS num_samples, CAST(sum(tokens) AS BIGINT) AS total_tokens
+FROM t GROUP BY run_id""")
+def training_throughput(spark, sf_dir):
+    """Training performance per run (training = purchase events; tokens
+    consumed over value/10 seconds), avg and p99 tokens/s."""
+    s = samples(spark, sf_dir).where(F.col("event_type") == "purchase")
+    s = s.withColumn("tps", throughput_guarded(F.col("tokens"), F.col("value") / 10))
+    p = RL.perf_summary(s, ["run_id"], "tps", "tokens")
+    return p.select("run_id", r6("avg_tok_s"), r6("p99_tok_s"), "num_samples", "total_tokens")
