@@ -33,7 +33,7 @@ FROM (SELECT doc_id, text, {LANG_MAP_SQL} AS language FROM documents)""")
 def batch_generate(spark, sf_dir):
     """Y1 + F22: generate per prompt (model built once per partition), then
     pull the code out of the generated text."""
-    g = generate_batch(_prompts(spark, sf_dir), StubGenerator, ["doc_id", "language"])
+    g = generate_batch(_prompts(spark, sf_dir), StubGenerator, ["doc_id", "language"], checkpoint=True)
     return g.select("doc_id", extract_code_from_reasoning(F.col("code"), F.col("language")).alias("code"),
                     "output_tokens", r6("seconds"), "ok")
 
