@@ -96,3 +96,20 @@ def test_cache_ttl_hot_key(spark, parts):
             if not hit:
                 stamp = t
             assert got[i] == hit
+
+
+def test_chat_tool_calls(spark):
+    rows = [(7, 0, "user", "hi", None),
+            (7, 1, "assistant", "", [("lookup", '{"q": 1}')]),
+            (7, 2, "tool", "r1", None),
+            (7, 3, "assistant", "done", [])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, "
+                                     "calls array<struct<name: string, arguments: string>>")
+    t = chat_transcripts(df, tool_calls_col="calls", add_generation_prompt=True).first()["transcript"]
+    assert t == ("<|im_start|>system\nYou are Qwen, created by Alibaba Cloud. You are a helpful assistant.<|im_end|>\n"
+                 "<|im_start|>user\nhi<|im_end|>\n"
+                 "<|im_start|>assistant\n<tool_call>\n{\"name\": \"lookup\", \"arguments\": {\"q\": 1}}\n</tool_call>"
+                 "<|im_end|>\n"
+                 "<|im_start|>user\n<tool_response>\nr1\n</tool_response><|im_end|>\n"
+                 "<|im_start|>assistant\ndone<|im_end|>\n"
+                 "<|im_start|>assistant\n")
