@@ -29,10 +29,6 @@ BONUS = 0.1                     # P15
 # ---------------------------------------------------------------------------
 
 
-def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.col(x)
-
-
 def truncate_text(s: Column, n) -> Column:
     """P5: n<=0 or non-numeric -> unchanged; len<=n unchanged; else n chars + '...'."""
     try:

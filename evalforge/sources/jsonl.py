@@ -9,8 +9,6 @@ each split, and splits are numbered in file order).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -204,6 +202,3 @@ def outcome_counts(matched: DataFrame) -> DataFrame:
     return matched.groupBy("status").agg(F.count(F.lit(1)).alias("num_requests"),
                                          F.avg("seconds").alias("avg_seconds"))
 
-
-def keep_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*[c for c in cols if c in df.columns])
