@@ -109,15 +109,26 @@ def gc_cooldown(batches: DataFrame, run: str, step: str, fragmentation_gb: str,
 
 
 def cache_ttl(events: DataFrame, keys: Sequence[str], ts: str, tie: str,
-              ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
+              ttl_seconds: int = CACHE_TTL_SECONDS, method: str = "buckets") -> DataFrame:
     """W16 (decision: hits do not refresh the stamp; age == TTL is a miss).
 
-    Per key, the sorted (time, id) array is folded on the JVM into the list
-    of misses (re-stamps); every other row is a hit.  Output: the input
-    keys, ``tie`` (a unique row id) and ``cache_hit``."""
+    ``method='buckets'`` (default) finds the misses with TTL-wide time
+    buckets and pointer doubling (``anchors.expiry_anchors``): no key's rows
+    are gathered in one task, so a key holding a third of all events is
+    spread like any other.  ``method='fold'`` folds each key's sorted array
+    on the JVM (fewer jobs; only for keys known to be small).  Output: the
+    input keys, ``tie`` (unique per key) and ``cache_hit``."""
     ttl_us = int(ttl_seconds) * 1_000_000
     e = events.select(*keys, F.col(tie).cast("bigint").alias("_id"),
                       F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    if method == "buckets":
+        from .anchors import expiry_anchors
+        misses = expiry_anchors(e, keys, "_t", "_id", ttl_us).withColumn("_miss", F.lit(True))
+        out = e.join(misses, [*keys, "_id"], "left")
+        return out.select(*keys, F.col("_id").cast(events.schema[tie].dataType).alias(tie),
+                          F.col("_miss").isNull().alias("cache_hit"))
+    if method != "fold":
+        raise ValueError("method must be 'buckets' or 'fold'")
     per_key = e.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col("_t").alias("t"), F.col("_id").alias("id")))).alias("_xs"))
     fired = _anchor_fold(F.col("_xs"), lambda acc, x: acc["last"].isNull() | (x["t"] - acc["last"] >= ttl_us))
