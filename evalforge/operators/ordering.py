@@ -59,3 +59,21 @@ def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], nam
     return (pos.join(starts, list(group))
             .withColumn(name, F.col("_gpos") - F.col("_gstart") + 1)
             .drop("_gpos", "_gstart"))
+
+
+def exact_percentile(df: DataFrame, group: Sequence[str], value: str, p: float, name: str = "percentile",
+                     num_partitions: int | None = None) -> DataFrame:
+    """Exact percentile with linear interpolation (``percentile`` /
+    ``quantile_cont``: position ``(n - 1) * p``) per group, without holding a
+    group's values in one task: the values are ranked with ``group_rank``
+    (range-partitioned sort) and only the two rows around the position are
+    kept.  NULL values are ignored."""
+    group = list(group)
+    v = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
+    ranked = group_rank(v, group, [F.col("_v").asc()], name="_r", num_partitions=num_partitions)
+    pos = (F.col("_r_count") - 1) * F.lit(float(p))
+    lo = F.floor(pos) + 1
+    hi = F.ceil(pos) + 1
+    near = ranked.where((F.col("_r") == lo) | (F.col("_r") == hi)).withColumn("_frac", pos - F.floor(pos))
+    agg = near.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_frac").alias("_f"))
+    return agg.select(*group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))

@@ -113,14 +113,20 @@ def perf_summary(samples: DataFrame, keys: Sequence[str], tok_s: str, tokens: st
                  exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Avg and p99 tokens/s, sample count, total tokens.
 
-    ``exact`` uses ``percentile`` (sorts each group's values: fine per key
-    when groups are bounded); at scale ``exact=False`` uses the mergeable
-    ``percentile_approx`` sketch, which aggregates partially map-side."""
-    p99 = (F.percentile(F.col(tok_s), F.lit(0.99)) if exact
-           else F.percentile_approx(F.col(tok_s), 0.99, accuracy))
-    return samples.groupBy(*keys).agg(F.avg(tok_s).alias("avg_tok_s"), p99.alias("p99_tok_s"),
+    ``exact`` computes the interpolated p99 from a range-partitioned rank
+    (``ordering.exact_percentile``), so a group holding a third of all
+    samples is never buffered in one task; ``exact=False`` uses the
+    mergeable ``percentile_approx`` sketch (one pass, partial aggregation)."""
+    base = samples.groupBy(*keys).agg(F.avg(tok_s).alias("avg_tok_s"),
                                       F.count(F.lit(1)).alias("num_samples"),
                                       F.sum(tokens).alias("total_tokens"))
+    if not exact:
+        p99 = samples.groupBy(*keys).agg(F.percentile_approx(F.col(tok_s), 0.99, accuracy).alias("p99_tok_s"))
+    else:
+        from .ordering import exact_percentile
+        p99 = exact_percentile(samples, keys, tok_s, 0.99, name="p99_tok_s")
+    return base.join(p99, list(keys), "left").select(*keys, "avg_tok_s", "p99_tok_s", "num_samples",
+                                                     "total_tokens")
 
 
 def api_usage(samples: DataFrame, epoch: str, sent: Column, received: Column) -> DataFrame:

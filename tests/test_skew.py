@@ -113,3 +113,16 @@ def test_chat_tool_calls(spark):
                  "<|im_start|>user\n<tool_response>\nr1\n</tool_response><|im_end|>\n"
                  "<|im_start|>assistant\ndone<|im_end|>\n"
                  "<|im_start|>assistant\n")
+
+
+def test_exact_percentile_hot_group(spark):
+    import numpy as np
+    from evalforge.operators.ordering import exact_percentile
+    rows = [(r[1], r[3] * 100) for r in _skewed_rows(4000, seed=11)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["p"] for r in exact_percentile(df, ["k"], "v", 0.99, name="p", num_partitions=9).collect()}
+    by = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    for k, vs in by.items():
+        assert got[k] == pytest.approx(float(np.percentile(vs, 99)), rel=1e-12)
