@@ -24,6 +24,10 @@ from .runlog import (EMA_ALPHA, GC_COOLDOWN_BATCHES, HEALTH_CACHE_GB, HEALTH_FRA
                      HEALTH_GROWTH_GB, HEALTH_INTERVAL_BATCHES, KL_GAIN, KL_START, KL_TARGET)
 
 CACHE_TTL_SECONDS = 14400      # teacher score cache expiry (fixed value)
+# A key's rows are gathered into one array only when the largest key is
+# proven (by a count) to hold at most this many rows; above it the
+# bucketed pointer-doubling form runs instead.
+FOLD_MAX_ROWS = 200_000
 SLOW_LAST_PHASE_FACTOR = 1.2   # last phase slower than 1.2 x mean of the first three
 MIN_LOAD_SAMPLES = 5           # the profile runs only for more than 4 samples
 
@@ -81,6 +85,15 @@ def health_check(batches: DataFrame, run: str, step: str, gen_share_pct: str, ge
             .withColumn("status", F.when(F.size("issues") == 0, F.lit("OK")).otherwise(F.lit("WARN"))))
 
 
+def _choose(df: DataFrame, keys: Sequence[str], method: str) -> str:
+    if method in ("buckets", "fold"):
+        return method
+    if method != "auto":
+        raise ValueError("method must be 'auto', 'buckets' or 'fold'")
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return "fold" if largest <= FOLD_MAX_ROWS else "buckets"
+
+
 def _anchor_fold(xs: Column, fire) -> Column:
     """Greedy anchors over a sorted array of structs: ``fire(acc, e)`` says
     whether element ``e`` becomes a new anchor given the last one; the fold
@@ -93,14 +106,28 @@ def _anchor_fold(xs: Column, fire) -> Column:
 
 
 def gc_cooldown(batches: DataFrame, run: str, step: str, fragmentation_gb: str,
-                threshold: float = HEALTH_FRAGMENTATION_GB, cooldown: int = GC_COOLDOWN_BATCHES) -> DataFrame:
+                threshold: float = HEALTH_FRAGMENTATION_GB, cooldown: int = GC_COOLDOWN_BATCHES,
+                method: str = "auto") -> DataFrame:
     """Trigger a clean-up when fragmentation exceeds the threshold, at
-    most once per ``cooldown`` batches since the last trigger.  One sorted
-    array of the run's *batch* rows, folded on the JVM."""
+    most once per ``cooldown`` batches since the last trigger.
+
+    The triggers are the greedy anchors of the batches that want a clean-up,
+    with the cooldown as the expiry: ``method='buckets'`` finds them without
+    gathering a run (``anchors.expiry_anchors``); ``method='fold'`` folds
+    one run's sorted array of batches on the JVM; ``'auto'`` folds only
+    when the longest run is proven to fit ``FOLD_MAX_ROWS``."""
     b = batches.select(run, step, (F.col(fragmentation_gb) > F.lit(float(threshold))).alias("wants_gc"))
+    b = b.withColumn("wants_gc", F.coalesce(F.col("wants_gc"), F.lit(False)))
+    method = _choose(b, [run], method)
+    if method == "buckets":
+        from .anchors import expiry_anchors
+        wanting = b.where("wants_gc").select(run, F.col(step).cast("bigint").alias("_s"))
+        fired = expiry_anchors(wanting, [run], "_s", "_s", int(cooldown)).withColumn("_fired", F.lit(True))
+        out = b.withColumn("_s", F.col(step).cast("bigint")).join(fired, [run, "_s"], "left")
+        return out.select(run, step, "wants_gc", F.col("_fired").isNotNull().alias("triggered"))
     per_run = b.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(
         F.col(step).cast("bigint").alias("t"), F.col(step).cast("bigint").alias("id"),
-        F.coalesce(F.col("wants_gc"), F.lit(False)).alias("w")))).alias("_xs"))
+        F.col("wants_gc").alias("w")))).alias("_xs"))
     fired = _anchor_fold(F.col("_xs"), lambda acc, e: e["w"] & (acc["last"].isNull()
                                                               | (e["t"] - acc["last"] >= cooldown)))
     out = per_run.select(run, F.explode("_xs").alias("_e"), fired["ids"].alias("_ids"))
@@ -109,26 +136,26 @@ def gc_cooldown(batches: DataFrame, run: str, step: str, fragmentation_gb: str,
 
 
 def cache_ttl(events: DataFrame, keys: Sequence[str], ts: str, tie: str,
-              ttl_seconds: int = CACHE_TTL_SECONDS, method: str = "buckets") -> DataFrame:
+              ttl_seconds: int = CACHE_TTL_SECONDS, method: str = "auto") -> DataFrame:
     """W16 (decision: hits do not refresh the stamp; age == TTL is a miss).
 
-    ``method='buckets'`` (default) finds the misses with TTL-wide time
-    buckets and pointer doubling (``anchors.expiry_anchors``): no key's rows
-    are gathered in one task, so a key holding a third of all events is
-    spread like any other.  ``method='fold'`` folds each key's sorted array
-    on the JVM (fewer jobs; only for keys known to be small).  Output: the
-    input keys, ``tie`` (unique per key) and ``cache_hit``."""
+    ``method='buckets'`` finds the misses with TTL-wide time buckets and
+    pointer doubling (``anchors.expiry_anchors``): no key's rows are
+    gathered in one task, so a key holding a third of all events is spread
+    like any other.  ``method='fold'`` folds each key's sorted array on the
+    JVM (one pass).  ``'auto'`` (default) counts the largest key first and
+    folds only below ``FOLD_MAX_ROWS``.  Output: the input keys, ``tie``
+    (unique per key) and ``cache_hit``."""
     ttl_us = int(ttl_seconds) * 1_000_000
     e = events.select(*keys, F.col(tie).cast("bigint").alias("_id"),
                       F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    method = _choose(e, keys, method)
     if method == "buckets":
         from .anchors import expiry_anchors
         misses = expiry_anchors(e, keys, "_t", "_id", ttl_us).withColumn("_miss", F.lit(True))
         out = e.join(misses, [*keys, "_id"], "left")
         return out.select(*keys, F.col("_id").cast(events.schema[tie].dataType).alias(tie),
                           F.col("_miss").isNull().alias("cache_hit"))
-    if method != "fold":
-        raise ValueError("method must be 'buckets' or 'fold'")
     per_key = e.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col("_t").alias("t"), F.col("_id").alias("id")))).alias("_xs"))
     fired = _anchor_fold(F.col("_xs"), lambda acc, x: acc["last"].isNull() | (x["t"] - acc["last"] >= ttl_us))

@@ -77,15 +77,15 @@ def test_chat_long_conversation(spark):
                                     "<|im_start|>user\nu<|im_end|>\n")
 
 
-@pytest.mark.parametrize("parts", [1, 13])
-def test_cache_ttl_hot_key(spark, parts):
+@pytest.mark.parametrize("parts,method", [(1, "buckets"), (13, "buckets"), (13, "fold"), (5, "auto")])
+def test_cache_ttl_hot_key(spark, parts, method):
     import datetime as dt
     rnd = random.Random(5)
     base = dt.datetime(2024, 1, 1)
     rows = [(i, "HOT" if i % 3 == 0 else f"k{i % 17}", base + dt.timedelta(seconds=rnd.randint(0, 10 * 86400)))
             for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, key string, ts timestamp").repartition(parts)
-    got = {r["id"]: r["cache_hit"] for r in cache_ttl(df, ["key"], "ts", "id").collect()}
+    got = {r["id"]: r["cache_hit"] for r in cache_ttl(df, ["key"], "ts", "id", method=method).collect()}
     by_key = {}
     for i, k, t in rows:
         by_key.setdefault(k, []).append((t, i))
