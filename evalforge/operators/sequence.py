@@ -33,12 +33,24 @@ MIN_LOAD_SAMPLES = 5           # the profile runs only for more than 4 samples
 
 
 def ema(batches: DataFrame, run: str, step: str, x: str, alpha: float = EMA_ALPHA,
-        name: str = "ema") -> DataFrame:
+        name: str = "ema", method: str = "auto") -> DataFrame:
     """``ema = alpha * prev + (1 - alpha) * x`` seeded with the first value.
 
-    One sorted array per run (batch grain), folded by ``aggregate`` into the
-    array of running values, then ``posexplode``d back and re-attached by
-    position: exact, left-to-right, like the reference loop."""
+    ``method='fold'``: one sorted array per run (batch grain), folded by
+    ``aggregate`` into the array of running values, then ``posexplode``d
+    back -- exact, left to right, like the reference loop.
+    ``method='chunked'``: halo windows over chunks of positions
+    (``recurrence.chunked_ema``), equal to the loop to double rounding and
+    never holding a run in one task.  ``'auto'`` folds when the longest run
+    is proven (by a count) to fit ``FOLD_MAX_ROWS``."""
+    if method == "auto":
+        largest = batches.groupBy(run).count().agg(F.max("count")).first()[0] or 0
+        method = "fold" if largest <= FOLD_MAX_ROWS else "chunked"
+    if method == "chunked":
+        from .recurrence import chunked_ema
+        return chunked_ema(batches, run, step, x, alpha, name)
+    if method != "fold":
+        raise ValueError("method must be 'auto', 'fold' or 'chunked'")
     a, b = float(alpha), round(1.0 - float(alpha), 12)   # 0.2, not 0.19999999999999996
     per_run = batches.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"),
                                                                          F.col(x).alias("x")))).alias("_xs"))

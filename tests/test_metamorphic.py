@@ -56,6 +56,8 @@ def test_ema_equals_loop(spark):
         e = x if e is None else 0.8 * e + 0.2 * x
         want.append(e)
     assert got == want
+    chunked = [r["ema"] for r in SQ.ema(df, "run", "step", "x", method="chunked").orderBy("step").collect()]
+    assert chunked == pytest.approx(want, rel=1e-12)
 
 
 def test_cache_ttl_edges(spark):
