@@ -138,7 +138,8 @@ def checkpoint_stats(spark, sf_dir):
 
 def read_checkpoint_stats(spark: SparkSession, root: str) -> DataFrame:
     schema = "step BIGINT, epoch BIGINT, avg_reward DOUBLE, avg_loss DOUBLE, num_samples BIGINT"
-    raw = (spark.read.schema(schema).option("multiLine", "true").json(f"{root}/checkpoint=*/*.json")
+    raw = (spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", "*.json").json(root)
            .withColumn("path", F.col("_metadata.file_path")))
     name = F.regexp_extract(F.col("path"), r"checkpoint=([^/]+)/[^/]*$", 1)
     return raw.select(name.alias("checkpoint"), "step", "epoch",
