@@ -190,3 +190,19 @@ def test_sanitize(spark):
                S.sanitize_reward(F.col("x")).alias("y"))
     assert [r["y"] for r in rows] == [0.0, 0.0, 1.0, 0.0, 0.4]
     assert not math.isnan(rows[0]["y"])
+
+
+def test_split_counts_absent_split(spark):
+    df = spark.createDataFrame([("train",), ("train",), ("evaluation",)], "split string")
+    got = {r["split"]: r["count"] for r in K.split_counts(df).collect()}
+    assert got == {"train": 2, "validation": 0, "evaluation": 1}
+    card = K.dataset_card(K.split_counts(df)).first()
+    assert (card["train_count"], card["val_count"], card["eval_count"]) == (2, 0, 1)
+    assert "- **Validation Set**: 0 examples" in card["card"]
+
+
+def test_hash_split_keeps_duplicates_together(spark):
+    df = spark.createDataFrame([("same prompt|python",)] * 5 + [(f"p{i}|rust",) for i in range(200)], "k string")
+    rows = df.select("k", K.assign_split(F.col("k")).alias("s")).collect()
+    assert len({r["s"] for r in rows if r["k"] == "same prompt|python"}) == 1
+    assert {r["s"] for r in rows} <= {"train", "validation", "evaluation"}
