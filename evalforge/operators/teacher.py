@@ -38,14 +38,22 @@ def attach_teacher(df: DataFrame, refs: DataFrame, keys: Sequence[str] = KEY) ->
     return df.join(refs, list(keys), "left")
 
 
-def cache_misses(df: DataFrame, cache: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Rows whose key is not in the cache (left anti join)."""
-    return df.join(cache.select(*keys), list(keys), "left_anti")
+def _membership(df: DataFrame, cache: DataFrame, keys: Sequence[str], how: str, digest: bool) -> DataFrame:
+    if not digest:
+        return df.join(cache.select(*keys), list(keys), how)
+    k = cache.select(key_digest(keys).alias("_k")).where(F.col("_k").isNotNull())
+    return df.withColumn("_k", key_digest(keys)).join(k, "_k", how).drop("_k")
 
 
-def cache_hits(df: DataFrame, cache: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Rows whose key is in the cache (left semi join)."""
-    return df.join(cache.select(*keys), list(keys), "left_semi")
+def cache_misses(df: DataFrame, cache: DataFrame, keys: Sequence[str] = KEY, digest: bool = True) -> DataFrame:
+    """Rows whose key is not in the cache (left anti join; on the key
+    digest by default, so texts stay out of the exchange)."""
+    return _membership(df, cache, keys, "left_anti", digest)
+
+
+def cache_hits(df: DataFrame, cache: DataFrame, keys: Sequence[str] = KEY, digest: bool = True) -> DataFrame:
+    """Rows whose key is in the cache (left semi join, on the key digest)."""
+    return _membership(df, cache, keys, "left_semi", digest)
 
 
 def key_digest(cols: Sequence[str]) -> Column:
