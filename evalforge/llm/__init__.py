@@ -6,7 +6,8 @@ Nothing else in the library imports this package.
 
 from importlib import import_module
 
-_MODULES = ["exactdup", "langid", "mixing", "neardup", "packing"]
+_MODULES = ["fingerprint", "neardup", "pii", "exactdup", "langid", "licenses", "warc", "packing", "pitmanyor",
+            "mixing"]
 
 for _m in _MODULES:
     import_module(f"{__name__}.{_m}")
