@@ -68,11 +68,15 @@ def range_bucket(col: str, starts: list[int]) -> Column:
         lambda at, s: F.when((at + s < n) & (F.get(arr, at + s) <= v), at + s).otherwise(at))
 
 
-def keep_by_key(docs: DataFrame, kept: DataFrame, key: str = "__row_key") -> DataFrame:
-    """Rows of ``docs`` whose ``row_key`` stands in ``kept[key]``; of fully equal rows one stays.
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that no name of theirs meets one of ours; ``select("row.*")`` undoes it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def keep_by_key(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``row_key`` stands in ``kept``; of fully equal (doc_id, text) rows one stays.
     All columns of ``docs`` come back unchanged, whatever their names."""
-    cols = docs.columns
-    keyed = docs.withColumn(key, row_key())
-    some = keyed.join(kept.select(key).distinct(), key, "left_semi")
-    first = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    return some.withColumn("__row_first", first).where("__row_first = 1").select(*[F.col(f"`{c}`") for c in cols])
+    some = (docs.select(row_key().alias("row_key"), whole_row(docs))
+            .join(kept.select("row_key").distinct(), "row_key", "left_semi"))
+    first = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    return some.select("row", first.alias("n")).where("n = 1").select("row.*")

@@ -178,11 +178,11 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     """Documents without exact repeats: of equal texts the row with the largest doc_id stays."""
     rows = exact_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id", "digest")
     own = docs.select("doc_id", "text").select("doc_id", text_digest(F.col("text")).alias("digest"),
-                                               row_key().alias("__row_key"))
+                                               row_key().alias("row_key"))
     # texts of one digest and one doc_id may differ in case: the least key stays
     kept = (own.join(rows.withColumnRenamed("doc_id", "keep_id"), "digest")
             .where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-            .groupBy("digest").agg(F.min("__row_key").alias("__row_key")))
+            .groupBy("digest").agg(F.min("row_key").alias("row_key")))
     return keep_by_key(docs, kept)
 
 

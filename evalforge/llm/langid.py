@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, whole_row
 from .registry import documents, query
 
 PER_LANG, SNIPPETS, SNIPPET = 384, 2, 80
@@ -248,9 +248,8 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def keep_known_languages(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Documents in a learned language: those predicted ``und`` or under ``min_score`` go."""
     net = fit(docs, crc_mod("doc_id", 5) != 0)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return (docs.select(*cols, language_column(net).alias("__language"))
-            .where(F.expr(f"__language.lang_pred <> 'und' AND __language.score >= {min_score}")).select(*cols))
+    return (docs.select(whole_row(docs), language_column(net).alias("found"))
+            .where(F.expr(f"found.lang_pred <> 'und' AND found.score >= {min_score}")).select("row.*"))
 
 
 @query("op5_language_id")

@@ -18,7 +18,7 @@ ranges of doc_id (about equal rows), ranked inside (source, range), and moved
 on by the counts of the ranges before.
 
 Defined cases: a null source is a source of its own; null doc_ids come first;
-ties are ordered by text; without targets the weights are the square roots of
+equal doc_ids are ordered by a hash of the text; without targets the weights are the square roots of
 the document counts (a hot source is damped); sources missing from the given
 targets share the mean given weight; targets that are not positive are refused;
 an empty table gives an empty result.
@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_bucket, range_starts
+from .common import range_bucket, range_starts, whole_row
 from .registry import documents, query
 
 BLOCK, PERIOD, BUCKETS = 16, 1000, 8
@@ -97,48 +97,45 @@ def _slot(j: Column) -> Column:
 
 def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK,
         period: int = PERIOD) -> DataFrame:
-    """``docs`` with struct ``__mix``: block, slot, place (in the block) and weight; sort by slot, place for the mixed order."""
+    """(row, block, slot, place, weight): ``row`` holds the columns of ``docs``, ``place`` is the place in the block;
+    sort by slot and place for the mixed order."""
     if targets is not None and not all(math.isfinite(w) and w > 0 for w in targets.values()):
         raise ValueError("target weights must be positive")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     starts = range_starts(docs, "doc_id", BUCKETS * n)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    held = docs.select(*cols, F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("__source"),
-                       range_bucket("doc_id", starts).alias("__range"))
-    counts = held.groupBy("__source", "__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__source", "__range", (F.sum("__n").over(
-        Window.partitionBy("__source").orderBy("__range")) - F.col("__n")).alias("__before"))
-    sizes = sorted((r["__source"], r["n"]) for r in counts.groupBy("__source").agg(F.sum("__n").alias("n")).collect())
+    held = docs.select(whole_row(docs), F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("name"),
+                       F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), F.xxhash64("text", F.lit(1)).alias("tie2"),
+                       range_bucket("doc_id", starts).alias("range"))
+    counts = held.groupBy("name", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("name", "range", (F.sum("n").over(
+        Window.partitionBy("name").orderBy("range")) - F.col("n")).alias("before"))
+    sizes = sorted((r["name"], r["n"]) for r in counts.groupBy("name").agg(F.sum("n").alias("n")).collect())
     if targets is None:
         weights = [math.sqrt(n) for _, n in sizes]
     else:
         mean = math.fsum(targets.values()) / max(1, len(targets)) or 1.0
         weights = [targets.get(s[2:], mean) if s != "null" else mean for s, _ in sizes]
-    blocks = [-(-n // block) for _, n in sizes]
     total = math.fsum(weights)
-    rows = [(s, w / total, p) for (s, _), w, p in zip(sizes, weights, schedule(blocks, weights, period))]
-    plan = spark.createDataFrame(rows, "__source string, __weight double, phases array<struct<from_block: long, "
+    phases = schedule([-(-n // block) for _, n in sizes], weights, period)
+    plan = spark.createDataFrame([(s, w / total, p) for (s, _), w, p in zip(sizes, weights, phases)],
+                                 "name string, weight double, phases array<struct<from_block: long, "
                                  "from_slot: long, period: long, place: array<long>>>")
-    inside = Window.partitionBy("__source", "__range").orderBy("doc_id", "text")
-    ranked = (held.withColumn("__rank", F.row_number().over(inside) - 1)
-              .join(before, ["__source", "__range"]).withColumn("__rank", F.col("__rank") + F.col("__before")))
-    at = ranked.join(plan, "__source").withColumn("__block", F.floor(F.col("__rank") / block).cast("long"))
-    return at.select(*cols, F.struct(F.col("__block").alias("block"), _slot(F.col("__block")).cast("long").alias("slot"),
-                                     (F.col("__rank") % block).cast("long").alias("place"),
-                                     F.col("__weight").alias("weight")).alias("__mix"))
+    inside = Window.partitionBy("name", "range").orderBy("id", "tie", "tie2")
+    ranked = (held.withColumn("inside", F.row_number().over(inside) - 1).join(before, ["name", "range"])
+              .withColumn("rank", F.col("inside") + F.col("before")))
+    at = ranked.join(plan, "name").withColumn("block", F.floor(F.col("rank") / block).cast("long"))
+    return at.select("row", "block", _slot(F.col("block")).cast("long").alias("slot"),
+                     (F.col("rank") % block).cast("long").alias("place"), "weight")
 
 
 def mixed_order(docs: DataFrame, targets: Mapping[str, float] | None = None) -> DataFrame:
     """All documents in mixed order, as a range-partitioned sort: files and rows written from it follow the schedule."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    mixed = mix(docs, targets)
-    return (mixed.repartitionByRange(n, "__mix.slot", "__mix.place").sortWithinPartitions("__mix.slot", "__mix.place")
-            .select(*cols))
+    return (mix(docs, targets).repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place")
+            .select("row.*"))
 
 
 @query("op10_mix_sources")
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", F.xxhash64("text").alias("text"))
-    return mix(docs).select("doc_id", "source", "__mix.weight", "__mix.block", "__mix.slot", "__mix.place")
+    return mix(documents(spark, sf_dir)).select("row.doc_id", "row.source", "weight", "block", "slot", "place")

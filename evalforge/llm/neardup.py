@@ -202,7 +202,7 @@ def drop_near(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     (of several rows with that doc_id the least row key, which no two different texts share)."""
     found = near_duplicates(docs.select("doc_id", "text"), size, bits)
     kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("label").agg(F.min("row_key").alias("__row_key")))
+            .groupBy("label").agg(F.min("row_key").alias("row_key")))
     return keep_by_key(docs, kept)
 
 
