@@ -6,8 +6,8 @@ The reference tries a cascade of Python regexes; each step here is a
 The language-specific fence pattern is built per row in SQL; Spark keeps
 the last compiled pattern per task, so rows of one language reuse it.
 
-Python's ``str.strip`` is spelled as a Unicode-whitespace regex; Spark's
-``trim`` only removes spaces.
+White space is spelled out as the characters of Python's ``\\s`` (Java's is
+ASCII); Spark's ``trim`` only removes spaces.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unicode import SPACE, WORD, spelled
+
 # Fixed values (must equal the reference's): reasoning markers, in order.
 THINKING_MARKERS = (
     r"Now write the code:?\s*\n",
@@ -25,8 +27,7 @@ THINKING_MARKERS = (
 )
 FENCE = "```"
 
-_WS_STRIP = r"(?U)^\s+|\s+\z"
-_WORDCH = r"[\p{L}\p{N}_]"
+_WS_STRIP = rf"^{SPACE}+|{SPACE}+\z"
 
 
 def py_strip(s: Column) -> Column:
@@ -49,10 +50,10 @@ def extract_code_from_reasoning(text: Column, language: Column) -> Column:
     (f) the stripped text.  (a)/(b) may return ''; (c)-(e) need non-empty.
     An empty or NULL text is returned as is."""
     esc = _escaped_language(language)
-    pat_a = F.concat(F.lit("(?s)```"), esc, F.lit(r"?\s*\n(.*?)```"))
-    pat_b = F.lit(r"(?s)```\s*\n(.*?)```")
-    pat_c = F.concat(F.lit("(?s)```"), esc, F.lit(r"?\s*\n(.*)"))
-    pat_d = F.lit(r"(?s)```\s*\n(.*)")
+    pat_a = F.concat(F.lit("(?s)```"), esc, F.lit(rf"?{SPACE}*\n(.*?)```"))
+    pat_b = F.lit(rf"(?s)```{SPACE}*\n(.*?)```")
+    pat_c = F.concat(F.lit("(?s)```"), esc, F.lit(rf"?{SPACE}*\n(.*)"))
+    pat_d = F.lit(rf"(?s)```{SPACE}*\n(.*)")
 
     def like(p):
         return F.call_function("regexp_like", text, p)
@@ -60,7 +61,7 @@ def extract_code_from_reasoning(text: Column, language: Column) -> Column:
     def grab(p):
         return F.call_function("regexp_extract", text, p, F.lit(1))
 
-    trailing_fence = r"(?md)```\s*$"
+    trailing_fence = rf"(?md)```{SPACE}*$"
     c_code = F.regexp_replace(py_strip(grab(pat_c)), trailing_fence, "")
     d_code = F.regexp_replace(py_strip(grab(pat_d)), trailing_fence, "")
 
@@ -69,17 +70,17 @@ def extract_code_from_reasoning(text: Column, language: Column) -> Column:
            .when(like(pat_b), py_strip(grab(pat_b)))
            .when(like(pat_c) & (c_code != ""), c_code)
            .when(like(pat_d) & (d_code != ""), d_code))
-    for m in THINKING_MARKERS:
+    for m in map(spelled, THINKING_MARKERS):
         first = F.regexp_extract(text, f"(?is){m}(.*)", 1)
         rest = F.regexp_replace(first, f"(?i){m}", "\n")
         code = py_strip(rest)
-        code = F.regexp_replace(code, r"(?md)^```" + _WORDCH + r"*\s*\n", "")
-        code = F.regexp_replace(code, r"(?md)\n```\s*$", "")
+        code = F.regexp_replace(code, rf"(?md)^```{WORD}*{SPACE}*\n", "")
+        code = F.regexp_replace(code, rf"(?md)\n```{SPACE}*$", "")
         out = out.when(text.rlike(f"(?i){m}") & (code != ""), code)
     return out.otherwise(py_strip(text))
 
 
-FIRST_BLOCK_PATTERN = r"(?s)^(.*?```\s*(" + _WORDCH + r"+)?\s*\n.*?\n\s*```)"
+FIRST_BLOCK_PATTERN = spelled(r"(?s)^(.*?```\s*(\w+)?\s*\n.*?\n\s*```)")
 
 
 def first_fenced_block(text: Column) -> Column:
@@ -90,17 +91,22 @@ def first_fenced_block(text: Column) -> Column:
                   py_strip(F.regexp_extract(text, FIRST_BLOCK_PATTERN, 1)))
 
 
+def _tail(s: Column, start: Column) -> Column:
+    """Everything from the 1-based place on."""
+    return F.substring(s, start, F.length(s))
+
+
 def strip_prompt_prefix(output: Column, prompt: Column) -> Column:
     """if the output starts with the prompt: the rest, stripped; else unchanged."""
     return F.when(F.startswith(output, prompt),
-                  py_strip(F.substring(output, F.length(prompt) + 1, 1 << 30))).otherwise(output)
+                  py_strip(_tail(output, F.length(prompt) + 1))).otherwise(output)
 
 
 def strip_prompt_contained(output: Column, prompt: Column, strip_unmatched: bool = True) -> Column:
     """text after the first occurrence of the prompt, stripped; otherwise
     the whole output stripped (``strip_unmatched=False``: left as is)."""
     pos = F.instr(output, prompt)
-    after = F.substring(output, pos + F.length(prompt), 1 << 30)
+    after = _tail(output, pos + F.length(prompt))
     other = py_strip(output) if strip_unmatched else output
     return F.when(pos > 0, py_strip(after)).otherwise(other)
 

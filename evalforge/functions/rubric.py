@@ -18,6 +18,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unicode import SPACE
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's (lists in their order).
 CORRECTNESS_WORDS = (
@@ -57,7 +59,7 @@ _NONWORD = r"[^\p{L}\p{N}_]"
 
 
 def portable_regex(py_pattern: str) -> str:
-    """Rewrite Python's ``\\b`` and ``\\d`` into explicit Unicode classes
+    """Rewrite Python's ``\\b``, ``\\d`` and ``\\s`` into explicit Unicode classes
     understood identically by Java (Spark) and RE2 (DuckDB).  A ``\\b``
     before a word character becomes ``(^|nonword)``, after one ``($|nonword)``;
     the patterns here only use ``\\b`` at word edges, which makes this exact
@@ -75,6 +77,9 @@ def portable_regex(py_pattern: str) -> str:
         elif s.startswith(r"\d", i):
             out.append(r"\p{Nd}")
             i += 2
+        elif s.startswith(r"\s", i):
+            out.append(SPACE)
+            i += 2
         else:
             out.append(s[i])
             i += 1

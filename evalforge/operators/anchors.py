@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .keys import null_safe_join
 
 
 def expiry_anchors(events: DataFrame, keys: Sequence[str], t: str, tie: str, ttl: int) -> DataFrame:
@@ -73,27 +74,27 @@ def expiry_anchors(events: DataFrame, keys: Sequence[str], t: str, tie: str, ttl
 
     # successor function g and the chain starts (first event of each key)
     g = (e.select(*keys, "_id", "_b")
-         .join(nxt, [*keys, "_id"], "left")
-         .join(later, [*keys, "_b"], "left")
+         .transform(lambda d: null_safe_join(d, nxt, [*keys, "_id"], "left"))
+         .transform(lambda d: null_safe_join(d, later, [*keys, "_b"], "left"))
          .select(*keys, "_id", F.coalesce("_next", "_later").alias("_nid")))
     starts = e.groupBy(*keys).agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id"))
     # only a chain start or a successor can ever be an anchor: restrict the
     # jump table to those nodes
     nodes = starts.unionByName(g.select(*keys, F.col("_nid").alias("_id")).where(F.col("_id").isNotNull()))
-    jump = cut_lineage(g.where(F.col("_nid").isNotNull()).join(nodes.distinct(), [*keys, "_id"], "left_semi"))
+    jump = cut_lineage(null_safe_join(g.where(F.col("_nid").isNotNull()), nodes.distinct(), [*keys, "_id"], "left_semi"))
     marked = cut_lineage(starts)
     size = marked.count()
     while True:
         # add positions [2^r, 2^(r+1)) of every chain: new nodes only (times
         # strictly increase along a chain, so nothing repeats)
         grown = cut_lineage(marked.unionByName(
-            marked.join(jump, [*keys, "_id"]).select(*keys, F.col("_nid").alias("_id"))))
+            null_safe_join(marked, jump, [*keys, "_id"]).select(*keys, F.col("_nid").alias("_id"))))
         new_size = grown.count()
         if new_size == size:
             break
         marked, size = grown, new_size
         a, b = jump.alias("a"), jump.alias("b")
-        cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._nid") == F.col("b._id")]
+        cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a._nid") == F.col("b._id")]
         jump = cut_lineage(a.join(b, cond).select(*[F.col(f"a.{k}") for k in keys], F.col("a._id"),
                                                   F.col("b._nid").alias("_nid")))
     return marked.select(*keys, F.col("_id").alias(tie))

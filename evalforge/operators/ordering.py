@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import null_safe_join
+
 
 def global_position(df: DataFrame, order: Sequence[Column], num_partitions: int | None = None,
                     name: str = "position") -> DataFrame:
@@ -56,7 +58,7 @@ def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], nam
     ordered = [F.col(g).asc() for g in group] + list(order)
     pos = global_position(df, ordered, num_partitions, name="_gpos")
     starts = pos.groupBy(*group).agg(F.min("_gpos").alias("_gstart"), F.count(F.lit(1)).alias(f"{name}_count"))
-    return (pos.join(starts, list(group))
+    return (null_safe_join(pos, starts, group)
             .withColumn(name, F.col("_gpos") - F.col("_gstart") + 1)
             .drop("_gpos", "_gstart"))
 

@@ -1,45 +1,73 @@
-"""Exponential moving average over very long runs without one task per run.
-
-``ema_i = alpha * ema_(i-1) + (1 - alpha) * x_i`` (seeded with ``x_1``)
-forgets geometrically: a value ``K`` steps back weighs ``alpha^K`` (for
-alpha = 0.8 and K = 200, about 4e-20, below double precision relative to the
-recent terms).  So every output depends only on the last ``K + 1`` inputs of
-its run, and the run can be cut into chunks of ``C`` positions that are
-processed independently once each chunk also receives the ``K`` rows before
-it (a halo).  Positions come from ``ordering.group_rank`` (range-partitioned,
-skew-safe); the per-chunk windows hold at most ``C + K`` rows.  Results agree
-with the sequential loop to double rounding (not bit for bit).
+"""Exponential moving averages of runs of any length, exact and without one task per run.
+
+``ema_i = alpha * ema_(i-1) + (1 - alpha) * x_i`` applies the affine map
+``v -> alpha * v + (1 - alpha) * x_i``; the first value of a run is the map
+``v -> x_1``.  Affine maps compose, so the recurrence is a scan:
+
+1. rows get their position in the run (``ordering.group_rank``: a range
+   partition, no window over a run) and are cut into chunks of ``CHUNK``;
+2. a chunk folds its maps into running compositions (an array of at most
+   CHUNK entries) and hands its total to the next level, where the chunks of a
+   run are rows themselves, cut into chunks again;
+3. after ``LEVELS`` cuts a run of CHUNK ** (LEVELS + 1) rows is one array of at
+   most CHUNK totals; the carried values go down again by one join a level.
+
+Every history counts in full, whatever ``alpha`` is; the result differs from
+the loop only in the rounding of the composed products.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import null_safe_join
 from .ordering import group_rank
 
-HALO = 200          # alpha^HALO is negligible for alpha <= 0.8
-CHUNK = 50_000      # positions per chunk (plus the halo)
+CHUNK = 256
+LEVELS = 3          # 256 ** 4 = 4.3e9 rows a run before the top array exceeds a chunk
+
+
+def _running(maps: Column) -> Column:
+    """Array of structs (i, a, b, ...) with (a, b) replaced by the composition of all maps up to each."""
+    first = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    start = F.array().cast("array<struct<a: double, b: double>>")
+
+    def add(acc: Column, e: Column) -> Column:
+        last = F.coalesce(F.get(acc, F.size(acc) - 1), first)
+        return F.concat(acc, F.array(F.struct((e["a"] * last["a"]).alias("a"),
+                                              (e["a"] * last["b"] + e["b"]).alias("b"))))
+    return F.aggregate(maps, start, add)
+
+
+def _scan(rows: DataFrame, run: str, levels: int) -> DataFrame:
+    """(run, _i, _v): value after each map of ``rows`` (run, _i from 0, _a, _b), started at 0."""
+    part = F.floor(F.col("_i") / CHUNK).cast("long") if levels else F.lit(0).cast("long")
+    chunks = (rows.withColumn("_g", part).groupBy(run, "_g")
+              .agg(F.array_sort(F.collect_list(F.struct("_i", F.col("_a").alias("a"), F.col("_b").alias("b")))).alias("_m"))
+              .withColumn("_p", _running(F.col("_m"))))
+    if levels:
+        last = F.element_at("_p", -1)
+        totals = chunks.select(run, F.col("_g").alias("_i"), last["a"].alias("_a"), last["b"].alias("_b"))
+        carried = _scan(totals, run, levels - 1).select(run, (F.col("_i") + 1).alias("_g"), F.col("_v").alias("_carry"))
+        chunks = null_safe_join(chunks, carried, [run, "_g"], "left")
+    else:
+        chunks = chunks.withColumn("_carry", F.lit(0.0))
+    return (chunks.select(run, F.coalesce("_carry", F.lit(0.0)).alias("_carry"),
+                          F.explode(F.arrays_zip("_m", "_p")).alias("_e"))
+            .select(run, F.col("_e._m._i").alias("_i"), (F.col("_e._p.a") * F.col("_carry") + F.col("_e._p.b")).alias("_v")))
 
 
-def chunked_ema(batches: DataFrame, run: str, step: str, x: str, alpha: float, name: str = "ema",
-                halo: int = HALO, chunk: int = CHUNK) -> DataFrame:
+def scan_ema(batches: DataFrame, run: str, step: str, x: str, alpha: float, name: str = "ema") -> DataFrame:
+    """(run, step, x, name).  A row without a value has no average and leaves the others' alone; a NULL
+    run is a run of its own."""
     a, b = float(alpha), round(1.0 - float(alpha), 12)
-    ranked = group_rank(batches.select(run, step, x), [run], [F.col(step).asc()], name="_i")
-    c = F.floor((F.col("_i") - 1) / chunk)
-    # each row belongs to its own chunk, and to the next chunk's halo when it
-    # is among the last `halo` positions of its chunk
-    in_halo = (F.col("_i") - 1) % chunk >= chunk - halo
-    tagged = ranked.withColumn("_c", F.explode(
-        F.when(in_halo, F.array(c, c + 1)).otherwise(F.array(c))))
-    w = (Window.partitionBy(run, "_c").orderBy("_i")
-         .rowsBetween(-halo, Window.currentRow))
-    hist = F.collect_list(F.struct(F.col("_i").alias("i"), F.col(x).cast("double").alias("x"))).over(w)
-    # fold the window: seeded with the run's first value when the window
-    # reaches position 1, otherwise with the oldest value in the window
-    # (its weight is negligible by the choice of halo)
-    folded = F.aggregate(hist, F.lit(None).cast("double"),
-                         lambda acc, e: F.when(acc.isNull(), e["x"]).otherwise(F.lit(a) * acc + F.lit(b) * e["x"]))
-    out = tagged.withColumn(name, folded)
-    owned = F.floor((F.col("_i") - 1) / chunk) == F.col("_c")       # keep each row once, in its own chunk
-    return out.where(owned).select(run, step, x, name)
+    rows = batches.select(run, step, x)
+    ranked = group_rank(rows.where(F.col(x).isNotNull()), [run], [F.col(step).asc()], name="_r") \
+        .select(run, step, x, (F.col("_r") - 1).cast("long").alias("_i"))
+    v, first = F.col(x).cast("double"), F.col("_i") == 0
+    maps = ranked.select(run, "_i", F.when(first, F.lit(0.0)).otherwise(F.lit(a)).alias("_a"),
+                         F.when(first, v).otherwise(F.lit(b) * v).alias("_b"))
+    out = null_safe_join(ranked, _scan(maps, run, LEVELS), [run, "_i"])
+    return out.select(run, step, x, F.col("_v").alias(name)).unionByName(
+        rows.where(F.col(x).isNull()).withColumn(name, F.lit(None).cast("double")))

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import null_safe_join
+
 # Fixed values (documented defaults of the reference's configuration).
 BASELINE_BATCHES = 15          # baseline = mean reward of the first 15 batches
 EMA_ALPHA = 0.8                # ema = alpha * prev + (1 - alpha) * x
@@ -74,7 +76,7 @@ def reward_gains(batches: DataFrame, run: str, step: str = "step", reward: str =
     sides are at batch grain, Catalyst picks the join strategy from sizes."""
     base = baseline_reward(batches, run, step, reward, n)
     w = Window.partitionBy(run).orderBy(step)
-    return (batches.join(base, run)
+    return (null_safe_join(batches, base, [run])
             .withColumn("gain_vs_prev_batch", F.col(reward) - F.lag(reward).over(w))
             .withColumn("gain_from_baseline", F.col(reward) - F.col("baseline_reward")))
 
@@ -125,7 +127,7 @@ def perf_summary(samples: DataFrame, keys: Sequence[str], tok_s: str, tokens: st
     else:
         from .ordering import exact_percentile
         p99 = exact_percentile(samples, keys, tok_s, 0.99, name="p99_tok_s")
-    return base.join(p99, list(keys), "left").select(*keys, "avg_tok_s", "p99_tok_s", "num_samples",
+    return null_safe_join(base, p99, keys, "left").select(*keys, "avg_tok_s", "p99_tok_s", "num_samples",
                                                      "total_tokens")
 
 
@@ -147,8 +149,9 @@ def cache_hit_rate(samples: DataFrame, keys: Sequence[str], hit: Column) -> Data
 
 def diversity(samples: DataFrame, keys: Sequence[str], output: str, exact: bool = True) -> DataFrame:
     """Unique outputs / outputs and duplicates filtered.  Exact distinct
-    counts shuffle on (key, output); ``exact=False`` uses HyperLogLog."""
-    uniq = F.count_distinct(output) if exact else F.approx_count_distinct(output)
+    counts shuffle (key, SHA-256 of the output), never the texts; ``exact=False``
+    uses HyperLogLog."""
+    uniq = F.count_distinct(F.unhex(F.sha2(output, 256))) if exact else F.approx_count_distinct(output)
     return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("outputs"), uniq.alias("unique_outputs")) \
         .withColumn("unique_ratio", F.try_divide(F.col("unique_outputs").cast("double"),
                                                  F.col("outputs").cast("double"))) \

@@ -3,13 +3,10 @@ clean-up cooldown, score-cache expiry and load-phase profiles.
 
 * Closed forms where the recurrence allows one (W11: the KL coefficient is
   ``c0 * exp(gain * running sum)``, a plain window sum).
-* JVM ``aggregate`` folds over one run's *batch* rows (W4), whose length is
-  bounded by the run's batch count.
-* Greedy anchor recurrences (W14, W16) cannot be written as a window; they
-  run as a JVM fold over each key's sorted array that only records the
-  anchors.  Each key's rows must fit in one task; the streaming form
-  (``streaming.live``) keeps O(1) state per key and is the route for keys of
-  unbounded length.
+* A scan of composed affine maps for W4 (``recurrence``).
+* Greedy anchors for W14 and W16 by time buckets and pointer doubling
+  (``anchors``).
+One path each, whatever the size of a run or key.
 """
 
 from __future__ import annotations
@@ -19,49 +16,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .anchors import expiry_anchors
+from .keys import null_safe_join
+from .recurrence import scan_ema
 from .runlog import (EMA_ALPHA, GC_COOLDOWN_BATCHES, HEALTH_CACHE_GB, HEALTH_FRAGMENTATION_GB,
                      HEALTH_GEN_BOTTLENECK_PCT, HEALTH_GEN_TARGET_TPS, HEALTH_GRACE_BATCHES,
                      HEALTH_GROWTH_GB, HEALTH_INTERVAL_BATCHES, KL_GAIN, KL_START, KL_TARGET)
 
 CACHE_TTL_SECONDS = 14400      # teacher score cache expiry (fixed value)
-# A key's rows are gathered into one array only when the largest key is
-# proven (by a count) to hold at most this many rows; above it the
-# bucketed pointer-doubling form runs instead.
-FOLD_MAX_ROWS = 200_000
 SLOW_LAST_PHASE_FACTOR = 1.2   # last phase slower than 1.2 x mean of the first three
 MIN_LOAD_SAMPLES = 5           # the profile runs only for more than 4 samples
 
 
 def ema(batches: DataFrame, run: str, step: str, x: str, alpha: float = EMA_ALPHA,
-        name: str = "ema", method: str = "auto") -> DataFrame:
-    """``ema = alpha * prev + (1 - alpha) * x`` seeded with the first value.
-
-    ``method='fold'``: one sorted array per run (batch grain), folded by
-    ``aggregate`` into the array of running values, then ``posexplode``d
-    back -- exact, left to right, like the reference loop.
-    ``method='chunked'``: halo windows over chunks of positions
-    (``recurrence.chunked_ema``), equal to the loop to double rounding and
-    never holding a run in one task.  ``'auto'`` folds when the longest run
-    is proven (by a count) to fit ``FOLD_MAX_ROWS``."""
-    if method == "auto":
-        largest = batches.groupBy(run).count().agg(F.max("count")).first()[0] or 0
-        method = "fold" if largest <= FOLD_MAX_ROWS else "chunked"
-    if method == "chunked":
-        from .recurrence import chunked_ema
-        return chunked_ema(batches, run, step, x, alpha, name)
-    if method != "fold":
-        raise ValueError("method must be 'auto', 'fold' or 'chunked'")
-    a, b = float(alpha), round(1.0 - float(alpha), 12)   # 0.2, not 0.19999999999999996
-    per_run = batches.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"),
-                                                                         F.col(x).alias("x")))).alias("_xs"))
-    folded = per_run.select(run, "_xs", F.aggregate(
-        "_xs", F.array().cast("array<double>"),
-        lambda acc, e: F.concat(acc, F.array(F.when(F.size(acc) == 0, e["x"].cast("double"))
-                                             .otherwise(F.lit(a) * F.element_at(acc, -1) + F.lit(b) * e["x"])))
-    ).alias("_ema"))
-    return folded.select(run, F.posexplode("_xs").alias("_i", "_e"), "_ema") \
-        .select(run, F.col("_e.s").alias(step), F.col("_e.x").alias(x),
-                F.element_at("_ema", F.col("_i") + 1).alias(name))
+        name: str = "ema") -> DataFrame:
+    """``ema = alpha * prev + (1 - alpha) * x`` seeded with the first value, as a scan of
+    composed maps (``recurrence.scan_ema``) for runs of any length."""
+    return scan_ema(batches, run, step, x, alpha, name)
 
 
 def adaptive_kl(batches: DataFrame, run: str, step: str, observed: str, c0: float = KL_START,
@@ -97,83 +68,38 @@ def health_check(batches: DataFrame, run: str, step: str, gen_share_pct: str, ge
             .withColumn("status", F.when(F.size("issues") == 0, F.lit("OK")).otherwise(F.lit("WARN"))))
 
 
-def _choose(df: DataFrame, keys: Sequence[str], method: str) -> str:
-    if method in ("buckets", "fold"):
-        return method
-    if method != "auto":
-        raise ValueError("method must be 'auto', 'buckets' or 'fold'")
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return "fold" if largest <= FOLD_MAX_ROWS else "buckets"
-
-
-def _anchor_fold(xs: Column, fire) -> Column:
-    """Greedy anchors over a sorted array of structs: ``fire(acc, e)`` says
-    whether element ``e`` becomes a new anchor given the last one; the fold
-    keeps the last anchor and the list of anchor ids (it only grows on an
-    anchor, so its copies stay proportional to the number of anchors)."""
-    init = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    return F.aggregate(xs, init, lambda acc, e: F.when(
-        fire(acc, e), F.named_struct(F.lit("last"), e["t"], F.lit("ids"), F.concat(acc["ids"], F.array(e["id"]))))
-        .otherwise(acc))
-
-
 def gc_cooldown(batches: DataFrame, run: str, step: str, fragmentation_gb: str,
-                threshold: float = HEALTH_FRAGMENTATION_GB, cooldown: int = GC_COOLDOWN_BATCHES,
-                method: str = "auto") -> DataFrame:
+                threshold: float = HEALTH_FRAGMENTATION_GB, cooldown: int = GC_COOLDOWN_BATCHES) -> DataFrame:
     """Trigger a clean-up when fragmentation exceeds the threshold, at
     most once per ``cooldown`` batches since the last trigger.
 
     The triggers are the greedy anchors of the batches that want a clean-up,
-    with the cooldown as the expiry: ``method='buckets'`` finds them without
-    gathering a run (``anchors.expiry_anchors``); ``method='fold'`` folds
-    one run's sorted array of batches on the JVM; ``'auto'`` folds only
-    when the longest run is proven to fit ``FOLD_MAX_ROWS``."""
-    b = batches.select(run, step, (F.col(fragmentation_gb) > F.lit(float(threshold))).alias("wants_gc"))
-    b = b.withColumn("wants_gc", F.coalesce(F.col("wants_gc"), F.lit(False)))
-    method = _choose(b, [run], method)
-    if method == "buckets":
-        from .anchors import expiry_anchors
-        wanting = b.where("wants_gc").select(run, F.col(step).cast("bigint").alias("_s"))
-        fired = expiry_anchors(wanting, [run], "_s", "_s", int(cooldown)).withColumn("_fired", F.lit(True))
-        out = b.withColumn("_s", F.col(step).cast("bigint")).join(fired, [run, "_s"], "left")
-        return out.select(run, step, "wants_gc", F.col("_fired").isNotNull().alias("triggered"))
-    per_run = b.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(step).cast("bigint").alias("t"), F.col(step).cast("bigint").alias("id"),
-        F.col("wants_gc").alias("w")))).alias("_xs"))
-    fired = _anchor_fold(F.col("_xs"), lambda acc, e: e["w"] & (acc["last"].isNull()
-                                                              | (e["t"] - acc["last"] >= cooldown)))
-    out = per_run.select(run, F.explode("_xs").alias("_e"), fired["ids"].alias("_ids"))
-    return out.select(run, F.col("_e.t").cast(b.schema[step].dataType).alias(step), F.col("_e.w").alias("wants_gc"),
-                      F.array_contains("_ids", F.col("_e.id")).alias("triggered"))
+    with the cooldown as the expiry (``anchors.expiry_anchors``): no run is
+    gathered.  An unknown fragmentation wants none; a NULL run is a run."""
+    wants = F.coalesce(F.col(fragmentation_gb) > F.lit(float(threshold)), F.lit(False))
+    b = batches.select(run, step, wants.alias("wants_gc"))
+    wanting = b.where("wants_gc").select(run, F.col(step).cast("bigint").alias("_s"))
+    fired = expiry_anchors(wanting, [run], "_s", "_s", int(cooldown)).withColumn("_fired", F.lit(True))
+    out = null_safe_join(b.withColumn("_s", F.col(step).cast("bigint")), fired, [run, "_s"], "left")
+    return out.select(run, step, "wants_gc", F.col("_fired").isNotNull().alias("triggered"))
 
 
 def cache_ttl(events: DataFrame, keys: Sequence[str], ts: str, tie: str,
-              ttl_seconds: int = CACHE_TTL_SECONDS, method: str = "auto") -> DataFrame:
+              ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     """W16 (decision: hits do not refresh the stamp; age == TTL is a miss).
 
-    ``method='buckets'`` finds the misses with TTL-wide time buckets and
-    pointer doubling (``anchors.expiry_anchors``): no key's rows are
-    gathered in one task, so a key holding a third of all events is spread
-    like any other.  ``method='fold'`` folds each key's sorted array on the
-    JVM (one pass).  ``'auto'`` (default) counts the largest key first and
-    folds only below ``FOLD_MAX_ROWS``.  Output: the input keys, ``tie``
-    (unique per key) and ``cache_hit``."""
+    The misses are found with TTL-wide time buckets and pointer doubling
+    (``anchors.expiry_anchors``): no key's rows are gathered in one task, so a
+    key holding a third of all events is spread like any other.  An event
+    without a time is a miss that stamps nothing.  Output: the input keys
+    (NULL keys are keys), ``tie`` (unique per key) and ``cache_hit``."""
     ttl_us = int(ttl_seconds) * 1_000_000
     e = events.select(*keys, F.col(tie).cast("bigint").alias("_id"),
                       F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
-    method = _choose(e, keys, method)
-    if method == "buckets":
-        from .anchors import expiry_anchors
-        misses = expiry_anchors(e, keys, "_t", "_id", ttl_us).withColumn("_miss", F.lit(True))
-        out = e.join(misses, [*keys, "_id"], "left")
-        return out.select(*keys, F.col("_id").cast(events.schema[tie].dataType).alias(tie),
-                          F.col("_miss").isNull().alias("cache_hit"))
-    per_key = e.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("_t").alias("t"), F.col("_id").alias("id")))).alias("_xs"))
-    fired = _anchor_fold(F.col("_xs"), lambda acc, x: acc["last"].isNull() | (x["t"] - acc["last"] >= ttl_us))
-    out = per_key.select(*keys, F.explode("_xs").alias("_e"), fired["ids"].alias("_ids"))
-    return out.select(*keys, F.col("_e.id").cast(events.schema[tie].dataType).alias(tie),
-                      (~F.array_contains("_ids", F.col("_e.id"))).alias("cache_hit"))
+    misses = expiry_anchors(e.where(F.col("_t").isNotNull()), keys, "_t", "_id", ttl_us).withColumn("_miss", F.lit(True))
+    out = null_safe_join(e, misses, [*keys, "_id"], "left")
+    return out.select(*keys, F.col("_id").cast(events.schema[tie].dataType).alias(tie),
+                      (F.col("_miss").isNull() & F.col("_t").isNotNull()).alias("cache_hit"))
 
 
 def ddl(df: DataFrame, cols: Sequence[str]) -> str:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import extract_code_from_reasoning
 from ..functions.rubric import difficulty_columns, eval_prompt
-from ..operators.plugins import (StubGenerator, apply_reward, generate_batch, python_scorer, repetition_cut,
-                                 score_column, token_length)
+from ..functions.repetition import first_code_block, repetition_cut
+from ..functions.unicode import SPACE
+from ..operators.plugins import StubGenerator, apply_reward, generate_batch, python_scorer, score_column, token_length
 from .corpus import LANG_MAP_SQL, prompt_language
 from .registry import query, r6
 from .scoring import h_sql
 from .sqlgen import difficulty_sql
 from .tables import table
+from .text import first_block_sql
 
 GEN_TEXT_SQL = ("'```' || language || chr(10) || 'def solve():' || chr(10) || '    return ' || CAST(length(text) AS VARCHAR)"
                 " || chr(10) || '```' || chr(10) || replace(text, 'a', '4')")
@@ -86,27 +88,80 @@ def token_length_q(spark, sf_dir):
     return out.select("doc_id", r6("token_len"), r6("index"))
 
 
-@query("repetition_cut", sql=None)
-def repetition_cut_q(spark, sf_dir):
-    """F24 (rows-only; brute-force checked in tests): conversation messages
-    rendered as unfenced code where a class signature recurs after its
-    body, then cut at the repetition."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    body = F.transform(F.split(F.col("text"), " "), lambda w: F.concat(F.lit("  int "), w, F.lit(";")))
-    code = F.concat_ws("\n", F.lit("class Widget {"), body, F.lit("};"), F.lit("class Widget {"),
-                       F.lit("  int again;"), F.lit("};"))
-    cut = repetition_cut(code)
-    return c.select("conv_id", "turn", F.size(F.split(code, "\n")).alias("lines_in"),
-                    F.size(F.split(cut, "\n")).alias("lines_out"), F.md5(cut).alias("cut_md5"))
+# Conversation messages rendered as unfenced code, one rule of F24 each by turn: a class that
+# comes again, a fence followed by a known name, a burst of definitions past line 200.
+_CODE_SQL = """
+code AS (
+  SELECT conv_id, turn, CASE turn % 3
+    WHEN 0 THEN 'class Widget {' || nl || body || nl || '};' || nl || 'class Widget {' || nl || '  int again;' || nl || '};'
+    WHEN 1 THEN 'struct Gadget {' || nl || body || nl || '```' || nl || 'and' || nl || 'Gadget' || nl || 'again' || nl || 'void f(int a)'
+    ELSE 'T first(' || nl || body || nl || body || nl || body || nl || '```x' || nl || 'class A {' || nl || 'struct B {' || nl
+         || 'class C {' || nl || '}' || nl || '}' || nl || 'T first(x)' END AS t
+  FROM (SELECT conv_id, turn, chr(10) AS nl,
+               array_to_string(list_transform(string_split(text, ' '), w -> '  int ' || w || ';'), chr(10)) AS body
+        FROM conversations))"""
 
 
-@query("first_code_block", sql=None)
-def first_code_block_q(spark, sf_dir):
-    """F23 complete (rows-only; brute-force checked in tests): the first
-    fenced block when the message has one (JVM regex), otherwise the
-    repetition cut over the unfenced text (pandas UDF)."""
-    from ..operators.plugins import first_code_block
+def _code(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Intro\n```python\n"), "text", F.lit("\n```\ntail"))) \
-        .otherwise(F.col("text"))
+    body = F.array_join(F.transform(F.split(F.col("text"), " "), lambda w: F.concat(F.lit("  int "), w, F.lit(";"))), "\n")
+    k, line = F.col("turn") % 3, lambda *xs: F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in xs])
+    t = (F.when(k == 0, line("class Widget {", body, "};", "class Widget {", "  int again;", "};"))
+         .when(k == 1, line("struct Gadget {", body, "```", "and", "Gadget", "again", "void f(int a)"))
+         .otherwise(line("T first(", body, body, body, "```x", "class A {", "struct B {", "class C {", "}", "}", "T first(x)")))
+    return c.select("conv_id", "turn", t.alias("t"))
+
+
+def _cut_sql(source: str) -> str:
+    """F24 by line rows: ``cut`` (conv_id, turn, t, kept) for the rows of ``source``."""
+    strip = lambda x: f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+    name = f"'(?:class|struct|template){SPACE}+([\\pL\\pN_]+)'"
+    return f"""
+ls AS (SELECT conv_id, turn, t, string_split(t, chr(10)) AS a FROM {source}),
+ln AS (SELECT conv_id, turn, len(a) AS n, a, unnest(range(len(a))) AS i FROM ls),
+st AS (SELECT *, {strip('a[i + 1]')} AS s FROM ln),
+sg AS (
+  SELECT *, CASE WHEN contains(s, 'template') OR contains(s, 'class ') OR contains(s, 'struct ')
+                 THEN CASE WHEN regexp_matches(s, {name}) THEN regexp_extract(s, {name}, 1) END
+                 WHEN starts_with(s, 'int main') OR starts_with(s, 'void ') OR starts_with(s, 'bool ') OR starts_with(s, 'T ')
+                 THEN string_split(s, '(')[1] END AS sig
+  FROM st),
+names AS (SELECT conv_id, turn, sig, min(i) AS born FROM sg WHERE sig IS NOT NULL GROUP BY ALL),
+hits AS (
+  SELECT sg.conv_id, sg.turn, i FROM sg JOIN names USING (conv_id, turn, sig) WHERE i > 50 AND i > born
+  UNION ALL
+  SELECT sg.conv_id, sg.turn, i FROM sg JOIN names USING (conv_id, turn)
+  WHERE starts_with(s, '```') AND i > 30 AND i + 3 < n AND born < i
+    AND contains(array_to_string(a[i + 2:i + 4], chr(10)), names.sig)
+  UNION ALL
+  SELECT conv_id, turn, i FROM sg
+  WHERE i > 200 AND contains(s, '```') AND i + 5 < n
+    AND len(regexp_extract_all(array_to_string(a[i + 1:i + 6], chr(10)), '(?:class|struct|template|int main)')) > 2),
+at AS (SELECT conv_id, turn, min(i) AS i FROM hits GROUP BY ALL),
+cut AS (SELECT conv_id, turn, t, {strip('array_to_string(a[1:coalesce(i, len(a))], chr(10))')} AS kept
+        FROM ls LEFT JOIN at USING (conv_id, turn))"""
+
+
+@query("repetition_cut", sql=f"""
+WITH {_CODE_SQL}, {_cut_sql('code')}
+SELECT conv_id, turn, len(string_split(t, chr(10))) AS lines_in, len(string_split(kept, chr(10))) AS lines_out,
+       md5(kept) AS cut_md5 FROM cut""")
+def repetition_cut_q(spark, sf_dir):
+    """F24 over unfenced code."""
+    c = _code(spark, sf_dir)
+    cut = c.select("conv_id", "turn", "t", repetition_cut(F.col("t")).alias("kept"))
+    return cut.select("conv_id", "turn", F.size(F.split("t", "\n")).cast("long").alias("lines_in"),
+                      F.size(F.split("kept", "\n")).cast("long").alias("lines_out"), F.md5("kept").alias("cut_md5"))
+
+
+@query("first_code_block", sql=f"""
+WITH {_CODE_SQL},
+some AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Intro' || chr(10) || '```python' || chr(10) || t || chr(10) || '```' || chr(10)
+                || 'tail' ELSE t END AS t FROM code),
+{_cut_sql('some')}
+SELECT conv_id, turn, md5(CASE WHEN t = '' THEN t ELSE coalesce({first_block_sql('t')}, kept) END) AS block_md5 FROM cut""")
+def first_code_block_q(spark, sf_dir):
+    """F23 complete: the first fenced block, else the cut of F24."""
+    c = _code(spark, sf_dir)
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Intro\n```python\n"), "t", F.lit("\n```\ntail"))).otherwise(F.col("t"))
     return c.select("conv_id", "turn", F.md5(first_code_block(t)).alias("block_md5"))

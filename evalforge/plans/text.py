@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import (THINKING_MARKERS, extract_code_from_reasoning, extraction_guard,
                                  first_fenced_block, strip_prompt_contained, strip_prompt_prefix)
+from ..functions.unicode import SPACE, spelled
 from ..operators.chat import chat_transcripts
 from .registry import query
 from .sqlgen import lit
@@ -53,16 +54,16 @@ def wrapped_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def _extract_sql(t: str, lang: str) -> str:
     esc = f"regexp_replace({lang}, '([\\x20-\\x2F\\x3A-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7E])', '\\\\\\1', 'g')"
-    pa = f"'(?s)```' || {esc} || '?\\s*\\n(.*?)```'"
-    pb = "'(?s)```\\s*\\n(.*?)```'"
-    pc = f"'(?s)```' || {esc} || '?\\s*\\n(.*)'"
-    pd = "'(?s)```\\s*\\n(.*)'"
-    tf = "'(?m)```\\s*$'"
+    pa = f"'(?s)```' || {esc} || '?{SPACE}*\\n(.*?)```'"
+    pb = f"'(?s)```{SPACE}*\\n(.*?)```'"
+    pc = f"'(?s)```' || {esc} || '?{SPACE}*\\n(.*)'"
+    pd = f"'(?s)```{SPACE}*\\n(.*)'"
+    tf = f"'(?m)```{SPACE}*$'"
     cc = f"regexp_replace({_strip_sql(f'regexp_extract({t}, {pc}, 1)')}, {tf}, '', 'g')"
     dc = f"regexp_replace({_strip_sql(f'regexp_extract({t}, {pd}, 1)')}, {tf}, '', 'g')"
     parts = [f"WHEN {t} IS NULL OR {t} = '' THEN {t}",
@@ -70,12 +71,12 @@ def _extract_sql(t: str, lang: str) -> str:
              f"WHEN regexp_matches({t}, {pb}) THEN {_strip_sql(f'regexp_extract({t}, {pb}, 1)')}",
              f"WHEN regexp_matches({t}, {pc}) AND {cc} <> '' THEN {cc}",
              f"WHEN regexp_matches({t}, {pd}) AND {dc} <> '' THEN {dc}"]
-    for m in THINKING_MARKERS:
+    for m in map(spelled, THINKING_MARKERS):
         first = f"regexp_extract({t}, {lit('(?is)' + m + '(.*)')}, 1)"
         rest = f"regexp_replace({first}, {lit('(?i)' + m)}, chr(10), 'g')"
         code = _strip_sql(rest)
-        code = f"regexp_replace({code}, '(?m)^```[\\pL\\pN_]*\\s*\\n', '', 'g')"
-        code = f"regexp_replace({code}, '(?m)\\n```\\s*$', '', 'g')"
+        code = f"regexp_replace({code}, '(?m)^```[\\pL\\pN_]*{SPACE}*\\n', '', 'g')"
+        code = f"regexp_replace({code}, '(?m)\\n```{SPACE}*$', '', 'g')"
         parts.append(f"WHEN regexp_matches({t}, {lit('(?i)' + m)}) AND {code} <> '' THEN {code}")
     return "CASE " + " ".join(parts) + f" ELSE {_strip_sql(t)} END"
 
@@ -103,11 +104,15 @@ fb AS (
 )"""
 
 
+def first_block_sql(t: str) -> str:
+    p = f"'(?s)^(.*?```{SPACE}*([\\pL\\pN_]+)?{SPACE}*\\n.*?\\n{SPACE}*```)'"
+    return f"CASE WHEN regexp_matches({t}, {p}) THEN {_strip_sql(f'regexp_extract({t}, {p}, 1)')} END"
+
+
 @query("first_block", sql=f"""
 WITH {FB_WRAP_SQL}
 SELECT conv_id, turn,
-  CASE WHEN regexp_matches(t, '(?s)^(.*?```\\s*([\\pL\\pN_]+)?\\s*\\n.*?\\n\\s*```)')
-       THEN {_strip_sql("regexp_extract(t, '(?s)^(.*?```\\s*([\\pL\\pN_]+)?\\s*\\n.*?\\n\\s*```)', 1)")} END AS block
+  {first_block_sql('t')} AS block
 FROM fb""")
 def first_block(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
