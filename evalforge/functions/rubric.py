@@ -209,9 +209,9 @@ def difficulty_struct(prompt: Column, language: Column, token_len: Column | None
 
 
 def tier(x: Column) -> Column:
-    """high > 0.7, medium 0.4..0.7 (both ends inclusive), low < 0.4."""
+    """high > 0.7, medium 0.4..0.7 (both ends inclusive), low < 0.4; NULL has no tier."""
     return (F.when(x > F.lit(TIER_HIGH), F.lit("high")).when(x >= F.lit(TIER_LOW), F.lit("medium"))
-            .otherwise(F.lit("low")))
+            .when(x.isNotNull(), F.lit("low")))
 
 
 # --------------------------- prompt rendering -------------------------------

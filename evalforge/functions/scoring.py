@@ -46,7 +46,7 @@ def scoring_context(prompt: Column, chars: int = PROMPT_CONTEXT_CHARS) -> Column
 
 
 def heuristic_score(code: Column) -> Column:
-    """F16: fallback score in the reference's add order, capped at 1.0."""
+    """F16: fallback score in the reference's add order, capped at 1.0; no code has no score."""
     s = F.lit(HEURISTIC_BASE)
     s = s + F.when(F.length(code) > HEURISTIC_LONG_CHARS, F.lit(HEURISTIC_LONG_BONUS)).otherwise(F.lit(0.0))
     has_def = F.lit(False)
@@ -54,7 +54,7 @@ def heuristic_score(code: Column) -> Column:
         has_def = has_def | code.contains(m)
     s = s + F.when(has_def, F.lit(HEURISTIC_DEF_BONUS)).otherwise(F.lit(0.0))
     s = s + F.when(code.contains("\n"), F.lit(HEURISTIC_NEWLINE_BONUS)).otherwise(F.lit(0.0))
-    return F.least(F.lit(1.0), s)
+    return F.when(code.isNotNull(), F.least(F.lit(1.0), s))
 
 
 def normalized_reward(student: Column, teacher: Column, eps: float = REWARD_EPS) -> Column:
@@ -63,8 +63,9 @@ def normalized_reward(student: Column, teacher: Column, eps: float = REWARD_EPS)
 
 
 def throughput_floored(tokens: Column, seconds: Column) -> Column:
-    """tokens / max(1e-9, seconds)."""
-    return tokens.cast("double") / F.greatest(seconds.cast("double"), F.lit(THROUGHPUT_MIN_SECONDS))
+    """tokens / max(1e-9, seconds); unknown seconds (a request that timed out) give NULL."""
+    return F.when(seconds.isNotNull(),
+                  tokens.cast("double") / F.greatest(seconds.cast("double"), F.lit(THROUGHPUT_MIN_SECONDS)))
 
 
 def throughput_guarded(tokens: Column, seconds: Column) -> Column:
@@ -132,10 +133,10 @@ def weighted_reward(reward: Column, weight: float = REWARD_WEIGHT) -> Column:
 
 
 def sanitize_reward(reward: Column, safe_value: float = 0.0) -> Column:
-    """NaN / +-Inf -> safe value, then clamp to [0, 1]."""
+    """NaN / +-Inf -> safe value, then clamp to [0, 1]; an unscored sample (NULL) stays unscored."""
     bad = F.isnan(reward) | (F.abs(reward) == F.lit(float("inf")))
     x = F.when(bad, F.lit(float(safe_value))).otherwise(reward)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when(reward.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def reward_floor_ok(reward: Column, floor: float = REWARD_FLOOR) -> Column:

@@ -39,17 +39,17 @@ def dedupe_first(df: DataFrame, prompt_col: str = "prompt", lang_col: str = "lan
                  ord_col: str = "ord") -> DataFrame:
     """Keep the first row (by ``ord``) of every (prompt, language) key.
 
-    ``row_number() = 1`` over the key lets Catalyst insert a *partial*
-    WindowGroupLimit before the shuffle: each map task forwards at most one
-    row per key, so a key holding a third of the corpus costs one row per
-    map task in the exchange, not a third of the data in one reducer.
+    The key is a digest, so a prompt text is in the exchange only if the result
+    needs it.  ``row_number() = 1`` lets Catalyst insert a *partial*
+    WindowGroupLimit before the shuffle: each map task forwards at most one row
+    per key, so a key holding a third of the corpus costs one row per map task.
     """
-    k = dedupe_key(F.col(prompt_col), F.col(lang_col))
-    w = Window.partitionBy("_k_prompt", "_k_lang").orderBy(F.col(ord_col).asc())
-    return (df.select("*", *k)
+    prompt, lang = dedupe_key(F.col(prompt_col), F.col(lang_col))
+    w = Window.partitionBy("_key").orderBy(F.col(ord_col).asc())
+    return (df.withColumn("_key", F.unhex(F.sha2(F.concat(prompt, F.lit("\u0000"), lang), 256)))
             .withColumn("_rn", F.row_number().over(w))
             .where(F.col("_rn") == 1)
-            .drop("_rn", "_k_prompt", "_k_lang"))
+            .drop("_rn", "_key"))
 
 
 def head(df: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import normalized_reward, tiered_score
+from ..functions.scoring import normalized_reward
 
 KEY = ("prompt", "language")
 
@@ -86,13 +86,11 @@ def score_with_teacher(df: DataFrame, refs: DataFrame, student_score: str = "stu
 
 def tiered_scores(df: DataFrame, heuristic: str, refs_for: Callable[[DataFrame], DataFrame],
                   keys: Sequence[str] = KEY, threshold: float = 0.3) -> DataFrame:
-    """Rows under the gate keep the heuristic; only rows at or above it
-    reach the teacher (the split happens *before* the join, so the costly
-    scorer never sees the pruned rows)."""
-    gate = F.col(heuristic) >= F.lit(float(threshold))
-    low = df.where(~gate).withColumn("final_score", F.col(heuristic))
-    high = df.where(gate)
-    refs = refs_for(distinct_keys(high, keys))
-    high = attach_teacher(high, refs, keys).withColumn(
-        "final_score", tiered_score(F.col(heuristic), F.col("teacher_score"), threshold))
-    return low.unionByName(high.drop("teacher_code", "teacher_score"))
+    """Rows under the gate keep the heuristic, also an unknown one; only
+    rows at or above it reach the teacher, once a key.  One pass: the others
+    join with a NULL digest, which meets nothing."""
+    gate = F.coalesce(F.col(heuristic) >= F.lit(float(threshold)), F.lit(False))
+    refs = refs_for(distinct_keys(df.where(gate), keys))
+    r = refs.select(key_digest(keys).alias("_k"), F.col("teacher_score").alias("_teacher"))
+    j = df.withColumn("_k", F.when(gate, key_digest(keys))).join(r, "_k", "left")
+    return j.withColumn("final_score", F.when(gate, F.col("_teacher")).otherwise(F.col(heuristic))).drop("_k", "_teacher")

@@ -125,14 +125,16 @@ def sample_mean(spark, sf_dir):
 
 
 MAX_SQL = GEN_SQL + """,
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY ord, model ORDER BY score DESC, j, t1, t2) AS rn FROM gens
-),
-best AS (SELECT * FROM ranked WHERE rn = 1)
-SELECT b.ord, CAST(round(b.score, 6) AS DOUBLE) AS baseline_score, CAST(round(f.score, 6) AS DOUBLE) AS fine_tuned_score,
-       CAST(round(f.score - b.score, 6) AS DOUBLE) AS improvement, b.j AS baseline_pick, f.j AS fine_tuned_pick,
+best AS (
+  SELECT ord, arg_min({'s': score, 'j': j, 'code': code}, {'a': -score, 'b': j, 'c': t1, 'd': t2})
+                FILTER (WHERE model = 'baseline') AS b,
+         arg_min({'s': score, 'j': j, 'code': code}, {'a': -score, 'b': j, 'c': t1, 'd': t2})
+                FILTER (WHERE model = 'fine_tuned') AS f
+  FROM gens GROUP BY ord)
+SELECT ord, CAST(round(b.s, 6) AS DOUBLE) AS baseline_score, CAST(round(f.s, 6) AS DOUBLE) AS fine_tuned_score,
+       CAST(round(f.s - b.s, 6) AS DOUBLE) AS improvement, b.j AS baseline_pick, f.j AS fine_tuned_pick,
        b.code AS baseline_code, f.code AS fine_tuned_code
-FROM best b JOIN best f ON b.ord = f.ord AND b.model = 'baseline' AND f.model = 'fine_tuned'"""
+FROM best WHERE b IS NOT NULL AND f IS NOT NULL"""
 
 
 @query("sample_max", sql=MAX_SQL)
@@ -144,11 +146,11 @@ def sample_max(spark, sf_dir):
 
 @query("sample_pick", sql=GEN_SQL + """,
 first AS (
-  SELECT *, row_number() OVER (PARTITION BY ord, model ORDER BY j, t1, t2) AS rn FROM gens
-)
-SELECT b.ord, b.j AS baseline_pick, b.code AS baseline_code, f.j AS fine_tuned_pick, f.code AS fine_tuned_code
-FROM first b JOIN first f ON b.ord = f.ord AND b.model = 'baseline' AND f.model = 'fine_tuned'
-WHERE b.rn = 1 AND f.rn = 1""")
+  SELECT ord, arg_min({'j': j, 'code': code}, {'b': j, 'c': t1, 'd': t2}) FILTER (WHERE model = 'baseline') AS b,
+         arg_min({'j': j, 'code': code}, {'b': j, 'c': t1, 'd': t2}) FILTER (WHERE model = 'fine_tuned') AS f
+  FROM gens GROUP BY ord)
+SELECT ord, b.j AS baseline_pick, b.code AS baseline_code, f.j AS fine_tuned_pick, f.code AS fine_tuned_code
+FROM first WHERE b IS NOT NULL AND f IS NOT NULL""")
 def sample_pick(spark, sf_dir):
     p = _per_prompt(spark, sf_dir, aggregate="mean")
     return p.select("ord", "baseline_pick", "baseline_code", "fine_tuned_pick", "fine_tuned_code")

@@ -143,50 +143,80 @@ def nested_roundtrip(spark, sf_dir):
                        r6(F.col("scores.fine_tuned_score"), "fine_tuned_score"), "baseline_score_samples")
 
 
-@query("split_roundtrip", sql=f"SELECT doc_id, split FROM ({SPLIT_SQL})")
+@query("split_roundtrip", sql=f"""
+SELECT d.doc_id, s.split, md5(text) AS prompt_md5, {LANG_MAP_SQL} AS language, md5(substr(text, 1, 80)) AS code_md5,
+       round(n_chars / 1000.0, 6) AS score, CAST(n_chars AS BIGINT) AS chars, round(1.0 - 1.0 / (1 + n_chars), 6) AS fill
+FROM documents d JOIN ({SPLIT_SQL}) s USING (doc_id)""")
 def split_roundtrip(spark, sf_dir):
-    """Examples written per split folder, read back with the split
-    recovered from the folder name (partition discovery)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    """Whole examples (prompt, codes, score, breakdown map) written per split folder, read back
+    with the split recovered from the folder name (partition discovery)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     key = F.concat(F.coalesce("text", F.lit("")), F.lit("|"), F.coalesce("lang", F.lit("python")))
-    d = d.select("doc_id", "lang", assign_split(key).alias("split"))
+    d = d.select("doc_id", F.col("text").alias("prompt"), prompt_language(F.col("lang")).alias("language"),
+                 F.substring("text", 1, 80).alias("student_code"), (F.col("n_chars") / 1000.0).alias("score"),
+                 F.create_map(F.lit("chars"), F.col("n_chars").cast("double"),
+                              F.lit("fill"), 1.0 - 1.0 / (1 + F.col("n_chars"))).alias("breakdown"),
+                 assign_split(key).alias("split"))
     path = scratch_path(spark, "collected")
     J.write_split_examples(d, path)
-    return spark.read.schema("doc_id BIGINT, lang STRING, split STRING").json(path).select("doc_id", "split")
+    back = spark.read.schema("doc_id BIGINT, prompt STRING, language STRING, student_code STRING, score DOUBLE, "
+                             "breakdown MAP<STRING, DOUBLE>, split STRING").json(path)
+    return back.select("doc_id", "split", F.md5("prompt").alias("prompt_md5"), "language", F.md5("student_code").alias("code_md5"),
+                       r6("score"), F.col("breakdown.chars").cast("long").alias("chars"), r6(F.col("breakdown.fill"), "fill"))
 
 
 # ----------------------------- generation log --------------------------------
 
 def generation_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Requests and responses as raw JSON text from ``events``: error events
-    are truncated JSON, signup events ask for an unknown op, view events
-    carry ``max_tokens``; only events with value >= 5 get a response."""
+    """Requests and responses as raw JSON text from ``events``, by content rule.
+
+    Requests: error events are truncated JSON; signup events are shutdown, ping,
+    no op at all or an unknown op by ``event_id % 4``; the others generate (view
+    events carry ``max_tokens``; clicks with ``event_id % 10 = 0`` give no id).
+    Responses: refused requests are answered at once (id -1 for bad lines), ping
+    and shutdown too; generations only with value >= 5, of which ``event_id % 7
+    = 0`` fail."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("int")
-    t = F.col("event_type")
-    base = F.struct(F.col("event_id").alias("id"),
-                    F.when(t == "signup", F.lit("shutdown")).otherwise(F.lit("generate")).alias("op"),
+    t, i = F.col("event_type"), F.col("event_id")
+    op = (F.when(t != "signup", "generate").when(i % 4 == 0, "shutdown").when(i % 4 == 1, "ping")
+          .when(i % 4 == 3, "train"))
+    base = F.struct(F.when(~((t == "click") & (i % 10 == 0)), i).alias("id"), op.alias("op"),
                     F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("prompt"),
                     F.when(t == "view", k).alias("max_tokens"))
-    req = F.when(t == "error", F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "op": '))) \
+    req = F.when(t == "error", F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "op": '))) \
         .otherwise(F.to_json(base))
     requests = e.select(req.alias("raw"))
-    answered = e.where((t.isin("view", "click", "purchase")) & (F.col("value") >= 5))
-    resp = F.to_json(F.struct(F.col("event_id").alias("id"), F.lit(True).alias("ok"), F.lit("code").alias("text"),
-                              (F.col("value") / 10).alias("seconds"), k.alias("output_tokens")))
-    responses = answered.select(resp.alias("raw"))
+    refused = (F.when(t == "error", "invalid_json").when((t == "signup") & (i % 4 == 2), "unknown_op:None")
+               .when((t == "signup") & (i % 4 == 3), "unknown_op:train"))
+    failed = F.when((t != "signup") & (i % 7 == 0), "ValueError: bad prompt: p")
+    error = F.coalesce(refused, failed)
+    said = F.struct(F.when((t == "error") | (t == "click") & (i % 10 == 0), F.lit(-1).cast("long")).otherwise(i).alias("id"),
+                    error.isNull().alias("ok"), error.alias("error"),
+                    F.when((t != "signup") & refused.isNull(), F.col("value") / 10).alias("seconds"),
+                    F.when((t != "signup") & error.isNull(), k).alias("output_tokens"))
+    responses = e.where((F.col("value") >= 5) | refused.isNotNull() | (t == "signup")).select(F.to_json(said).alias("raw"))
     return requests, responses
 
 
 REQ_SQL = """
+rq AS (
+  SELECT event_id, value, props,
+         CASE WHEN event_type = 'error' OR (event_type = 'click' AND event_id % 10 = 0) THEN -1 ELSE event_id END AS id,
+         event_type AS t,
+         CASE WHEN event_type <> 'signup' THEN 'generate' WHEN event_id % 4 = 0 THEN 'shutdown'
+              WHEN event_id % 4 = 1 THEN 'ping' WHEN event_id % 4 = 3 THEN 'train' END AS op
+  FROM events),
 req AS (
-  SELECT CASE WHEN event_type = 'error' THEN NULL ELSE event_id END AS id,
-         CASE WHEN event_type = 'error' THEN 'invalid_json' WHEN event_type = 'signup' THEN 'unknown_op:shutdown'
-              WHEN value < 5 THEN 'timeout' ELSE 'ok' END AS status,
-         CASE WHEN event_type = 'view' THEN CAST(json_extract_string(props, '$.k') AS INTEGER) ELSE 128 END AS max_tokens,
-         CASE WHEN event_type IN ('view', 'click', 'purchase') AND value >= 5 THEN value / 10 END AS seconds
-  FROM events
-)"""
+  SELECT id, CASE WHEN t = 'view' THEN CAST(json_extract_string(props, '$.k') AS INTEGER) ELSE 128 END AS max_tokens,
+         CASE WHEN t = 'error' THEN 'invalid_json'
+              WHEN op IS NULL THEN 'unknown_op:None'
+              WHEN op NOT IN ('generate', 'ping', 'shutdown') THEN 'unknown_op:' || op
+              WHEN op IN ('ping', 'shutdown') THEN 'ok'
+              WHEN id = -1 OR value < 5 THEN 'timeout'
+              WHEN event_id % 7 = 0 THEN 'ValueError: bad prompt: p' ELSE 'ok' END AS detail,
+         CASE WHEN op = 'generate' AND t <> 'error' AND id <> -1 AND value >= 5 THEN value / 10 END AS seconds
+  FROM rq)"""
 
 
 def _matched(spark, sf_dir):
@@ -196,14 +226,15 @@ def _matched(spark, sf_dir):
     return J.match_requests(rq, rs)
 
 
-@query("request_match", sql=f"WITH {REQ_SQL} SELECT id, status, max_tokens FROM req")
+@query("request_match", sql=f"""WITH {REQ_SQL}
+SELECT id, string_split(detail, ':')[1] AS status, detail, max_tokens FROM req""")
 def request_match(spark, sf_dir):
     """S7 + J8: typed requests with defaults, matched to responses by id."""
-    return _matched(spark, sf_dir).select("id", "status", "max_tokens")
+    return _matched(spark, sf_dir).select("id", "status", "detail", "max_tokens")
 
 
 @query("generation_outcomes", sql=f"""WITH {REQ_SQL}
-SELECT status, count(*) AS num_requests, round(avg(seconds), 6) AS avg_seconds FROM req GROUP BY status""")
+SELECT string_split(detail, ':')[1] AS status, count(*) AS num_requests, round(avg(seconds), 6) AS avg_seconds FROM req GROUP BY 1""")
 def generation_outcomes(spark, sf_dir):
     """Outcome classes with counts and mean seconds."""
     o = J.outcome_counts(_matched(spark, sf_dir))

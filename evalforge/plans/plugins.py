@@ -98,7 +98,7 @@ code AS (
     ELSE 'T first(' || nl || body || nl || body || nl || body || nl || '```x' || nl || 'class A {' || nl || 'struct B {' || nl
          || 'class C {' || nl || '}' || nl || '}' || nl || 'T first(x)' END AS t
   FROM (SELECT conv_id, turn, chr(10) AS nl,
-               array_to_string(list_transform(string_split(text, ' '), w -> '  int ' || w || ';'), chr(10)) AS body
+               array_to_string(list_transform(string_split(text, ' '), lambda w: '  int ' || w || ';'), chr(10)) AS body
         FROM conversations))"""
 
 
@@ -137,9 +137,9 @@ hits AS (
   SELECT conv_id, turn, i FROM sg
   WHERE i > 200 AND contains(s, '```') AND i + 5 < n
     AND len(regexp_extract_all(array_to_string(a[i + 1:i + 6], chr(10)), '(?:class|struct|template|int main)')) > 2),
-at AS (SELECT conv_id, turn, min(i) AS i FROM hits GROUP BY ALL),
+first_hit AS (SELECT conv_id, turn, min(i) AS i FROM hits GROUP BY ALL),
 cut AS (SELECT conv_id, turn, t, {strip('array_to_string(a[1:coalesce(i, len(a))], chr(10))')} AS kept
-        FROM ls LEFT JOIN at USING (conv_id, turn))"""
+        FROM ls LEFT JOIN first_hit USING (conv_id, turn))"""
 
 
 @query("repetition_cut", sql=f"""
@@ -156,9 +156,9 @@ def repetition_cut_q(spark, sf_dir):
 
 @query("first_code_block", sql=f"""
 WITH {_CODE_SQL},
-some AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Intro' || chr(10) || '```python' || chr(10) || t || chr(10) || '```' || chr(10)
+msgs AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Intro' || chr(10) || '```python' || chr(10) || t || chr(10) || '```' || chr(10)
                 || 'tail' ELSE t END AS t FROM code),
-{_cut_sql('some')}
+{_cut_sql("msgs")}
 SELECT conv_id, turn, md5(CASE WHEN t = '' THEN t ELSE coalesce({first_block_sql('t')}, kept) END) AS block_md5 FROM cut""")
 def first_code_block_q(spark, sf_dir):
     """F23 complete: the first fenced block, else the cut of F24."""

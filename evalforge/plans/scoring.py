@@ -18,6 +18,7 @@ from ..functions.scoring import (duration_text, heuristic_score, reward_bonus, r
                                  scoring_context, speed_factor, speed_kind, target_reached, throughput_class,
                                  throughput_floored, throughput_guarded, weighted_loss, weighted_reward)
 from ..operators import teacher as T
+from ..operators.keys import null_safe_join
 from ..operators.runlog import perf_summary
 from .corpus import LANG_MAP_SQL, prompt_language
 from .registry import query, r6
@@ -211,10 +212,11 @@ def advantage(spark, sf_dir):
     """Reward minus the prompt's mean sample reward; normalised variant
     divides by (population std + 1e-6)."""
     s = _li(spark, sf_dir).withColumn("reward", F.col("reward").cast("double"))
-    w = Window.partitionBy("ord")
-    adv = F.col("reward") - F.avg("reward").over(w)
-    return s.select("ord", "j", "t1", "t2", r6(adv, "advantage"),
-                    r6(adv / (F.stddev_pop("reward").over(w) + F.lit(1e-6)), "advantage_normalized"))
+    # a mergeable aggregate per prompt and a join that can split a hot prompt
+    per = s.groupBy("ord").agg(F.avg("reward").alias("mean"), F.stddev_pop("reward").alias("dev"))
+    adv = F.col("reward") - F.col("mean")
+    return null_safe_join(s, per, ["ord"]).select("ord", "j", "t1", "t2", r6(adv, "advantage"),
+                                                  r6(adv / (F.col("dev") + F.lit(1e-6)), "advantage_normalized"))
 
 
 # ----------------------------- throughput -----------------------------------

@@ -171,15 +171,53 @@ def strip_prompt_contains_q(spark, sf_dir):
                     strip_prompt_contained(out, F.col("prompt"), strip_unmatched=False).alias("code_unstripped"))
 
 
-@query("chat_transcript", sql=f"""
-SELECT conv_id, CAST(count(*) AS BIGINT) AS num_messages,
-  CASE WHEN arg_min(role, turn) = 'system' THEN ''
-       ELSE '<|im_start|>system' || {NL} || 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.'
-            || '<|im_end|>' || {NL} END
-  || string_agg(CASE WHEN role IN ('user', 'system', 'assistant')
-                     THEN '<|im_start|>' || role || {NL} || coalesce(text, '') || '<|im_end|>' || {NL}
-                     ELSE '' END, '' ORDER BY turn) AS transcript
-FROM conversations GROUP BY conv_id""")
+# Tool turns by rule: turns 3 and 4 of five are tool replies, turn 2 of five an assistant turn with two calls.
+CHAT_SQL = f"""
+m AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, turn % 5 = 2 AS calls,
+         CASE WHEN turn % 5 IN (3, 4) THEN 'tool' WHEN turn % 5 = 2 THEN 'assistant' ELSE role END AS role
+  FROM conversations),
+w AS (SELECT *, lag(role) OVER c AS before, lead(role) OVER c AS after, first_value(role) OVER c AS head_role,
+             first_value(text) OVER c AS head_text, row_number() OVER c AS k FROM m WINDOW c AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (
+  SELECT conv_id, turn, k, head_role, head_text, CASE
+    WHEN k = 1 AND role = 'system' THEN ''
+    WHEN role = 'tool' THEN CASE WHEN before IS DISTINCT FROM 'tool' THEN '<|im_start|>user' ELSE '' END
+         || {NL} || '<tool_response>' || {NL} || text || {NL} || '</tool_response>'
+         || CASE WHEN after IS DISTINCT FROM 'tool' THEN '<|im_end|>' || {NL} ELSE '' END
+    WHEN calls THEN '<|im_start|>assistant' || CASE WHEN text <> '' THEN {NL} || text ELSE '' END
+         || {NL} || '<tool_call>' || {NL} || '{{"name": "look", "arguments": {{"turn": ' || CAST(turn AS VARCHAR) || '}}}}' || {NL} || '</tool_call>'
+         || {NL} || '<tool_call>' || {NL} || '{{"name": "note", "arguments": {{}}}}' || {NL} || '</tool_call>' || '<|im_end|>' || {NL}
+    WHEN role IN ('user', 'system', 'assistant') THEN '<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL}
+    ELSE '' END AS piece
+  FROM w),
+t AS (
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS num_messages, string_agg(piece, '' ORDER BY turn) AS body,
+         '<|im_start|>system' || {NL} || CASE WHEN any_value(head_role) = 'system' THEN any_value(head_text)
+             ELSE 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.' END AS head
+  FROM p GROUP BY conv_id)"""
+CHAT_TOOLS = ('{"type": "function", "function": {"name": "look"}}', '{"type": "function", "function": {"name": "note"}}')
+
+
+@query("chat_transcript", sql=f"""WITH {CHAT_SQL}
+SELECT conv_id, num_messages, head || '<|im_end|>' || {NL} || body AS transcript,
+  md5(head || {NL} || {NL} || '# Tools' || {NL} || {NL}
+    || 'You may call one or more functions to assist with the user query.' || {NL} || {NL}
+    || 'You are provided with function signatures within <tools></tools> XML tags:' || {NL} || '<tools>' || {NL}
+    || '{CHAT_TOOLS[0]}' || {NL} || '{CHAT_TOOLS[1]}' || {NL} || '</tools>' || {NL} || {NL}
+    || 'For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:'
+    || {NL} || '<tool_call>' || {NL} || '{{"name": <function-name>, "arguments": <args-json-object>}}' || {NL} || '</tool_call><|im_end|>'
+    || {NL} || body || '<|im_start|>assistant' || {NL}) AS with_tools_md5
+FROM t""")
 def chat_transcript(spark, sf_dir):
+    """Transcripts with tool turns and calls; the form with a tools header and generation prompt as its hash."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_transcripts(c)
+    k = F.col("turn") % 5
+    call = lambda name, args: F.struct(F.lit(name).alias("name"), args.alias("arguments"))
+    calls = F.when(k == 2, F.array(call("look", F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}"))),
+                                   call("note", F.lit("{}"))))
+    m = c.select("conv_id", "turn", "text", F.when(k.isin(3, 4), "tool").when(k == 2, "assistant").otherwise(F.col("role")).alias("role"),
+                 calls.alias("calls"))
+    plain = chat_transcripts(m, tool_calls_col="calls")
+    tools = chat_transcripts(m, tool_calls_col="calls", add_generation_prompt=True, tools=CHAT_TOOLS)
+    return plain.join(tools.select("conv_id", F.md5("transcript").alias("with_tools_md5")), "conv_id")

@@ -2,21 +2,23 @@
 
 Lines are read as text and parsed by ``from_json`` with an explicit schema,
 so a bad line never fails the job (S1) unless asked to (S3).  The line
-order the reference relies on is kept as an ``ord`` column: the file name
-plus ``monotonically_increasing_id`` (increasing with the byte offset inside
-each split, and splits are numbered in file order).
+order the reference relies on is kept as ``ord``, one sortable struct: place of
+the split in its list, file path, block start, place of the line in the block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
 from ..functions.catalog import DEFAULT_EVAL_PROMPTS
+from ..functions.unicode import SPACE
 from ..operators.corpus import SPLITS
 
+BLANK = rf"^{SPACE}*$"
+
 PROMPT_SCHEMA = "prompt STRING, language STRING, id STRING"
 
 # Batch summary line; T10: epoch summary line (nested, two levels).
@@ -36,34 +38,46 @@ EPOCH_LOG_SCHEMA = (
     "performance STRUCT<generation: STRUCT<tok_s_raw: DOUBLE, tok_s_kept: DOUBLE>, training: STRUCT<tok_s: DOUBLE>>")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame | None:
+ORD_SCHEMA = (StructType().add("split", IntegerType()).add("file", StringType()).add("start", LongType())
+              .add("pos", LongType()))
+
+
+def _lines(spark: SparkSession, path: str, split: int = 0) -> DataFrame | None:
+    """Lines with their order; None if the path does not exist (any other fault is raised)."""
     try:
-        return spark.read.text(path).select(
-            F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().alias("ord"))
-    except AnalysisException:
-        return None          # missing file / folder: empty input, as the reference
+        raw = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    # a file's blocks are read by one task each, in order: file, block start, place within the block
+    return raw.select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.lit(split).alias("split"), F.col("_metadata.file_path").alias("file"),
+                 F.col("_metadata.file_block_start").alias("start"),
+                 F.monotonically_increasing_id().alias("pos")).alias("ord"))
 
 
 def _empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def lenient_jsonl_with_rejects(spark: SparkSession, path: str,
-                               schema: str | StructType = PROMPT_SCHEMA) -> tuple[DataFrame, DataFrame]:
+def lenient_jsonl_with_rejects(spark: SparkSession, path: str, schema: str | StructType = PROMPT_SCHEMA,
+                               split: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects).  Blank lines are skipped; a line that is not a
     JSON object is a reject with its reason; a duplicated key keeps the last
     value (``from_json``), as Python's ``json.loads`` does."""
-    lines = _lines(spark, path)
+    lines = _lines(spark, path, split)
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     if lines is None:
-        empty_schema = StructType(list(st.fields) + [StructField("ord", LongType()), StructField("file", StringType())])
+        empty_schema = StructType(list(st.fields) + [StructField("ord", ORD_SCHEMA), StructField("file", StringType())])
         return (_empty(spark, empty_schema),
-                _empty(spark, "ord BIGINT, file STRING, line STRING, reason STRING"))
-    nonblank = lines.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+                _empty(spark, StructType([StructField("ord", ORD_SCHEMA), *StructType.fromDDL(
+                    "file STRING, line STRING, reason STRING").fields])))
+    nonblank = lines.where(~F.col("line").rlike(BLANK))
     keys = F.json_object_keys(F.col("line"))
     is_obj = keys.isNotNull()
-    looks_json = F.col("line").rlike(r"^\s*(\{|\[|\"|-?[0-9]|true|false|null)")
+    looks_json = F.col("line").rlike("^" + SPACE + r"*(\{|\[|\"|-?[0-9]|true|false|null)")
     parsed_any = F.call_function("try_parse_json", F.col("line")).isNotNull() | is_obj
     reason = (F.when(is_obj, F.lit(None).cast("string"))
               .when(parsed_any & looks_json, F.lit("not_an_object"))
@@ -75,9 +89,10 @@ def lenient_jsonl_with_rejects(spark: SparkSession, path: str,
     return rows, rejects
 
 
-def lenient_jsonl(spark: SparkSession, path: str, schema: str | StructType = PROMPT_SCHEMA) -> DataFrame:
+def lenient_jsonl(spark: SparkSession, path: str, schema: str | StructType = PROMPT_SCHEMA,
+                  split: int = 0) -> DataFrame:
     """S2 (and S1's rows): bad lines silently dropped."""
-    return lenient_jsonl_with_rejects(spark, path, schema)[0]
+    return lenient_jsonl_with_rejects(spark, path, schema, split)[0]
 
 
 def strict_prompts(spark: SparkSession, path: str, schema: str = PROMPT_SCHEMA) -> DataFrame:
@@ -86,9 +101,9 @@ def strict_prompts(spark: SparkSession, path: str, schema: str = PROMPT_SCHEMA)
     lines = _lines(spark, path)
     st = StructType.fromDDL(schema)
     if lines is None:
-        rows = [(p["prompt"], p["language"], None, i) for i, p in enumerate(DEFAULT_EVAL_PROMPTS)]
-        return spark.createDataFrame(rows, schema + ", ord BIGINT")
-    nonblank = lines.where(F.trim(F.col("line")) != "")
+        rows = [(p["prompt"], p["language"], None, (0, "", 0, i)) for i, p in enumerate(DEFAULT_EVAL_PROMPTS)]
+        return spark.createDataFrame(rows, StructType([*st.fields, StructField("ord", ORD_SCHEMA)]))
+    nonblank = lines.where(~F.col("line").rlike(BLANK))
     return (nonblank.select(F.from_json("line", st, {"mode": "FAILFAST"}).alias("r"), "ord")
             .select("r.*", "ord"))
 
@@ -99,9 +114,9 @@ def split_files(spark: SparkSession, folder: str, schema: str = PROMPT_SCHEMA,
     column; an absent split contributes no rows.  ``layout='partitioned'``
     reads the ``split=<name>`` folders a single partitioned write produces."""
     parts = []
-    for s in SPLITS:
+    for i, s in enumerate(SPLITS):
         path = f"{folder.rstrip('/')}/{s}.jsonl" if layout == "named" else f"{folder.rstrip('/')}/split={s}"
-        rows = lenient_jsonl(spark, path, schema).withColumn("split", F.lit(s))
+        rows = lenient_jsonl(spark, path, schema, i).withColumn("split", F.lit(s))
         parts.append(rows)
     out = parts[0]
     for p in parts[1:]:
@@ -130,9 +145,12 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_flat_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """All rows, flattened to dotted columns, with a header, no index."""
+    """All rows, flattened to dotted columns, with a header, no index; lists and maps as JSON text."""
     from ..operators.logs import flatten
-    flatten(df).write.mode(mode).option("header", "true").csv(path)
+    flat = flatten(df)
+    flat = flat.select(*[(F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, (ArrayType, MapType))
+                          else F.col(f"`{f.name}`")).alias(f.name) for f in flat.schema.fields])
+    flat.write.mode(mode).option("header", "true").csv(path)
 
 
 def write_split_examples(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
@@ -157,20 +175,22 @@ REQUEST_SCHEMA = ("id BIGINT, op STRING, prompt STRING, prompt_ids ARRAY<INT>, m
 RESPONSE_SCHEMA = ("id BIGINT, ok BOOLEAN, text STRING, seconds DOUBLE, output_tokens INT, did_sample BOOLEAN, "
                    "pid BIGINT, mlx_active_bytes BIGINT, mlx_cache_bytes BIGINT, mlx_peak_bytes BIGINT, "
                    "error STRING")
-KNOWN_OPS = ("generate",)
+KNOWN_OPS = ("generate", "ping", "shutdown")
+NO_ID = -1                       # id of a request that gives none, or can't be read
 
 
 def parse_requests(raw: Column) -> list[Column]:
     """S7 requests: typed fields with the worker's defaults, plus a status:
-    ``invalid_json``, ``unknown_op:<op>`` or ``ok``."""
+    ``invalid_json``, ``unknown_op:<op>`` (``None`` when absent) or ``ok``."""
     r = F.from_json(raw, REQUEST_SCHEMA)
-    is_obj = F.json_object_keys(raw).isNotNull()
+    keys = F.json_object_keys(raw)
+    is_obj = keys.isNotNull()
     d = REQUEST_DEFAULTS
     status = (F.when(~is_obj, F.lit("invalid_json"))
-              .when(~F.coalesce(r["op"], F.lit("generate")).isin(*KNOWN_OPS),
-                    F.concat(F.lit("unknown_op:"), r["op"]))
-              .otherwise(F.lit("ok")))
-    return [F.when(is_obj, r["id"]).alias("id"), F.coalesce(r["op"], F.lit("generate")).alias("op"),
+              .when(F.coalesce(r["op"].isin(*KNOWN_OPS), F.lit(False)), F.lit("ok"))
+              .otherwise(F.concat(F.lit("unknown_op:"), F.coalesce(r["op"], F.lit("None")))))
+    given = F.coalesce(F.array_contains(keys, F.lit("id")), F.lit(False))
+    return [F.when(given, r["id"]).otherwise(F.lit(NO_ID).cast("long")).alias("id"), r["op"].alias("op"),
             r["prompt"].alias("prompt"), r["prompt_ids"].alias("prompt_ids"),
             F.coalesce(r["max_tokens"], F.lit(d["max_tokens"])).alias("max_tokens"),
             F.coalesce(r["do_sample"], F.lit(d["do_sample"])).alias("do_sample"),
@@ -188,17 +208,23 @@ def parse_responses(raw: Column) -> list[Column]:
 
 
 def match_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Responses by id; a request with no response is a ``timeout``."""
-    j = requests.join(responses.withColumnRenamed("id", "_rid"), F.col("id") == F.col("_rid"), "left")
-    status = (F.when(F.col("request_status") != "ok", F.col("request_status"))
+    """Responses by id; a request with no response is a ``timeout``.
+
+    ``status`` is the outcome class (an error's text up to the first colon),
+    ``detail`` the whole text.  Requests that the worker refused have their
+    outcome already, and NO_ID names no request, so neither looks for a response."""
+    asks = (F.col("request_status") == "ok") & (F.col("id") != NO_ID)
+    j = requests.withColumn("_ask", F.when(asks, F.col("id"))).join(
+        responses.withColumnRenamed("id", "_rid"), F.col("_ask") == F.col("_rid"), "left")
+    detail = (F.when(F.col("request_status") != "ok", F.col("request_status"))
               .when(F.col("_rid").isNull(), F.lit("timeout"))
               .when(F.col("ok"), F.lit("ok"))
               .otherwise(F.coalesce(F.col("error"), F.lit("error"))))
-    return j.withColumn("status", status).drop("_rid")
+    return (j.withColumn("detail", detail).withColumn("status", F.substring_index("detail", ":", 1))
+            .drop("_rid", "_ask"))
 
 
 def outcome_counts(matched: DataFrame) -> DataFrame:
     """Per status: count and mean seconds."""
     return matched.groupBy("status").agg(F.count(F.lit(1)).alias("num_requests"),
                                          F.avg("seconds").alias("avg_seconds"))
-

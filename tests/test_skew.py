@@ -98,6 +98,26 @@ def test_cache_ttl_hot_key(spark, parts):
             assert got[i] == hit
 
 
+def test_chat_runs_over_chunks_and_marks_in_texts(spark):
+    """Tool runs across chunk borders stay one block; private-use characters in a text are text."""
+    rows = [(1, t, "tool" if 505 <= t <= 520 or t >= 1020 else "user", f"m{t}") for t in range(1030)]
+    rows += [(2, 0, "user", "\ue000 x \ue001\ue000"), (2, 1, None, "no role"), (2, 2, "tool", None), (2, 3, "odd", "x"), (2, 4, "tool", "b")]
+    out = {r["conv_id"]: r["transcript"] for r in chat_transcripts(spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()}
+    head = "<|im_start|>system\nYou are Qwen, created by Alibaba Cloud. You are a helpful assistant.<|im_end|>\n"
+    want = head
+    for t in range(1030):
+        if rows[t][2] == "tool":
+            want += "<|im_start|>user" if t in (505, 1020) else ""
+            want += f"\n<tool_response>\nm{t}\n</tool_response>"
+            want += "<|im_end|>\n" if t in (520, 1029) else ""
+        else:
+            want += f"<|im_start|>user\nm{t}<|im_end|>\n"
+    assert out[1] == want
+    reply = "<|im_start|>user\n<tool_response>\n{}\n</tool_response><|im_end|>\n"
+    assert out[2] == head + "<|im_start|>user\n\ue000 x \ue001\ue000<|im_end|>\n" + reply.format("") + reply.format("b")
+
+
 def test_chat_tool_calls(spark):
     rows = [(7, 0, "user", "hi", None),
             (7, 1, "assistant", "", [("lookup", '{"q": 1}')]),
