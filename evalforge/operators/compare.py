@@ -18,6 +18,7 @@ from ..functions.scoring import truncate_text
 
 MODELS = ("baseline", "fine_tuned")
 AGGREGATES = ("mean", "max")
+PREVIEW_CHARS = 60              # prompt preview of the example report (fixed value)
 
 
 def expand_samples(prompts: DataFrame, n: int, j_col: str = "j") -> DataFrame:
@@ -51,7 +52,7 @@ def compare_prompts(gens: DataFrame, keys: Sequence[str] = ("ord",), aggregate:
       j reaching it (``max_by`` on ``(score, -j)``).
     * rewards (normalised scores) get the same aggregate when ``reward_col``
       is given, else the reward columns are NULL (absolute mode).
-    * ``with_samples`` adds the per-model score arrays in j order (A4).
+    * ``with_samples`` adds the per-model score arrays, and reward arrays, in j order (A4).
     * ``tie_cols`` (numeric) order samples that share a j, so "first" stays
       deterministic when j is not unique within a prompt.
     """
@@ -87,7 +88,8 @@ def compare_prompts(gens: DataFrame, keys: Sequence[str] = ("ord",), aggregate:
             # bounded by the number of samples per prompt (a parameter, not the data size)
             exprs.append(F.collect_list(F.when(is_m, F.struct(
                 F.col(j_col).alias("j"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie_cols)],
-                F.col(score_col).alias("s")))).alias(f"_{m}_samples"))
+                F.col(score_col).alias("s"), *([F.col(reward_col).alias("r")] if reward_col else [])))
+            ).alias(f"_{m}_samples"))
     out = gens.groupBy(*keys).agg(*exprs)
     cols = [F.col(k) for k in keys] + [
         F.col("baseline_score"), F.col("fine_tuned_score"),
@@ -109,6 +111,9 @@ def compare_prompts(gens: DataFrame, keys: Sequence[str] = ("ord",), aggregate:
         if with_samples:
             cols.append(F.transform(F.array_sort(F.col(f"_{m}_samples")), lambda x: x["s"])
                         .alias(f"{m}_score_samples"))
+            if reward_col:
+                cols.append(F.transform(F.array_sort(F.col(f"_{m}_samples")), lambda x: x["r"])
+                            .alias(f"{m}_reward_samples"))
     return out.select(*cols)
 
 
@@ -145,11 +150,13 @@ def top_improvements(per_prompt: DataFrame, k: int = 3, order_col: str = "ord")
     return per_prompt.orderBy(F.col("improvement").desc(), F.col(order_col).asc()).limit(int(k))
 
 
-def example_report(top: DataFrame, print_chars: int = 200) -> DataFrame:
-    """Report rows for the top examples with truncated codes."""
+def example_report(top: DataFrame, print_chars: int = 200, prompt_chars: int = PREVIEW_CHARS) -> DataFrame:
+    """Report rows for the top examples with truncated codes and a prompt preview."""
     cols = [c for c in top.columns]
     out = top
     for m in MODELS:
         if f"{m}_code" in cols:
             out = out.withColumn(f"{m}_code_preview", truncate_text(F.col(f"{m}_code"), print_chars))
+    if "prompt" in cols:
+        out = out.withColumn("prompt_preview", truncate_text(F.col("prompt"), prompt_chars))
     return out

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["comparison", "corpus", "prompts", "text", "runlog", "scoring", "checkpoints", "logs", "io", "plugins", "streams"]
+_MODULES = ["comparison", "corpus", "prompts", "text", "runlog", "scoring", "checkpoints", "logs", "io", "plugins", "streams", "evaluation"]
 
 for _m in _MODULES:
     import_module(f"{__name__}.{_m}")
