@@ -25,9 +25,15 @@ gives an empty result.
 
 from __future__ import annotations
 
+import gc
+import os
+import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,14 +45,29 @@ from .registry import documents, query
 LIMIT, END = 4096, 2
 SENTENCE, WORD, STRETCH = 4, 16, 64
 BLOCK = 1 << 18
-KNOWN = 300_000  # words a task remembers at once
+KNOWN = 800_000  # words a Python worker remembers from batch to batch and from task to task
+CHARS = 2_000_000  # characters tokenised at once
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long")
 
-#: White space that the tokenizer drops between words (Unicode White_Space).
-_SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-_ODD_SPACE = "[\\x1c-\\x1f]"
+#: White space that the tokenizer drops between words (Unicode White_Space), where it differs from ``str.split``.
+_SPLIT = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+").split
+_ODD = re.compile("[\\x1c-\\x1f]").search
+#: ASCII marks that end a word; apostrophes are left out, the tokenizer joins them to letters.
+_MARKS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~\""
+_CLOSING = "\"')]”’»*#&%$"
+_STOPS = (".", "!", "?", "…", "。")
+#: The tokenizer's letters for bytes that are not printable: the n-th of them is chr(256 + n).
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def default_tokenizer() -> str:
@@ -55,66 +76,134 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokenizer:
-    """Ids of a text word by word: tokens never span white space, so a word's ids can be remembered."""
+class WordTokenizer(dict):
+    """Ids of whole texts by way of their words; the dict numbers the words seen.
+
+    Tokens never span white space, and never span letters and the marks after
+    them, so a word's ids can be remembered, and "word" and "word.&&" share
+    those of "word".  The ids of all numbered words stand in one flat array; a
+    batch of texts is one lookup per word and one gather."""
 
     def __init__(self, path: str):
-        import os
-        import re
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tok, self.known = Tokenizer.from_file(path), {}
-        self.split, self.odd = re.compile(_SPACE).split, re.compile(_ODD_SPACE).search
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        enc = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        got: list[list[int]] = [[] for _ in words]
-        for i, w in zip(enc.ids, enc.word_ids):
-            if w is None:  # a special token inside a word has no word of its own
-                got = [self.tok.encode(x, add_special_tokens=False).ids for x in words]
-                break
-            got[w].append(i)
-        for x, ids in zip(words, got):
-            self.known[x] = (ids, x.rstrip("\"')]”’»").endswith((".", "!", "?", "…", "。")))
-
-    def ids(self, text: str | None) -> tuple[np.ndarray, list[int]]:
-        """(ids with the end id, positions after sentence ends)."""
+        super().__init__()
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start anew with the end id as word number 0."""
+        self.clear()
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.flat, self.start, self.count, self.stop = array("I", [END]), array("q", [0]), array("q", [1]), array("b", [0])
+        self.seen = np.zeros(1, np.int64)
+        self[""] = 0
+
+    def _thin(self) -> None:
+        """Forget the words seen once; if too many are left, all."""
+        words, seen = list(self), self.seen
+        keep = np.flatnonzero(seen >= 2)
+        if len(keep) > KNOWN // 2:
+            return self._forget()
+        flat, start, count, stop = self.flat, self.start, self.count, self.stop
+        self._forget()
+        for i in keep.tolist():
+            if i:
+                self._add(words[i], flat[start[i]:start[i] + count[i]], stop[i])
+        self.seen = np.ones(len(self), np.int64)
+
+    def _add(self, word: str, ids, stop) -> int:
+        n = self[word] = len(self.start)
+        self.start.append(len(self.flat))
+        self.count.append(len(ids))
+        self.stop.append(stop)
+        self.flat.extend(ids)
+        return n
+
+    def encode(self, x: str) -> list[int]:
+        return self.tok.encode(x, add_special_tokens=False).ids
+
+    def _part(self, x: str, letters: bool) -> tuple[int, ...]:
+        ids = self.parts.get(x)
+        if ids is None:
+            if letters and x.islower() and (x.isascii() or _is_latin(x)):  # one pre-token, already in normal form
+                ids = tuple([t.id for t in self.model.tokenize(
+                    x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+            else:
+                ids = tuple(self.encode(x))
+            self.parts[x] = ids
+        return ids
+
+    def __missing__(self, word: str) -> int:
+        core = word.rstrip(_MARKS)
+        stop = False
+        if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+            ids = self._part(core, True)
+            if len(core) < len(word):
+                marks = word[len(core):]
+                ids = ids + self._part(marks, False)
+                stop = marks.rstrip(_CLOSING).endswith(_STOPS)
+        else:
+            ids = self.encode(word)
+            stop = word.rstrip(_CLOSING).endswith(_STOPS)
+        return self._add(word, ids, stop)
+
+    @staticmethod
+    def words(text: str | None) -> list[str]:
         text = text or ""
-        words = [w for w in self.split(text) if w] if self.odd(text) else text.split()
-        new = list({w: 0 for w in words if w not in self.known})
-        if new:
-            self._learn(new)
-            if any(w not in self.known for w in words):  # the memory was cleared meanwhile
-                self._learn(list(dict.fromkeys(words)))
-        out: list[int] = []
-        ends: list[int] = []
-        known = self.known
-        for w in words:
-            ids, last = known[w]
-            out += ids
-            if last:
-                ends.append(len(out))
-        out.append(END)
-        return np.array(out, "<u4"), ends
-
-
-def cuts(lengths: list[int], sentences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        if "<|" not in text and _is_latin(text):  # no special token can be meant or made; one lower case a letter
+            text = text.lower()
+        return [w for w in _SPLIT(text) if w] if _ODD(text) else text.split()
+
+    def batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids with the end id, positions after sentence ends) of each text."""
+        if len(self) > KNOWN or len(self.parts) > KNOWN:
+            self._thin()
+        words = [[*self.words(t), ""] for t in texts]
+        sizes = np.cumsum([len(w) for w in words])
+        w = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(sizes[-1]) if len(sizes) else 0)
+        seen = np.bincount(w, minlength=len(self.start))
+        seen[:len(self.seen)] += self.seen
+        self.seen = seen
+        count = np.array(self.count)[w]
+        past = np.cumsum(count)
+        place = np.repeat(np.array(self.start)[w] - (past - count), count) + np.arange(int(past[-1]) if len(past) else 0)
+        ids = np.array(self.flat, "<u4")[place]
+        stop = np.flatnonzero(np.array(self.stop, bool)[w])
+        first = 0
+        for i, n in enumerate(sizes):
+            lo, hi = (int(past[first - 1]) if first else 0), int(past[n - 1])
+            a, b = np.searchsorted(stop, (first, n))
+            yield ids[lo:hi], past[stop[a:b]] - lo
+            first = int(n)
+
+    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.batch([text]))
+
+
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker, with the words that its earlier tasks have met."""
+    return WordTokenizer(path)
+
+
+def cuts(lengths: list[int], sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Positions (from 0, ascending) and penalties of all admissible cuts of consecutive documents."""
-    pos, pen, base = [0], [0], 0
-    for n, ends in zip(lengths, sentences):
-        last = 0
-        for e in [*(e for e in ends if e < n - 1), n]:
-            while e - last > STRETCH:
-                last += STRETCH
-                pos.append(base + last)
-                pen.append(WORD)
-            pos.append(base + e)
-            pen.append(0 if e == n else SENTENCE)
-            last = e
-        base += n
-    return np.array(pos, np.int64), np.array(pen, np.int64)
+    ends = np.cumsum(lengths)
+    inner = [base + e[e < n - 1] for base, n, e in zip(ends - lengths, lengths, sentences)]
+    pos = np.concatenate([[0], ends, *inner]).astype(np.int64)
+    pen = np.full(len(pos), SENTENCE)
+    pen[:1 + len(ends)] = 0
+    order = np.argsort(pos, kind="stable")
+    pos, pen = pos[order], pen[order]
+    first = np.concatenate([[True], pos[1:] > pos[:-1]])  # a document's end goes before a sentence's
+    pos, pen = pos[first], pen[first]
+    more = (np.diff(pos) - 1) // STRETCH  # word cuts in each gap
+    at = np.repeat(pos[:-1], more) + STRETCH * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
+    pos, pen = np.concatenate([pos, at]), np.concatenate([pen, np.full(len(at), WORD)])
+    order = np.argsort(pos, kind="stable")
+    return pos[order], pen[order]
 
 
 def best_windows(pos: list[int], pen: list[int], limit: int = LIMIT, to_end: bool = True) -> list[int]:
@@ -162,7 +251,7 @@ class Packer:
         self.docs: list[list] = []  # doc_id, ids, sentence ends, ids already packed
         self.size, self.next = 0, first_sequence
 
-    def add(self, doc_id, ids: np.ndarray, ends: list[int]) -> list[tuple]:
+    def add(self, doc_id, ids: np.ndarray, ends: np.ndarray) -> list[tuple]:
         self.docs.append([doc_id, ids, ends, 0])
         self.size += len(ids)
         return self._pack(False) if self.size >= BLOCK else []
@@ -172,7 +261,7 @@ class Packer:
 
     def _pack(self, last: bool) -> list[tuple]:
         left = [len(d[1]) - d[3] for d in self.docs]
-        pos, pen = cuts(left, [[e - d[3] for e in d[2] if e > d[3]] for d in self.docs])
+        pos, pen = cuts(left, [d[2][d[2] > d[3]] - d[3] for d in self.docs])
         pos_, pen_ = pos.tolist(), pen.tolist()
         chosen = best_windows(pos_, pen_, to_end=False)
         windows = [(pos_[a], pos_[b]) for a, b in zip(chosen, chosen[1:])]
@@ -210,18 +299,27 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
-        packer, tok = Packer(TaskContext.get().partitionId() << 40), WordTokenizer(path)
+        packer, tok = Packer(TaskContext.get().partitionId() << 40), tokenizer_of(path)
+        gc.disable()  # no cycles here; passes over a dict of a million words cost more than the words
 
         def frame(rows):
             return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
-                out += packer.add(None if pd.isna(doc_id) else int(doc_id), *tok.ids(None if pd.isna(text) else text))
-            if out:
-                yield frame(out)
-        if rest := packer.finish():
-            yield frame(rest)
+        try:
+            for batch in batches:
+                ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"].array]
+                texts = [None if pd.isna(t) else t for t in batch["text"].array]
+                ends = np.cumsum([len(t or "") for t in texts]) // CHARS
+                out = []
+                for part in np.unique(ends):
+                    some = np.flatnonzero(ends == part)
+                    for i, (own, stops) in zip(some, tok.batch([texts[i] for i in some])):
+                        out += packer.add(ids[i], own, stops)
+                if out:
+                    yield frame(out)
+            if rest := packer.finish():
+                yield frame(rest)
+        finally:
+            gc.enable()
     # nullable ids reach pandas as text, not as doubles, which would round large ones
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
 
