@@ -33,16 +33,17 @@ def _ref(path: str) -> Column:
     return F.col(".".join(f"`{p}`" for p in path.split(".")))
 
 
-def flatten_columns(schema: StructType, prefix: str = "") -> list[Column]:
+def flatten_columns(schema: StructType, parents: tuple[str, ...] = ()) -> list[Column]:
     """Every leaf of a nested struct as a column named by its dotted
-    path; arrays and maps are kept whole; an empty struct vanishes."""
+    path (a key may hold dots itself); arrays and maps are kept whole; an
+    empty struct vanishes."""
     out: list[Column] = []
     for f in schema.fields:
-        path = f"{prefix}.{f.name}" if prefix else f.name
+        path = (*parents, f.name)
         if isinstance(f.dataType, StructType):
             out.extend(flatten_columns(f.dataType, path))
         else:
-            out.append(_ref(path).alias(path))
+            out.append(F.col(".".join(f"`{p}`" for p in path)).alias(".".join(path)))
     return out
 
 

@@ -122,6 +122,31 @@ def csv_roundtrip(spark, sf_dir):
                        F.col("`tokens.gen_kept`").alias("tokens.gen_kept"))
 
 
+@query("dynamic_columns", sql="""
+SELECT event_id AS id, CAST(user_id AS VARCHAR) AS "user.id", event_type AS "user.type",
+       CASE WHEN event_id % 4 = 0 THEN CAST(event_id AS VARCHAR) END AS "k.c0", CASE WHEN event_id % 4 = 1 THEN CAST(event_id AS VARCHAR) END AS "k.c1",
+       CASE WHEN event_id % 4 = 2 THEN CAST(event_id AS VARCHAR) END AS "k.c2", CASE WHEN event_id % 4 = 3 THEN CAST(event_id AS VARCHAR) END AS "k.c3",
+       CASE WHEN event_type = 'view' THEN '[1,' || CAST(event_id AS VARCHAR) || ']' END AS tags,
+       CASE WHEN event_type = 'purchase' THEN 'dot' END AS "a.b"
+FROM events""")
+def dynamic_columns(spark, sf_dir):
+    """S5 + P9 + S9: a log whose keys differ from row to row, read without a schema, written as CSV with the
+    union of the columns, read back."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    i, t = F.col("event_id").cast("string"), F.col("event_type")
+    line = F.concat(F.lit('{"id": '), i, F.lit(', "user": {"id": '), F.col("user_id").cast("string"), F.lit(', "type": "'), t,
+                    F.lit('"}, "k": {"c'), (F.col("event_id") % 4).cast("string"), F.lit('": '), i, F.lit("}"),
+                    F.when(t == "view", F.concat(F.lit(', "tags": [1, '), i, F.lit("]"))).otherwise(F.lit("")),
+                    F.when(t == "purchase", F.lit(', "a.b": "dot"')).otherwise(F.lit("")), F.lit("}"))
+    path = _write_text(e.select(line.alias("value")), scratch_path(spark, "wide") + "/batches.jsonl")
+    wide = J.wide_rows(spark, path).drop("ord")
+    out = scratch_path(spark, "wide-csv")
+    J.write_flat_csv(wide, out)
+    back = spark.read.option("header", "true").schema(wide.schema).csv(out)
+    return back.select(F.col("id").cast("long").alias("id"), *[F.col(f"`{c}`").alias(c) for c in (
+        "user.id", "user.type", "k.c0", "k.c1", "k.c2", "k.c3", "tags", "a.b")])
+
+
 @query("nested_roundtrip", sql=GEN_SQL + """
 SELECT ord, round(avg(score) FILTER (WHERE model = 'baseline'), 6) AS baseline_score,
        round(avg(score) FILTER (WHERE model = 'fine_tuned'), 6) AS fine_tuned_score,

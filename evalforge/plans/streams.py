@@ -29,28 +29,40 @@ def _set_times(spark: SparkSession, folder: str, millis: int) -> None:
         fs.setTimes(st.getPath(), millis, -1)
 
 
-def stage_chunks(df: DataFrame, chunk: Column, n_chunks: int, folder: str, fmt: str = "parquet") -> str:
-    """Write ``df`` as ``n_chunks`` folders in chunk order (test staging)."""
-    base = 1_600_000_000_000
-    for i in range(n_chunks):
-        part = df.where(chunk == i).repartition(FILES_PER_CHUNK)
-        out = f"{folder}/c{i:04d}"
-        if fmt == "text":
-            part.select("value").write.text(out)
-        else:
-            part.write.format(fmt).save(out)
-        _set_times(df.sparkSession, out, base + i * 60_000)
-    return f"{folder}/c*"
+def stage_chunks(df: DataFrame, chunk: Column, folder: str, fmt: str = "parquet") -> str:
+    """Write ``df`` once, one folder a chunk with files in chunk order (test staging).
+
+    Rows are dealt to ``FILES_PER_CHUNK`` files a chunk by a hash, so a chunk is written by
+    as many tasks; folders are listed and given ascending times."""
+    spark = df.sparkSession
+    cut = df.withColumn("_chunk", chunk.cast("int")).withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_CHUNK)))
+    cols = ["value"] if fmt == "text" else df.columns
+    cut.repartition("_chunk", "_file").select("_chunk", "_file", *cols).write.partitionBy("_chunk", "_file").format(fmt).save(folder)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory()]
+    for i, name in enumerate(sorted(names, key=lambda n: int(n.split("=")[1]))):
+        for k in range(FILES_PER_CHUNK):
+            part = f"{folder}/{name}/_file={k}"
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(part)):
+                _set_times(spark, part, 1_600_000_000_000 + i * 60_000)
+    return f"{folder}/_chunk=*/_file=*"
+
+
+def _period(day: Column) -> Column:
+    """Eight-day periods since a fixed day, over any number of months."""
+    return F.floor(F.datediff(day, F.lit("2000-01-01").cast("date")) / 8)
 
 
 def _week(ts: Column) -> Column:
-    return F.least(F.lit(3), F.floor((F.dayofmonth(ts) - 1) / 8)).cast("int")
+    return _period(ts.cast("date"))
 
 
 def staged_events(spark: SparkSession, sf_dir: str, fmt: str = "parquet") -> DataFrame:
     e = table(spark, sf_dir, "events")
     folder = scratch_path(spark, "events-stream")
-    glob = stage_chunks(e, _week(F.col("ts")), 4, folder, fmt)
+    glob = stage_chunks(e, _week(F.col("ts")), folder, fmt)
     return (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", FILES_PER_CHUNK)
             .format(fmt).load(glob))
 
@@ -70,7 +82,7 @@ def stream_ingest(spark, sf_dir):
                    F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "ts": ')))
             .otherwise(F.to_json(F.struct(*[F.col(c) for c in e.columns]))))
     folder = scratch_path(spark, "log-stream")
-    glob = stage_chunks(e.select(line.alias("value"), "ts"), _week(F.col("ts")), 4, folder, "text")
+    glob = stage_chunks(e.select(line.alias("value"), "ts"), _week(F.col("ts")), folder, "text")
     lines = spark.readStream.option("maxFilesPerTrigger", FILES_PER_CHUNK).text(glob)
     rows, rejects = L.parse_lines(lines, EVENT_SCHEMA)
     run_available(rejects, "log-rejects")
@@ -83,11 +95,14 @@ def stream_ingest(spark, sf_dir):
 SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour', '%Y-%m-%d %H:%M:%S') AS window_end,
        event_type, count(*) AS n, round(avg(value), 6) AS avg_value, max(value) AS max_value
-FROM events GROUP BY ALL""")
+FROM events
+WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '2 hours'
+GROUP BY ALL""")
 def stream_windows(spark, sf_dir):
-    """Tumbling hourly windows per event type (complete mode)."""
+    """Tumbling hourly windows per event type, each given out once when the watermark has
+    passed it, and then forgotten (append mode)."""
     w = L.tumbling_stats(staged_events(spark, sf_dir), "ts", ["event_type"], "value", "1 hour", "2 hours")
-    out = run_available(w, "windows", "complete")
+    out = run_available(w, "windows", "append")
     return out.select(_fmt_ts(F.col("window_start")).alias("window_start"),
                       _fmt_ts(F.col("window_end")).alias("window_end"), "event_type", "n", r6("avg_value"),
                       "max_value")
@@ -98,11 +113,12 @@ SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) A
 FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS ws, event_type, value FROM events
       UNION ALL
       SELECT time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour', event_type, value FROM events)
+WHERE ws + INTERVAL '2 hours' <= (SELECT max(ts) FROM events) - INTERVAL '3 hours'
 GROUP BY ALL""")
 def stream_sliding(spark, sf_dir):
-    """Two-hour windows sliding by one hour."""
+    """Two-hour windows sliding by one hour, closed ones only (append mode)."""
     w = L.sliding_stats(staged_events(spark, sf_dir), "ts", ["event_type"], "value", "2 hours", "1 hour", "3 hours")
-    out = run_available(w, "sliding", "complete")
+    out = run_available(w, "sliding", "append")
     return out.select(_fmt_ts(F.col("window_start")).alias("window_start"), "event_type", "n", "max_value")
 
 
@@ -115,16 +131,58 @@ WITH g AS (
 ), s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
        strftime(max(ts) + INTERVAL '30 minutes', '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n
-FROM s GROUP BY user_id, sid""")
+FROM s GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
 def stream_sessions(spark, sf_dir):
-    """Activity sessions per run (30 minutes of silence closes one)."""
+    """Activity sessions per run (30 minutes of silence closes one), closed ones only (append mode)."""
     s = L.activity_sessions(staged_events(spark, sf_dir), "ts", ["user_id"], "30 minutes", "1 hour")
-    out = run_available(s, "sessions", "complete")
+    out = run_available(s, "sessions", "append")
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return out.select("user_id", F.date_format("session_start", fmt).alias("session_start"),
                       F.date_format("session_end", fmt).alias("session_end"), "n")
 
 
+LATE_SQL = """
+late AS (
+  SELECT ts, value, event_id % 20 = 0 AS delayed,
+         CAST(floor(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) / 8) AS INTEGER)
+           + CASE event_id % 40 WHEN 0 THEN 1 WHEN 20 THEN 3 ELSE 0 END AS arrival
+  FROM events),
+marks AS (SELECT arrival, max(ts) - INTERVAL '2 hours' AS top, row_number() OVER (ORDER BY arrival) AS k FROM late GROUP BY arrival),
+before AS (SELECT a.arrival, max(b.top) AS mark FROM marks a LEFT JOIN marks b ON b.k < a.k - 1 GROUP BY a.arrival),
+seen AS (SELECT l.*, time_bucket(INTERVAL '1 hour', ts) AS ws FROM late l JOIN before USING (arrival)
+         WHERE mark IS NULL OR time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' > mark)"""
+
+
+@query("stream_late_rows", sql=f"""WITH {LATE_SQL}
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) FILTER (WHERE delayed) AS delayed,
+       max(value) AS max_value
+FROM seen WHERE ws + INTERVAL '1 hour' <= (SELECT max(top) FROM marks) GROUP BY ws""")
+def stream_late_rows(spark, sf_dir):
+    """Some events arrive one period late, some three.  A late row counts while its window is open and is
+    dropped once the watermark that the batch before ran with has passed the window's end."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    folder = scratch_path(spark, "late-stream")
+    k = F.col("event_id") % 40
+    arrival = _week(F.col("ts")) + F.when(k == 0, 1).when(k == 20, 3).otherwise(0)
+    cut = e.withColumn("_chunk", arrival.cast("int"))
+    cut.repartition("_chunk").write.partitionBy("_chunk").parquet(folder)   # a batch is a period: one file each
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted((st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory()), key=lambda n: int(n.split("=")[1]))
+    for i, name in enumerate(names):
+        _set_times(spark, f"{folder}/{name}", 1_600_000_000_000 + i * 60_000)
+    s = (spark.readStream.schema("event_id BIGINT, ts TIMESTAMP_NTZ, value DOUBLE").option("maxFilesPerTrigger", 1)
+         .parquet(f"{folder}/_chunk=*")
+         .withColumn("delayed", F.when(F.col("event_id") % 20 == 0, 1).otherwise(0)))
+    s = s.withColumn("_et", L.event_time(F.col("ts"))).withWatermark("_et", "2 hours")
+    w = s.groupBy(F.window("_et", "1 hour").alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("delayed").alias("delayed"), F.max("value").alias("max_value"))
+    out = run_available(w.select(F.col("w.start").alias("window_start"), "n", "delayed", "max_value"), "late", "append")
+    return out.select(_fmt_ts(F.col("window_start")).alias("window_start"), "n", "delayed", "max_value")
+
+
 @query("stream_dedupe", sql="SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     """First arrival per (run, event type) inside a 60-day watermark."""
@@ -145,7 +203,7 @@ def stream_gc_cooldown(spark, sf_dir):
     """The clean-up cooldown over a live batch-metrics log."""
     b = batches(spark, sf_dir).select("run_id", "step", "fragmentation_gb", "epoch")
     folder = scratch_path(spark, "batch-stream")
-    glob = stage_chunks(b, F.least(F.lit(3), F.floor((F.col("epoch") - 1) / 8)).cast("int"), 4, folder, "json")
+    glob = stage_chunks(b, F.floor((F.col("epoch") - 1) / 8), folder, "json")
     s = (spark.readStream.schema("run_id BIGINT, step INT, fragmentation_gb DOUBLE, epoch INT")
          .option("maxFilesPerTrigger", FILES_PER_CHUNK).json(glob))
     g = L.gc_cooldown_stream(s, "run_id", "step", "fragmentation_gb")
@@ -185,7 +243,7 @@ def stream_health(spark, sf_dir):
     b = batches(spark, sf_dir).select("run_id", "step", "epoch", "reward_mean", "gen_share_pct", "gen_tps",
                                       "fragmentation_gb", "cache_gb")
     folder = scratch_path(spark, "health-stream")
-    glob = stage_chunks(b, F.least(F.lit(3), F.floor((F.col("epoch") - 1) / 8)).cast("int"), 4, folder, "json")
+    glob = stage_chunks(b, F.floor((F.col("epoch") - 1) / 8), folder, "json")
     s = (spark.readStream.schema("run_id BIGINT, step INT, epoch INT, reward_mean DOUBLE, gen_share_pct DOUBLE, "
                                  "gen_tps DOUBLE, fragmentation_gb DOUBLE, cache_gb DOUBLE")
          .option("maxFilesPerTrigger", FILES_PER_CHUNK).json(glob))

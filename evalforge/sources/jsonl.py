@@ -137,6 +137,42 @@ def run_summaries(spark: SparkSession, folder: str, grain: str = "batch") -> Dat
     return df
 
 
+WIDE_DEPTH = 8                   # objects in objects that ``wide_rows`` opens; deeper ones stay JSON text
+
+
+def _paths(docs: DataFrame) -> list[tuple[str, ...]]:
+    """Paths of all leaves, in order of first appearance.  Each level is one explode; only distinct paths
+    and their first places are kept, so the driver gets as many rows as there are columns."""
+    level = docs.select("ord", F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("at"), "v")
+    found = None
+    for depth in range(WIDE_DEPTH):
+        inner = level.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
+            "ord", F.concat("path", F.array("key")).alias("path"), F.concat("at", F.array("pos")).alias("at"),
+            F.col("value").alias("v"))
+        kind = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+        is_object = kind.startswith("OBJECT") if depth < WIDE_DEPTH - 1 else F.lit(False)
+        leaves = inner.where(~is_object).groupBy("path").agg(F.min(F.struct("ord", "at")).alias("first"))
+        found = leaves if found is None else found.union(leaves)
+        level = inner.where(is_object)
+    return [tuple(r["path"]) for r in found.groupBy("path").agg(F.min("first").alias("first")).orderBy("first").collect()]
+
+
+def wide_rows(spark: SparkSession, path: str) -> DataFrame:
+    """S5 + P9 without a schema: every JSON object of the file with one text column per dotted key found
+    anywhere in it (the union of all rows), lists as JSON text, plus ``ord``.  Bad lines are dropped."""
+    lines = _lines(spark, path)
+    if lines is None:
+        return _empty(spark, StructType([StructField("ord", ORD_SCHEMA)]))
+    docs = (lines.where(F.json_object_keys("line").isNotNull())
+            .select("ord", F.try_parse_json("line").alias("v")))
+    quoted = lambda p: "$" + "".join('["' + k.replace("\\", "\\\\").replace('"', '\\"') + '"]' for k in p)
+    names: dict[str, list[tuple[str, ...]]] = {}
+    for p in _paths(docs):
+        names.setdefault(".".join(p), []).append(p)
+    cols = [F.coalesce(*[F.try_variant_get("v", quoted(p), "string") for p in ps]).alias(name) for name, ps in names.items()]
+    return docs.select("ord", *cols)
+
+
 # ------------------------------- sinks ---------------------------------------
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
