@@ -10,7 +10,7 @@ of partitions, not the data).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +63,38 @@ def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], nam
             .drop("_gpos", "_gstart"))
 
 
+CHUNK_STEPS = 4096
+
+
+def along(df: DataFrame, group: Sequence[str], step: str, sums: Mapping[str, Column] | None = None,
+          lags: Mapping[str, Column] | None = None, size: int = CHUNK_STEPS) -> DataFrame:
+    """Running sums and previous values in the order of a numeric ``step`` inside each group.
+
+    A group is cut into spans of ``size`` steps: windows run inside (group, span), and one row a
+    span (its total and last values) carries what came before, so a group of any length is spread
+    over many tasks.  NULL groups are groups; steps are unique within a group."""
+    sums, lags = dict(sums or {}), dict(lags or {})
+    own = df.withColumns({"_span": F.floor(F.col(step) / size), **{f"_s{i}": c for i, c in enumerate(sums.values())},
+                          "_v": F.struct(F.lit(0).alias("_0"), *[c.alias(f"v{i}") for i, c in enumerate(lags.values())])})
+    spans = own.groupBy(*group, "_span").agg(*[F.sum(f"_s{i}").alias(f"_t{i}") for i in range(len(sums))],
+                                             F.max_by("_v", step).alias("_end"))
+    by_span = Window.partitionBy(*group).orderBy("_span")
+    before = by_span.rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(*group, "_span", *[F.sum(f"_t{i}").over(before).alias(f"_b{i}") for i in range(len(sums))],
+                           F.lag("_end").over(by_span).alias("_was"))
+    w = Window.partitionBy(*group, "_span").orderBy(step)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.when(F.row_number().over(w) == 1, F.col("_was")).otherwise(F.lag("_v").over(w))
+    out = null_safe_join(own, carried, [*group, "_span"])
+    new = {}
+    for i, name in enumerate(sums):
+        here = F.sum(f"_s{i}").over(so_far)
+        new[name] = F.coalesce(F.col(f"_b{i}") + here, F.col(f"_b{i}"), here)
+    for i, name in enumerate(lags):
+        new[name] = last[f"v{i}"]
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
+
+
 def exact_percentile(df: DataFrame, group: Sequence[str], value: str, p: float, name: str = "percentile",
                      num_partitions: int | None = None) -> DataFrame:
     """Exact percentile with linear interpolation (``percentile`` /

@@ -1,10 +1,9 @@
 """Run-log analytics: batch/epoch aggregates, trends, gains, running totals.
 
 Grain matters for scale: samples are first reduced to one row per batch by
-a partial (map-side combined) aggregate, and every window here runs over
-*batch* or *epoch* rows partitioned by run, whose count per run is bounded
-by the run's length in batches, not by the number of samples; a run holding
-a third of all samples still yields only its batches.
+a partial (map-side combined) aggregate.  Running sums and previous values go
+through ``ordering.along``: windows inside spans of a run's steps and one
+carried row a span, so a run of any length is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import null_safe_join
+from .ordering import along
 
 # Fixed values (documented defaults of the reference's configuration).
 BASELINE_BATCHES = 15          # baseline = mean reward of the first 15 batches
@@ -50,9 +50,9 @@ def epoch_summary(samples: DataFrame, run: str, epoch: str, reward: str, loss: s
 def epoch_trends(epochs: DataFrame, run: str, epoch: str, reward: str = "avg_reward",
                  loss: str = "avg_loss") -> DataFrame:
     """Reward trend = current - previous; loss trend = previous - current."""
-    w = Window.partitionBy(run).orderBy(epoch)
-    return epochs.withColumn("reward_trend", F.col(reward) - F.lag(reward).over(w)) \
-                 .withColumn("loss_trend", F.lag(loss).over(w) - F.col(loss))
+    was = along(epochs, [run], epoch, lags={"_reward": F.col(reward), "_loss": F.col(loss)})
+    return (was.withColumn("reward_trend", F.col(reward) - F.col("_reward"))
+            .withColumn("loss_trend", F.col("_loss") - F.col(loss)).drop("_reward", "_loss"))
 
 
 def batch_numbers(batches: DataFrame, run: str, order: Sequence[str], name: str = "step") -> DataFrame:
@@ -75,19 +75,15 @@ def reward_gains(batches: DataFrame, run: str, step: str = "step", reward: str =
     The baseline is a per-run aggregate joined back on ``run`` (J7); both
     sides are at batch grain, Catalyst picks the join strategy from sizes."""
     base = baseline_reward(batches, run, step, reward, n)
-    w = Window.partitionBy(run).orderBy(step)
-    return (null_safe_join(batches, base, [run])
-            .withColumn("gain_vs_prev_batch", F.col(reward) - F.lag(reward).over(w))
-            .withColumn("gain_from_baseline", F.col(reward) - F.col("baseline_reward")))
+    was = along(batches, [run], step, lags={"_was": F.col(reward)})
+    return (null_safe_join(was, base, [run])
+            .withColumn("gain_vs_prev_batch", F.col(reward) - F.col("_was"))
+            .withColumn("gain_from_baseline", F.col(reward) - F.col("baseline_reward")).drop("_was"))
 
 
 def running_totals(batches: DataFrame, run: str, step: str, cols: Sequence[str]) -> DataFrame:
     """Cumulative sums per run (rows unbounded preceding .. current row)."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = batches
-    for c in cols:
-        out = out.withColumn(f"cum_{c}", F.sum(c).over(w))
-    return out
+    return along(batches, [run], step, sums={f"cum_{c}": F.col(c) for c in cols})
 
 
 def best_of_n(samples: DataFrame, batch_keys: Sequence[str], prompt: str, reward: str = "reward") -> DataFrame:
@@ -161,7 +157,6 @@ def diversity(samples: DataFrame, keys: Sequence[str], output: str, exact: bool
 def memory_growth(batches: DataFrame, run: str, step: str, driver_gb: str, current_gb: str) -> DataFrame:
     """W10 fragmentation proxy (driver-allocated - current-allocated) and
     W9 its growth since the previous batch of the run."""
-    w = Window.partitionBy(run).orderBy(step)
     frag = F.col(driver_gb) - F.col(current_gb)
-    return (batches.withColumn("fragmentation_gb", frag)
-            .withColumn("growth_gb", F.col("fragmentation_gb") - F.lag("fragmentation_gb").over(w)))
+    was = along(batches.withColumn("fragmentation_gb", frag), [run], step, lags={"_was": F.col("fragmentation_gb")})
+    return was.withColumn("growth_gb", F.col("fragmentation_gb") - F.col("_was")).drop("_was")

@@ -2,7 +2,7 @@
 clean-up cooldown, score-cache expiry and load-phase profiles.
 
 * Closed forms where the recurrence allows one (W11: the KL coefficient is
-  ``c0 * exp(gain * running sum)``, a plain window sum).
+  ``c0 * exp(gain * running sum)``).
 * A scan of composed affine maps for W4 (``recurrence``).
 * Greedy anchors for W14 and W16 by time buckets and pointer doubling
   (``anchors``).
@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import expiry_anchors
 from .keys import null_safe_join
+from .ordering import along
 from .recurrence import scan_ema
 from .runlog import (EMA_ALPHA, GC_COOLDOWN_BATCHES, HEALTH_CACHE_GB, HEALTH_FRAGMENTATION_GB,
                      HEALTH_GEN_BOTTLENECK_PCT, HEALTH_GEN_TARGET_TPS, HEALTH_GRACE_BATCHES,
@@ -39,9 +40,8 @@ def adaptive_kl(batches: DataFrame, run: str, step: str, observed: str, c0: floa
                 target: float = KL_TARGET, gain: float = KL_GAIN, name: str = "kl_coef") -> DataFrame:
     """``c <- c * exp(gain * (observed - target))`` after each batch,
     i.e. ``c0 * exp(gain * running_sum(observed - target))``."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return batches.withColumn(name, F.lit(float(c0)) * F.exp(
-        F.lit(float(gain)) * F.sum(F.col(observed) - F.lit(float(target))).over(w)))
+    run_sum = along(batches, [run], step, sums={"_sum": F.col(observed) - F.lit(float(target))})
+    return run_sum.withColumn(name, F.lit(float(c0)) * F.exp(F.lit(float(gain)) * F.col("_sum"))).drop("_sum")
 
 
 def health_check(batches: DataFrame, run: str, step: str, gen_share_pct: str, gen_tps: str,
@@ -52,9 +52,8 @@ def health_check(batches: DataFrame, run: str, step: str, gen_share_pct: str, ge
                  growth_gb: float = HEALTH_GROWTH_GB) -> DataFrame:
     """W13 (+ W9 growth since previous batch): evaluated after the grace
     period every ``interval`` batches; ``OK`` or ``WARN`` with the issues."""
-    w = Window.partitionBy(run).orderBy(step)
-    growth = F.col(fragmentation_gb) - F.lag(fragmentation_gb).over(w)
-    b = batches.withColumn("fragmentation_growth_gb", growth)
+    was = along(batches, [run], step, lags={"_was": F.col(fragmentation_gb)})
+    b = was.withColumn("fragmentation_growth_gb", F.col(fragmentation_gb) - F.col("_was")).drop("_was")
     issues = F.array_compact(F.array(
         F.when(F.col(gen_share_pct) > gen_pct, F.lit("gen_bottleneck")),
         F.when(F.col(gen_tps) < gen_target_tps, F.lit("low_gen_tps")),

@@ -54,3 +54,22 @@ def test_null_keys_are_keys(spark):
                               "run string, step int, frag double")
     fired = [r["step"] for r in SQ.gc_cooldown(b, "run", "step", "frag").where("triggered").orderBy("step").collect()]
     assert fired == [0, 10]
+
+
+def test_along_spans(spark):
+    """Running sums and lags over span borders, gaps, NULL values, NULL and hot groups."""
+    from pyspark.sql import functions as F
+    from evalforge.operators.ordering import along
+    rnd = random.Random(3)
+    rows = [(g, s, None if rnd.random() < .1 else float(rnd.randint(0, 9))) for g, top in (("hot", 900), (None, 60), ("x", 3))
+            for s in sorted(rnd.sample(range(2 * top), top))]
+    df = spark.createDataFrame(rows, "g string, s int, v double").repartition(5)
+    got = {(r["g"], r["s"]): (r["total"], r["was"]) for r in
+           along(df, ["g"], "s", {"total": F.col("v")}, {"was": F.col("v")}, size=16).collect()}
+    state = {}
+    for g, s, v in rows:
+        total, last = state.get(g, (None, None))
+        total = total if v is None else (total or 0.0) + v
+        assert got[(g, s)] == (total, last)
+        state[g] = (total, v)
+    assert len(got) == len(rows)
