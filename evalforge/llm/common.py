@@ -68,6 +68,11 @@ def range_bucket(col: str, starts: list[int]) -> Column:
         lambda at, s: F.when((at + s < n) & (F.get(arr, at + s) <= v), at + s).otherwise(at))
 
 
+def hash_share(h: Column) -> Column:
+    """A hash as a number from 0 to 1."""
+    return F.shiftrightunsigned(h, 11) / float(2 ** 53)
+
+
 def whole_row(docs: DataFrame) -> Column:
     """All columns as one struct ``row``, so that no name of theirs meets one of ours; ``select("row.*")`` undoes it."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
