@@ -144,7 +144,7 @@ def test_spelling_is_a_distribution():
     assert len(start) == 4
     cells, n = np.unique(cell, return_counts=True)
     model = pitmanyor.fit_spelling(cells, n, 3)
-    assert abs((10.0 ** model.log.reshape(pitmanyor.SHAPE)).sum(-1) - 1).max() < 1e-4
+    assert abs((10.0 ** model.rows).sum(-1) - 1).max() < 1e-4 and len(model.rows) == 140 + len(np.unique(cells // pitmanyor.N_SYM))
     p = model.words([b"thorin", b"qqqqqq", pitmanyor.END])
     assert p[0] > p[1] > 0 and p[2] == pitmanyor.END_BASE
 
