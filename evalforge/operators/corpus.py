@@ -106,31 +106,34 @@ def dataset_verdict(df: DataFrame, raw_col: str = "raw", ord_col: str = "ord",
             .withColumn("valid", F.col("num_failing") == 0))
 
 
-def sample_corpus(spark: SparkSession, n: int, catalog: dict[str, Sequence[str]]) -> DataFrame:
-    """Languages x prompts x copies, first ``n`` rows in order.
+def sample_rows(ordinals: DataFrame, n: int, catalog: dict[str, Sequence[str]], ord_col: str = "ord") -> DataFrame:
+    """The sample corpus of ``n`` rows for the rows of a table that holds its ordinals (from 0).
 
-    Closed form on the row number, so it runs as a narrow ``range`` at any n
-    (no cross join, no sort): copies per prompt c = n // P + 1 where P is the
-    catalog size; row r -> language r // (k*c), prompt (r % (k*c)) // c,
-    copy r % c, with k prompts per language.
+    Closed form on the ordinal, a projection at any n (no cross join, no sort):
+    copies per prompt c = n // P + 1 where P is the catalog size; row r ->
+    language r // (k*c), prompt (r % (k*c)) // c, copy r % c, with k prompts
+    per language.
     """
     langs = list(catalog)
     k = len(next(iter(catalog.values())))
-    total = len(langs) * k
-    n = int(n)
-    c = n // total + 1
+    c = int(n) // (len(langs) * k) + 1
     flat = [p for lg in langs for p in catalog[lg]]
-    r = F.col("id")
+    r = F.col(ord_col).cast("long")
     li = (r / (k * c)).cast("long")
     pi = ((r % (k * c)) / c).cast("long")
     cj = r % c
     lang = F.element_at(F.array(*[F.lit(x) for x in langs]), (li + 1).cast("int"))
     prompt = F.element_at(F.array(*[F.lit(x) for x in flat]), (li * k + pi + 1).cast("int"))
-    return spark.range(0, min(n, total * c)).select(
+    return ordinals.where((r >= 0) & (r < len(langs) * k * c)).select(
         r.alias("ord"), prompt.alias("prompt"), lang.alias("language"),
         F.concat_ws("_", lang, pi.cast("string"), cj.cast("string")).alias("id"))
 
 
+def sample_corpus(spark: SparkSession, n: int, catalog: dict[str, Sequence[str]]) -> DataFrame:
+    """S13 from nothing: languages x prompts x copies, first ``n`` rows in order."""
+    return sample_rows(spark.range(0, int(n)).withColumnRenamed("id", "ord"), n, catalog)
+
+
 def split_bucket(key: Column) -> Column:
     """Bucket 0..99 from the md5 of the key: duplicates never straddle splits."""
     return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 100).cast("int")
@@ -157,12 +160,21 @@ def split_counts(df: DataFrame, split_col: str = "split") -> DataFrame:
             .select("split", "split_order", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def dataset_card(counts: DataFrame, title: str = "Dataset") -> DataFrame:
-    """Card text rendered from the one-row pivot of split counts."""
+# Fields of an exported example (fixed values: names and types).
+EXAMPLE_FIELDS = (("prompt", "string"), ("language", "string"), ("student_code", "string"), ("teacher_code", "string"),
+                  ("student_score", "float"), ("teacher_score", "float"), ("reward", "float"),
+                  ("scoring_breakdown", "dict"), ("timestamp", "string"))
+
+
+def dataset_card(counts: DataFrame, title: str = "Dataset", fields: Sequence[tuple[str, str]] = EXAMPLE_FIELDS,
+                 license_id: str = "mit", tags: Sequence[str] = VALID_LANGUAGES) -> DataFrame:
+    """Card text (front matter, split counts, field list) from the one-row pivot of split counts."""
     one = counts.groupBy().agg(*[F.max(F.when(F.col("split") == s, F.col("count"))).alias(s) for s in SPLITS])
+    front = "---\nlicense: " + license_id + "\ntags:\n" + "".join(f"- {t}\n" for t in tags) + "---\n\n"
+    listing = "\n## Data Fields\n\n" + "".join(f"- `{n}` ({t})\n" for n, t in fields)
     text = F.format_string(
-        "# " + title.replace("%", "%%") + "\n\n## Dataset Structure\n\n- **Training Set**: %d examples\n"
-        "- **Validation Set**: %d examples\n- **Evaluation Set**: %d examples\n",
+        (front + "# " + title).replace("%", "%%") + "\n\n## Dataset Structure\n\n- **Training Set**: %d examples\n"
+        "- **Validation Set**: %d examples\n- **Evaluation Set**: %d examples\n" + listing.replace("%", "%%"),
         F.col("train"), F.col("validation"), F.col("evaluation"))
     return one.select(F.col("train").alias("train_count"), F.col("validation").alias("val_count"),
                       F.col("evaluation").alias("eval_count"), text.alias("card"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import SAMPLE_PROMPTS
 from ..operators.corpus import (assign_split, dataset_card, dataset_verdict, dedupe_first, field_issues,
-                                head, language_warnings, sample_corpus, split_counts)
+                                head, language_warnings, sample_rows, split_counts)
 from .registry import query
 from .tables import table
 
@@ -101,16 +101,17 @@ _L, _P = _catalog_sql_arrays()
 
 
 @query("sample_corpus", sql=f"""
-WITH n AS (SELECT count(*) AS n, count(*) // 15 + 1 AS c FROM documents)
+WITH n AS (SELECT count(*) // 15 + 1 AS c FROM documents), r AS (SELECT doc_id AS range, c FROM documents, n)
 SELECT r.range AS ord,
        ({_P})[CAST((r.range // (5 * c)) * 5 + (r.range % (5 * c)) // c + 1 AS BIGINT)] AS prompt,
        ({_L})[CAST(r.range // (5 * c) + 1 AS BIGINT)] AS language,
        ({_L})[CAST(r.range // (5 * c) + 1 AS BIGINT)] || '_' || CAST((r.range % (5 * c)) // c AS VARCHAR)
          || '_' || CAST(r.range % c AS VARCHAR) AS id
-FROM n, range(0, (SELECT n FROM n)) r""")
+FROM r WHERE r.range < 15 * c""")
 def sample_corpus_q(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").count()  # corpus size is the requested sample count
-    return sample_corpus(spark, n, SAMPLE_PROMPTS)
+    """The documents' ids are the ordinals, their number the size of the corpus."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"))
+    return sample_rows(d, d.count(), SAMPLE_PROMPTS)
 
 
 SPLIT_SQL = """
@@ -142,10 +143,14 @@ def split_counts_q(spark, sf_dir):
 WITH c AS (SELECT count(*) FILTER (WHERE split = 'train') AS t, count(*) FILTER (WHERE split = 'validation') AS v,
                   count(*) FILTER (WHERE split = 'evaluation') AS e FROM ({SPLIT_SQL}))
 SELECT t AS train_count, v AS val_count, e AS eval_count,
-       '# Dataset' || chr(10) || chr(10) || '## Dataset Structure' || chr(10) || chr(10)
+       '---' || chr(10) || 'license: mit' || chr(10) || 'tags:' || chr(10) || '- python' || chr(10) || '- cpp' || chr(10) || '- rust'
+       || chr(10) || '---' || chr(10) || chr(10) || '# Dataset' || chr(10) || chr(10) || '## Dataset Structure' || chr(10) || chr(10)
        || '- **Training Set**: ' || t || ' examples' || chr(10)
        || '- **Validation Set**: ' || v || ' examples' || chr(10)
-       || '- **Evaluation Set**: ' || e || ' examples' || chr(10) AS card
+       || '- **Evaluation Set**: ' || e || ' examples' || chr(10) || chr(10) || '## Data Fields' || chr(10) || chr(10)
+       || '- `prompt` (string)' || chr(10) || '- `language` (string)' || chr(10) || '- `student_code` (string)' || chr(10)
+       || '- `teacher_code` (string)' || chr(10) || '- `student_score` (float)' || chr(10) || '- `teacher_score` (float)' || chr(10)
+       || '- `reward` (float)' || chr(10) || '- `scoring_breakdown` (dict)' || chr(10) || '- `timestamp` (string)' || chr(10) AS card
 FROM c""")
 def dataset_card_q(spark, sf_dir):
     return dataset_card(split_counts(document_splits(spark, sf_dir)))
