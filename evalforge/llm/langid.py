@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, whole_row
+from .common import crc_mod, hash_share, whole_row
 from .registry import documents, query
 
 PER_LANG, SNIPPETS, SNIPPET = 384, 2, 80
@@ -200,11 +200,16 @@ class ByteGru:
 
 
 def snippets(docs: DataFrame, learn: Column) -> DataFrame:
-    """Bounded training sample (lang, snippet): per language the first ``PER_LANG`` documents in hash order."""
+    """Bounded training sample (lang, snippet): per language the first ``PER_LANG`` documents in hash order.
+    Languages are counted first, so that only about twice that many rows of each are ranked."""
     text = F.col("text")
     rows = docs.where(learn & F.col("lang").isNotNull() & text.isNotNull() & (F.length(text) > 0))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    keyed = rows.select("lang", "h", *[F.expr(
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(0.0)
+    for lang, n in sorted(sizes.items()):
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * PER_LANG / n))).otherwise(share)
+    keyed = rows.where(hash_share(F.col("h")) <= share).select("lang", "h", *[F.expr(
         f"substring(text, cast(1 + pmod(xxhash64(h, {k}), greatest(1, length(text) - {SNIPPET})) as int), {SNIPPET})")
         .alias(f"s{k}") for k in range(SNIPPETS)])
     by = Window.partitionBy("lang").orderBy("h")
