@@ -6,11 +6,11 @@
 * X4 activity sessions with ``session_window``.
 * X5 live de-duplication with ``dropDuplicatesWithinWatermark``.
 * X6 score-cache expiry and X7 clean-up cooldown as ``applyInPandasWithState``
-  with O(1) state per key (the last stamp / last trigger); rows inside a
-  micro-batch are sorted by event order before the scan, since arrival
-  order within a batch is arbitrary.
-* X8 late rows: anything older than the watermark is dropped by Spark (the
-  default); tests assert rows on both sides of it.
+  with O(1) state per key (the last stamp, expiring by event time / the last
+  trigger); rows inside a micro-batch are sorted by event order before the
+  scan, since arrival order within a batch is arbitrary.
+* X8 late rows: a row whose window the watermark has passed is dropped; a
+  query and a test hold rows on both sides of it.
 """
 
 from __future__ import annotations
@@ -76,43 +76,44 @@ def live_dedupe(stream: DataFrame, ts: str, keys: Sequence[str], watermark: str)
 # ------------------------------ stateful --------------------------------------
 
 def cache_ttl_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: str,
-                     ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
-    """Score-cache expiry with one number of state per key (the stamp of
-    the last miss).  Output: keys, tie, cache_hit.
-
-    The stream is grouped by the first key only and the remaining key
-    columns are resolved inside the group (state: one stamp per sub-key),
-    which divides the number of Python group calls per micro-batch by the
-    sub-key fan-out; the state stays O(1) per full key."""
-    import json
+                     ttl_seconds: int = CACHE_TTL_SECONDS, watermark: str = "1 hour") -> DataFrame:
+    """Score-cache expiry; the state of a key is one number, the stamp of its last miss, and
+    expires once the watermark has passed stamp + TTL (no event on time can hit it any more).
+    Output: keys, tie, cache_hit.
+
+    Event time decides, not arrival: a row is a hit only if the stamp is not after it and younger
+    than the TTL; a row older than the stamp is a miss that leaves the stamp alone."""
     ttl_us = int(ttl_seconds) * 1_000_000
-    outer, inner = keys[0], list(keys[1:])
-    s = stream.select(*keys, tie, F.unix_micros(event_time(F.col(ts))).alias("_t"))
+    s = (stream.withColumn("_et", event_time(F.col(ts))).withWatermark("_et", watermark)
+         .select(*keys, tie, "_et", F.unix_micros("_et").alias("_t")))
     key_ddl = ", ".join(f"{k} {s.schema[k].dataType.simpleString()}" for k in keys)
     out_schema = f"{key_ddl}, {tie} {s.schema[tie].dataType.simpleString()}, cache_hit BOOLEAN"
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stamp = state.get[0] if state.exists else None
         frames = list(pdfs)
         pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        stamps = json.loads(state.get[0]) if state.exists else {}
-        t = pdf["_t"].to_numpy(dtype="int64")
-        ids = pdf[tie].to_numpy()
-        sub = (pdf[inner].astype(str).agg("\x1f".join, axis=1).to_numpy() if inner
-               else np.array([""] * len(pdf), dtype=object))
-        order = np.lexsort((ids, t))                 # by time, then id
+        t, ids = pdf["_t"].to_numpy(dtype="int64"), pdf[tie].to_numpy()
         hits = np.zeros(len(t), dtype=bool)
-        for i in order:
-            k = sub[i]
-            last = stamps.get(k)
-            if last is not None and t[i] - last < ttl_us:
-                hits[i] = True
+        for i in np.lexsort((ids, t)):
+            age = None if stamp is None else t[i] - stamp
+            if age is None or age >= ttl_us:
+                stamp = int(t[i])
             else:
-                stamps[k] = int(t[i])
-        state.update((json.dumps(stamps),))
+                hits[i] = age >= 0
+        expiry = (stamp + ttl_us) // 1000 + 1
+        if expiry > state.getCurrentWatermarkMs():
+            state.update((stamp,))
+            state.setTimeoutTimestamp(expiry)
+        elif state.exists:
+            state.remove()
         yield pdf[[*keys, tie]].assign(cache_hit=hits)
 
-    return s.groupBy(outer).applyInPandasWithState(step, out_schema, "stamps STRING", "append",
-                                                   GroupStateTimeout.NoTimeout)
+    return s.groupBy(*keys).applyInPandasWithState(step, out_schema, "stamp LONG", "append",
+                                                   GroupStateTimeout.EventTimeTimeout)
 
 
 def gc_cooldown_stream(stream: DataFrame, run: str, step_col: str, fragmentation_gb: str,
