@@ -68,6 +68,15 @@ def range_bucket(col: str, starts: list[int]) -> Column:
         lambda at, s: F.when((at + s < n) & (F.get(arr, at + s) <= v), at + s).otherwise(at))
 
 
+def repeated(df: DataFrame, copies: str, name: str, step: int = 4096) -> DataFrame:
+    """Each row as often as ``copies`` says, numbered from 1 in ``name``; no array is longer than
+    ``step`` or copies / step."""
+    n = F.col(copies).cast("long")
+    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / step).cast("long"))))
+    first = F.col("_block") * step
+    return blocks.withColumn(name, F.explode(F.sequence(first + 1, F.least(n, first + step)))).drop("_block")
+
+
 def hash_share(h: Column) -> Column:
     """A hash as a number from 0 to 1."""
     return F.shiftrightunsigned(h, 11) / float(2 ** 53)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, crc_mod, keep_by_key, row_key, written
+from .common import ascii_lower, crc_mod, keep_by_key, repeated, row_key, written
 from .registry import documents, query
 
 SHARD = 100_000  # historical digests a shard, on average
@@ -169,8 +169,7 @@ def exact_duplicates(docs: DataFrame, historical: Column | None = None) -> DataF
     historical = crc_mod("doc_id", 2) == 0 if historical is None else historical
     rows = written(digest_rows(docs, historical), "digests")
     out = rows.join(duplicate_groups(rows).select("digest", "keep_id", "group_size"), "digest")
-    copies = out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return copies.select("doc_id", "keep_id", "group_size", "digest", "copy",
+    return repeated(out, "copies", "copy").select("doc_id", "keep_id", "group_size", "digest", "copy",
                          (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_by_key, row_key, written
+from .common import ascii_lower, keep_by_key, repeated, row_key, written
 from .components import components
 from .registry import documents, query
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         for bit, c in ((k, low), (k + 32, high)):
             one = (1 << bit) - (1 << 64 if bit == 63 else 0)
             fp = fp.bitwiseOR(F.when(2 * c > F.col("n"), F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
-    return got.select("doc_id", "row_key", (F.col("n") / F.col("m")).cast("int").alias("copies"),
+    return got.select("doc_id", "row_key", (F.col("n") / F.col("m")).cast("long").alias("copies"),
                       F.coalesce(fp, F.lit(0).cast("long")).alias("fp"))
 
 
@@ -193,8 +193,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     named = own.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("low").alias("component_id"))
     classes = named.join(least, "label").select("fp", "label", "component_id")
-    return (rows.join(classes, "fp")
-            .select("doc_id", "row_key", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "fp", "label", "component_id"))
+    return repeated(rows.join(classes, "fp"), "copies", "copy").select(
+        "doc_id", "row_key", "copy", "fp", "label", "component_id")
 
 
 def drop_near(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:

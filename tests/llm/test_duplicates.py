@@ -155,3 +155,16 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(200))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_equal_rows(spark):
+    """A third of the rows equal in every column, with and without an id."""
+    text = "one text of a few words that comes again"
+    docs = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id",
+                                        f"CASE WHEN id % 3 = 2 THEN concat('other ', id) ELSE '{text}' END AS text")
+    got = exactdup.exact_duplicates(docs)
+    assert got.count() == 9000
+    same = got.where("group_size = 6000").groupBy("kept").count().collect()
+    assert sorted((r["kept"], r["count"]) for r in same) == [(False, 5999), (True, 1)]
+    near = neardup.near_duplicates(docs).where("doc_id = 7 OR doc_id IS NULL").toPandas()
+    assert len(near) == 6000 and (near.component_id == 7).all() and sorted(near[near.doc_id == 7]["copy"]) == list(range(1, 3001))
