@@ -45,7 +45,7 @@ from .registry import documents, query
 LIMIT, END = 4096, 2
 SENTENCE, WORD, STRETCH = 4, 16, 64
 BLOCK = 1 << 18
-KNOWN = 800_000  # words a Python worker remembers from batch to batch and from task to task
+KNOWN = 600_000  # words a Python worker remembers from batch to batch and from task to task
 CHARS = 2_000_000  # characters tokenised at once
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -95,7 +95,7 @@ class WordTokenizer(dict):
     def _forget(self) -> None:
         """Start anew with the end id as word number 0."""
         self.clear()
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.marks: dict[str, tuple[array, bool]] = {}
         self.flat, self.start, self.count, self.stop = array("I", [END]), array("q", [0]), array("q", [1]), array("b", [0])
         self.seen = np.zeros(1, np.int64)
         self[""] = 0
@@ -124,30 +124,25 @@ class WordTokenizer(dict):
     def encode(self, x: str) -> list[int]:
         return self.tok.encode(x, add_special_tokens=False).ids
 
-    def _part(self, x: str, letters: bool) -> tuple[int, ...]:
-        ids = self.parts.get(x)
-        if ids is None:
-            if letters and x.islower() and (x.isascii() or _is_latin(x)):  # one pre-token, already in normal form
-                ids = tuple([t.id for t in self.model.tokenize(
-                    x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS))])
-            else:
-                ids = tuple(self.encode(x))
-            self.parts[x] = ids
-        return ids
+    def _letters(self, x: str) -> list[int]:
+        if x.islower() and (x.isascii() or _is_latin(x)):  # one pre-token, already in normal form
+            return [t.id for t in self.model.tokenize(
+                x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return self.encode(x)
 
     def __missing__(self, word: str) -> int:
         core = word.rstrip(_MARKS)
-        stop = False
-        if core.isalpha() and (core.isascii() or core.lower().isalpha()):
-            ids = self._part(core, True)
-            if len(core) < len(word):
-                marks = word[len(core):]
-                ids = ids + self._part(marks, False)
-                stop = marks.rstrip(_CLOSING).endswith(_STOPS)
-        else:
-            ids = self.encode(word)
-            stop = word.rstrip(_CLOSING).endswith(_STOPS)
-        return self._add(word, ids, stop)
+        if not (core.isalpha() and (core.isascii() or core.lower().isalpha())):
+            return self._add(word, self.encode(word), word.rstrip(_CLOSING).endswith(_STOPS))
+        if len(core) == len(word):
+            return self._add(word, self._letters(core), False)
+        marks = word[len(core):]
+        after = self.marks.get(marks)
+        if after is None:
+            after = self.marks[marks] = array("I", self.encode(marks)), marks.rstrip(_CLOSING).endswith(_STOPS)
+        n = self[core]
+        at = self.start[n]
+        return self._add(word, self.flat[at:at + self.count[n]] + after[0], after[1])
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -156,13 +151,22 @@ class WordTokenizer(dict):
             text = text.lower()
         return [w for w in _SPLIT(text) if w] if _ODD(text) else text.split()
 
+    def _numbers(self, words: list[list[str]], total: int) -> np.ndarray:
+        """Number of each word; new words are learnt.  Nothing here makes cycles, and passes of the garbage
+        collector over as many new objects as there are new words would cost more than the words."""
+        gc.disable()
+        try:
+            return np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, total)
+        finally:
+            gc.enable()
+
     def batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids with the end id, positions after sentence ends) of each text."""
-        if len(self) > KNOWN or len(self.parts) > KNOWN:
+        if len(self) > KNOWN or len(self.marks) > KNOWN // 10:
             self._thin()
         words = [[*self.words(t), ""] for t in texts]
         sizes = np.cumsum([len(w) for w in words])
-        w = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(sizes[-1]) if len(sizes) else 0)
+        w = self._numbers(words, int(sizes[-1]) if len(sizes) else 0)
         seen = np.bincount(w, minlength=len(self.start))
         seen[:len(self.seen)] += self.seen
         self.seen = seen
@@ -300,26 +304,22 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         packer, tok = Packer(TaskContext.get().partitionId() << 40), tokenizer_of(path)
-        gc.disable()  # no cycles here; passes over a dict of a million words cost more than the words
 
         def frame(rows):
             return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-        try:
-            for batch in batches:
-                ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"].array]
-                texts = [None if pd.isna(t) else t for t in batch["text"].array]
-                ends = np.cumsum([len(t or "") for t in texts]) // CHARS
-                out = []
-                for part in np.unique(ends):
-                    some = np.flatnonzero(ends == part)
-                    for i, (own, stops) in zip(some, tok.batch([texts[i] for i in some])):
-                        out += packer.add(ids[i], own, stops)
-                if out:
-                    yield frame(out)
-            if rest := packer.finish():
-                yield frame(rest)
-        finally:
-            gc.enable()
+        for batch in batches:
+            ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"].array]
+            texts = [None if pd.isna(t) else t for t in batch["text"].array]
+            ends = np.cumsum([len(t or "") for t in texts]) // CHARS
+            out = []
+            for part in np.unique(ends):
+                some = np.flatnonzero(ends == part)
+                for i, (own, stops) in zip(some, tok.batch([texts[i] for i in some])):
+                    out += packer.add(ids[i], own, stops)
+            if out:
+                yield frame(out)
+        if rest := packer.finish():
+            yield frame(rest)
     # nullable ids reach pandas as text, not as doubles, which would round large ones
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
 

@@ -34,6 +34,17 @@ def test_word_ids_equal_whole_text_ids(tokenizer, prose):
     assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
 
 
+def test_words_are_forgotten_in_time(tokenizer, prose, monkeypatch):
+    """With little room the words seen once go, or all; ids stay right."""
+    texts = [t for _, t, *_ in prose]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    for room in (30, 400, 1500):
+        monkeypatch.setattr(packing, "KNOWN", room)
+        words = packing.WordTokenizer(packing.default_tokenizer())
+        got = [ids.tolist() for i in range(0, len(texts), 20) for ids, _ in words.batch(texts[i:i + 20])]
+        assert got == want and len(words) < room + 2500
+
+
 def plain_cost(pos, pen, limit):
     cost = [0] + [None] * (len(pos) - 1)
     for k in range(1, len(pos)):
@@ -138,6 +149,14 @@ def test_stirling_and_seating():
     assert (many == pitmanyor.seat(np.array([1, 2, 1000, 10 ** 7]), np.full(4, 1e-3), 50.0, d, strength, seeds[:4])).all()
 
 
+def test_binomial_draws():
+    rng = np.random.default_rng(4)
+    for n, p in ((8, 0.3), (40, 0.02), (200, 0.5), (10 ** 6, 1e-5), (5, 1.0), (7, 0.0)):
+        got = pitmanyor._binomial(np.full(60_000, n), np.full(60_000, p), rng.integers(0, 2 ** 63, 60_000).astype(np.uint64))
+        assert got.min() >= 0 and got.max() <= n
+        assert abs(got.mean() - n * p) < 0.02 * max(1, n * p) and abs(got.var() - n * p * (1 - p)) < 0.05 * max(0.2, n * p * (1 - p))
+
+
 def test_spelling_is_a_distribution():
     words = [b"thorin", b"gatel", "zükra".encode(), b"x1-2"]
     cell, _, start = pitmanyor.spelled(words)
@@ -166,18 +185,45 @@ def test_scores(spark, prose):
         assert abs(base - r.base_score) < 1e-6 and r.score < 0
     out = {r.held_out: r for r in pitmanyor.perplexity(spark.createDataFrame(whole)).collect()}
     assert out[True].perplexity < out[True].base_perplexity
+    none = pitmanyor.score_documents(docs, pitmanyor.crc_mod("doc_id", 7) == 2, share=1.0).toPandas()
+    assert none.score.sum() < whole.score.sum()  # contexts help
 
 
-def test_word_probabilities_sum_to_one(spark, prose):
-    c = collections.Counter(w for _, t, *_ in prose for w in pitmanyor.words_of(t))
-    rows = spark.createDataFrame([(bytearray(w), n) for w, n in c.items()], "word binary, trained long")
-    model = pitmanyor.fit(rows)
-    words = [*c, b"never-seen"]
-    counts = np.array([*c.values(), 0])
-    hashes = np.array([r.h for r in spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
-                       .selectExpr("xxhash64(word) AS h").collect()], np.int64)
-    total = (10.0 ** model.predict(words, counts, hashes)).sum()
-    assert abs(total - 1) < 1e-3
+def test_word_probabilities_sum_to_one(spark):
+    """In the root and after each frequent word, over all known words and the unseen one."""
+    rng = random.Random(2)
+    words = [b"w%d" % int(rng.paretovariate(0.8)) for _ in range(6000)]
+    c = collections.Counter(words)
+    frequent = sorted(w for w, n in c.items() if n >= len(words) / 20)
+    pairs = collections.Counter((frequent.index(a), b) for a, b in zip(words, words[1:]) if a in frequent)
+    cells = collections.defaultdict(list)
+    for (h, w), n in sorted(pairs.items()):
+        cells[w].append((h, n))
+    rows = [(bytearray(w), n, [h for h, _ in cells[w]] or None, [k for _, k in cells[w]] or None) for w, n in c.items()]
+    rows.append((bytearray(b"never-seen"), 0, None, None))
+    df = spark.createDataFrame(rows, "word binary, trained long, heads array<int>, counts array<long>")
+    model = pitmanyor.fit(df, frequent, 1 / 10)
+    big = [w for w in frequent if c[w] >= len(words) / 10]
+    assert [frequent[i] for i in np.flatnonzero(model.contexts)] == big and len(big) < len(frequent)
+    batch = pitmanyor.WordRows(model, df.selectExpr("*", "xxhash64(word) AS h").toPandas())
+    roots, prices = batch.prices()
+    assert abs(roots.sum(axis=0) - 1).max() < 1e-3
+    for h in np.flatnonzero(model.contexts):
+        p = (model.backoff()[h] * roots).mean(axis=1)
+        own = batch.head == h
+        p[batch.at[own]] = prices[own]
+        assert abs(p.sum() - 1) < 1e-3 and (prices[own] > 0).all()
+
+
+def test_frequent_words_are_exact(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(200)) + (" local" * 150 if i == 3 else "") for i in range(60)]
+    df = spark.createDataFrame([(t, i % 5 == 0) for i, t in enumerate(texts)], "text string, held_out boolean").repartition(6)
+    c = collections.Counter(w for i, t in enumerate(texts) if i % 5 for w in pitmanyor.words_of(t))
+    for share in (0.3, 0.05, 0.01):
+        got = pitmanyor.frequent_words(df, share, part=100)
+        assert {w for w, n in c.items() if n >= share * c.total()} <= set(got)
+        assert all(c[w] >= share / 2 * c.total() for w in got)
 
 
 def test_scores_nasty(spark, nasty, empty):
