@@ -250,7 +250,7 @@ def predict_languages(docs: DataFrame) -> DataFrame:
             .select("doc_id", "held_out", "p.lang_pred", "p.score"))
 
 
-def keep_known_languages(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
+def keep_known_languages(docs: DataFrame, min_score: float = 0.2) -> DataFrame:
     """Documents in a learned language: those predicted ``und`` or under ``min_score`` go."""
     net = fit(docs, crc_mod("doc_id", 5) != 0)
     return (docs.select(whole_row(docs), language_column(net).alias("found"))
