@@ -6,12 +6,14 @@ floor(j / w) and due at slot ceil((j + 1) / w); earliest-deadline-first among
 released blocks gives every slot one block, and each source stays less than one
 block from its share w * t at every slot t.
 
-Weights are rounded to p / q with a common denominator q, so the schedule
-repeats every q slots: one period is worked out once (q entries, a parameter),
-and block j of a source stands at (j // p) * q + place[j % p], an expression
-that Spark evaluates for all rows alike.  When a source runs out, the others go
-on with their weights renormalised, in a new phase whose deviation starts at
-zero: no document is dropped or repeated.
+Weights are the exact rationals of their doubles over their exact sum, so no
+rounding adds up, however long the input.  The schedule depends on its past
+through one number a source (its blocks so far) alone: the driver walks the
+slots keeping only that, notes it at the start of every segment (at most some
+SEGMENTS of them, and one a phase), and Spark tasks work out the slots of the
+segments' blocks side by side.  When a source runs out, the others go on with
+their weights renormalised, in a new phase whose deviation starts at zero: no
+document is dropped or repeated.
 
 Ranks within a source need no window over a source: documents are cut into
 ranges of doc_id (about equal rows), ranked inside (source, range), and moved
@@ -28,16 +30,20 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import range_bucket, range_starts, whole_row
 from .registry import documents, query
 
 BLOCK, PERIOD, BUCKETS = 16, 1000, 8
+SEGMENTS = 1000  # PERIOD: least slots of a segment
 
 
 def shares(weights: list[float], q: int) -> list[int]:
@@ -50,49 +56,85 @@ def shares(weights: list[float], q: int) -> list[int]:
     return out
 
 
-def pfair_period(p: list[int]) -> list[np.ndarray]:
-    """Slots of each source's blocks within one period of sum(p) slots: earliest deadline first among the released."""
-    q = sum(p)
-    release: list[list[tuple[int, int, int]]] = [[] for _ in range(q)]
-    for i, n in enumerate(p):
-        for j in range(n):
-            release[j * q // n].append((-(-(j + 1) * q // n), i, j))
-    out, ready = [np.zeros(n, np.int64) for n in p], []
-    for slot in range(q):
-        for x in release[slot]:
-            heapq.heappush(ready, x)
+def whole_weights(weights: list[float]) -> list[int]:
+    """Integers in exactly the proportion of the weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(x.denominator for x in exact))
+    return [int(x * scale) for x in exact]
+
+
+def pfair(weights: list[int], done: list[int], slot: int) -> Iterator[int]:
+    """Source of each slot from ``slot`` on, ``done`` blocks of each source being served before it: earliest deadline
+    first among the released.  A source's blocks come in order, so only its next one is held."""
+    total = sum(weights)
+
+    def next_block(i: int, j: int) -> tuple[int, int, int, int]:
+        return j * total // weights[i], -(-(j + 1) * total // weights[i]), i, j
+    waiting, ready = [next_block(i, j) for i, j in enumerate(done)], []
+    heapq.heapify(waiting)
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
         due, i, j = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a deadline was missed")
-        out[i][j] = slot
-    return out
+        yield i
+        heapq.heappush(waiting, next_block(i, j + 1))
+        slot += 1
 
 
-def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[list[dict]]:
-    """For each source its phases: first block, first slot, period, and the places of its blocks in a period."""
-    left, done, at = list(blocks), [0] * len(blocks), 0
-    out: list[list[dict]] = [[] for _ in blocks]
-    while any(left):
-        act = [i for i, n in enumerate(left) if n]
-        q = max(period, 4 * len(act))
-        p = shares([weights[i] for i in act], q)
-        place = pfair_period(p)
-        ends = [(left[i] - 1) // n * q + int(t[(left[i] - 1) % n]) for i, n, t in zip(act, p, place)]
-        end = min(ends)
-        for i, n, t in zip(act, p, place):
-            out[i].append({"from_block": done[i], "from_slot": at, "period": q, "place": t.tolist()})
-            used = (end + 1) // q * n + int((t < (end + 1) % q).sum())
-            done[i] += used
-            left[i] -= used
-        at += end + 1
-    return out
+def pfair_period(p: list[int]) -> list[np.ndarray]:
+    """Slots of each source's blocks within one period of sum(p) slots."""
+    out: list[list[int]] = [[] for _ in p]
+    for slot, i in enumerate(islice(pfair(p, [0] * len(p), 0), sum(p))):
+        out[i].append(slot)
+    return [np.array(x, np.int64) for x in out]
 
 
-def _slot(j: Column) -> Column:
-    """Slot of block j from the column ``phases`` of its source: the last phase that starts at j or before."""
-    phase = F.element_at(F.filter("phases", lambda x: x["from_block"] <= j), -1)
-    n, k = F.size(phase["place"]), j - phase["from_block"]
-    return phase["from_slot"] + F.floor(k / n) * phase["period"] + F.get(phase["place"], (k % n).cast("int"))
+def segments(blocks: list[int], weights: list[int], size: int) -> Iterator[tuple]:
+    """(first slot, slots, phase's first slot, sources, their blocks before the phase, their blocks within it)."""
+    left, at = list(blocks), 0
+    while any(left):
+        act = [i for i, n in enumerate(left) if n]
+        before, done = [blocks[i] - left[i] for i in act], [0] * len(act)
+        start, served = at, pfair([weights[i] for i in act], done, 0)
+        while all(left[i] for i in act):
+            first, noted = at, list(done)
+            if len(act) == 1:
+                n = min(size, left[act[0]])
+                done[0] += n
+                left[act[0]] -= n
+                at += n
+            else:
+                for k in islice(served, size):
+                    done[k] += 1
+                    left[act[k]] -= 1
+                    at += 1
+                    if not left[act[k]]:
+                        break
+            yield first, at - first, start, act, before, noted
+
+
+SEGMENT = ("first long, n long, start long, act array<int>, before array<long>, done array<long>")
+
+
+def block_slots(spark: SparkSession, names: list[str], blocks: list[int], weights: list[float], period: int) -> DataFrame:
+    """(name, block, slot) of all blocks, by segments."""
+    whole = whole_weights(weights)
+    rows = list(segments(blocks, whole, max(period, -(-sum(blocks) // SEGMENTS))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                at = [b + d for b, d in zip(r.before.tolist(), r.done.tolist())]
+                own, block = [], []
+                for k in islice(pfair([whole[i] for i in r.act], r.done.tolist(), r.first - r.start), r.n):
+                    own.append(names[r.act[k]])
+                    block.append(at[k])
+                    at[k] += 1
+                yield pd.DataFrame({"name": own, "block": block, "slot": np.arange(r.first, r.first + r.n)})
+    plan = spark.createDataFrame(rows, SEGMENT).repartition(max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return plan.mapInPandas(run, "name string, block long, slot long")
 
 
 def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK,
@@ -108,7 +150,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int
                        F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), F.xxhash64("text", F.lit(1)).alias("tie2"),
                        range_bucket("doc_id", starts).alias("range"))
     counts = held.groupBy("name", "range").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("name", "range", (F.sum("n").over(
+    before = counts.select("name", "range", "n", (F.sum("n").over(
         Window.partitionBy("name").orderBy("range")) - F.col("n")).alias("before"))
     sizes = sorted((r["name"], r["n"]) for r in counts.groupBy("name").agg(F.sum("n").alias("n")).collect())
     if targets is None:
@@ -117,15 +159,20 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int
         mean = math.fsum(targets.values()) / max(1, len(targets)) or 1.0
         weights = [targets.get(s[2:], mean) if s != "null" else mean for s, _ in sizes]
     total = math.fsum(weights)
-    phases = schedule([-(-n // block) for _, n in sizes], weights, period)
-    plan = spark.createDataFrame([(s, w / total, p) for (s, _), w, p in zip(sizes, weights, phases)],
-                                 "name string, weight double, phases array<struct<from_block: long, "
-                                 "from_slot: long, period: long, place: array<long>>>")
+    slots = block_slots(spark, [s for s, _ in sizes], [-(-n // block) for _, n in sizes], weights, period)
+    plan = spark.createDataFrame([(s, w / total) for (s, _), w in zip(sizes, weights)], "name string, weight double")
+    # each (source, range) with the slots of its blocks: documents stay where the window below has put them
+    low, high = (F.floor(x / block).cast("long") for x in (F.col("before"), F.col("before") + F.col("n") - 1))
+    held_slots = (before
+                  .select("name", "range", "before", F.explode(F.sequence(low, high)).alias("block"))
+                  .join(slots, ["name", "block"]).groupBy("name", "range")
+                  .agg(F.first("before").alias("before"), F.sort_array(F.collect_list(F.struct("block", "slot")))["slot"].alias("slots"))
+                  .join(plan, "name"))
     inside = Window.partitionBy("name", "range").orderBy("id", "tie", "tie2")
-    ranked = (held.withColumn("inside", F.row_number().over(inside) - 1).join(before, ["name", "range"])
-              .withColumn("rank", F.col("inside") + F.col("before")))
-    at = ranked.join(plan, "name").withColumn("block", F.floor(F.col("rank") / block).cast("long"))
-    return at.select("row", "block", _slot(F.col("block")).cast("long").alias("slot"),
+    at = (held.withColumn("inside", F.row_number().over(inside) - 1).join(held_slots, ["name", "range"])
+          .withColumn("rank", F.col("inside") + F.col("before"))
+          .withColumn("block", F.floor(F.col("rank") / block).cast("long")))
+    return at.select("row", "block", F.get("slots", (F.col("block") - F.floor(F.col("before") / block)).cast("int")).alias("slot"),
                      (F.col("rank") % block).cast("long").alias("place"), "weight")
 
 

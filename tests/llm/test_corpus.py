@@ -293,6 +293,30 @@ def test_mix(spark, prose, nasty, empty):
         mixing.mix(docs, {"big": 0.0})
 
 
+def test_deviation_from_the_exact_weights_is_less_than_a_block(spark):
+    """At every slot of long phases, many sources and weights far under 1 / PERIOD; segments join without a seam."""
+    from fractions import Fraction
+    for sizes, weights in (([5000] + [500] * 19, [math.sqrt(n) for n in [5000] + [500] * 19]),
+                           ([1500] + [15] * 199, [math.sqrt(n) for n in [1500] + [15] * 199]),
+                           ([9000, 4000, 1], [1.0, 0.3, 1e-5])):
+        names = [f"s:{i}" for i in range(len(sizes))]
+        got = mixing.block_slots(spark, names, sizes, weights, 700).toPandas().sort_values("slot")
+        assert got.slot.tolist() == list(range(sum(sizes)))
+        left, act, since, exact = list(sizes), list(range(len(sizes))), [0] * len(sizes), [Fraction(w) for w in weights]
+        share, t = [w / sum(exact) for w in exact], 0
+        for name, block in zip(got.name, got.block):
+            i = int(name[2:])
+            assert block == sizes[i] - left[i]
+            t, since[i], left[i] = t + 1, since[i] + 1, left[i] - 1
+            if t % 7 == 0 or t < 200:
+                assert all(abs(since[s] - t * share[s]) < 1 for s in act)
+            assert abs(since[i] - t * share[i]) < 1
+            if not left[i]:
+                act = [s for s in act if left[s]]
+                total, t, since = sum(exact[s] for s in act), 0, [0] * len(sizes)
+                share = [w / total if total else 0 for w in exact]
+
+
 # -- pipeline
 
 def test_pipeline(spark, prose, tmp_path, tokenizer):
