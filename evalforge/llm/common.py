@@ -37,6 +37,15 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame, part: str = "") -> None:
+    """Delete the folders of a table of ``written`` that no later step reads; ``part``: only those whose path holds it."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles() if part in f}):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(conf).delete(path, True)
+
+
 def range_starts(df: DataFrame, col: str, buckets: int) -> list[int]:
     """Start values of at most ``buckets`` ranges of near-equal row counts.
 

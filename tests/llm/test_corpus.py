@@ -215,6 +215,23 @@ def test_word_probabilities_sum_to_one(spark):
         assert abs(p.sum() - 1) < 1e-3 and (prices[own] > 0).all()
 
 
+def test_sweeps_burn_in_and_written_seating(spark):
+    """Some sweeps go by unused, and going on from the written seating is the same as seating from the start."""
+    assert pitmanyor.SWEEPS >= 3 and pitmanyor.BURN_IN >= 1 and pitmanyor.SWEEPS - pitmanyor.BURN_IN >= 2
+    rng = random.Random(3)
+    rows = [(bytearray(b"w%d" % i), int(rng.paretovariate(0.6)) + 3, [0] if i % 3 == 0 else None, [1 + i % 4] if i % 3 == 0 else None)
+            for i in range(400)]
+    rows += [(bytearray(b"hot"), 3000, [0], [90]), (bytearray(b"none"), 0, None, None)]
+    df = spark.createDataFrame(rows, "word binary, trained long, heads array<int>, counts array<long>")
+    model, seated = pitmanyor.fit_seated(df, [b"hot"], 1e-4)
+    assert model.held == pitmanyor.BURN_IN + 1 and len(model.sweeps) == pitmanyor.SWEEPS + 1
+    assert model.backoff().shape[1] == pitmanyor.SWEEPS - pitmanyor.BURN_IN
+    plain, carried = (x.toPandas().sort_values("word").reset_index(drop=True) for x in (df.selectExpr("*", "xxhash64(word) AS h"), seated))
+    assert len(plain) == len(carried) == len(rows)
+    for a, b in zip(pitmanyor.WordRows(model, plain).prices(), pitmanyor.WordRows(model, carried).prices()):
+        assert a.shape == b.shape and np.array_equal(a, b)
+
+
 def test_frequent_words_are_exact(spark):
     rng = random.Random(5)
     texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(200)) + (" local" * 150 if i == 3 else "") for i in range(60)]
