@@ -2,8 +2,8 @@
 
 Texts become words (A-Z lower-cased, cut at every ASCII character that is not a
 letter or digit).  Hundreds of regexes are written over the words joined by
-single spaces.  A rule runs only if its keyword occurs in the text; keywords
-are grouped, so most texts are dismissed by a few substring searches.  Each
+single spaces.  A rule runs only if its keyword occurs in the text (``rules``
+refuses a keyword that some match of its rule does not hold); keywords are grouped, so most texts are dismissed by a few substring searches.  Each
 match is a detection: label, first and last word, priority.  In order of
 priority, then length, a detection is kept unless its interval lies inside the
 interval of one already kept: a full grant suppresses the name inside it, and
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,15 +40,15 @@ mit|90|provided as is|the software is provided as is without warranty of any kin
 mit|85|mit license|(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit license
 mit|70|mit license|mit license
 mit|75|opensource org|opensource org licenses mit
-mit|80|license mit|spdx license identifier mit
+mit|80|identifier mit|spdx license identifier mit
 mit-0|86|mit no attribution|mit no attribution
-mit-0|85|license mit 0|spdx license identifier mit 0
+mit-0|85|identifier mit 0|spdx license identifier mit 0
 x11|85|x consortium|except as contained in this notice the name of the x consortium
 x11|70|x11 license|x11 license
 expat|75|expat license|expat license
-isc|95|isc|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+isc|95|with or without fee|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
 isc|70|isc license|isc license
-isc|80|license isc|spdx license identifier isc
+isc|80|identifier isc|spdx license identifier isc
 0bsd|95|with or without fee|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 0bsd|80|0bsd|(?:spdx license identifier )?0bsd
 0bsd|78|zero clause|(?:bsd )?zero clause bsd(?: license)?
@@ -66,14 +67,14 @@ apache-2.0|95|apache license|licensed under the apache license version 2 0(?: th
 apache-2.0|90|apache org|(?:https? )?(?:www )?apache org licenses license 2 0
 apache-2.0|80|apache|apache (?:software )?license (?:version |v)?2(?: 0)?
 apache-2.0|80|apache 2|apache 2 0(?: license)?
-apache-2.0|85|license apache|spdx license identifier apache 2 0
+apache-2.0|85|identifier apache|spdx license identifier apache 2 0
 apache-1.1|80|apache|apache (?:software )?license (?:version |v)?1 1
 apache-1.0|80|apache|apache (?:software )?license (?:version |v)?1 0
 apache|60|apache license|apache license
 gpl|60|gnu gpl|gnu gpl
 gpl|60|gplv|gplv[123]
 gpl|62|gnu general public license|(?:the )?gnu general public license
-gpl|60|copying|see the gnu general public license for more details
+gpl|60|general public license|see the gnu general public license for more details
 lgpl|62|lesser general public license|(?:gnu )?lesser general public license
 lgpl|62|library general public license|(?:gnu )?library general public license
 lgpl|60|lgpl|(?:gnu )?lgpl
@@ -143,7 +144,7 @@ ncsa|80|ncsa|(?:university of illinois )?ncsa open source license
 w3c|80|w3c|w3c software (?:notice and )?(?:document )?license
 icu|78|icu license|icu license
 unicode|80|unicode|unicode (?:inc )?license agreement
-hpnd|90|hpnd|historical permission notice and disclaimer
+hpnd|90|historical permission|historical permission notice and disclaimer
 sleepycat|80|sleepycat|sleepycat license
 intel|75|intel|intel (?:open source|simplified software) license
 nvidia|75|nvidia|nvidia (?:software|source code) license(?: agreement)?
@@ -179,10 +180,10 @@ reserved|52|no part of this|no part of this (?:publication|book|work|document) m
 reserved|52|tous droits|tous droits r\S{1,4}serv\S{1,4}s
 reserved|52|alle rechte|alle rechte vorbehalten
 reserved|52|derechos reservados|todos los derechos reservados
-copyright|40|copyright|copyright (?:c )?(?:\d{4}(?: \d{4})* )?(?:by )?
+copyright|40|copyright|copyright(?: c)?(?: \d{4}(?: \d{4})*)?(?: by)?
 proprietary|60|proprietary|(?:proprietary and confidential|confidential and proprietary)
 proprietary|58|unauthorized|unauthorized (?:copying|use|distribution|reproduction) (?:of this file )?(?:via any medium )?is (?:strictly )?prohibited
-proprietary|58|do not distribute|do not (?:copy or )?distribute(?: without (?:prior )?(?:written )?permission)?
+proprietary|58|distribute|do not (?:copy or )?distribute(?: without (?:prior )?(?:written )?permission)?
 trade-secret|60|trade secret|trade secrets? of
 noncommercial|55|non commercial|(?:for )?non commercial (?:use|purposes)(?: only)?
 noncommercial|55|noncommercial|(?:for )?noncommercial (?:use|purposes)(?: only)?
@@ -192,8 +193,8 @@ evaluation-only|56|evaluation|(?:for )?evaluation (?:use|purposes) only
 no-derivatives|50|no derivative|no derivative works
 shareware|55|shareware|shareware
 freeware|55|freeware|freeware
-eula|60|end user license|end user licen[cs]e agreement
-terms-of-use|45|terms of use|terms of (?:use|service)
+eula|60|end user licen|end user licen[cs]e agreement
+terms-of-use|45|terms of|terms of (?:use|service)
 patent-grant|60|patent|additional grant of patent rights
 royalty-free|50|royalty free|royalty free(?: license)?
 """
@@ -250,11 +251,39 @@ class Rule:
     regex: re.Pattern[bytes]
 
 
+def wordings(body: str) -> list[str]:
+    """Forms such that every match of the regex is one of them, with other text where they hold a NUL: optional parts
+    with and without, each alternative, each letter of a small set."""
+    def joined(items) -> list[str]:
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "SUBPATTERN":
+                more = joined(arg[-1])
+            elif name == "BRANCH":
+                more = [x for branch in arg[1] for x in joined(branch)]
+            elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+                more = [chr(c) for _, c in arg]
+            elif name == "MAX_REPEAT":
+                low, high, inner = arg
+                more = [x if high == 1 else x + "\0" for x in joined(inner)] + ([""] if low == 0 else [])
+            else:
+                more = ["\0"]
+            out = [a + b for a in out for b in more]
+        return out
+    return joined(re._parser.parse(body))
+
+
+@lru_cache(maxsize=4)
 def rules(extra: str = "") -> list[Rule]:
     """All rules in order of priority; ``extra``: further lines of the same form."""
     out = []
     for line in [*RULES_TEXT.strip().splitlines(), *_families(), *extra.strip().splitlines()]:
         label, priority, keyword, body = line.split("|", 3)
+        if lost := [w for w in wordings(f" (?:{body.strip()}) ") if keyword not in w]:
+            raise ValueError(f"keyword {keyword!r} of {label} is not in {lost[0]!r}")
         out.append(Rule(label, int(priority), keyword.encode(), re.compile(f" (?:{body.strip()})(?= )".encode())))
     return sorted(out, key=lambda r: (-r.priority, r.label, r.regex.pattern))
 

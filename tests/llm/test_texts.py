@@ -196,6 +196,30 @@ def test_language_of_held_out(spark, prose, nasty, empty):
 
 # -- licences
 
+def test_every_rule_passes_its_keyword():
+    """Every rule is found in texts of its own wording, and no keyword is asked that the wording does not hold."""
+    scanner, n = licenses.Scanner(), 0
+    for r in licenses.rules():
+        for text in licenses.wordings(r.regex.pattern.decode().removesuffix("(?= )")):
+            line = " ".join(("", *text.split(), ""))
+            if "\0" in text or not r.regex.search(line.encode()):
+                continue
+            n += 1
+            assert any(p in line.encode() and r.keyword in ks for p, ks in scanner.parts.items() for ks in [[k for k in ks if k in line.encode()]])
+    assert n > 1000
+    own = lambda t: scanner.scan(t)[5].split(",")
+    grant = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    for text, label in (("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: MIT-0", "mit-0"),
+                        ("SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+                        (grant + ", provided that the above copyright notice", "isc"), (grant, "0bsd"),
+                        ("Historical Permission Notice and Disclaimer", "hpnd"), ("End User Licence Agreement", "eula"),
+                        ("Terms of Service", "terms-of-use"), ("Do not copy or distribute", "proprietary"),
+                        ("Copyright (c) 2019 2020 by Jane", "copyright"), ("Copyright Jane", "copyright")):
+        assert label in own(text), text
+    with pytest.raises(ValueError):
+        licenses.rules("own|99|rule house|house rule 7")
+
+
 def test_license_base_and_labels(spark, nasty, empty):
     rng = random.Random(1)
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
