@@ -370,3 +370,25 @@ def test_pipeline(spark, prose, tmp_path, tokenizer):
     assert run.groupby("doc_id").length.sum().to_dict() == got.groupby("doc_id").length.sum().to_dict()
 
 
+
+
+def test_sequences_follow_the_schedule(spark, prose, tmp_path, monkeypatch):
+    """The packed order is the brute-force schedule, whatever the order of the files."""
+    from fractions import Fraction
+    rows = [(i, t * (1 + i % 5), lang, ["a", "a", "a", "b", "c"][i * 7 % 5], 0) for i, t, lang, *_ in prose]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    by = {s: sorted(r[0] for r in rows if r[3] == s) for s in "abc"}
+    blocks = {s: [ids[i:i + mixing.BLOCK] for i in range(0, len(ids), mixing.BLOCK)] for s, ids in by.items()}
+    w, want = {s: Fraction(math.sqrt(len(ids))) for s, ids in by.items()}, []
+    while any(blocks.values()):
+        act, t = [s for s in blocks if blocks[s]], 0
+        total, done = sum(w[s] for s in act), dict.fromkeys(act, 0)
+        while all(blocks[s] for s in act):
+            share = {s: w[s] / total for s in act}
+            s = min((s for s in act if math.floor(done[s] / share[s]) <= t), key=lambda s: (math.ceil((done[s] + 1) / share[s]), s))
+            want += blocks[s].pop(0)
+            done[s], t = done[s] + 1, t + 1
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas().sort_values(["sequence_id", "offset"])
+    assert got.drop_duplicates("doc_id").doc_id.tolist() == want
