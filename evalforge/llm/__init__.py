@@ -7,7 +7,7 @@ Nothing else in the library imports this package.
 from importlib import import_module
 
 _MODULES = ["fingerprint", "neardup", "pii", "exactdup", "langid", "licenses", "warc", "packing", "pitmanyor",
-            "mixing", "merkle"]
+            "mixing", "merkle", "urlrep", "collocations"]
 
 for _m in _MODULES:
     import_module(f"{__name__}.{_m}")
