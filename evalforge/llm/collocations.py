@@ -41,10 +41,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, written
+from .common import UPPER, drop_written, placed, written
 from .registry import documents, query
 
-DEPTH, LEAST, TOP, INSIDE, SHARD = 4, 30, 2000, 80, 8 << 20
+DEPTH, LEAST, TOP, INSIDE, SHARD = 4, 30, 2000, 80, 12 << 20
 _STOPS = ",;:!?\n\x0b\x0c\r"
 _MAP = bytes.maketrans((UPPER + _STOPS + "\t").encode(), (UPPER.lower() + "." * len(_STOPS) + " ").encode())
 
@@ -69,6 +69,16 @@ def encode(data: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [names[k].decode() for k in order], counts[order], new[ids]
 
 
+def pack(ids: np.ndarray) -> bytes:
+    """Ids as four planes of bytes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def pieces(text: str, size: int) -> Iterator[bytes]:
     """The text in parts of whole pieces, each of about ``size`` bytes."""
     data = text.encode().translate(_MAP)
@@ -96,7 +106,7 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             words, counts, ids = encode(b".".join(held.pop(lang)))
             sizes.pop(lang)
             return pd.DataFrame({"shard": [base + made], "lang": [lang], "words": [words], "counts": [counts.tolist()],
-                                 "ids": [zstandard.compress(ids.tobytes(), 1)]})
+                                 "ids": [pack(ids)]})
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
                 for part in pieces(text, size):
@@ -112,7 +122,7 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             yield out(name)
             made += 1
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return written(rows.mapInPandas(run, SHARDS), "phrase-shards")
+    return written(rows.mapInPandas(run, SHARDS), "phrase-shards", release=True)
 
 
 # ---------------------------------------------------------------- index
@@ -165,29 +175,30 @@ class WordIndex:
         return of[keep], word[keep], new[keep], other[keep], n[keep]
 
 
-def _text(held: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(held["ids"].iloc[0]), np.uint32)
+FREQUENT = "shard long, ids binary, wids array<long>"
 
 
-PAIRS = "shard long, la int, lb int, a long, b long, c long"
+def keep_frequent(key: tuple, held: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """The text of a shard with its frequent words alone, as ids from 1 in the order of the common ids ``wids``."""
+    if not len(held) or not len(words):
+        return pd.DataFrame({"shard": [], "ids": [], "wids": []})
+    ids, words = unpack(held["ids"].iloc[0]), words.sort_values("wid")
+    small = np.zeros(int(ids.max()) + 1, np.uint32)
+    small[words["id"].to_numpy(np.int64)] = np.arange(1, len(words) + 1)
+    return pd.DataFrame({"shard": [key[0]], "ids": [pack(small[ids])], "wids": [words["wid"].to_numpy(np.int64)]})
 
 
-def shard_pairs(key: tuple, held: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """Counts of all pairs of frequent words of a shard, by their own and by their common ids."""
-    none = np.zeros(0, np.int64)
-    if not len(held) or not len(words):
-        return pd.DataFrame({"shard": none, "la": none, "lb": none, "a": none, "b": none, "c": none})
-    ids = _text(held)
-    local = np.sort(words["id"].to_numpy(np.int64))
-    common = words.set_index("id")["wid"].reindex(local).to_numpy(np.int64)
-    small = np.zeros(max(int(ids.max(initial=0)), int(local[-1])) + 1, np.int64)
-    small[local] = np.arange(1, len(local) + 1)
-    index = WordIndex(small[ids])
-    word, row, back, size = index.words()
-    of, left, _, _, n = index.extend(row, back, size)
-    right = word[of]
-    return pd.DataFrame({"shard": key[0], "la": local[left - 1], "lb": local[right - 1], "a": common[left - 1],
-                         "b": common[right - 1], "c": n})
+PAIRS = "shard long, a long, b long, c long"
+
+
+def shard_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of all pairs of words of each shard."""
+    for batch in batches:
+        for shard, ids, wids in zip(batch["shard"], batch["ids"], batch["wids"]):
+            index = WordIndex(unpack(ids))
+            word, row, back, size = index.words()
+            of, left, _, _, n = index.extend(row, back, size)
+            yield pd.DataFrame({"shard": shard, "a": wids[left - 1], "b": wids[word[of] - 1], "c": n})
 
 
 PHRASES = "a long, b long, c long, d long, n long"
@@ -198,13 +209,13 @@ def shard_phrases(key: tuple, held: pd.DataFrame, pairs: pd.DataFrame) -> pd.Dat
     none = np.zeros(0, np.int64)
     out = {c: [none] for c in "abcdn"}
     if len(held) and len(pairs):
-        ids, la, lb = _text(held), pairs["la"].to_numpy(np.int64), pairs["lb"].to_numpy(np.int64)
-        local, at = np.unique(np.concatenate([la, lb]), return_index=True)
-        common = np.concatenate([pairs["a"], pairs["b"]]).astype(np.int64)[at]
-        small = np.zeros(int(ids.max()) + 1, np.int64)
-        small[local] = np.arange(1, len(local) + 1)
-        index = WordIndex(small[ids])
-        known = np.sort(small[la] * index.width + small[lb])
+        ids, wids = unpack(held["ids"].iloc[0]), np.asarray(held["wids"].iloc[0], np.int64)
+        la, lb = (np.searchsorted(wids, pairs[c].to_numpy(np.int64)) + 1 for c in "ab")
+        paired = np.zeros(len(wids) + 1, np.uint32)
+        paired[la] = la
+        paired[lb] = lb
+        index = WordIndex(paired[ids])
+        known = np.sort(la * index.width + lb)
 
         def frequent(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             k = x * index.width + y
@@ -221,8 +232,8 @@ def shard_phrases(key: tuple, held: pd.DataFrame, pairs: pd.DataFrame) -> pd.Dat
         keep = frequent(c[more], d)
         more, d, m = more[keep], d[keep], m[keep]
         for name, three, four in (("a", a, a[more]), ("b", b, b[more]), ("c", c, c[more])):
-            out[name] += [common[three - 1], common[four - 1]]
-        out["d"] += [np.full(len(a), -1), common[d - 1]]
+            out[name] += [wids[three - 1], wids[four - 1]]
+        out["d"] += [np.full(len(a), -1), wids[d - 1]]
         out["n"] += [n, m]
     return pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
 
@@ -240,19 +251,22 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = SHARD) -> tup
         "shard", "id", "lang", "word", F.sum("c").over(same).alias("f"),
         F.min(F.struct("shard", "id")).over(same).alias("first")).where(F.col("f") >= least)
         .select("shard", "id", "lang", "word", "f", F.shiftleft(F.col("first.shard"), 24).bitwiseOR(F.col("first.id")).alias("wid"),
-                (F.col("first.shard") == F.col("shard")).alias("leads")), "phrase-words")
+                (F.col("first.shard") == F.col("shard")).alias("leads")), "phrase-words", release=True)
     words = vocabulary.where("leads").select("wid", "lang", "word", "f")
-    texts = held.select("shard", "ids").groupBy("shard")
-    pairs = texts.cogroup(vocabulary.select("shard", "id", "wid").groupBy("shard")).applyInPandas(shard_pairs, PAIRS)
+    totals = written(totals, "phrase-totals")
+    texts = written(held.select("shard", "ids").groupBy("shard").cogroup(vocabulary.select("shard", "id", "wid").groupBy("shard"))
+                    .applyInPandas(keep_frequent, FREQUENT), "phrase-texts", release=True)
+    drop_written(held)
     two = Window.partitionBy("a", "b")
-    pairs = written(pairs.select("shard", "la", "lb", "a", "b", F.sum("c").over(two).alias("f"), F.min("shard").over(two).alias("first"))
-                    .where(F.col("f") >= least), "phrase-pairs")
-    longer = (texts.cogroup(pairs.select("shard", "la", "lb", "a", "b").groupBy("shard")).applyInPandas(shard_phrases, PHRASES)
+    pairs = written(texts.mapInPandas(shard_pairs, PAIRS)
+                    .select("shard", "a", "b", F.sum("c").over(two).alias("f"), F.min("shard").over(two).alias("first"))
+                    .where(F.col("f") >= least), "phrase-pairs", release=True)
+    longer = (texts.groupBy("shard").cogroup(pairs.select("shard", "a", "b").groupBy("shard")).applyInPandas(shard_phrases, PHRASES)
               .groupBy("a", "b", "c", "d").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
     phrases = (words.select(F.array("wid").alias("w"), "f")
                .union(pairs.where("shard = first").select(F.array("a", "b"), "f"))
                .union(longer.select(F.when(F.col("d") < 0, F.array("a", "b", "c")).otherwise(F.array("a", "b", "c", "d")), "f")))
-    return words, written(phrases, "phrases"), totals
+    return words, written(phrases, "phrases", release=True), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE, size: int = SHARD) -> DataFrame:
@@ -274,10 +288,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: in
     named = (kept.select("w", F.posexplode("w").alias("pos", "wid")).join(words.select("wid", "lang", "word"), "wid")
              .groupBy("w").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("words"))
              .select("w", "lang", F.array_join("words.word", " ").alias("phrase")))
-    best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    return (kept.join(named, "w").withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
-            .join(totals, "lang")
-            .select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"))
+    best = placed(kept.join(named, "w").select("lang", "phrase", "a", "cut"), "lang",
+                  [F.desc("cut.score"), F.desc("a"), F.col("phrase")], "collocations-ranked")
+    return (best.where(F.col("idx") < top).join(totals, "lang")
+            .select("lang", (F.col("idx") + 1).alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score"))
 
 
 @query("op13_collocations", sql=f"""

@@ -27,16 +27,47 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(n))
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None, release: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
-    lineage, and a lost executor costs one task, not the table."""
+    lineage, and a lost executor costs one task, not the table.  ``release``: the
+    shuffle files of the write go as soon as it is over, as nothing reads them again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     w = df.write.option("compression", "zstd")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    try:
+        if release:
+            spark.conf.set(RELEASE, "true")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    finally:
+        if release:
+            spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place ``idx`` (from 0) in the order of their ``group`` and the group's ``total``.
+
+    A range-partitioned sort by group and order; rows are numbered inside their partition and moved on by the counts
+    of the partitions before, so a large group is many tasks.  Fully equal rows are told apart by a hash of their number."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = written(rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())), f"{name}-rows", release=True)
+    keys = [F.col(group), *order, F.col("_tie")]
+    laid = written(base.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumns(
+        {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}),
+        f"{name}-sorted", release=True)
+    spans = laid.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(group)
+    spans = written(spans.select(
+        group, "_part", (F.sum("_n").over(whole.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_move"),
+        F.sum("_n").over(whole).alias("total")), f"{name}-spans")
+    return laid.join(spans, [group, "_part"]).withColumn("idx", F.col("_at") + F.col("_move")).drop("_part", "_at", "_move")
+
+
 def drop_written(df: DataFrame, part: str = "") -> None:
     """Delete the folders of a table of ``written`` that no later step reads; ``part``: only those whose path holds it."""
     spark = df.sparkSession

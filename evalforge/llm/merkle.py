@@ -40,10 +40,10 @@ from hashlib import sha256
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import placed, written
 from .registry import documents, query
 
 FANOUT, LEVELS = 2, 12
@@ -200,23 +200,6 @@ def leaf_rows(docs: DataFrame) -> DataFrame:
         F.when(touched, leaf_digest(F.col("n_chars") + 1)).alias("other"))
 
 
-def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` with their place ``idx`` in the order of their ``tree``, and the tree's ``total``."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = written(rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())), f"{name}-rows")
-    keys = ["tree", *order, "_tie"]
-    laid = written(base.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumns(
-        {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}),
-        f"{name}-sorted")
-    spans = laid.groupBy("tree", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy("tree")
-    spans = written(spans.select(
-        "tree", "_part", (F.sum("_n").over(whole.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_move"),
-        F.sum("_n").over(whole).alias("total")), f"{name}-spans")
-    return laid.join(spans, ["tree", "_part"]).withColumn("idx", F.col("_at") + F.col("_move")).drop("_part", "_at", "_move")
-
-
 # ---------------------------------------------------------------- layers
 
 def layer(nodes: DataFrame, payload: list[str], fanout: int, levels: int, name: str) -> DataFrame:
@@ -274,16 +257,16 @@ def block_proofs(r, fanout: int, levels: int) -> tuple[list[bytes], list[bytes]]
 RESULT = "tree string, doc_id long, leaf binary, proof binary, siblings binary, folded binary, subroot binary, root binary"
 
 
-def manifest(rows: DataFrame, order: list[str], fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+def manifest(rows: DataFrame, order: list[Column], fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """Manifest of leaves (tree, doc_id, digest, other): one row each with its proof up to the root over all trees,
     ``siblings``, the digest of all digests in the proof, and ``folded``, the root that ``other`` (null: the leaf itself) and the proof lead to.
 
     Trees are ordered by name, UTF-8 bytewise."""
     if not 2 <= fanout <= 255 or levels < 1:
         raise ValueError("fanout must be 2 to 255, levels at least 1")
-    low = climb(placed(rows, order, "leaves"), ["doc_id", "other"], fanout, levels, "layer")
+    low = climb(placed(rows, "tree", order, "leaves"), ["doc_id", "other"], fanout, levels, "layer")
     tops = low[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"))
-    high = climb(placed(tops, ["name"], "trees"), ["name"], fanout, levels, "top")
+    high = climb(placed(tops, "tree", [F.col("name")], "trees"), ["name"], fanout, levels, "top")
     handed = high[-1].select("tree", "block", F.unhex(F.lit("")).alias("suffix"), F.col("root").alias("subroot"), "root")
     for k, held in enumerate(reversed(high)):
         if k < len(high) - 1:
@@ -314,7 +297,7 @@ def manifest(rows: DataFrame, order: list[str], fanout: int = FANOUT, levels: in
 
 def merkle_manifest(docs: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """Manifest of documents, a tree a language; ``verified`` holds for rows whose stored n_chars was not tampered with."""
-    out = manifest(leaf_rows(docs), ["doc_id", "digest"], fanout, levels)
+    out = manifest(leaf_rows(docs), [F.col("doc_id"), F.col("digest")], fanout, levels)
     return out.withColumn("verified", F.col("folded") == F.col("root"))
 
 
