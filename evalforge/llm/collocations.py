@@ -181,7 +181,7 @@ FREQUENT = "shard long, ids binary, wids array<long>"
 def keep_frequent(key: tuple, held: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """The text of a shard with its frequent words alone, as ids from 1 in the order of the common ids ``wids``."""
     if not len(held) or not len(words):
-        return pd.DataFrame({"shard": [], "ids": [], "wids": []})
+        return pd.DataFrame({"shard": [], "ids": [], "wids": []}, dtype=object)
     ids, words = unpack(held["ids"].iloc[0]), words.sort_values("wid")
     small = np.zeros(int(ids.max()) + 1, np.uint32)
     small[words["id"].to_numpy(np.int64)] = np.arange(1, len(words) + 1)
