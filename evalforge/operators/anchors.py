@@ -19,18 +19,20 @@ lookup inside ``(key, bucket)``) and over one key's list of non-empty
 buckets, both bounded by time, not by the key's total rows.  The chain is
 then marked by pointer doubling: after round r the marked set holds the
 first 2^r anchors of every key, and ``next`` is squared each round; every
-round is a pair of equi-joins on the event id, checkpointed to keep the
-plan flat.  Work is O(n log A) for A anchors per key, with no hot group.
+round is one equi-join of both, marks and pointers, with the pointers, written
+once to keep the plan flat; it ends when a round marks nothing new.  Work is
+O(n log A) for A anchors per key, with no hot group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import staged
 from .keys import null_safe_join
 
 
@@ -81,20 +83,18 @@ def expiry_anchors(events: DataFrame, keys: Sequence[str], t: str, tie: str, ttl
     # only a chain start or a successor can ever be an anchor: restrict the
     # jump table to those nodes
     nodes = starts.unionByName(g.select(*keys, F.col("_nid").alias("_id")).where(F.col("_id").isNotNull()))
-    jump = cut_lineage(null_safe_join(g.where(F.col("_nid").isNotNull()), nodes.distinct(), [*keys, "_id"], "left_semi"))
-    marked = cut_lineage(starts)
-    size = marked.count()
+    kinds = {"marks": 0, "jumps": 1}
+    jump = staged(null_safe_join(g.where(F.col("_nid").isNotNull()), nodes.distinct(), [*keys, "_id"], "left_semi"), "jumps")
+    marked = [staged(starts, "marks")]
     while True:
-        # add positions [2^r, 2^(r+1)) of every chain: new nodes only (times
-        # strictly increase along a chain, so nothing repeats)
-        grown = cut_lineage(marked.unionByName(
-            null_safe_join(marked, jump, [*keys, "_id"]).select(*keys, F.col("_nid").alias("_id"))))
-        new_size = grown.count()
-        if new_size == size:
-            break
-        marked, size = grown, new_size
-        a, b = jump.alias("a"), jump.alias("b")
-        cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a._nid") == F.col("b._id")]
-        jump = cut_lineage(a.join(b, cond).select(*[F.col(f"a.{k}") for k in keys], F.col("a._id"),
-                                                  F.col("b._nid").alias("_nid")))
-    return marked.select(*keys, F.col("_id").alias(tie))
+        # marks one jump further: positions [2^r, 2^(r+1)) of every chain, all new, as times strictly increase along a
+        # chain; and jumps twice as far
+        marks = reduce(DataFrame.unionByName, marked)
+        far = (marks.select(*keys, F.lit(kinds["marks"]).alias("_kind"), F.lit(None).cast("long").alias("_from"), "_id")
+               .unionByName(jump.select(*keys, F.lit(kinds["jumps"]).alias("_kind"), F.col("_id").alias("_from"), F.col("_nid").alias("_id"))))
+        went = staged(null_safe_join(far, jump, [*keys, "_id"]).select(*keys, "_kind", "_from", "_nid"), "jumped", "_kind")
+        new = went.where(F.col("_kind") == kinds["marks"]).select(*keys, F.col("_nid").alias("_id"))
+        if new.isEmpty():
+            return marks.select(*keys, F.col("_id").alias(tie))
+        marked.append(new)
+        jump = went.where(F.col("_kind") == kinds["jumps"]).select(*keys, F.col("_from").alias("_id"), "_nid")

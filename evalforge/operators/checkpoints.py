@@ -7,8 +7,6 @@ a single ``min_by`` over ``(-metric, name)``, so no sort and no driver loop.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +60,10 @@ def retain_latest(ckpts: DataFrame, step: str = "step", keep: int = KEEP_LAST) -
     return ckpts.orderBy(F.col(step).desc_nulls_last()).limit(int(keep))
 
 
-def expand_checkpoints(prompts: DataFrame, names: Sequence[str], col: str = "checkpoint") -> DataFrame:
-    """Every checkpoint on every prompt.  The checkpoint list is a short
-    literal (the saved checkpoints), exploded per prompt row: a narrow
-    operator, no join and no shuffle."""
-    return prompts.withColumn(col, F.explode(F.array(*[F.lit(n) for n in names])))
+def expand_checkpoints(scored: DataFrame, listing: DataFrame) -> DataFrame:
+    """Every checkpoint of ``listing`` beside every row of ``scored`` (a struct ``ckpt``).
+
+    The listing is metadata, one row a saved checkpoint; it reaches the rows as one scalar subquery, so nothing is
+    collected or broadcast by hand.  Score before you expand: what is wide (texts) should not be in ``scored``."""
+    saved = listing.agg(F.collect_list(F.struct(*listing.columns)).alias("saved")).scalar()
+    return scored.withColumn("ckpt", F.explode(saved))

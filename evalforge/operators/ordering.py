@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .keys import null_safe_join
 
 
@@ -26,10 +27,9 @@ def global_position(df: DataFrame, order: Sequence[Column], num_partitions: int
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    # the checkpoint pins the sampled range boundaries and ids, so a retried
+    # the write pins the sampled range boundaries and ids, so a retried
     # task after an executor loss cannot renumber rows
-    from ..session import cut_lineage
-    ranged = cut_lineage(ranged)
+    ranged = staged(ranged, "positions")
     ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
     per_part = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: a tiny frame, so the unpartitioned window is bounded
@@ -95,19 +95,39 @@ def along(df: DataFrame, group: Sequence[str], step: str, sums: Mapping[str, Col
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
+BRACKET = 10_000  # accuracy of the sketch: a rank is off by at most 1 in BRACKET
+
+
 def exact_percentile(df: DataFrame, group: Sequence[str], value: str, p: float, name: str = "percentile",
-                     num_partitions: int | None = None) -> DataFrame:
-    """Exact percentile with linear interpolation (``percentile`` /
-    ``quantile_cont``: position ``(n - 1) * p``) per group, without holding a
-    group's values in one task: the values are ranked with ``group_rank``
-    (range-partitioned sort) and only the two rows around the position are
-    kept.  NULL values are ignored."""
-    group = list(group)
+                     accuracy: int = BRACKET) -> DataFrame:
+    """Exact percentile with linear interpolation (``percentile`` / ``quantile_cont``: position ``(n - 1) * p``) per
+    group, by selection: no value is sorted but the few around the position.
+
+    1. A mergeable quantile sketch a group, one partial aggregate, brackets the position: its ranks are off by at
+       most n / accuracy, and the bracket is taken 3 n / accuracy wide to either side (a group of up to ``accuracy``
+       rows is its own bracket).
+    2. A second pass counts the values below the bracket and, each distinct value once, those inside it; both are
+       partial aggregates, so a group with a third of the rows is no hot task.  Running counts over the distinct
+       values inside, some 6 n / accuracy rows a group at most, then name the two values at the position.
+
+    NULL values are ignored; a NULL group is a group; NaN is the largest value."""
+    group, p = list(group), float(p)
     v = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    ranked = group_rank(v, group, [F.col("_v").asc()], name="_r", num_partitions=num_partitions)
-    pos = (F.col("_r_count") - 1) * F.lit(float(p))
-    lo = F.floor(pos) + 1
-    hi = F.ceil(pos) + 1
-    near = ranked.where((F.col("_r") == lo) | (F.col("_r") == hi)).withColumn("_frac", pos - F.floor(pos))
-    agg = near.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_frac").alias("_f"))
-    return agg.select(*group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))
+    low, high = p - 3.0 / accuracy, p + 3.0 / accuracy
+    cuts = F.percentile_approx("_v", [max(0.0, low), min(1.0, high)], accuracy)
+    seen = v.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                 cuts.alias("_q"))
+    small = F.col("_n") <= accuracy
+    brackets = seen.select(
+        *group, "_n", F.when(small | F.lit(low <= 0), F.col("_min")).otherwise(F.get("_q", F.lit(0))).alias("_lo"),
+        F.when(small | F.lit(high >= 1), F.col("_max")).otherwise(F.get("_q", F.lit(1))).alias("_hi"))
+    near = (null_safe_join(v, brackets, group).where(F.col("_v") <= F.col("_hi"))
+            .groupBy(*group, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))  # null: below
+            .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")))
+    up_to = F.sum("_c").over(Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first())
+                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = (F.col("_n") - 1) * F.lit(p)
+    first_over = lambda k: F.min(F.when(F.col("_up") > k, F.col("_v")))
+    got = near.withColumn("_up", up_to).withColumn("_at", at).groupBy(*group).agg(
+        first_over(F.floor("_at")).alias("_a"), first_over(F.ceil("_at")).alias("_b"), F.first("_at").alias("_at"))
+    return got.select(*group, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias(name))

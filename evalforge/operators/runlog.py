@@ -111,10 +111,10 @@ def perf_summary(samples: DataFrame, keys: Sequence[str], tok_s: str, tokens: st
                  exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Avg and p99 tokens/s, sample count, total tokens.
 
-    ``exact`` computes the interpolated p99 from a range-partitioned rank
-    (``ordering.exact_percentile``), so a group holding a third of all
-    samples is never buffered in one task; ``exact=False`` uses the
-    mergeable ``percentile_approx`` sketch (one pass, partial aggregation)."""
+    ``exact`` selects the interpolated p99 (``ordering.exact_percentile``: a
+    sketch brackets the rank, counts inside the bracket decide), so a group
+    holding a third of all samples is never sorted or buffered; ``exact=False``
+    uses the mergeable ``percentile_approx`` sketch alone (one pass)."""
     base = samples.groupBy(*keys).agg(F.avg(tok_s).alias("avg_tok_s"),
                                       F.count(F.lit(1)).alias("num_samples"),
                                       F.sum(tokens).alias("total_tokens"))
@@ -154,6 +154,28 @@ def diversity(samples: DataFrame, keys: Sequence[str], output: str, exact: bool
         .withColumn("dup_filtered", F.col("outputs") - F.col("unique_outputs"))
 
 
+SKETCH_BITS = 12               # a distinct sketch has 2 ** SKETCH_BITS registers: standard error 1.04 / 2 ** 6, some 1.6 %
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def diversity_sketches(samples: DataFrame, keys: Sequence[str], output: str) -> DataFrame:
+    """A15, to be stored: outputs and a mergeable distinct sketch of their digests per ``keys`` (a run and epoch, say).
+    NULL outputs count as outputs and are no value."""
+    digest = F.unhex(F.sha2(F.col(output).cast("string"), 256))
+    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("outputs"), F.hll_sketch_agg(digest, SKETCH_BITS).alias("sketch"))
+
+
+def diversity_over(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A15 over any span of stored sketches: united to the coarser ``keys`` without reading an output again.
+    ``unique_low`` and ``unique_high`` bound the distinct count at three standard errors."""
+    g = sketches.groupBy(*keys).agg(F.sum("outputs").alias("outputs"),
+                                    F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_estimate"))
+    off = F.lit(3 * SKETCH_ERROR)
+    return g.select(*keys, "outputs", "unique_estimate", F.floor(F.col("unique_estimate") / (1 + off)).alias("unique_low"),
+                    F.ceil(F.col("unique_estimate") / (1 - off)).alias("unique_high"),
+                    F.try_divide(F.col("unique_estimate").cast("double"), F.col("outputs").cast("double")).alias("unique_ratio"))
+
+
 def memory_growth(batches: DataFrame, run: str, step: str, driver_gb: str, current_gb: str) -> DataFrame:
     """W10 fragmentation proxy (driver-allocated - current-allocated) and
     W9 its growth since the previous batch of the run."""

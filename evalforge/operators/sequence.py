@@ -3,7 +3,7 @@ clean-up cooldown, score-cache expiry and load-phase profiles.
 
 * Closed forms where the recurrence allows one (W11: the KL coefficient is
   ``c0 * exp(gain * running sum)``).
-* A scan of composed affine maps for W4 (``recurrence``).
+* Scaled running sums in chunks for W4 (``recurrence``).
 * Greedy anchors for W14 and W16 by time buckets and pointer doubling
   (``anchors``).
 One path each, whatever the size of a run or key.
@@ -31,8 +31,8 @@ MIN_LOAD_SAMPLES = 5           # the profile runs only for more than 4 samples
 
 def ema(batches: DataFrame, run: str, step: str, x: str, alpha: float = EMA_ALPHA,
         name: str = "ema") -> DataFrame:
-    """``ema = alpha * prev + (1 - alpha) * x`` seeded with the first value, as a scan of
-    composed maps (``recurrence.scan_ema``) for runs of any length."""
+    """``ema = alpha * prev + (1 - alpha) * x`` seeded with the first value, as running sums of scaled
+    values in chunks (``recurrence.scan_ema``) for runs of any length; all columns stay."""
     return scan_ema(batches, run, step, x, alpha, name)
 
 
@@ -101,6 +101,16 @@ def cache_ttl(events: DataFrame, keys: Sequence[str], ts: str, tie: str,
                       (F.col("_miss").isNull() & F.col("_t").isNotNull()).alias("cache_hit"))
 
 
+def cache_stamps(events: DataFrame, keys: Sequence[str], ts: str, tie: str,
+                 ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
+    """State of the score cache after ``events``: keys and ``stamp``, the time of the key's last miss in microseconds.
+    The live form of W16 starts from it."""
+    hits = cache_ttl(events, keys, ts, tie, ttl_seconds).where(~F.col("cache_hit"))
+    timed = events.select(*keys, F.col(tie), F.unix_micros(F.col(ts).cast("timestamp")).alias("stamp"))
+    return (null_safe_join(hits, timed, [*keys, tie]).where(F.col("stamp").isNotNull())
+            .groupBy(*keys).agg(F.max("stamp").alias("stamp")))
+
+
 def ddl(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
 

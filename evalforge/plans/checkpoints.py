@@ -106,16 +106,13 @@ SELECT c.checkpoint, count(*) AS num_test_cases,
 FROM documents d, (SELECT checkpoint, step FROM ckpts WHERE is_checkpoint) c
 GROUP BY c.checkpoint""")
 def checkpoint_eval(spark, sf_dir):
-    """J6 + 3.2: every checkpoint on every prompt in one job; the checkpoint
-    becomes a grouping column instead of an outer loop."""
+    """J6 + 3.2: every checkpoint on every prompt in one job; each prompt is scored once, and the checkpoint
+    becomes a grouping column of the scores instead of an outer loop."""
     c = named_checkpoints(spark, sf_dir).where("is_checkpoint").select("checkpoint", "step")
-    listing = [(r["checkpoint"], r["step"]) for r in c.collect()]   # the saved-checkpoint listing (metadata)
-    steps = F.create_map(*[x for name, st in listing for x in (F.lit(name), F.lit(st))])
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = expand_checkpoints(d, [name for name, _ in listing])
-    score = heuristic_score(F.col("text")) + F.element_at(steps, F.col("checkpoint")) * F.lit(1e-6)
-    return e.groupBy("checkpoint").agg(F.count(F.lit(1)).alias("num_test_cases"),
-                                       r6(F.avg(score), "avg_fine_tuned_score"))
+    scored = table(spark, sf_dir, "documents").select(heuristic_score(F.col("text")).alias("score"))
+    e = expand_checkpoints(scored, c)
+    return e.groupBy(F.col("ckpt.checkpoint").alias("checkpoint")).agg(
+        F.count(F.lit(1)).alias("num_test_cases"), r6(F.avg(F.col("score") + F.col("ckpt.step") * F.lit(1e-6)), "avg_fine_tuned_score"))
 
 
 @query("checkpoint_stats", sql=f"""WITH {NAMED_SQL}

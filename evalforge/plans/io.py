@@ -57,15 +57,18 @@ def jsonl_scan(spark, sf_dir):
     return rows.select("id", "language", F.md5("prompt").alias("prompt_md5"))
 
 
-@query("jsonl_rejects", sql="""
-SELECT reason, count(*) AS num_lines FROM (
-  SELECT CASE WHEN source = 'src9' THEN 'not_an_object' WHEN lang = 'es' THEN 'invalid_json' END AS reason
-  FROM documents WHERE source <> 'src4') WHERE reason IS NOT NULL GROUP BY reason""")
+@query("jsonl_rejects", sql=f"""
+SELECT reason, detail, count(*) AS num_lines FROM (
+  SELECT CASE WHEN source = 'src9' THEN 'not_an_object' WHEN lang = 'es' THEN 'invalid_json' END AS reason,
+         CASE WHEN source = 'src9' THEN 'a JSON list in place of an object'
+              ELSE 'Expecting '','' delimiter: line 1 column ' || (1 + size) || ' (char ' || size || ')' END AS detail
+  FROM (SELECT source, lang, length('{{"prompt":' || to_json(text) || ',"language":' || to_json({LANG_MAP_SQL}) || ',"id":"' || doc_id || '"') AS size FROM documents)
+  WHERE source <> 'src4') WHERE reason IS NOT NULL GROUP BY reason, detail""")
 def jsonl_rejects(spark, sf_dir):
-    """S1 rejects: every bad line with its reason (here counted by reason)."""
+    """S1 rejects: every bad line with its reason and the parser's message (here counted by both)."""
     path = _write_text(prompt_lines(spark, sf_dir), scratch_path(spark, "prompts") + "/train.jsonl")
     _, rejects = J.lenient_jsonl_with_rejects(spark, path)
-    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("num_lines"))
+    return rejects.groupBy("reason", "detail").agg(F.count(F.lit(1)).alias("num_lines"))
 
 
 @query("strict_scan", sql=f"SELECT CAST(doc_id AS VARCHAR) AS id, {LANG_MAP_SQL} AS language FROM documents")
@@ -169,7 +172,7 @@ def nested_roundtrip(spark, sf_dir):
 
 
 @query("split_roundtrip", sql=f"""
-SELECT d.doc_id, s.split, md5(text) AS prompt_md5, {LANG_MAP_SQL} AS language, md5(substr(text, 1, 80)) AS code_md5,
+SELECT d.doc_id, s.split, md5(text) AS prompt_md5, {LANG_MAP_SQL} AS language, md5(text) AS code_md5,
        round(n_chars / 1000.0, 6) AS score, CAST(n_chars AS BIGINT) AS chars, round(1.0 - 1.0 / (1 + n_chars), 6) AS fill
 FROM documents d JOIN ({SPLIT_SQL}) s USING (doc_id)""")
 def split_roundtrip(spark, sf_dir):
@@ -178,7 +181,7 @@ def split_roundtrip(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     key = F.concat(F.coalesce("text", F.lit("")), F.lit("|"), F.coalesce("lang", F.lit("python")))
     d = d.select("doc_id", F.col("text").alias("prompt"), prompt_language(F.col("lang")).alias("language"),
-                 F.substring("text", 1, 80).alias("student_code"), (F.col("n_chars") / 1000.0).alias("score"),
+                 F.col("text").alias("student_code"), (F.col("n_chars") / 1000.0).alias("score"),
                  F.create_map(F.lit("chars"), F.col("n_chars").cast("double"),
                               F.lit("fill"), 1.0 - 1.0 / (1 + F.col("n_chars"))).alias("breakdown"),
                  assign_split(key).alias("split"))

@@ -45,9 +45,7 @@ _DOUBLE_PATHS = [c for c in BATCH_COLUMNS if c.split(".")[0] in
 
 
 def nested_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _gains(spark, sf_dir)
-    e = SQ.ema(g.select("run_id", "step", "reward_mean"), "run_id", "step", "reward_mean").drop("reward_mean")
-    j = g.join(e, ["run_id", "step"])
+    j = SQ.ema(_gains(spark, sf_dir), "run_id", "step", "reward_mean")
     tg = throughput_guarded
     return j.select(
         "run_id", F.date_format("ts0", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_iso"), "epoch", "batch_idx",
@@ -103,11 +101,11 @@ _RENDER = ["timing_s.total", "throughput_tok_s.gen_raw_overall", "rewards.mean",
 
 
 @query("render_numbers", sql=f"""WITH {NESTED_SQL}
-SELECT run_id, "global_step", {", ".join(f'printf(\'%.4g\', "{c}") AS "{c}"' for c in _RENDER)} FROM flat""")
+SELECT run_id, "global_step", {", ".join(f'printf(\'%.4g\', round("{c}", 12)) AS "{c}"' for c in _RENDER)} FROM flat""")
 def render_numbers(spark, sf_dir):
-    """P10: float cells rendered as ``%.4g`` text."""
+    """P10: float cells rendered as ``%.4g`` text (of 12 places: the last bits of an average depend on the order of adding)."""
     f = project_log(flatten(nested_batch_log(spark, sf_dir)), ["global_step", *_RENDER], keep=["run_id"])
-    return f.select("run_id", "global_step", *[render_number_exact(F.col(f"`{c}`")).alias(c) for c in _RENDER])
+    return f.select("run_id", "global_step", *[render_number_exact(F.round(F.col(f"`{c}`"), 12)).alias(c) for c in _RENDER])
 
 
 EPOCH_NESTED_SQL = """

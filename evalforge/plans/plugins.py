@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.extract import extract_code_from_reasoning
 from ..functions.rubric import difficulty_columns, eval_prompt
 from ..functions.repetition import first_code_block, repetition_cut
+from ..functions.scoring import heuristic_score
 from ..functions.unicode import SPACE
+from ..operators.scorecache import new_cache, refresh
 from ..operators.plugins import StubGenerator, apply_reward, generate_batch, python_scorer, score_column, token_length
 from .corpus import LANG_MAP_SQL, prompt_language
 from .registry import query, r6
@@ -165,3 +167,28 @@ def first_code_block_q(spark, sf_dir):
     c = _code(spark, sf_dir)
     t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Intro\n```python\n"), "t", F.lit("\n```\ntail"))).otherwise(F.col("t"))
     return c.select("conv_id", "turn", F.md5(first_code_block(t)).alias("block_md5"))
+
+
+@query("score_cache_runs", sql=f"""
+WITH k AS (
+  SELECT text, {LANG_MAP_SQL} AS language, bool_or(no % 2 = 0) AS first, bool_or(no % 3 = 0) AS second
+  FROM (SELECT *, coalesce(try_cast(substr(source, 4) AS INTEGER), 1) AS no FROM documents)
+  WHERE text IS NOT NULL AND {LANG_MAP_SQL} IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, {h_sql("text")} AS score FROM k),
+r AS (
+  SELECT 1 AS run, 'missing' AS state, score FROM s WHERE first
+  UNION ALL SELECT 2, CASE WHEN first THEN 'hit' ELSE 'missing' END, score FROM s WHERE second
+  UNION ALL SELECT 3, CASE WHEN first THEN 'expired' WHEN second THEN 'hit' ELSE 'missing' END, score FROM s)
+SELECT run, state, count(*) AS num_keys, round(avg(score), 6) AS avg_score FROM r GROUP BY run, state""")
+def score_cache_runs(spark, sf_dir):
+    """J1-J3 + W16 over a stored cache: three runs at 0, 10,000 and 14,400 seconds (even sources, every third source,
+    all); each scores the keys that are new or expired and leaves the next version of the cache."""
+    d = table(spark, sf_dir, "documents").select(
+        F.col("text").alias("prompt"), prompt_language(F.col("lang")).alias("language"),
+        F.coalesce(F.substring("source", 4, 9).try_cast("int"), F.lit(1)).alias("no"))
+    cache, out = new_cache(spark), None
+    for run, (now, which) in enumerate(((0, F.col("no") % 2 == 0), (10_000, F.col("no") % 3 == 0), (14_400, F.lit(True))), 1):
+        scores, cache = refresh(d.where(which), cache, lambda prompt, language: heuristic_score(prompt), now)
+        one = scores.groupBy("state").agg(F.count(F.lit(1)).alias("num_keys"), r6(F.avg("score"), "avg_score")).withColumn("run", F.lit(run))
+        out = one if out is None else out.unionByName(one)
+    return out.select("run", "state", "num_keys", "avg_score")

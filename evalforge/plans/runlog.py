@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..operators import runlog as RL
 from ..operators import sequence as SQ
 from ..functions.scoring import throughput_guarded
+from ..operators.keys import null_safe_join
+from ..session import staged
 from .registry import query, r6
 from .tables import table
 
@@ -345,6 +347,20 @@ def cache_hit_rate(spark, sf_dir):
     return c.select("epoch", "calls", "hits", r6("cache_hit_rate"))
 
 
+@query("diversity_sketch", sql="""
+SELECT event_type AS run_id, count(*) AS outputs, count(DISTINCT value) AS unique_outputs, TRUE AS within
+FROM events GROUP BY event_type""")
+def diversity_sketch(spark, sf_dir):
+    """A15 over any span: distinct sketches stored a (run, epoch) and united to the run, beside the exact count, which
+    three standard errors of the sketch must hold."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), F.col("ts").cast("date").alias("epoch"), "value")
+    stored = staged(RL.diversity_sketches(e, ["run_id", "epoch"], "value"), "diversity-sketches")
+    exact = e.groupBy("run_id").agg(F.count_distinct("value").alias("unique_outputs"))
+    both = null_safe_join(RL.diversity_over(stored, ["run_id"]), exact, ["run_id"])
+    return both.select("run_id", "outputs", "unique_outputs",
+                       F.col("unique_outputs").between(F.col("unique_low"), F.col("unique_high")).alias("within"))
+
+
 @query("diversity", sql="""
 SELECT source, count(*) AS outputs, count(DISTINCT text) AS unique_outputs,
        round(count(DISTINCT text) / count(*), 6) AS unique_ratio, count(*) - count(DISTINCT text) AS dup_filtered

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.jsonl import parse_requests, parse_responses
 from ..streaming import live as L
-from ..streaming.runner import run_available
+from ..streaming.runner import run_available, run_split
 from .registry import ORACLE, query, r6
 from .runlog import BATCHES_SQL as _BATCHES_SQL_REF
 from .runlog import batches
@@ -72,11 +73,15 @@ def _fmt_ts(c: Column) -> Column:
 
 
 @query("stream_ingest", sql="""
-SELECT event_id, user_id AS run_id, CAST(dayofmonth(ts) AS INTEGER) AS epoch, CAST(hour(ts) AS INTEGER) AS batch_idx,
-       round(value / 100, 6) AS reward
-FROM events WHERE NOT (event_type = 'error' AND value < 1)""")
+SELECT 'row' AS kind, event_id, user_id AS run_id, CAST(dayofmonth(ts) AS INTEGER) AS epoch, CAST(hour(ts) AS INTEGER) AS batch_idx,
+       round(value / 100, 6) AS reward, NULL::VARCHAR AS line, NULL::VARCHAR AS reason, NULL::VARCHAR AS detail
+FROM events WHERE NOT (event_type = 'error' AND value < 1)
+UNION ALL
+SELECT 'reject', NULL, NULL, NULL, NULL, NULL, '{"event_id": ' || event_id || ', "ts": ', 'invalid_json',
+       'Expecting value: line 1 column ' || (length(event_id::VARCHAR) + 22) || ' (char ' || (length(event_id::VARCHAR) + 21) || ')'
+FROM events WHERE event_type = 'error' AND value < 1""")
 def stream_ingest(spark, sf_dir):
-    """Live log lines -> parsed rows (bad lines to a side sink)."""
+    """Live log lines -> parsed rows and rejected lines, two sinks of the same micro-batches."""
     e = table(spark, sf_dir, "events")
     line = (F.when((F.col("event_type") == "error") & (F.col("value") < 1),
                    F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "ts": ')))
@@ -84,11 +89,80 @@ def stream_ingest(spark, sf_dir):
     folder = scratch_path(spark, "log-stream")
     glob = stage_chunks(e.select(line.alias("value"), "ts"), _week(F.col("ts")), folder, "text")
     lines = spark.readStream.option("maxFilesPerTrigger", FILES_PER_CHUNK).text(glob)
-    rows, rejects = L.parse_lines(lines, EVENT_SCHEMA)
-    run_available(rejects, "log-rejects")
-    parsed = rows.select("event_id", F.col("user_id").alias("run_id"), F.dayofmonth("ts").alias("epoch"),
-                         F.hour("ts").alias("batch_idx"), r6(F.col("value") / 100, "reward"))
-    return run_available(parsed, "log-rows")
+    parts = run_split(lines, "log", lambda batch: L.parse_lines(batch, EVENT_SCHEMA))
+    rows = parts["rows"].select(F.lit("row").alias("kind"), "event_id", F.col("user_id").alias("run_id"), F.dayofmonth("ts").alias("epoch"),
+                                F.hour("ts").alias("batch_idx"), r6(F.col("value") / 100, "reward"))
+    return rows.unionByName(parts["rejects"].withColumn("kind", F.lit("reject")), allowMissingColumns=True)
+
+
+_ANSWER_SQL = """
+rq AS (
+  SELECT event_id AS id, ts AS asked,
+         CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 = 1 THEN 241 + event_id % 50 ELSE event_id * 7 % 241 END AS took
+  FROM events),
+lim AS (
+  SELECT least(max(asked), max(asked + to_seconds(took))) - INTERVAL '10 minutes' AS mark
+  FROM rq)"""
+
+
+def _timed_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests and answers as JSON lines with their times: every tenth request has no answer, every tenth a late one,
+    the others take 0 to 240 seconds; error events are broken requests, every seventh generation fails."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    i = F.col("event_id")
+    took = F.when(i % 10 == 0, None).when(i % 10 == 1, 241 + i % 50).otherwise(i * 7 % 241)
+    asked = F.when(F.col("event_type") == "error", F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "op": '))).otherwise(
+        F.to_json(F.struct(i.alias("id"), F.lit("generate").alias("op"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("prompt"))))
+    failed = F.when(i % 7 == 0, F.lit("ValueError: bad prompt: p"))
+    said = F.to_json(F.struct(i.alias("id"), failed.isNull().alias("ok"), failed.alias("error"), took.cast("double").alias("seconds")))
+    return (e.select(asked.alias("raw"), "ts"),
+            e.where(took.isNotNull()).select(said.alias("raw"), (F.col("ts") + F.make_dt_interval(secs=took.cast("decimal(18, 6)"))).alias("ts")))
+
+
+@query("stream_requests", sql=f"""WITH {_ANSWER_SQL}
+SELECT CASE WHEN event_type = 'error' THEN -1 ELSE id END AS id, string_split(detail, ':')[1] AS status, detail,
+       CASE WHEN detail IN ('ok', 'ValueError: bad prompt: p') THEN took::DOUBLE END AS seconds, count(*) AS n
+FROM (SELECT rq.*, event_type,
+             CASE WHEN event_type = 'error' THEN 'invalid_json' WHEN took IS NULL OR took > 240 THEN 'timeout'
+                  WHEN id % 7 = 0 THEN 'ValueError: bad prompt: p' ELSE 'ok' END AS detail
+      FROM rq JOIN events ON event_id = id), lim
+WHERE asked + INTERVAL '241 seconds' <= mark GROUP BY ALL""")
+def stream_requests(spark, sf_dir):
+    """S7 + J8 live: requests with their answers on time; without one a timeout, given out once (requests whose time is
+    over by the last watermark)."""
+    requests, responses = _timed_log(spark, sf_dir)
+    root = scratch_path(spark, "request-stream")
+    marks = [df.agg(F.max("ts")).first()[0] for df in (requests, responses)]
+
+    def source(df: DataFrame, name: str) -> DataFrame:
+        glob = stage_chunks(df, _week(F.col("ts")), f"{root}/{name}")
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(glob)
+    rq = source(requests, "asked").select(*parse_requests(F.col("raw")), F.col("ts").alias("asked_at"))
+    rs = source(responses, "said").select(*parse_responses(F.col("raw")), F.col("ts").alias("answered_at"))
+    out = run_available(L.answered_in_time(rq, rs, "asked_at", "answered_at").select("id", "status", "detail", "seconds", "asked_at"),
+                        "requests", "append")
+    over = F.lit(min((m for m in marks if m is not None), default=None)).cast("timestamp_ntz") - F.expr("INTERVAL 841 SECONDS")
+    return out.where(F.col("asked_at") <= over).groupBy("id", "status", "detail", "seconds").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_epochs", sql="""
+SELECT strftime(day, '%Y-%m-%d') AS epoch, run_id, count(DISTINCT hour) AS num_batches, count(*) AS num_samples,
+       round(sum(r)::double / count(*), 6) AS avg_reward, round(sum(l)::double / count(*), 6) AS avg_loss,
+       round(sum(r * r)::double / count(*) - (sum(r)::double / count(*)) * (sum(r)::double / count(*)), 6) AS reward_variance, min(reward) AS reward_min, max(reward) AS reward_max, CAST(sum(tokens) AS BIGINT) AS api_tokens
+FROM (SELECT user_id AS run_id, round(value / 100, 6)::decimal(18, 6) AS r, round(1 - value / 100, 6)::decimal(18, 6) AS l,
+             time_bucket(INTERVAL '1 day', ts) AS day, time_bucket(INTERVAL '1 hour', ts) AS hour,
+             round(value / 100, 6) AS reward, round(1 - value / 100, 6) AS loss, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens
+      FROM events)
+WHERE day + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '2 hours'
+GROUP BY day, run_id""")
+def stream_epochs(spark, sf_dir):
+    """Live epoch rollup: batch statistics by hour, epoch summaries by day over them, closed epochs only, by date."""
+    s = staged_events(spark, sf_dir).select(
+        "ts", F.col("user_id").alias("run_id"), F.round(F.col("value") / 100, 6).alias("reward"),
+        F.round(1 - F.col("value") / 100, 6).alias("loss"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+    out = run_available(L.epoch_rollup(s, "ts", "run_id", "reward", "loss", "tokens"), "epochs", "append")
+    return out.select(F.date_format("epoch_start", "yyyy-MM-dd").alias("epoch"), "run_id", "num_batches", "num_samples", r6("avg_reward"),
+                      r6("avg_loss"), r6("reward_variance"), "reward_min", "reward_max", "api_tokens")
 
 
 @query("stream_windows", sql="""
@@ -201,12 +275,12 @@ def stream_cache_ttl(spark, sf_dir):
 @query("stream_gc_cooldown", sql=None)
 def stream_gc_cooldown(spark, sf_dir):
     """The clean-up cooldown over a live batch-metrics log."""
-    b = batches(spark, sf_dir).select("run_id", "step", "fragmentation_gb", "epoch")
+    b = batches(spark, sf_dir).select("run_id", "step", "fragmentation_gb", "epoch", "ts0")
     folder = scratch_path(spark, "batch-stream")
     glob = stage_chunks(b, F.floor((F.col("epoch") - 1) / 8), folder, "json")
-    s = (spark.readStream.schema("run_id BIGINT, step INT, fragmentation_gb DOUBLE, epoch INT")
+    s = (spark.readStream.schema("run_id BIGINT, step INT, fragmentation_gb DOUBLE, epoch INT, ts0 TIMESTAMP_NTZ")
          .option("maxFilesPerTrigger", FILES_PER_CHUNK).json(glob))
-    g = L.gc_cooldown_stream(s, "run_id", "step", "fragmentation_gb")
+    g = L.gc_cooldown_stream(s, "run_id", "step", "fragmentation_gb", "ts0")
     return run_available(g, "gc-cooldown", "append").select("run_id", "step", "wants_gc", "triggered")
 
 
@@ -220,7 +294,14 @@ def _register_shared_oracles():
 _register_shared_oracles()
 
 
-@query("stream_health", sql="""WITH """ + _BATCHES_SQL_REF[1:] + """,
+@query("stream_health", sql="""WITH RECURSIVE """ + _BATCHES_SQL_REF[1:] + """,
+g AS (
+  SELECT run_id, step, fragmentation_gb > 10.0 AS fires, CASE WHEN fragmentation_gb > 10.0 THEN step END AS last FROM batches WHERE step = 1
+  UNION ALL
+  SELECT b.run_id, b.step, b.fragmentation_gb > 10.0 AND (g.last IS NULL OR b.step - g.last >= 10),
+         CASE WHEN b.fragmentation_gb > 10.0 AND (g.last IS NULL OR b.step - g.last >= 10) THEN b.step ELSE g.last END
+  FROM g JOIN batches b ON b.run_id = g.run_id AND b.step = g.step + 1
+),
 h AS (
   SELECT run_id, step, gen_share_pct, gen_tps, fragmentation_gb, cache_gb, reward_mean,
          fragmentation_gb - lag(fragmentation_gb) OVER (PARTITION BY run_id ORDER BY step) AS growth,
@@ -228,25 +309,25 @@ h AS (
              OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gain
   FROM batches
 )
-SELECT run_id, step, CASE WHEN len(iss) = 0 THEN 'OK' ELSE 'WARN' END AS status, array_to_string(iss, ',') AS issues
+SELECT run_id, step, CASE WHEN len(iss) = 0 THEN 'OK' ELSE 'WARN' END AS status, array_to_string(iss, ',') AS issues, fires AS gc_triggered
 FROM (
-  SELECT run_id, step, list_filter([
+  SELECT h.run_id, h.step, fires, list_filter([
       CASE WHEN gen_share_pct > 85.0 THEN 'gen_bottleneck' END,
       CASE WHEN gen_tps < 6.0 THEN 'low_gen_tps' END,
       CASE WHEN fragmentation_gb > 10.0 THEN 'fragmentation' END,
       CASE WHEN cache_gb > 3.0 THEN 'cache_size' END,
       CASE WHEN growth > 0.75 THEN 'fragmentation_growth' END,
       CASE WHEN gain <= 0 THEN 'no_gain_vs_baseline' END], lambda x: x IS NOT NULL) AS iss
-  FROM h WHERE step > 3 AND step % 5 = 0)""")
+  FROM h JOIN g ON g.run_id = h.run_id AND g.step = h.step WHERE h.step > 3 AND h.step % 5 = 0)""")
 def stream_health(spark, sf_dir):
     """Live health check over a batch-metrics log (running baseline)."""
     b = batches(spark, sf_dir).select("run_id", "step", "epoch", "reward_mean", "gen_share_pct", "gen_tps",
-                                      "fragmentation_gb", "cache_gb")
+                                      "fragmentation_gb", "cache_gb", "ts0")
     folder = scratch_path(spark, "health-stream")
     glob = stage_chunks(b, F.floor((F.col("epoch") - 1) / 8), folder, "json")
     s = (spark.readStream.schema("run_id BIGINT, step INT, epoch INT, reward_mean DOUBLE, gen_share_pct DOUBLE, "
-                                 "gen_tps DOUBLE, fragmentation_gb DOUBLE, cache_gb DOUBLE")
+                                 "gen_tps DOUBLE, fragmentation_gb DOUBLE, cache_gb DOUBLE, ts0 TIMESTAMP_NTZ")
          .option("maxFilesPerTrigger", FILES_PER_CHUNK).json(glob))
     h = L.health_stream(s, "run_id", "step", "reward_mean", "gen_share_pct", "gen_tps", "fragmentation_gb",
-                        "cache_gb")
-    return run_available(h, "health", "append").select("run_id", "step", "status", "issues")
+                        "cache_gb", "ts0")
+    return run_available(h, "health", "append").select("run_id", "step", "status", "issues", "gc_triggered")

@@ -91,3 +91,20 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint to the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: pins what sampling or row numbers decided, cuts the
+    lineage in one job, and lets the write's shuffle files go, as nothing reads them again."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        w = df.write.option("compression", "zstd")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    finally:
+        spark.conf.set(_RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)

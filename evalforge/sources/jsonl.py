@@ -8,6 +8,8 @@ the split in its list, file path, block start, place of the line in the block.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
@@ -62,30 +64,50 @@ def _empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def tag_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank, with the ``reason`` why a line is no JSON object (null for those that are)."""
+    nonblank = lines.where(~F.col("line").rlike(BLANK))
+    keys = F.json_object_keys(F.col("line"))
+    is_obj = keys.isNotNull()
+    looks_json = F.col("line").rlike("^" + SPACE + r"*(\{|\[|\"|-?[0-9]|true|false|null)")
+    parsed_any = F.call_function("try_parse_json", F.col("line")).isNotNull() | is_obj
+    reason = (F.when(is_obj, F.lit(None).cast("string"))
+              .when(parsed_any & looks_json, F.lit("not_an_object"))
+              .otherwise(F.lit("invalid_json")))
+    return nonblank.withColumn("reason", reason)
+
+
+def _fault(line: str) -> str:
+    """The JSON parser's message for a line that is no object."""
+    try:
+        return f"a JSON {type(json.loads(line)).__name__} in place of an object"
+    except (ValueError, RecursionError) as e:
+        return str(e)
+
+
+def with_detail(rejects: DataFrame) -> DataFrame:
+    """``detail``: message of the parser, with line, column and character.  Python sees the rejected lines only."""
+    explain = F.pandas_udf(lambda lines: lines.map(_fault), StringType())
+    return rejects.withColumn("detail", explain("line"))
+
+
 def lenient_jsonl_with_rejects(spark: SparkSession, path: str, schema: str | StructType = PROMPT_SCHEMA,
                                split: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects).  Blank lines are skipped; a line that is not a
     JSON object is a reject with its reason; a duplicated key keeps the last
-    value (``from_json``), as Python's ``json.loads`` does."""
+    value (``from_json``), as Python's ``json.loads`` does.  ``reason`` is the class of the fault,
+    ``detail`` the parser's own words."""
     lines = _lines(spark, path, split)
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     if lines is None:
         empty_schema = StructType(list(st.fields) + [StructField("ord", ORD_SCHEMA), StructField("file", StringType())])
         return (_empty(spark, empty_schema),
                 _empty(spark, StructType([StructField("ord", ORD_SCHEMA), *StructType.fromDDL(
-                    "file STRING, line STRING, reason STRING").fields])))
-    nonblank = lines.where(~F.col("line").rlike(BLANK))
-    keys = F.json_object_keys(F.col("line"))
-    is_obj = keys.isNotNull()
-    looks_json = F.col("line").rlike("^" + SPACE + r"*(\{|\[|\"|-?[0-9]|true|false|null)")
-    parsed_any = F.call_function("try_parse_json", F.col("line")).isNotNull() | is_obj
-    reason = (F.when(is_obj, F.lit(None).cast("string"))
-              .when(parsed_any & looks_json, F.lit("not_an_object"))
-              .otherwise(F.lit("invalid_json")))
-    tagged = nonblank.withColumn("reason", reason)
+                    "file STRING, line STRING, reason STRING, detail STRING").fields])))
+    tagged = tag_lines(lines)
     rows = tagged.where(F.col("reason").isNull()).select(
         F.from_json("line", st).alias("r"), "ord", "file").select("r.*", "ord", "file")
-    rejects = tagged.where(F.col("reason").isNotNull()).select("ord", "file", "line", "reason")
+    rejects = with_detail(tagged.where(F.col("reason").isNotNull()).select("ord", "file", "line", "reason"))
     return rows, rejects
 
 
@@ -137,40 +159,108 @@ def run_summaries(spark: SparkSession, folder: str, grain: str = "batch") -> Dat
     return df
 
 
-WIDE_DEPTH = 8                   # objects in objects that ``wide_rows`` opens; deeper ones stay JSON text
-
-
-def _paths(docs: DataFrame) -> list[tuple[str, ...]]:
-    """Paths of all leaves, in order of first appearance.  Each level is one explode; only distinct paths
-    and their first places are kept, so the driver gets as many rows as there are columns."""
-    level = docs.select("ord", F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("at"), "v")
-    found = None
-    for depth in range(WIDE_DEPTH):
-        inner = level.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
-            "ord", F.concat("path", F.array("key")).alias("path"), F.concat("at", F.array("pos")).alias("at"),
-            F.col("value").alias("v"))
-        kind = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
-        is_object = kind.startswith("OBJECT") if depth < WIDE_DEPTH - 1 else F.lit(False)
-        leaves = inner.where(~is_object).groupBy("path").agg(F.min(F.struct("ord", "at")).alias("first"))
-        found = leaves if found is None else found.union(leaves)
-        level = inner.where(is_object)
-    return [tuple(r["path"]) for r in found.groupBy("path").agg(F.min("first").alias("first")).orderBy("first").collect()]
+MAX_KEYS = 1000                  # an object with more keys over all rows is a map whose keys are data: one column
+
+
+def parse_variant_schema(text: str) -> dict | str:
+    """The schema of a variant (``OBJECT<name: TYPE, ...>``) as nested dicts; types that are no object as text."""
+    at = 0
+
+    def name() -> str:
+        nonlocal at
+        if text[at] != "`":
+            end = text.index(": ", at)
+            out, at = text[at:end], end
+            return out
+        out = []
+        at += 1
+        while text[at] != "`" or text[at + 1] == "`":
+            out.append(text[at])
+            at += 2 if text[at] == "`" else 1
+        at += 1
+        return "".join(out)
+
+    def kind() -> dict | str:
+        nonlocal at
+        if not text.startswith("OBJECT<", at):
+            start, depth = at, 0
+            while at < len(text) and (depth or text[at] not in ",>"):
+                if text[at] == "`":
+                    name()
+                    continue
+                depth += (text[at] in "<(") - (text[at] in ">)")
+                at += 1
+            return text[start:at]
+        at += len("OBJECT<")
+        out: dict = {}
+        while text[at] != ">":
+            key = name()
+            at += 2
+            out[key] = kind()
+            if text[at] == ",":
+                at += 2
+        at += 1
+        return out
+    return kind()
+
+
+def _quoted(path: tuple[str, ...]) -> str:
+    return "$" + "".join('["' + k.replace("\\", "\\\\").replace('"', '\\"') + '"]' for k in path)
+
+
+def _leaves(docs: DataFrame, max_keys: int) -> list[tuple[str, ...]]:
+    """Paths of all leaves.  One partial aggregate merges the schemas of all rows, of any depth; the driver gets that
+    one schema.  Where some rows hold an object and others something else, the objects' schemas are merged
+    by a second aggregate, for all such places together."""
+    out: list[tuple[str, ...]] = []
+    todo: list[tuple[str, ...]] = [()]
+    while todo:
+        mixed: list[tuple[str, ...]] = []
+        at = [F.try_variant_get("v", _quoted(p), "variant") if p else F.col("v") for p in todo]
+        objects = [F.schema_of_variant_agg(F.when(F.schema_of_variant(c).startswith("OBJECT"), c)) for c in at]
+        merged = docs.agg(*[c.alias(f"s{i}") for i, c in enumerate(objects)]).first()
+
+        def walk(path: tuple[str, ...], kind: dict | str) -> None:
+            if isinstance(kind, dict) and len(kind) <= max_keys:
+                for k, inner in kind.items():
+                    walk((*path, k), inner)
+                return
+            out.append(path)
+            if kind == "VARIANT":
+                mixed.append(path)
+        for path, text in zip(todo, merged):
+            kind = parse_variant_schema(text or "VOID")
+            if isinstance(kind, dict):
+                if len(kind) <= max_keys:
+                    for k, inner in kind.items():
+                        walk((*path, k), inner)
+                elif not path:
+                    raise ValueError(f"more than {max_keys} top-level keys: raise max_keys if they are columns")
+        todo = mixed
+    return out
 
 
-def wide_rows(spark: SparkSession, path: str) -> DataFrame:
+def wide_rows(spark: SparkSession, path: str, max_keys: int = MAX_KEYS) -> DataFrame:
     """S5 + P9 without a schema: every JSON object of the file with one text column per dotted key found
-    anywhere in it (the union of all rows), lists as JSON text, plus ``ord``.  Bad lines are dropped."""
+    anywhere in it at any depth (the union of all rows, by name), lists as JSON text, plus ``ord``.  Bad lines are
+    dropped.  A key that holds an object in some rows only has a column of its own beside those of its inner keys;
+    an object with over ``max_keys`` keys in all stays one column of JSON text (a map)."""
     lines = _lines(spark, path)
     if lines is None:
         return _empty(spark, StructType([StructField("ord", ORD_SCHEMA)]))
     docs = (lines.where(F.json_object_keys("line").isNotNull())
             .select("ord", F.try_parse_json("line").alias("v")))
-    quoted = lambda p: "$" + "".join('["' + k.replace("\\", "\\\\").replace('"', '\\"') + '"]' for k in p)
     names: dict[str, list[tuple[str, ...]]] = {}
-    for p in _paths(docs):
+    every = _leaves(docs.select("v"), max_keys)
+    for p in every:
         names.setdefault(".".join(p), []).append(p)
-    cols = [F.coalesce(*[F.try_variant_get("v", quoted(p), "string") for p in ps]).alias(name) for name, ps in names.items()]
-    return docs.select("ord", *cols)
+    inner = {p[:k] for p in every for k in range(1, len(p))}
+
+    def value(p: tuple[str, ...]) -> Column:
+        held = F.try_variant_get("v", _quoted(p), "variant")
+        text = F.try_variant_get("v", _quoted(p), "string")
+        return F.when(~F.schema_of_variant(held).startswith("OBJECT"), text) if p in inner else text
+    return docs.select("ord", *[F.coalesce(*[value(p) for p in ps]).alias(name) for name, ps in names.items()])
 
 
 # ------------------------------- sinks ---------------------------------------
@@ -252,12 +342,16 @@ def match_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
     asks = (F.col("request_status") == "ok") & (F.col("id") != NO_ID)
     j = requests.withColumn("_ask", F.when(asks, F.col("id"))).join(
         responses.withColumnRenamed("id", "_rid"), F.col("_ask") == F.col("_rid"), "left")
+    return j.withColumns(outcome_columns()).drop("_rid", "_ask")
+
+
+def outcome_columns() -> dict[str, Column]:
+    """``detail`` and ``status`` of a request joined with its answer (null ``_rid``: none)."""
     detail = (F.when(F.col("request_status") != "ok", F.col("request_status"))
               .when(F.col("_rid").isNull(), F.lit("timeout"))
               .when(F.col("ok"), F.lit("ok"))
               .otherwise(F.coalesce(F.col("error"), F.lit("error"))))
-    return (j.withColumn("detail", detail).withColumn("status", F.substring_index("detail", ":", 1))
-            .drop("_rid", "_ask"))
+    return {"detail": detail, "status": F.substring_index(detail, ":", 1)}
 
 
 def outcome_counts(matched: DataFrame) -> DataFrame:

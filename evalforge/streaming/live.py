@@ -1,30 +1,38 @@
-"""Structured Streaming forms of the run-log operators.
-
-* X1 live batch log: text lines parsed with the lenient JSON rule; rejects
-  go to a side folder from the same micro-batch.
-* X2/X3 event-time windows (tumbling, sliding) with a watermark.
+"""Structured Streaming forms of the run-log operators.
+
+* X1 live batch log: text lines parsed with the lenient JSON rule; rows and
+  rejects leave the same micro-batch (``runner.run_split``).
+* J8 requests and answers as two streams: a left outer join on the id within the
+  timeout; a request without an answer on time comes out once, as ``timeout``.
+* X2/X3 event-time windows (tumbling, sliding) with a watermark, and the epoch
+  rollup as a second aggregate over the windows of the first.
 * X4 activity sessions with ``session_window``.
 * X5 live de-duplication with ``dropDuplicatesWithinWatermark``.
-* X6 score-cache expiry and X7 clean-up cooldown as ``applyInPandasWithState``
-  with O(1) state per key (the last stamp, expiring by event time / the last
-  trigger); rows inside a micro-batch are sorted by event order before the
-  scan, since arrival order within a batch is arbitrary.
+* X6 score-cache expiry, X7 clean-up cooldown and health check as stateful
+  processors (``transformWithState``): a few numbers a key in the state store,
+  timers by event time that clear the state of a key nobody can hit any more, and
+  an initial state taken from the batch operators.  Rows of a micro-batch are
+  sorted by event order before the scan, as arrival order is arbitrary.
 * X8 late rows: a row whose window the watermark has passed is dropped; a
   query and a test hold rows on both sides of it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.runlog import GC_COOLDOWN_BATCHES, HEALTH_FRAGMENTATION_GB
+from ..operators.runlog import (GC_COOLDOWN_BATCHES, HEALTH_CACHE_GB, HEALTH_FRAGMENTATION_GB, HEALTH_GEN_BOTTLENECK_PCT,
+                                HEALTH_GEN_TARGET_TPS, HEALTH_GRACE_BATCHES, HEALTH_GROWTH_GB, HEALTH_INTERVAL_BATCHES)
 from ..operators.sequence import CACHE_TTL_SECONDS
+from ..sources.jsonl import outcome_columns, tag_lines, with_detail
+
+REQUEST_TIMEOUT_SECONDS = 240  # the generation worker's timeout (fixed value)
+IDLE_RUN_SECONDS = 30 * 86400  # a run without batches for so long is over
 
 
 def event_time(ts: Column) -> Column:
@@ -32,13 +40,11 @@ def event_time(ts: Column) -> Column:
     return ts.cast("timestamp")
 
 
-def parse_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of a text stream; blank lines dropped."""
-    nonblank = lines.where(F.trim(F.col("value")) != "")
-    ok = F.json_object_keys(F.col("value")).isNotNull()
-    rows = nonblank.where(ok).select(F.from_json("value", schema).alias("r")).select("r.*")
-    rejects = nonblank.where(~ok).select(F.col("value").alias("line"), F.lit("invalid_json").alias("reason"))
-    return rows, rejects
+def parse_lines(lines: DataFrame, schema: str) -> dict[str, DataFrame]:
+    """``rows`` and ``rejects`` (line, reason, detail) of text lines; blank lines dropped."""
+    tagged = tag_lines(lines.select(F.col("value").alias("line")))
+    return {"rows": tagged.where("reason IS NULL").select(F.from_json("line", schema).alias("r")).select("r.*"),
+            "rejects": with_detail(tagged.where("reason IS NOT NULL"))}
 
 
 def tumbling_stats(stream: DataFrame, ts: str, keys: Sequence[str], value: str, size: str,
@@ -73,118 +79,211 @@ def live_dedupe(stream: DataFrame, ts: str, keys: Sequence[str], watermark: str)
     return s.dropDuplicatesWithinWatermark(list(keys))
 
 
+def epoch_rollup(stream: DataFrame, ts: str, run: str, reward: str, loss: str, tokens: str, batch: str = "1 hour",
+                 epoch: str = "1 day", watermark: str = "2 hours") -> DataFrame:
+    """A9 per batch window, then A10 per epoch window over the batch windows; an epoch comes out once, when the
+    watermark has passed its end.  ``reward`` and ``loss`` are summed as DECIMAL(18, 6), so the order of rows does not matter.
+    Null values count as rows but not in the means."""
+    dec = lambda c: F.col(c).cast("decimal(18, 6)")
+    s = stream.withColumn("_et", event_time(F.col(ts))).withWatermark("_et", watermark)
+    batches = s.groupBy(F.window("_et", batch).alias("w"), run).agg(
+        F.count(F.lit(1)).alias("n"), F.count(reward).alias("nr"), F.sum(dec(reward)).alias("r"), F.sum(dec(reward) * dec(reward)).alias("rr"),
+        F.count(loss).alias("nl"), F.sum(dec(loss)).alias("l"), F.sum(tokens).alias("tok"),
+        F.min(reward).alias("low"), F.max(reward).alias("high"))
+    e = batches.groupBy(F.window(F.window_time("w"), epoch).alias("e"), run).agg(
+        F.sum("n").alias("num_samples"), F.count(F.lit(1)).alias("num_batches"), F.sum("nr").alias("nr"), F.sum("r").alias("r"),
+        F.sum("rr").alias("rr"), F.sum("nl").alias("nl"), F.sum("l").alias("l"), F.sum("tok").alias("api_tokens"),
+        F.min("low").alias("reward_min"), F.max("high").alias("reward_max"))
+    mean = F.try_divide(F.col("r").cast("double"), F.col("nr"))
+    return e.select(F.col("e.start").alias("epoch_start"), F.col("e.end").alias("epoch_end"), run, "num_batches", "num_samples",
+                    mean.alias("avg_reward"), F.try_divide(F.col("l").cast("double"), F.col("nl")).alias("avg_loss"),
+                    (F.try_divide(F.col("rr").cast("double"), F.col("nr")) - mean * mean).alias("reward_variance"),
+                    "reward_min", "reward_max", "api_tokens")
+
+
+def answered_in_time(requests: DataFrame, responses: DataFrame, asked_at: str, answered_at: str,
+                     timeout_seconds: int = REQUEST_TIMEOUT_SECONDS, watermark: str = "10 minutes") -> DataFrame:
+    """S7 + J8 live: requests (``parse_requests`` columns and ``asked_at``) with the answer (``parse_responses`` columns and
+    ``answered_at``) to the same id that came within the timeout, both ends included.
+
+    An answered request comes out with its answer.  The others come out once, with nulls, when the watermark of both
+    streams has passed ``asked_at`` + timeout: a late answer counts no more than none, and the state of a request
+    is gone.  Refused requests and requests without an id meet no answer and keep the outcome they have."""
+    asks = (F.col("request_status") == "ok") & (F.col("id") >= 0)
+    rq = (requests.withColumn("_asked", event_time(F.col(asked_at))).withWatermark("_asked", watermark)
+          .withColumn("_ask", F.when(asks, F.col("id"))))
+    rs = (responses.withColumn("_said", event_time(F.col(answered_at))).withWatermark("_said", watermark)
+          .withColumnRenamed("id", "_rid"))
+    on_time = F.expr(f"_ask = _rid AND _said >= _asked AND _said <= _asked + INTERVAL {int(timeout_seconds)} SECONDS")
+    j = rq.join(rs, on_time, "left_outer")
+    return j.withColumns(outcome_columns()).drop("_ask", "_rid", "_asked", "_said")
+
+
 # ------------------------------ stateful --------------------------------------
 
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c)
+
+
+class _Stateful(StatefulProcessor):
+    """One value a key, dropped by a timer once it is out of date.
+
+    A key has one timer at a time: if its value has moved on when the timer fires, the timer is set anew."""
+
+    schema = ""
+    out: Sequence[str] = ()  # names of the output columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.value, self.row = handle, handle.getValueState("value", self.schema), Row(*self.out)
+
+    def expiry_ms(self, value: tuple) -> int:
+        raise NotImplementedError
+
+    def keep(self, value: tuple, before: tuple | None, watermark_ms: int) -> None:
+        """Store ``value`` unless the watermark has passed its expiry."""
+        due = self.expiry_ms(value)
+        if due <= watermark_ms:
+            if before is not None:
+                self.value.clear()
+            return
+        if before is None or tuple(before) != tuple(value):
+            self.value.update(value)
+        if before is None:
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.value.get()
+        if held is not None:
+            due = self.expiry_ms(held)
+            if due > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(due)
+            else:
+                self.value.clear()
+        return iter(())
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        value = tuple(initialState[f.split()[0]] for f in self.schema.split(", "))
+        self.value.update(value)
+        self.handle.registerTimer(self.expiry_ms(value))
+
+    def close(self) -> None:
+        pass
+
+
+class ScoreCache(_Stateful):
+    """The stamp of a key's last miss; gone once the watermark has passed stamp + TTL."""
+
+    schema = "stamp LONG"
+
+    def __init__(self, keys: Sequence[str], tie: str, ttl_us: int):
+        self.out, self.tie, self.ttl = (*keys, tie, "cache_hit"), tie, ttl_us
+
+    def expiry_ms(self, value: tuple) -> int:
+        return (value[0] + self.ttl) // 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held, late = self.value.get(), []
+        stamp = None if held is None else held[0]
+        events = []
+        for r in rows:
+            (late if r["_t"] is None else events).append((r["_t"], r[self.tie]))
+        for _, tie in late:  # without a time: a miss that stamps nothing
+            yield self.row(*key, tie, False)
+        for t, tie in sorted(events):
+            age = None if stamp is None else t - stamp
+            hit = age is not None and 0 <= age < self.ttl
+            if age is None or age >= self.ttl:
+                stamp = t
+            yield self.row(*key, tie, hit)
+        if stamp is not None:
+            self.keep((stamp,), held, timerValues.getCurrentWatermarkInMs())
+
+
+def _ddl(df: DataFrame, cols: Sequence[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
 def cache_ttl_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: str,
-                     ttl_seconds: int = CACHE_TTL_SECONDS, watermark: str = "1 hour") -> DataFrame:
-    """Score-cache expiry; the state of a key is one number, the stamp of its last miss, and
-    expires once the watermark has passed stamp + TTL (no event on time can hit it any more).
-    Output: keys, tie, cache_hit.
+                     ttl_seconds: int = CACHE_TTL_SECONDS, watermark: str = "1 hour",
+                     initial: DataFrame | None = None) -> DataFrame:
+    """Score-cache expiry; output: keys, tie, cache_hit.
 
     Event time decides, not arrival: a row is a hit only if the stamp is not after it and younger
-    than the TTL; a row older than the stamp is a miss that leaves the stamp alone."""
-    ttl_us = int(ttl_seconds) * 1_000_000
+    than the TTL; a row older than the stamp is a miss that leaves the stamp alone.  ``initial`` (keys,
+    stamp in microseconds) starts the stream where a batch run ended (``sequence.cache_stamps``)."""
     s = (stream.withColumn("_et", event_time(F.col(ts))).withWatermark("_et", watermark)
-         .select(*keys, tie, "_et", F.unix_micros("_et").alias("_t")))
-    key_ddl = ", ".join(f"{k} {s.schema[k].dataType.simpleString()}" for k in keys)
-    out_schema = f"{key_ddl}, {tie} {s.schema[tie].dataType.simpleString()}, cache_hit BOOLEAN"
+         .select(*keys, tie, "_et", _micros(F.col("_et")).alias("_t")))
+    return s.groupBy(*keys).transformWithState(
+        ScoreCache(keys, tie, int(ttl_seconds) * 1_000_000), f"{_ddl(s, [*keys, tie])}, cache_hit BOOLEAN", "append", "eventTime",
+        None if initial is None else initial.groupBy(*keys))
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stamp = state.get[0] if state.exists else None
-        frames = list(pdfs)
-        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        t, ids = pdf["_t"].to_numpy(dtype="int64"), pdf[tie].to_numpy()
-        hits = np.zeros(len(t), dtype=bool)
-        for i in np.lexsort((ids, t)):
-            age = None if stamp is None else t[i] - stamp
-            if age is None or age >= ttl_us:
-                stamp = int(t[i])
-            else:
-                hits[i] = age >= 0
-        expiry = (stamp + ttl_us) // 1000 + 1
-        if expiry > state.getCurrentWatermarkMs():
-            state.update((stamp,))
-            state.setTimeoutTimestamp(expiry)
-        elif state.exists:
-            state.remove()
-        yield pdf[[*keys, tie]].assign(cache_hit=hits)
-
-    return s.groupBy(*keys).applyInPandasWithState(step, out_schema, "stamp LONG", "append",
-                                                   GroupStateTimeout.EventTimeTimeout)
-
-
-def gc_cooldown_stream(stream: DataFrame, run: str, step_col: str, fragmentation_gb: str,
-                       threshold: float = HEALTH_FRAGMENTATION_GB,
-                       cooldown: int = GC_COOLDOWN_BATCHES) -> DataFrame:
-    """Clean-up trigger with cooldown over a live batch log; state is
-    the step of the last trigger per run."""
-    s = stream.select(run, step_col, fragmentation_gb)
-    out_schema = (f"{run} {s.schema[run].dataType.simpleString()}, "
-                  f"{step_col} {s.schema[step_col].dataType.simpleString()}, wants_gc BOOLEAN, triggered BOOLEAN")
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(step_col, kind="mergesort")
-        last = state.get[0] if state.exists else None
-        wants, trig = [], []
-        for st, fr in zip(pdf[step_col].tolist(), pdf[fragmentation_gb].tolist()):
-            w = fr is not None and not pd.isna(fr) and fr > threshold
-            t = bool(w and (last is None or st - last >= cooldown))
-            if t:
-                last = st
-            wants.append(bool(w))
-            trig.append(t)
-        state.update((last,))
-        out = pdf[[run, step_col]].copy()
-        out["wants_gc"] = wants
-        out["triggered"] = trig
-        yield out
-
-    return s.groupBy(run).applyInPandasWithState(step, out_schema, "last LONG", "append",
-                                                 GroupStateTimeout.NoTimeout)
 
+class Cooldown(_Stateful):
+    """Step of the last clean-up of a run, and the run's latest event time."""
 
-def health_stream(stream: DataFrame, run: str, step_col: str, reward: str, gen_share_pct: str, gen_tps: str,
-                  fragmentation_gb: str, cache_gb: str, baseline_batches: int = 15) -> DataFrame:
-    """X7 live health check (W13 + W9 + W14 on a live batch-metrics log).
+    schema = "last LONG, seen LONG"
 
-    State per run: previous fragmentation (growth), last clean-up trigger
-    (cooldown) and the running baseline over the first ``baseline_batches``
-    batches, so a check due before the baseline is complete uses the
-    batches seen so far.  Emits one row per due batch (after the grace
-    period, every interval) with OK/WARN and the issues."""
-    from ..operators.runlog import (HEALTH_CACHE_GB, HEALTH_GEN_BOTTLENECK_PCT, HEALTH_GEN_TARGET_TPS,
-                                    HEALTH_GRACE_BATCHES, HEALTH_GROWTH_GB, HEALTH_INTERVAL_BATCHES)
-    cols = [run, step_col, reward, gen_share_pct, gen_tps, fragmentation_gb, cache_gb]
-    s = stream.select(*cols)
-    out_schema = (f"{run} {s.schema[run].dataType.simpleString()}, {step_col} INT, status STRING, issues STRING, "
-                  "gc_triggered BOOLEAN")
-
-    def num(v):
-        return None if v is None or pd.isna(v) else float(v)
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = list(pdfs)
-        pdf = (frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)).sort_values(step_col)
-        prev, last, bsum, bn = state.get if state.exists else (None, None, 0.0, 0)
-        rows = []
-        for r in pdf.itertuples(index=False):
-            d = r._asdict()
-            st = int(d[step_col])
-            rew, frag = num(d[reward]), num(d[fragmentation_gb])
+    def __init__(self, run: str, step: str, value: str, threshold: float, cooldown: int, idle_seconds: int):
+        self.out = (run, step, "wants_gc", "triggered")
+        self.step, self.of, self.threshold, self.cooldown, self.idle = step, value, threshold, cooldown, idle_seconds
+
+    def expiry_ms(self, value: tuple) -> int:
+        return value[-1] // 1000 + self.idle * 1000
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.value.get()
+        last, seen = (None, 0) if held is None else held
+        for r in sorted(rows, key=lambda r: r[self.step]):
+            seen = max(seen, r["_t"] or 0)
+            wants = _number(r[self.of]) is not None and r[self.of] > self.threshold
+            fires = wants and (last is None or r[self.step] - last >= self.cooldown)
+            last = r[self.step] if fires else last
+            yield self.row(*key, r[self.step], wants, fires)
+        self.keep((last, seen), held, timerValues.getCurrentWatermarkInMs())
+
+
+def gc_cooldown_stream(stream: DataFrame, run: str, step_col: str, fragmentation_gb: str, ts: str,
+                       threshold: float = HEALTH_FRAGMENTATION_GB, cooldown: int = GC_COOLDOWN_BATCHES,
+                       watermark: str = "1 hour", idle_seconds: int = IDLE_RUN_SECONDS) -> DataFrame:
+    """Clean-up trigger with cooldown over a live batch log with event time ``ts``; a run without a batch for
+    ``idle_seconds`` is forgotten.  Output: run, step, wants_gc, triggered."""
+    s = (stream.withColumn("_et", event_time(F.col(ts))).withWatermark("_et", watermark)
+         .select(run, step_col, fragmentation_gb, "_et", _micros(F.col("_et")).alias("_t")))
+    return s.groupBy(run).transformWithState(
+        Cooldown(run, step_col, fragmentation_gb, float(threshold), int(cooldown), int(idle_seconds)),
+        f"{_ddl(s, [run, step_col])}, wants_gc BOOLEAN, triggered BOOLEAN", "append", "eventTime")
+
+
+def _number(v) -> float | None:
+    return None if v is None or math.isnan(v) else float(v)
+
+
+class Health(_Stateful):
+    """Previous fragmentation, last clean-up, sum and count of the baseline, latest event time."""
+
+    schema = "prev DOUBLE, last LONG, bsum DOUBLE, bn LONG, seen LONG"
+
+    def __init__(self, run: str, step: str, reward: str, share: str, tps: str, frag: str, cache: str, baseline_batches: int,
+                 idle_seconds: int):
+        self.out = (run, step, "status", "issues", "gc_triggered")
+        self.names, self.baseline, self.idle = (step, reward, share, tps, frag, cache), baseline_batches, idle_seconds
+
+    expiry_ms = Cooldown.expiry_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.value.get()
+        prev, last, bsum, bn, seen = (None, None, 0.0, 0, 0) if held is None else held
+        for r in sorted(rows, key=lambda r: r[self.names[0]]):
+            step, seen = int(r[self.names[0]]), max(seen, r["_t"] or 0)
+            reward, share, tps, frag, cache = (_number(r[c]) for c in self.names[1:])
             growth = None if prev is None or frag is None else frag - prev
             prev = frag
-            if st <= baseline_batches and rew is not None:
-                bsum, bn = bsum + rew, bn + 1
-            trig = bool(frag is not None and frag > HEALTH_FRAGMENTATION_GB
-                        and (last is None or st - last >= GC_COOLDOWN_BATCHES))
-            if trig:
-                last = st
-            if st > HEALTH_GRACE_BATCHES and st % HEALTH_INTERVAL_BATCHES == 0:
-                gain = None if bn == 0 or rew is None else rew - bsum / bn
-                share, tps, cache = num(d[gen_share_pct]), num(d[gen_tps]), num(d[cache_gb])
+            if step <= self.baseline and reward is not None:
+                bsum, bn = bsum + reward, bn + 1
+            fires = frag is not None and frag > HEALTH_FRAGMENTATION_GB and (last is None or step - last >= GC_COOLDOWN_BATCHES)
+            last = step if fires else last
+            if step > HEALTH_GRACE_BATCHES and step % HEALTH_INTERVAL_BATCHES == 0:
+                gain = None if bn == 0 or reward is None else reward - bsum / bn
                 issues = [name for name, bad in (
                     ("gen_bottleneck", share is not None and share > HEALTH_GEN_BOTTLENECK_PCT),
                     ("low_gen_tps", tps is not None and tps < HEALTH_GEN_TARGET_TPS),
@@ -192,9 +291,23 @@ def health_stream(stream: DataFrame, run: str, step_col: str, reward: str, gen_s
                     ("cache_size", cache is not None and cache > HEALTH_CACHE_GB),
                     ("fragmentation_growth", growth is not None and growth > HEALTH_GROWTH_GB),
                     ("no_gain_vs_baseline", gain is not None and gain <= 0)) if bad]
-                rows.append((key[0], st, "OK" if not issues else "WARN", ",".join(issues), trig))
-        state.update((prev, last, bsum, bn))
-        yield pd.DataFrame(rows, columns=[run, step_col, "status", "issues", "gc_triggered"])
+                yield self.row(*key, step, "OK" if not issues else "WARN", ",".join(issues), fires)
+        self.keep((prev, last, bsum, bn, seen), held, timerValues.getCurrentWatermarkInMs())
+
 
-    return s.groupBy(run).applyInPandasWithState(
-        step, out_schema, "prev DOUBLE, last LONG, bsum DOUBLE, bn LONG", "append", GroupStateTimeout.NoTimeout)
+def health_stream(stream: DataFrame, run: str, step_col: str, reward: str, gen_share_pct: str, gen_tps: str,
+                  fragmentation_gb: str, cache_gb: str, ts: str, baseline_batches: int = 15, watermark: str = "1 hour",
+                  idle_seconds: int = IDLE_RUN_SECONDS) -> DataFrame:
+    """X7 live health check (W13 + W9 + W14 on a live batch-metrics log with event time ``ts``).
+
+    State per run: previous fragmentation (growth), last clean-up trigger
+    (cooldown) and the running baseline over the first ``baseline_batches``
+    batches, so a check due before the baseline is complete uses the
+    batches seen so far.  Emits one row per due batch (after the grace
+    period, every interval) with OK/WARN, the issues, and whether this batch triggered a clean-up."""
+    cols = [step_col, reward, gen_share_pct, gen_tps, fragmentation_gb, cache_gb]
+    s = (stream.withColumn("_et", event_time(F.col(ts))).withWatermark("_et", watermark)
+         .select(run, *cols, "_et", _micros(F.col("_et")).alias("_t")))
+    return s.groupBy(run).transformWithState(
+        Health(run, *cols, int(baseline_batches), int(idle_seconds)),
+        f"{_ddl(s, [run])}, {step_col} INT, status STRING, issues STRING, gc_triggered BOOLEAN", "append", "eventTime")

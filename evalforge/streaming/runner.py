@@ -9,12 +9,64 @@ location lives in the shared folder, so a restarted query resumes.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import scratch_path
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB: on the executors' disks, with changes in the checkpoint
+    folder, as stateful processors need."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def split_sink(split: Callable[[DataFrame], dict[str, DataFrame]], out: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that writes the parts of a micro-batch side by side, each to the folder of its name and
+    batch id.  The parts come from one reading of the batch; a replayed batch overwrites its own folders, whatever
+    part it had reached."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            for name, part in split(held).items():
+                part.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        finally:
+            held.unpersist()
+    return sink
+
+
+def run_split(stream: DataFrame, name: str, split: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Run a stream over what is available, its micro-batches split into several sinks; the parts by name."""
+    spark = stream.sparkSession
+    root = scratch_path(spark, f"stream-{name}")
+    schemas = {part: df.schema for part, df in split(spark.createDataFrame([], stream.schema)).items()}
+    q = (stream.writeStream.foreachBatch(split_sink(split, f"{root}/out"))
+         .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    out = {}
+    for part, schema in schemas.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out/{part}")
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        out[part] = (spark.read.schema(StructType([*schema.fields, StructField("batch_id", IntegerType())]))
+                     .parquet(f"{root}/out/{part}").drop("batch_id") if there else spark.createDataFrame([], schema))
+    return out
+
+
 def run_available(stream: DataFrame, name: str, output_mode: str = "append",
                   options: dict | None = None) -> DataFrame:
     spark: SparkSession = stream.sparkSession
@@ -28,8 +80,9 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append",
          .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True))
     for k, v in (options or {}).items():
         w = w.option(k, v)
-    q = w.start()
-    q.awaitTermination()
+    with keyed_state(spark):
+        q = w.start()
+        q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     schema = StructType(list(stream.schema.fields) + [StructField("batch_id", IntegerType())])

@@ -124,9 +124,9 @@ def test_render_golden(spark):
     vals = [0.5, 12345.678, 0.00001234, 1.0, 123.45678]
     want = ["0.5", "1.235e+04", "1.234e-05", "1", "123.5"]
     rows = one(spark, [(v,) for v in vals], "v double", S.render_number(F.col("v")).alias("jvm"),
-               render_number_exact(F.col("v")).alias("py"))
+               render_number_exact(F.col("v")).alias("c"))
     assert [r["jvm"] for r in rows] == want
-    assert [r["py"] for r in rows] == want
+    assert [r["c"] for r in rows] == want
 
 
 def test_relative_and_duration(spark):
