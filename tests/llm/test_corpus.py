@@ -149,12 +149,51 @@ def test_stirling_and_seating():
     assert (many == pitmanyor.seat(np.array([1, 2, 1000, 10 ** 7]), np.full(4, 1e-3), 50.0, d, strength, seeds[:4])).all()
 
 
-def test_binomial_draws():
-    rng = np.random.default_rng(4)
-    for n, p in ((8, 0.3), (40, 0.02), (200, 0.5), (10 ** 6, 1e-5), (5, 1.0), (7, 0.0)):
-        got = pitmanyor._binomial(np.full(60_000, n), np.full(60_000, p), rng.integers(0, 2 ** 63, 60_000).astype(np.uint64))
-        assert got.min() >= 0 and got.max() <= n
-        assert abs(got.mean() - n * p) < 0.02 * max(1, n * p) and abs(got.var() - n * p * (1 - p)) < 0.05 * max(0.2, n * p * (1 - p))
+def _exact_moments(c, base, others, discount, strength, top):
+    """Mean and variance of the number of tables, by the Stirling recurrence in full."""
+    row = np.full(top + 2, -np.inf)
+    row[0], t = 0.0, np.arange(top + 2)
+    for n in range(c):
+        stay = np.where((n > discount * t) & (t > 0), row + np.log(np.maximum(n - discount * t, 1e-300)), -np.inf)
+        row = np.logaddexp(np.concatenate([[-np.inf], row[:-1]]), stay)
+    t = np.arange(1, top + 1)
+    z = row[1:top + 1] + np.cumsum(np.log(strength + discount * (others + t - 1))) + t * np.log(base)
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    return (p * t).sum(), (p * t * t).sum() - (p * t).sum() ** 2
+
+
+@pytest.mark.parametrize("discount", [0.6, 0.1, 0.9])
+@pytest.mark.parametrize("c", [32, 33, 200, 257, 600, 5000])
+def test_seating_at_every_size(discount, c):
+    """Drawn tables against the exact conditional: mean within 2 %, spread within 5 %."""
+    n = 8_000
+    for others, base in ((20.0, 0.05), (500.0, 0.01), (1e5, 1e-3), (1e4, 0.05)):
+        got = pitmanyor.seat(np.full(n, c), np.full(n, base), others, discount, 1.0, np.arange(n) * 7919 + 13)
+        mean, var = _exact_moments(c, base, others, discount, 1.0, min(c, 1200))
+        assert got.mean() == pytest.approx(mean, rel=0.02) and got.std() == pytest.approx(var ** 0.5, rel=0.05), (others, base)
+        assert got.min() >= 1 and got.max() <= c
+
+
+def test_stirling_above_the_recurrence():
+    exact = pitmanyor.log_stirling(0.7, 400)
+    got = pitmanyor.log_stirling_above(np.array([270, 400]), 400, 0.7)
+    for row, c in zip(got, (270, 400)):
+        want = exact[c, 1:401]
+        assert np.isneginf(row[c:]).all() and np.abs(row[:c] - want[:c]).max() < 0.12  # the tail by the saddle point
+        assert np.abs(row[:60] - want[:60]).max() < 1e-6
+
+
+def test_wide_dishes():
+    """Thousands of tables: listed numbers and the saddle point agree; equal seeds give equal draws."""
+    n = 400
+    seeds = np.arange(n) * 104729 + 5
+    many = pitmanyor.seat(np.full(n, 2_000_000), np.full(n, 0.02), 5e5, 0.8, 1.0, seeds)
+    assert (many == pitmanyor.seat(np.full(n, 2_000_000), np.full(n, 0.02), 5e5, 0.8, 1.0, seeds)).all()
+    some = pitmanyor.seat(np.full(n, 2_000_000), np.full(n, 0.002), 5e5, 0.8, 1.0, seeds)
+    wide = np.array([pitmanyor._seat_wide(2e6, 0.002, 5e5, 0.8, 1.0, u) for u in (np.arange(n) + 0.5) / n])
+    assert wide.mean() == pytest.approx(some.mean(), rel=0.02) and wide.std() == pytest.approx(some.std(), rel=0.15)
+    assert 8_000 < many.mean() < 13_000
 
 
 def test_spelling_is_a_distribution():
