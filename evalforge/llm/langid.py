@@ -20,6 +20,7 @@ never inputs of a prediction.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,11 +251,105 @@ def predict_languages(docs: DataFrame) -> DataFrame:
             .select("doc_id", "held_out", "p.lang_pred", "p.score"))
 
 
-def keep_known_languages(docs: DataFrame, min_score: float = 0.2) -> DataFrame:
-    """Documents in a learned language: those predicted ``und`` or under ``min_score`` go."""
-    net = fit(docs, crc_mod("doc_id", 5) != 0)
-    return (docs.select(whole_row(docs), language_column(net).alias("found"))
-            .where(F.expr(f"found.lang_pred <> 'und' AND found.score >= {min_score}")).select("row.*"))
+# ---------------------------------------------------------------- filter
+
+OTHER = "\x00other"   # class of what is in no learned language
+SIZES = (24, 48, 80)  # bytes of the texts that the bar is calibrated on
+MARGIN = 0.15
+_SCRIPTS = ((0x0370, 0x03FF), (0x0400, 0x04FF), (0x0590, 0x05EA), (0x0620, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x10A0, 0x10FF),
+            (0x3041, 0x3096), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def strange_texts(clean: list[str], n: int, seed: int) -> list[str]:
+    """``n`` texts of SNIPPET characters in no language: random printable characters, encoded blobs, letters of scripts
+    that ``clean`` does not use, and clean texts with their characters shuffled."""
+    rng = np.random.default_rng(seed)
+    used = set("".join(clean))
+    scripts = [(a, b) for a, b in _SCRIPTS if not any(a <= ord(c) <= b for c in used)]
+    out = []
+    for i in range(n):
+        kind = i % 4
+        if kind == 0:
+            out.append("".join(map(chr, rng.integers(33, 127, SNIPPET))))
+        elif kind == 1:
+            letters = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")[i // 4 % 2]
+            out.append("".join(letters[k] for k in rng.integers(0, len(letters), SNIPPET)))
+        elif kind == 2 and scripts:
+            a, b = scripts[i // 4 % len(scripts)]
+            chars = [chr(c) for c in rng.integers(a, b + 1, SNIPPET)]
+            out.append("".join(" " if k % 7 == 6 else c for k, c in enumerate(chars)))
+        else:
+            own = list(clean[int(rng.integers(len(clean)))]) or ["x"]
+            out.append("".join(own[k] for k in rng.permutation(len(own))))
+    return out
+
+
+class LanguageFilter:
+    """A network with one class more, for texts in no learned language, and the bar of that class by text length.
+
+    The bars are the largest share of the class in held-out clean texts of each length and MARGIN more, one half at
+    least: clean texts stay.  Texts shorter than the shortest length stay."""
+
+    def __init__(self, net: ByteGru, bars: list[float]):
+        self.net, self.bars = net, bars
+
+    @classmethod
+    def train(cls, rows: list[tuple[str, str]], seed: int = 21) -> LanguageFilter | None:
+        """``rows``: (language, snippet); every fourth is held out for the bars.  None without a labelled text."""
+        rows = [r for r in rows if r[1]]
+        fit_rows, held = [r for k, r in enumerate(rows) if k % 4], rows[::4]
+        if not fit_rows or not held:
+            return None
+        clean = [t for _, t in fit_rows]
+        each = max(1, len(clean) // len({lang for lang, _ in fit_rows}))
+        learn = sorted([*fit_rows, *((OTHER, t) for t in strange_texts(clean, 2 * each, seed))])
+        langs = sorted({lang for lang, _ in learn})
+        net = ByteGru(langs)
+        data = [t.encode("utf-8", "replace") for _, t in learn]
+        length = np.array([len(b) for b in data])
+        x = np.zeros((len(data), int(length.max())), np.uint8)
+        for i, b in enumerate(data):
+            x[i, :len(b)] = np.frombuffer(b, np.uint8)
+        net.train(x, length, np.array([langs.index(lang) for lang, _ in learn]))
+        at, bars = langs.index(OTHER), []
+        for size in SIZES:
+            cut = [t.encode("utf-8", "replace")[:size] for _, t in held]
+            bars.append(min(1.0, max(0.5, float(net.document_probabilities([c for c in cut if c])[:, at].max()) + MARGIN)))
+        return cls(net, bars)
+
+    def keeps(self, texts: pd.Series) -> list[bool]:
+        out, todo = [], []
+        for t in texts:
+            some = bool(t) and LETTER.search(t) is not None
+            out.append(some)
+            if some and len(b := t.encode("utf-8", "replace")) >= SIZES[0]:
+                todo.append((len(out) - 1, b))
+        at = self.net.langs.index(OTHER)
+        for k in range(0, len(todo), 512):
+            some = todo[k:k + 512]
+            share = self.net.document_probabilities([b for _, b in some])[:, at]
+            for (i, b), p in zip(some, share):
+                out[i] = bool(p <= self.bars[max(j for j, size in enumerate(SIZES) if len(b) >= size)])
+        return out
+
+
+def keep_known_languages(docs: DataFrame) -> DataFrame:
+    """Documents in a learned language.
+
+    Texts without a letter go, and those whose positions the network gives to the class of strange texts beyond the
+    bar of their length.  Without a labelled row there is nothing to judge by, and all rows stay; with one language
+    it is that language against strange texts.  Very short texts with a letter stay.  All columns come back."""
+    rows = sorted((r["lang"], r["snippet"]) for r in snippets(docs, crc_mod("doc_id", 5) != 0).collect() if r["snippet"])
+    rows = sorted(rows, key=lambda r: zlib.crc32(f"{r[0]}:{r[1]}".encode()))
+    judge = LanguageFilter.train(rows)
+    if judge is None:
+        return docs
+
+    @F.pandas_udf("boolean")
+    def keeps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(judge.keeps(texts.where(texts.notna(), "")), dtype=bool)
+    return docs.select(whole_row(docs), keeps(F.col("text")).alias("keep")).where("keep").select("row.*")
 
 
 @query("op5_language_id")

@@ -7,13 +7,15 @@ released blocks gives every slot one block, and each source stays less than one
 block from its share w * t at every slot t.
 
 Weights are the exact rationals of their doubles over their exact sum, so no
-rounding adds up, however long the input.  The schedule depends on its past
-through one number a source (its blocks so far) alone: the driver walks the
-slots keeping only that, notes it at the start of every segment (at most some
-SEGMENTS of them, and one a phase), and Spark tasks work out the slots of the
-segments' blocks side by side.  When a source runs out, the others go on with
-their weights renormalised, in a new phase whose deviation starts at zero: no
-document is dropped or repeated.
+rounding adds up, however long the input.  Nothing walks all slots: the blocks
+served before a segment follow from its first slot alone (``quota``), by a rule
+that leaves every block before and behind the seam room in its window, and Spark
+tasks serve the segments side by side, earliest deadline first, each from
+the quota of its first slot to that of the next segment's.  When a source runs out,
+the others go on with their weights renormalised, in a new phase whose deviation
+starts at zero: no document is dropped or repeated.  The driver lists some SEGMENTS
+segments, and in each phase walks only from the last slot by which no source can
+have run out to the one where the first has, about one block of that source.
 
 Ranks within a source need no window over a source: documents are cut into
 ranges of doc_id (about equal rows), ranked inside (source, range), and moved
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from itertools import islice
@@ -46,16 +49,6 @@ BLOCK, PERIOD, BUCKETS = 16, 1000, 8
 SEGMENTS = 1000  # PERIOD: least slots of a segment
 
 
-def shares(weights: list[float], q: int) -> list[int]:
-    """Integers of at least 1 in proportion to the weights, q in sum (largest remainders)."""
-    total = math.fsum(weights)
-    exact = [w / total * (q - len(weights)) for w in weights]
-    out = [1 + int(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))[:q - sum(out)]:
-        out[i] += 1
-    return out
-
-
 def whole_weights(weights: list[float]) -> list[int]:
     """Integers in exactly the proportion of the weights."""
     exact = [Fraction(w) for w in weights]
@@ -63,59 +56,105 @@ def whole_weights(weights: list[float]) -> list[int]:
     return [int(x * scale) for x in exact]
 
 
-def pfair(weights: list[int], done: list[int], slot: int) -> Iterator[int]:
+def quota(weights: list[int], at: int) -> list[int]:
+    """Blocks of each source served before slot ``at``: its share rounded down or up.
+
+    Blocks whose window lies across ``at`` go before it by their deadline, as long as enough slots are left for all that
+    is released so late; as the shares themselves keep to both sides, a choice that does exists, and taking
+    the earliest deadline that still fits finds it (the sets that fit form a matroid)."""
+    total = sum(weights)
+    low = [w * at // total for w in weights]
+    wanted = at - sum(low)
+    if not wanted:
+        return low
+    across = [i for i, w in enumerate(weights) if w * at % total]
+    release = {i: low[i] * total // weights[i] for i in across}
+    starts = sorted(set(release.values()))
+    # room[k]: blocks across that may go before ``at`` of those released from starts[k] on; from each slot a back to the
+    # start before, the slots left from a on less the whole blocks released there
+    room, whole = np.zeros(len(starts), np.int64), 0
+    behind = [(-((n - 1) * total // w), n - 1, w) for n, w in zip(low, weights) if n]
+    heapq.heapify(behind)
+
+    def release_from(a: int) -> None:
+        nonlocal whole
+        while behind and -behind[0][0] >= a:
+            _, j, w = heapq.heappop(behind)
+            whole += 1
+            if j:
+                heapq.heappush(behind, (-((j - 1) * total // w), j - 1, w))
+    for k in reversed(range(len(starts))):
+        release_from(starts[k])
+        room[k], stop = at - starts[k] - whole, starts[k - 1] if k else starts[k]
+        while behind and -behind[0][0] > stop:
+            a = -behind[0][0]
+            release_from(a)
+            room[k] = min(room[k], at - a - whole)
+    for i in sorted(across, key=lambda i: (-(-(low[i] + 1) * total // weights[i]), i)):
+        late = bisect_right(starts, release[i])
+        if (room[:late] > 0).all():
+            room[:late] -= 1
+            low[i] += 1
+            wanted -= 1
+            if not wanted:
+                return low
+    raise AssertionError("no choice of blocks keeps to all windows")
+
+
+def pfair(weights: list[int], done: list[int], slot: int, end: int | None = None, goal: list[int] | None = None) -> Iterator[int]:
     """Source of each slot from ``slot`` on, ``done`` blocks of each source being served before it: earliest deadline
-    first among the released.  A source's blocks come in order, so only its next one is held."""
+    first among the released.  A source's blocks come in order, so only its next one is held.  ``end``, ``goal``: the slot
+    before which exactly ``goal`` blocks of each source are to be served."""
     total = sum(weights)
 
     def next_block(i: int, j: int) -> tuple[int, int, int, int]:
-        return j * total // weights[i], -(-(j + 1) * total // weights[i]), i, j
-    waiting, ready = [next_block(i, j) for i, j in enumerate(done)], []
+        due = -(-(j + 1) * total // weights[i])
+        return j * total // weights[i], due if end is None else min(due, end), i, j
+    waiting, ready = [next_block(i, j) for i, j in enumerate(done) if goal is None or j < goal[i]], []
     heapq.heapify(waiting)
-    while True:
+    while waiting or ready:
         while waiting and waiting[0][0] <= slot:
             heapq.heappush(ready, heapq.heappop(waiting)[1:])
         due, i, j = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a deadline was missed")
         yield i
-        heapq.heappush(waiting, next_block(i, j + 1))
+        if goal is None or j + 1 < goal[i]:
+            heapq.heappush(waiting, next_block(i, j + 1))
         slot += 1
 
 
-def pfair_period(p: list[int]) -> list[np.ndarray]:
-    """Slots of each source's blocks within one period of sum(p) slots."""
-    out: list[list[int]] = [[] for _ in p]
-    for slot, i in enumerate(islice(pfair(p, [0] * len(p), 0), sum(p))):
-        out[i].append(slot)
-    return [np.array(x, np.int64) for x in out]
-
-
 def segments(blocks: list[int], weights: list[int], size: int) -> Iterator[tuple]:
-    """(first slot, slots, phase's first slot, sources, their blocks before the phase, their blocks within it)."""
-    left, at = list(blocks), 0
+    """(first slot, slots, phase's first slot, sources, their blocks before the phase, whether the phase ends here)."""
+    left, start = list(blocks), 0
     while any(left):
         act = [i for i, n in enumerate(left) if n]
-        before, done = [blocks[i] - left[i] for i in act], [0] * len(act)
-        start, served = at, pfair([weights[i] for i in act], done, 0)
-        while all(left[i] for i in act):
-            first, noted = at, list(done)
-            if len(act) == 1:
-                n = min(size, left[act[0]])
-                done[0] += n
-                left[act[0]] -= n
-                at += n
-            else:
-                for k in islice(served, size):
-                    done[k] += 1
-                    left[act[k]] -= 1
-                    at += 1
-                    if not left[act[k]]:
-                        break
-            yield first, at - first, start, act, before, noted
-
-
-SEGMENT = ("first long, n long, start long, act array<int>, before array<long>, done array<long>")
+        before, own = [blocks[i] - left[i] for i in act], [weights[i] for i in act]
+        total = sum(own)
+        last = left[act[0]] if len(act) == 1 else min((left[i] - 1) * total // weights[i] for i in act)
+        for at in range(0, last, size):
+            yield start + at, min(size, last - at), start, act, before, False
+        done, n = quota(own, last), 0
+        if len(act) > 1:
+            served = pfair(own, done, last)
+            while all(done[k] < left[i] for k, i in enumerate(act)):
+                done[next(served)] += 1
+                n += 1
+            yield start + last, n, start, act, before, True
+        for k, i in enumerate(act):
+            left[i] -= done[k]
+        start += last + n
+
+
+def serve(weights: list[int], first: int, n: int, ends: bool) -> tuple[list[int], list[int]]:
+    """Blocks done before a segment at slot ``first`` of its phase, and the sources of its ``n`` slots."""
+    done = quota(weights, first)
+    if ends:
+        return done, list(islice(pfair(weights, done, first), n))
+    return done, list(pfair(weights, done, first, first + n, quota(weights, first + n)))
+
+
+SEGMENT = "first long, n long, start long, act array<int>, before array<long>, ends boolean"
 
 
 def block_slots(spark: SparkSession, names: list[str], blocks: list[int], weights: list[float], period: int) -> DataFrame:
@@ -126,13 +165,14 @@ def block_slots(spark: SparkSession, names: list[str], blocks: list[int], weight
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                at = [b + d for b, d in zip(r.before.tolist(), r.done.tolist())]
-                own, block = [], []
-                for k in islice(pfair([whole[i] for i in r.act], r.done.tolist(), r.first - r.start), r.n):
-                    own.append(names[r.act[k]])
+                done, order = serve([whole[i] for i in r.act], r.first - r.start, r.n, r.ends)
+                at = [b + d for b, d in zip(r.before.tolist(), done)]
+                block = []
+                for k in order:
                     block.append(at[k])
                     at[k] += 1
-                yield pd.DataFrame({"name": own, "block": block, "slot": np.arange(r.first, r.first + r.n)})
+                yield pd.DataFrame({"name": [names[r.act[k]] for k in order], "block": block,
+                                    "slot": np.arange(r.first, r.first + r.n)})
     plan = spark.createDataFrame(rows, SEGMENT).repartition(max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return plan.mapInPandas(run, "name string, block long, slot long")
 

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from evalforge.llm import fingerprint, langid, licenses, pii, warc
 
@@ -194,6 +195,43 @@ def test_language_of_held_out(spark, prose, nasty, empty):
     assert {r.lang_pred for r in langid.predict_languages(unlabelled).collect()} == {"und"}
 
 
+def test_windows_against_the_full_recurrence():
+    """Long texts are cut into windows with some context: label the same, probabilities within 0.05."""
+    net = langid.ByteGru(["a", "b"])
+    rng = random.Random(2)
+    text = lambda k, n: " ".join("".join(rng.choice(("thesi", "zkrun")[k]) for _ in range(rng.randint(2, 6))) for _ in range(n)).encode()
+    train = [(k, text(k, 12)[:60]) for k in (0, 1) for _ in range(150)]
+    x = np.zeros((300, 60), np.uint8)
+    for i, (_, b) in enumerate(train):
+        x[i, :len(b)] = np.frombuffer(b, np.uint8)
+    net.train(x, np.array([len(b) for _, b in train]), np.array([k for k, _ in train]), epochs=4)
+    texts = [text(k % 2, n) if n % 2 else text(0, n // 2) + b" " + text(1, n // 2) for k, n in enumerate(range(100, 400, 7))]
+    got = net.document_probabilities(texts)
+    for t, row in zip(texts, got):
+        whole = net._windows(np.frombuffer(t, np.uint8)[:, None].astype(np.intp), np.array([len(t)]), np.array([0]), np.array([len(t)]))[:, 0] / len(t)
+        assert abs(row - whole).max() < 0.05 and (row.argmax() == whole.argmax() or abs(whole[0] - whole[1]) < 0.1)
+
+
+def test_language_filter_decides(spark, prose):
+    """Strange texts go, clean and short ones stay, repeated lines and odd columns too; without labels all stay."""
+    rng = random.Random(4)
+    junk = ["".join(chr(rng.randrange(33, 127)) for _ in range(200)) for _ in range(30)]
+    junk += ["".join(rng.choice("0123456789abcdef") for _ in range(300)) for _ in range(30)]
+    junk += ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(90)) for _ in range(30)]
+    short = ["Ja.", "the", "rin gat"]
+    rows = list(prose) + [(10_000 + i, t, "xa", "s", 0) for i, t in enumerate(junk)] + [(20_000 + i, t, None, None, None) for i, t in enumerate(short)]
+    docs = spark.createDataFrame([r for r in rows if r[0] < 10_000 or r[0] >= 20_000 or r[0] % 5], SCHEMA).withColumn("keep", F.lit("own"))
+    unlabelled = docs.withColumn("lang", F.when(F.col("doc_id") < 10_000, F.col("lang")))
+    kept = {r.doc_id for r in langid.keep_known_languages(unlabelled).collect()}
+    assert [i for i in range(400) if i not in kept] == [] and {20_000, 20_001, 20_002} <= kept
+    gone = [i for i in range(10_000, 10_090) if i % 5]
+    assert sum(i in kept for i in gone) <= 0.05 * len(gone)
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_known_languages(none).count() == docs.count()
+    one = docs.where("doc_id < 400 and lang = 'xa'")
+    assert langid.keep_known_languages(one).count() == one.count() and langid.keep_known_languages(docs.limit(0)).count() == 0
+
+
 # -- licences
 
 def test_every_rule_passes_its_keyword():
