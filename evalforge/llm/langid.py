@@ -255,7 +255,7 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 OTHER = "\x00other"   # class of what is in no learned language
 SIZES = (24, 48, 80)  # bytes of the texts that the bar is calibrated on
-MARGIN = 0.15
+LEAST_BAR, MOST_BAR = 0.9, 0.995
 _SCRIPTS = ((0x0370, 0x03FF), (0x0400, 0x04FF), (0x0590, 0x05EA), (0x0620, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x10A0, 0x10FF),
             (0x3041, 0x3096), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 
@@ -287,8 +287,8 @@ def strange_texts(clean: list[str], n: int, seed: int) -> list[str]:
 class LanguageFilter:
     """A network with one class more, for texts in no learned language, and the bar of that class by text length.
 
-    The bars are the largest share of the class in held-out clean texts of each length and MARGIN more, one half at
-    least: clean texts stay.  Texts shorter than the shortest length stay."""
+    A bar lies half way from the largest share of the class in held-out clean texts of its length to one, from LEAST_BAR to
+    MOST_BAR: clean texts stay.  Texts shorter than the shortest length stay."""
 
     def __init__(self, net: ByteGru, bars: list[float]):
         self.net, self.bars = net, bars
@@ -314,7 +314,8 @@ class LanguageFilter:
         at, bars = langs.index(OTHER), []
         for size in SIZES:
             cut = [t.encode("utf-8", "replace")[:size] for _, t in held]
-            bars.append(min(1.0, max(0.5, float(net.document_probabilities([c for c in cut if c])[:, at].max()) + MARGIN)))
+            most = float(net.document_probabilities([c for c in cut if c])[:, at].max())
+            bars.append(min(MOST_BAR, max(LEAST_BAR, (1 + most) / 2)))
         return cls(net, bars)
 
     def keeps(self, texts: pd.Series) -> list[bool]:
