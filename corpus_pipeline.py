@@ -4,6 +4,9 @@
 and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs.  All but the last return the columns of ``documents``; the
 last returns the pieces of packed sequences.
+
+Defined cases: an empty table gives no pieces; without labelled rows the language
+stage keeps all; texts without a letter go there, null texts among them.
 """
 
 from __future__ import annotations
