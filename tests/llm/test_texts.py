@@ -118,6 +118,39 @@ def test_added_spans(planted):
     assert pii.SpanModel.train([]).added("+1 555 1234567", []) == []
 
 
+def test_added_kinds_are_found(planted):
+    """Keys, spelled addresses, local phones and social security numbers of a test set of its own: recall 0.9 a kind at
+    precision 0.98 over all; clean texts, dates, prices, slugs and plain "at ... dot ..." stay."""
+    model = pii.SpanModel.train(planted)
+    rng = random.Random(77)
+    prose = lambda n: " ".join("".join(rng.choice("aeioubdlmnrst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    make = {
+        "key": lambda: (rng.choice(('token = "', "secret='", 'api_key: "')), "".join(rng.choice("0123456789abcdef") for _ in range(40)), 1),
+        "spelled": lambda: ("mail ", f"{prose(1)}{rng.choice((' at ', '(at)', ' [at] '))}{prose(1)}{rng.choice((' dot ', '(dot)'))}{rng.choice(('com', 'org', 'net'))}", 0),
+        "phone": lambda: ("call ", rng.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}")), 0),
+        "ssn": lambda: ("ssn ", f"{digits(3)}-{digits(2)}-{digits(4)}", 0)}
+    right = wrong = 0
+    for kind, one in make.items():
+        hits = 0
+        for _ in range(150):
+            before, body, quoted = one()
+            lead = f"{prose(8)}. {before}"
+            text = f"{lead}{body}{(before[-1] if quoted else ' ')} {prose(6)}"
+            base, _ = pii.base_spans(text)
+            spans = {(s, e) for _, s, e in [*base, *model.added(text, base)]}
+            hit = (len(lead), len(lead) + len(body)) in spans
+            hits += hit
+            right, wrong = right + hit, wrong + len(spans) - hit
+        assert hits >= 0.9 * 150, kind
+    for _ in range(300):
+        body = rng.choice((f"in {rng.randint(1900, 2030)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"1.{digits(3)}.{digits(3)}", f'title = "{prose(6).replace(" ", "-")}xxxxxxxxxx"',
+                           f"{prose(1)} at {prose(1)} dot {prose(1)}ing", f"page {digits(3)}", prose(3), f"version 1.2.{digits(3)}"))
+        text = f"{prose(9)} {body} {prose(9)}."
+        wrong += len(model.added(text, []))
+    assert right / (right + wrong) >= 0.98, (right, wrong)
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
