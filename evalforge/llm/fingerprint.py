@@ -10,27 +10,33 @@ weights that voted for a bit (sum > 0 is the same as 2 * counter > total).
 Search: 128 bits in ``BLOCKS`` blocks; two fingerprints within ``RADIUS`` bits
 agree in at least BLOCKS - RADIUS blocks.  There is a table for each choice of
 that many blocks (the bits permuted so that those blocks lead), keyed by their
-value.  Members of a key are compared in chunks of about ``CHUNK``: each member
-meets each chunk of its key as an array and counts its neighbours in it, so no
-pair is emitted, no key is gathered, and a key of any size is split by its
-measured count.  A pair counts only in the first table that shows it.
+value.  Members of a key are compared in chunks of about ``CHUNK``, as many as its
+measured count asks for: each chunk goes to each other as an array, joined by the
+other's number, and each member counts its neighbours there, so no pair is emitted,
+no key is gathered, and a key of any size is as many join keys as it has chunks.
+A pair counts only in the first table that shows it.
+
+Results return to the rows by fingerprint.  A fingerprint of more than 1/HOT of all
+rows is one of at most HOT; those are broadcast, so copies of one text stay where they are.
 
 Defined cases: null text is empty; an empty or white-space text has no terms
 and fingerprint zero; null doc_ids sort first; equal doc_ids are ordered by
-text; a single document is its own next one; repeated rows come back each.
+a hash of the text, then the text; a single document is its own next one; repeated rows come back each.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST, range_bucket, range_starts, written
+from .common import LOWEST, repeated, written
 from .registry import documents, query
 
 BLOCKS, RADIUS, CHUNK, BUCKETS = 8, 6, 256, 8
+HOT = 1 << 14  # rows of the broadcast, at most: 40 bytes each
 LANE = 0x0000000100000001
 
 
@@ -68,26 +74,56 @@ def votes(rows: DataFrame, keys: list[str], h: str = "h", w: str = "w") -> DataF
     return got.select(*keys, half("hi").alias("hi"), half("lo").alias("lo"))
 
 
+def _range_cuts(docs: DataFrame, buckets: int) -> list[tuple[int, int]]:
+    """Lower ends (id, hash of the text) of at most about ``buckets`` ranges of near-equal row counts, ascending.
+
+    An id that holds several quantiles is cut by the hash of its texts, each cut at a hash that occurs; for other ids
+    the hash is LOWEST.  The list is as long as the number of ranges.  Null ids count as the least long."""
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
+    shares = [k / buckets for k in range(1, buckets)] or [0.5]
+    row = docs.select(at.alias("v")).agg(F.min("v").alias("lo"),
+                                         F.percentile_approx("v", shares, 20 * buckets).alias("q")).first()
+    if row is None or row["lo"] is None:
+        return []
+    parts = Counter(row["q"])
+    cuts = {(v, LOWEST) for v in {row["lo"], *parts} if parts[v] < 2}
+    if hot := {v: n for v, n in parts.items() if n > 1}:
+        n = F.element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("v"))
+        h = docs.select(at.alias("v"), _text_hash("text").alias("h")).where(F.col("v").isin(*hot))
+        sub = F.floor((F.col("h") / float(2 ** 64) + 0.5) * n)
+        cuts |= {(r["v"], r["h"]) for r in h.groupBy("v", sub.alias("sub")).agg(F.min("h").alias("h")).collect()}
+    return sorted(cuts)
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(2))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(part, place, own, doc_id, text, next): each text with the text of the next document by doc_id (the first
-    after the last).  Documents are cut into ranges of doc_id; the first rows of a range also
-    stand, as guests (``own`` false), at the end of the range before."""
+    after the last).  Documents are cut into ranges of doc_id, an id of very many rows by the hash of its texts too;
+    the first rows of a range also stand, as guests (``own`` false), at the end of the range before."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    starts = range_starts(docs, "doc_id", BUCKETS * n)
-    m = max(1, len(starts))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       range_bucket("doc_id", starts).alias("part"))
+    cuts = _range_cuts(docs, BUCKETS * n) or [(LOWEST, LOWEST)]
+    m = len(cuts)
     at = F.coalesce("doc_id", F.lit(LOWEST))
-    first = F.get(F.array(*[F.lit(int(s)) for s in starts or [LOWEST]]), F.col("part")) == at
+    ids, hashes = (F.array(*[F.lit(c[k]) for c in cuts]) for k in (0, 1))
+    steps = [1 << k for k in reversed(range(m.bit_length()))]
+    reached = lambda i: (F.get(ids, i) < at) | ((F.get(ids, i) == at) & (F.get(hashes, i) <= F.col("h")))
+    part = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
+                       lambda i, s: F.when((i + s < m) & reached(i + s), i + s).otherwise(i))
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                        _text_hash("text").alias("h")).withColumn("part", part))
+    low = F.get(hashes, F.col("part"))
+    first = (F.get(ids, F.col("part")) == at) & ((low == LOWEST) | (low == F.col("h")))
     place = lambda part, wrap, own: F.struct(
-        F.lit(part).cast("int").alias("part") if isinstance(part, int) else part.cast("int").alias("part"),
-        wrap.alias("wrap"), F.lit(own).alias("own"))
+        part.cast("int").alias("part"), wrap.alias("wrap"), F.lit(own).alias("own"))
     here = place(F.col("part"), F.lit(False), True)
     before = place(F.pmod(F.col("part") - 1, F.lit(m)), F.col("part") == 0, False)
-    spread = rows.select("doc_id", "text", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))
-                         .alias("p")).select("doc_id", "text", "p.*")
-    order = Window.partitionBy("part").orderBy("wrap", F.coalesce("doc_id", F.lit(LOWEST)), "text", F.desc("own"))
+    spread = rows.select("doc_id", "text", "h", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))
+                         .alias("p")).select("doc_id", "text", "h", "p.*")
+    order = Window.partitionBy("part").orderBy("wrap", at, "h", "text", F.desc("own"))
     return spread.select("part", F.row_number().over(order).alias("place"), "own", "doc_id", "text",
                          F.coalesce(F.lead("text").over(order), F.lit("")).alias("next"))
 
@@ -138,11 +174,13 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, ch
                      for t, use in enumerate(tables)])
     index = own.select("hi", "lo", F.explode(keys).alias("k")).select("hi", "lo", "k.*")
     shared = index.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(index.join(shared, ["table", "key"]).select(
-        "table", "key", "hi", "lo", F.pmod(F.xxhash64("hi", "lo", F.lit(3)), F.ceil(F.col("n") / chunk)).alias("chunk")),
-        "block-tables")
-    chunks = members.groupBy("table", "key", "chunk").agg(F.collect_list(F.struct("hi", "lo")).alias("many"))
-    met = members.select("table", "key", "hi", "lo").join(chunks.select("table", "key", "many"), ["table", "key"])
+    members = index.join(shared, ["table", "key"]).withColumn("of", F.ceil(F.col("n") / chunk)).withColumn(
+        "chunk", F.pmod(F.xxhash64("hi", "lo", F.lit(3)), F.col("of")))
+    chunks = written(members.groupBy("table", "key", "chunk", "of").agg(F.collect_list(F.struct("hi", "lo")).alias("many")),
+                     "block-tables")
+    asked = repeated(chunks.select("table", "key", "of", F.col("many").alias("mine")), "of", "other")
+    met = (asked.withColumn("chunk", F.col("other") - 1).join(chunks.drop("of"), ["table", "key", "chunk"])
+           .select("table", "many", F.explode("mine").alias("m")).select("table", "many", "m.*"))
 
     def linked(x: Column) -> Column:
         a, b = x["hi"].bitwiseXOR(hi), x["lo"].bitwiseXOR(lo)
@@ -171,10 +209,17 @@ def _hex(hi: str, lo: str) -> Column:
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also class_id, the smallest doc_id with the same fingerprint, and n_links, the number of
     other fingerprints of documents within RADIUS bits."""
-    rows = written(fingerprints(documents(spark, sf_dir)), "document-fingerprints")
-    classes = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"))
-    linked = classes.join(neighbours(rows), ["hi", "lo"], "left")
-    return rows.join(linked, ["hi", "lo"]).select(
+    return with_links(written(fingerprints(documents(spark, sf_dir)), "document-fingerprints")).select(
         "doc_id", "n_chars", "edited_sha256", _hex("hi", "lo").alias("fingerprint"),
-        _hex("edited_hi", "edited_lo").alias("edited_fingerprint"), "near_edited", "near_next", "class_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        _hex("edited_hi", "edited_lo").alias("edited_fingerprint"), "near_edited", "near_next", "class_id", "n_links")
+
+
+def with_links(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """``rows`` (doc_id, hi, lo, ...) with class_id and n_links."""
+    classes = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    linked = written(classes.join(neighbours(classes), ["hi", "lo"], "left").select(
+        "hi", "lo", "class_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "fingerprint-classes")
+    many = F.col("copies") * hot > (linked.agg(F.sum("copies")).first()[0] or 0)
+    often, rare = linked.where(many).drop("copies"), linked.where(~many).drop("copies")
+    return (rows.join(F.broadcast(often), ["hi", "lo"])
+            .unionByName(rows.join(F.broadcast(often), ["hi", "lo"], "left_anti").join(rare, ["hi", "lo"])))

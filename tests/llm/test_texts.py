@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evalforge.llm import fingerprint, langid, licenses, pii, warc
@@ -17,15 +18,83 @@ from .conftest import SCHEMA, nasty_rows
 
 # -- fingerprints
 
+def signed(h):
+    return h - 2 ** 64 if h >> 63 else h
+
+
+def chained(*parts):
+    """xxhash64 over several values, as SQL has it: each seeds the next."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p, seed=h)
+    return h
+
+
 def edited(rows):
-    order = sorted(((d if d is not None else -2 ** 63, t or "") for d, t, *_ in rows))
-    texts = [t for _, t in order]
-    return [(t, t[:len(t) - len(t) // 2] + n[:len(t) // 2]) for t, n in zip(texts, texts[1:] + texts[:1])]
+    """(doc_id, text, edited text, next text) in the order of ids, equal ids by hash of the text."""
+    order = sorted((d if d is not None else -2 ** 63, signed(chained((t or "").encode(), (2).to_bytes(4, "little"))), t or "")
+                   for d, t, *_ in rows)
+    texts = [t for *_, t in order]
+    return [(d, t, t[:len(t) - len(t) // 2] + n[:len(t) // 2], n) for (d, _, t), n in zip(order, texts[1:] + texts[:1])]
+
+
+def simhash(text):
+    """128 bits by plain votes: the halves as signed longs."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    votes = np.zeros(128, int)
+    for a, b in zip(words, [*words[1:], None]):
+        h = chained(*(x.encode() for x in (a, b) if x is not None))
+        two = chained(h.to_bytes(8, "little"), (1).to_bytes(4, "little"))
+        weight = 1 if len(a) <= 3 or b is not None and len(b) <= 3 else 2
+        votes += [weight if (h if k < 64 else two) >> (k % 64) & 1 else -weight for k in range(128)]
+    return tuple(signed(sum(1 << k for k in range(64) if votes[64 * half + k] > 0)) for half in (0, 1))
+
+
+def bits_apart(a, b):
+    return sum(((x ^ y) & (2 ** 64 - 1)).bit_count() for x, y in zip(a, b))
+
+
+def check_fingerprints(df, rows, hot=fingerprint.HOT):
+    """All columns of the query against plain Python."""
+    made = edited(rows)
+    prints = {t: simhash(t) for t in {x for r in made for x in r[1:]}}
+    of = [prints[t] for _, t, *_ in made]
+    first, known = {}, set(of)
+    for (d, *_), p in zip(made, of):  # ids ascend; a null id has no place among the smallest
+        if d > -2 ** 63:
+            first.setdefault(p, d)
+    links = {p: sum(0 < bits_apart(p, q) <= fingerprint.RADIUS for q in known) for p in known}
+    want = [(d if d > -2 ** 63 else None, len(t), hashlib.sha256(e.encode()).hexdigest(), *prints[t], *prints[e],
+             1 - bits_apart(prints[t], prints[e]) / 128, 1 - bits_apart(prints[t], prints[n]) / 128,
+             first.get(prints[t]), links[prints[t]]) for d, t, e, n in made]
+    got = [tuple(r) for r in fingerprint.with_links(fingerprint.fingerprints(df), hot).select(
+        "doc_id", "n_chars", "edited_sha256", "hi", "lo", "edited_hi", "edited_lo", "near_edited", "near_next", "class_id",
+        "n_links").collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_fingerprints_brute_force(spark, nasty, prose):
+    check_fingerprints(nasty, nasty_rows())
+    check_fingerprints(spark.createDataFrame(prose[:100], SCHEMA), prose[:100])
+
+
+@pytest.mark.parametrize("hot", [1, 4, fingerprint.HOT])
+def test_fingerprints_hot_text_and_hot_id(spark, prose, hot):
+    """A third of the rows hold one text, a third no id, and a text comes with single changes."""
+    base = prose[0][1]
+    rows = [(i, base, "xa", "s", 0) for i in range(60)] + [(None, t, "xa", "s", 0) for _, t, *_ in prose[:60]]
+    rows += [(100 + i, base + " " + "abcdefgh"[i % 8] * (i % 3), "xa", "s", 0) for i in range(20)]
+    rows += [(200 + i, t, "xa", "s", 0) for i, (_, t, *_) in enumerate(prose[60:100])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cuts = fingerprint._range_cuts(df, 32)
+    assert sum(v == fingerprint.LOWEST for v, _ in cuts) > 5  # the missing id is many ranges
+    check_fingerprints(df, rows, hot)
 
 
 def test_fingerprints_nasty(nasty, empty):
     got = fingerprint.fingerprints(nasty).toPandas()
-    want = sorted((len(t), hashlib.sha256(e.encode()).hexdigest()) for t, e in edited(nasty_rows()))
+    want = sorted((len(t), hashlib.sha256(e.encode()).hexdigest()) for _, t, e, _ in edited(nasty_rows()))
     assert sorted(zip(got.n_chars, got.edited_sha256)) == want
     assert got.near_edited.between(0, 1).all() and got.near_next.between(0, 1).all()
     same = got[got.doc_id == 3]
