@@ -38,7 +38,7 @@ RULES_TEXT = r"""
 mit|95|permission is hereby granted|permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit|90|provided as is|the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
 mit|85|mit license|(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit license
-mit|70|mit license|mit license
+mit|70|mit licen|(?:the )?mit licen[cs]ed?
 mit|75|opensource org|opensource org licenses mit
 mit|80|identifier mit|spdx license identifier mit
 mit-0|86|mit no attribution|mit no attribution
@@ -217,6 +217,7 @@ def _families() -> list[str]:
                     f"{tag}-or-later|84|{key}|{name} {ver} of the license or at your option any later version",
                     f"{tag}-only|83|{key}|{name} {ver} only", f"{tag}|78|{label}|{label} ?v?{v}(?: 0)?",
                     f"{tag}-or-later|84|{label}|spdx license identifier {label} {v}(?: 0)? or later",
+                    f"{tag}-or-later|82|{label}|{label} ?v?{v}(?: 0)? or (?:any )?later", f"{tag}-only|82|{label}|{label} ?v?{v}(?: 0)? only",
                     f"{tag}-only|84|{label}|spdx license identifier {label} {v}(?: 0)? only",
                     f"{tag}|76|gnu org|gnu org licenses (?:old licenses )?{label} {v}(?: 0)?"]
     kinds = (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative)?s"),
@@ -288,6 +289,7 @@ def rules(extra: str = "") -> list[Rule]:
     return sorted(out, key=lambda r: (-r.priority, r.label, r.regex.pattern))
 
 
+_PLUS = re.compile(rb"(?<=[0-9])\+(?![0-9+])")  # "2.1+" reads "2.1 or later", to the method's rules alone
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -307,6 +309,13 @@ class Scanner:
     def words(text: str | None) -> list[bytes]:
         return (text or "").encode("utf-8", "replace").lower().translate(_TO_SPACE).split()
 
+    def rule_line(self, text: str | None, line: bytes) -> bytes:
+        """The joined words as the rules read them."""
+        if not text or "+" not in text:
+            return line
+        later = _PLUS.sub(b" or later ", text.encode("utf-8", "replace"))
+        return b" " + b" ".join(later.lower().translate(_TO_SPACE).split()) + b" "
+
     def detections(self, line: bytes) -> list[tuple[int, int, str, int]]:
         """Kept detections (start, end, label, priority) as byte places in the joined words."""
         found = []
@@ -342,7 +351,7 @@ class Scanner:
                 if at:
                     places += at
                     base_labels.add(label)
-        kept = self.detections(line)
+        kept = self.detections(self.rule_line(text, line))
         labels = base_labels | {d[2] for d in kept}
         first, last = (line.count(b" ", 0, f(places)) if places else None for f in (min, max))
         score = max([50 if base_labels else 0, *(d[3] for d in kept)]) / 100

@@ -1,9 +1,12 @@
 """Fingerprints, personal data, language, licences, web archives."""
 
+import codecs
 import gzip
 import hashlib
 import random
 import re
+import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -388,6 +391,17 @@ def test_license_base_and_labels(spark, nasty, empty):
     assert licenses.Scanner("own|99|house rule|house rule 7").scan("by House Rule 7!")[5] == "own"
 
 
+def test_short_license_ids():
+    scan = licenses.Scanner().scan
+    for text, label in (("GPL-3.0-or-later", "gpl-3.0-or-later"), ("Code is LGPL-2.1+.", "lgpl-2.1-or-later"), ("GPL-2.0-only", "gpl-2.0-only"),
+                        ("AGPL-3.0 or any later version", "agpl-3.0-or-later"), ("GPLv2+", "gpl-2.0-or-later"), ("gpl-3.0", "gpl-3.0"),
+                        ("the MIT Licence", "mit"), ("an MIT-licensed tool", "mit"), ("MIT License", "mit"), ("GPL 2+2", "gpl-2.0")):
+        assert scan(text)[5].split(",") == [label], text
+    assert scan("C++ or 3+ apples, submit licenses")[5] == ""
+    n_words, n_base, first, last, *_ = scan("lgpl 2.1+ and cc by")
+    assert (n_words, n_base, first, last) == (6, 1, 4, 4)  # the words of the contract have no "or later"
+
+
 # -- web archives
 
 PAGES = [(1, "http://a.example/x", "<html lang='en'><head><title>A &amp; B</title><script>if (a<b) {}</script></head><body><p>One<br>two"
@@ -427,3 +441,104 @@ def test_reads_plain_and_gzipped_files(spark, tmp_path):
     text = {r.refers_to: r.content for r in got.collect() if r.record_type == "conversion"}
     assert text == {f"<urn:uuid:{i}>": f"page {i}" for i in range(6)}
     assert all("WARC-Refers-To-Date: 2024-01-01T00:00:00Z" in r.headers for r in got.collect())
+
+
+class Plain(HTMLParser):
+    """Independent text extraction: the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript", "template")
+        self.out.append("\n" if tag in warc._BLOCK else "")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "noscript", "template"):
+            self.hidden -= 1
+        self.out.append("\n" if tag in warc._BLOCK else "")
+
+    def handle_data(self, data):
+        self.out.append(" " if self.hidden else data)
+
+
+def test_text_against_another_parser():
+    rng = random.Random(3)
+    parts = ["<p>", "</p>", "<div class='a b'>", "</div>", "<br>", "<b>", "</b>", " ", "\n", "word", "&amp;", "&eacute;", "é日", "<!-- no <b> -->",
+             "<script>if (1) { x() }</script>", "<style>p { }</style>", "<a href=\"/x?y=1&amp;z\">", "</a>", "<H2 id=q>", "</H2>", "<img src='i'/>", "two words"]
+    for _ in range(300):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        other = Plain()
+        other.feed(page)
+        other.close()
+        lines = (" ".join(line.split()) for line in "".join(other.out).split("\n"))
+        assert warc.page_text(page) == "\n".join(x for x in lines if x), page
+
+
+def chunked(body, n):
+    return b"".join(b"%x;q=1\r\n%s\r\n" % (len(body[i:i + n]), body[i:i + n]) for i in range(0, len(body), n)) + b"0\r\n\r\n"
+
+
+def test_payload_as_the_headers_say():
+    page = "<title>é</title><p>Grüße &amp; mehr"
+    packed = gzip.compress(page.encode())
+    cases = [
+        ({"content-type": "text/html; charset=ISO-8859-1"}, page.encode("latin-1"), "html", page),
+        ({"content-type": "text/html; charset=\"windows-1252\""}, "“a”".encode("cp1252"), "html", "“a”"),
+        ({"content-type": "text/html"}, b"<meta charset=shift_jis><p>" + "日本".encode("shift_jis"), "html", "<meta charset=shift_jis><p>日本"),
+        ({"content-type": "text/html"}, codecs.BOM_UTF16_LE + page.encode("utf-16-le"), "html", page),
+        ({"content-type": "text/html; charset=no-such"}, page.encode(), "html", page),
+        ({"content-type": "text/html; charset=hex"}, page.encode(), "html", page),
+        ({"content-type": "text/plain"}, b"a <b> c", "text", "a <b> c"),
+        ({}, page.encode(), "html", page), ({}, b"", "html", ""), ({"content-encoding": "gzip"}, b"", "html", ""),
+        ({"content-encoding": "gzip"}, packed, "html", page), ({"content-encoding": "gzip"}, page.encode(), "html", page),
+        ({"content-encoding": "x-gzip"}, gzip.compress(page[:9].encode()) + gzip.compress(page[9:].encode()), "html", page),
+        ({"content-encoding": "deflate"}, zlib.compress(page.encode()), "html", page),
+        ({"content-encoding": "deflate"}, zlib.compress(page.encode(), wbits=-15), "html", page),
+        ({"content-encoding": "gzip", "transfer-encoding": "chunked"}, chunked(packed, 7), "html", page),
+        ({"transfer-encoding": "chunked"}, page.encode(), "html", page), ({"transfer-encoding": "chunked"}, b"ff\r\nshort", "html", "ff\r\nshort"),
+        ({"content-type": "image/png"}, b"\x89PNG", "content-type image/png", ""), ({"content-encoding": "br"}, b"\x0b", "content-encoding br", ""),
+    ]
+    for headers, payload, kind, text in cases:
+        assert warc.entity(headers, payload)[:2] == (kind, text), headers
+    assert warc.entity({"content-encoding": "gzip"}, packed[:10] + b"\xff" * 20)[0].startswith("content-encoding gzip:")
+    one, = warc.derive("<urn:1>", "u", None, "HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n", b"\x89PNG")
+    assert one[0] == "metadata" and b"no-conversion: content-type image/png" in one[3] and b"\r\nconversion:" not in one[3]
+
+
+def test_bad_records_become_rows_with_a_fault(spark, tmp_path):
+    def made(i, packed):
+        return warc.response_bytes(f"http://h/{i}", "2024-01-01T00:00:00Z", warc.HTTP_HEADERS, f"<p>page {i}".encode(), f"<urn:uuid:{i}>", packed)
+    good = [made(i, False) for i in range(8)]
+    size = re.compile(rb"Content-Length: [0-9]+")
+    dns = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:dns>\r\nContent-Length: 4\r\n\r\nhost\r\n\r\n"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(info + good[0] + size.sub(b"Content-Length: abc", good[1]) + good[2] + dns
+                                      + size.sub(b"Content-Length: 99999999", good[3]) + good[4])
+    bad = bytearray(made(5, True))
+    bad[10:40] = b"\xff" * 30
+    (tmp_path / "b.warc.gz").write_bytes(made(6, True) + bytes(bad) + made(7, True) + made(3, True)[:-20])
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\n")
+    rows = warc.read_warc(spark, str(tmp_path)).cache()
+    got = rows.collect()
+    assert sorted(r.record_id for r in got if r.fault is None) == [f"<urn:uuid:{i}>" for i in (0, 2, 4, 6, 7)]
+    faults = sorted((r.file[-9:].split("/")[-1], r.record_id or "", r.fault) for r in got if r.fault)
+    assert [f[:2] for f in faults] == [("a.warc", "<urn:dns>"), ("a.warc", "<urn:uuid:1>"), ("a.warc", "<urn:uuid:3>"),
+                                       ("b.warc.gz", ""), ("b.warc.gz", "<urn:uuid:3>"), ("d.warc", "")], faults
+    assert faults[0][2] == "no HTTP headers" and faults[1][2] == "content-length 'abc'" and faults[2][2].startswith("99999999 bytes said")
+    assert faults[3][2].startswith("gzip member at byte") and faults[4][2].endswith("is cut off") and faults[5][2] == "headers without end"
+    assert warc.derivatives(rows).count() == 10
+
+
+def test_records_cut_anywhere(monkeypatch):
+    """Pieces of any length give the same records, a block that looks like a record included."""
+    made = [warc.response_bytes(f"http://h/{i}", "d", warc.HTTP_HEADERS, b"x" * i + b"\r\n\r\nWARC/1.0\r\n" * (i % 3), f"<urn:{i}>") for i in range(30)]
+    want = list(warc.parse_warc(b"".join(made)))
+    assert [h["warc-record-id"] for h, _ in want] == [f"<urn:{i}>" for i in range(30)]
+    for piece in (400, 401, 777):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        assert list(warc.parse_warc(b"".join(made))) == want
+        assert list(warc.parse_warc(b"".join(gzip.compress(x) for x in made))) == want
+        assert list(warc.parse_warc(gzip.compress(b"".join(made)))) == want
