@@ -16,6 +16,7 @@ from ..operators import sequence as SQ
 from ..operators.corpus import tail
 from ..operators.logs import BATCH_COLUMNS, EPOCH_COLUMNS, flatten, project_log
 from .registry import query, r6
+from .tables import EPOCH_DAY_SQL
 from .runlog import GAINS_SQL, _gains
 
 NESTED_SQL = "RECURSIVE " + GAINS_SQL[1:] + """,
@@ -108,9 +109,9 @@ def render_numbers(spark, sf_dir):
     return f.select("run_id", "global_step", *[render_number_exact(F.round(F.col(f"`{c}`"), 12)).alias(c) for c in _RENDER])
 
 
-EPOCH_NESTED_SQL = """
+EPOCH_NESTED_SQL = f"""
 ep0 AS (
-  SELECT user_id AS run_id, CAST(dayofmonth(ts) AS INTEGER) AS epoch, min(ts) AS t0,
+  SELECT user_id AS run_id, {EPOCH_DAY_SQL} AS epoch, min(ts) AS t0,
          (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS epoch_time_s,
          CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / (count(*) * 100) AS avg_reward,
          1 - CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / (count(*) * 100) AS avg_loss, count(*) AS calls,

@@ -2,7 +2,7 @@
 
 Mapping: a user is a training run (``run_id = user_id``); an event is one
 generated sample with ``reward = value / 100`` and ``loss = 1 - reward``;
-``tokens`` is ``props.k``; the day of month is the epoch and the hour the
+``tokens`` is ``props.k``; the day (counted from 1970) is the epoch and the hour the
 batch.  Event types stand for phases: ``view`` generation, ``click``
 scoring, ``purchase`` training; ``error`` rows are duplicates filtered.
 Batch metrics (seconds, memory proxies) are sums of ``value``.
@@ -19,12 +19,12 @@ from ..functions.scoring import throughput_guarded
 from ..operators.keys import null_safe_join
 from ..session import staged
 from .registry import query, r6
-from .tables import table
+from .tables import EPOCH_DAY_SQL, epoch_day, table
 
-SAMPLES_SQL = """
+SAMPLES_SQL = f"""
 samples AS (
   SELECT user_id AS run_id, event_id, ts, event_type, value,
-         CAST(dayofmonth(ts) AS INTEGER) AS epoch, CAST(hour(ts) AS INTEGER) AS batch_idx,
+         {EPOCH_DAY_SQL} AS epoch, CAST(hour(ts) AS INTEGER) AS batch_idx,
          value / 100 AS reward, 1 - value / 100 AS loss,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens
   FROM events
@@ -58,7 +58,7 @@ batches AS (
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     return e.select(F.col("user_id").alias("run_id"), "event_id", "ts", "event_type", "value",
-                    F.dayofmonth("ts").alias("epoch"), F.hour("ts").alias("batch_idx"),
+                    epoch_day().alias("epoch"), F.hour("ts").alias("batch_idx"),
                     (F.col("value") / 100).alias("reward"), (F.lit(1) - F.col("value") / 100).alias("loss"),
                     F.get_json_object("props", "$.k").cast("long").alias("tokens"))
 

@@ -16,7 +16,7 @@ from ..streaming.runner import run_available, run_split
 from .registry import ORACLE, query, r6
 from .runlog import BATCHES_SQL as _BATCHES_SQL_REF
 from .runlog import batches
-from .tables import table
+from .tables import EPOCH_DAY_SQL, epoch_day, table
 
 FILES_PER_CHUNK = 2
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -72,12 +72,12 @@ def _fmt_ts(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-@query("stream_ingest", sql="""
-SELECT 'row' AS kind, event_id, user_id AS run_id, CAST(dayofmonth(ts) AS INTEGER) AS epoch, CAST(hour(ts) AS INTEGER) AS batch_idx,
+@query("stream_ingest", sql=f"""
+SELECT 'row' AS kind, event_id, user_id AS run_id, {EPOCH_DAY_SQL} AS epoch, CAST(hour(ts) AS INTEGER) AS batch_idx,
        round(value / 100, 6) AS reward, NULL::VARCHAR AS line, NULL::VARCHAR AS reason, NULL::VARCHAR AS detail
 FROM events WHERE NOT (event_type = 'error' AND value < 1)
 UNION ALL
-SELECT 'reject', NULL, NULL, NULL, NULL, NULL, '{"event_id": ' || event_id || ', "ts": ', 'invalid_json',
+SELECT 'reject', NULL, NULL, NULL, NULL, NULL, '{{"event_id": ' || event_id || ', "ts": ', 'invalid_json',
        'Expecting value: line 1 column ' || (length(event_id::VARCHAR) + 22) || ' (char ' || (length(event_id::VARCHAR) + 21) || ')'
 FROM events WHERE event_type = 'error' AND value < 1""")
 def stream_ingest(spark, sf_dir):
@@ -90,7 +90,7 @@ def stream_ingest(spark, sf_dir):
     glob = stage_chunks(e.select(line.alias("value"), "ts"), _week(F.col("ts")), folder, "text")
     lines = spark.readStream.option("maxFilesPerTrigger", FILES_PER_CHUNK).text(glob)
     parts = run_split(lines, "log", lambda batch: L.parse_lines(batch, EVENT_SCHEMA))
-    rows = parts["rows"].select(F.lit("row").alias("kind"), "event_id", F.col("user_id").alias("run_id"), F.dayofmonth("ts").alias("epoch"),
+    rows = parts["rows"].select(F.lit("row").alias("kind"), "event_id", F.col("user_id").alias("run_id"), epoch_day().alias("epoch"),
                                 F.hour("ts").alias("batch_idx"), r6(F.col("value") / 100, "reward"))
     return rows.unionByName(parts["rejects"].withColumn("kind", F.lit("reject")), allowMissingColumns=True)
 

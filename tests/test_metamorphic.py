@@ -91,3 +91,14 @@ def test_global_position_matches_sort(spark):
     pos = global_position(df, [F.col("k").asc(), F.col("id").asc()], num_partitions=5)
     got = [r["k"] for r in pos.orderBy("position").collect()]
     assert got == sorted(got) and pos.select("position").distinct().count() == 500
+
+
+def test_epochs_of_two_months_are_apart(spark, tmp_path):
+    """The same day of two months, and of two years, are epochs of their own; the days of one month follow each other."""
+    from evalforge.plans import QUERIES
+    days = ["2023-01-05", "2024-01-05", "2024-01-06", "2024-02-05"]
+    rows = spark.createDataFrame([(i, d, 1, "view", 5.0, '{"k": 2}') for i, d in enumerate(days)],
+                                 "event_id long, ts string, user_id long, event_type string, value double, props string")
+    rows.withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(r["epoch"] for r in QUERIES["epoch_summary"](spark, str(tmp_path)).collect())
+    assert len(set(got)) == 4 and [b - a for a, b in zip(got, got[1:])] == [365, 1, 30]
