@@ -97,3 +97,8 @@ def render_number_exact(x: Column, digits: int = 4) -> Column:
     a = F.abs(x)
     return F.when(F.isnan(x), None).when(a == float("inf"), F.concat(sign, F.lit("inf"))).when(a == 0, F.concat(sign, F.lit("0"))) \
         .when(x.isNotNull(), F.concat(sign, _let(a, finite)))
+
+
+def render_numbers_exact(cells: list[Column], digits: int = 4) -> Column:
+    """The texts of several cells as one array: one expression for all of them, planned once."""
+    return F.transform(F.array(*[c.cast("double") for c in cells]), lambda x: render_number_exact(x, digits))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.format import render_number_exact
+from ..functions.format import render_numbers_exact
 from ..functions.scoring import throughput_guarded
 from ..operators import sequence as SQ
 from ..operators.corpus import tail
@@ -106,7 +106,8 @@ SELECT run_id, "global_step", {", ".join(f'printf(\'%.4g\', round("{c}", 12)) AS
 def render_numbers(spark, sf_dir):
     """P10: float cells rendered as ``%.4g`` text (of 12 places: the last bits of an average depend on the order of adding)."""
     f = project_log(flatten(nested_batch_log(spark, sf_dir)), ["global_step", *_RENDER], keep=["run_id"])
-    return f.select("run_id", "global_step", *[render_number_exact(F.round(F.col(f"`{c}`"), 12)).alias(c) for c in _RENDER])
+    texts = f.select("run_id", "global_step", render_numbers_exact([F.round(F.col(f"`{c}`"), 12) for c in _RENDER]).alias("_t"))
+    return texts.select("run_id", "global_step", *[F.get("_t", F.lit(i)).alias(c) for i, c in enumerate(_RENDER)])
 
 
 EPOCH_NESTED_SQL = f"""

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalforge.functions.format import render_number_exact
+from evalforge.functions.format import render_number_exact, render_numbers_exact
 from evalforge.operators import runlog as R
 from evalforge.operators import scorecache as SC
 from evalforge.operators import sequence as SQ
@@ -128,3 +128,15 @@ def test_checkpoints_beside_scores(spark):
     got = sorted((r["score"], r["ckpt"]["checkpoint"]) for r in expand_checkpoints(scored, listing).collect())
     assert got == [(0.5, "a"), (0.5, "b"), (0.7, "a"), (0.7, "b")]
     assert expand_checkpoints(scored, listing.limit(0)).count() == 0
+
+
+def test_cells_rendered_together(spark):
+    """Several cells in one expression read as each alone, missing and odd values included; none is rendered in Python."""
+    rows = [(0.00012345, 2.5, None), (float("nan"), -0.0, 1e-9), (float("inf"), 12345.0, 12355.0), (None, None, 99995.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    cols = [F.col(c) for c in "abc"]
+    together = df.select(*cols, render_numbers_exact(cols).alias("t"), *[render_number_exact(c).alias(f"s{i}") for i, c in enumerate(cols)])
+    got = together.collect()
+    assert [r["t"] for r in got] == [[r["s0"], r["s1"], r["s2"]] for r in got]
+    assert [r["t"] for r in got] == [[None if v is None or v != v else "%.4g" % v for v in row] for row in rows]
+    assert "Python" not in plan(df.select(render_numbers_exact(cols)))
