@@ -10,23 +10,27 @@ and context features (words before, neighbouring characters); a span is added
 when its score reaches the threshold of its kind.  Of added spans that overlap
 each other or a base span, base spans win, then the higher score.
 
-Labels come from two sides.  In the sample's own texts, candidates that coincide
-with a base span are positive; those that have the shape of one but fail its
-check, short numbers and plain words are negative.  And each kind has positives
-and negatives of its own, written between words of the sample (``worded``):
-addresses spelled out against plain words around "at" and "dot", random keys
-after words such as token or secret against long words in quotes, numbers of local phones
-and social security after their words against dates, prices, versions and
-page numbers.  Thresholds are calibrated for each kind on the half of the rows that the
-trees don't see: the lowest score from which on precision is at least ``PRECISION``,
-never under ``FLOOR``.  The sample is bounded: ``SAMPLE_DOCS`` documents of up to
-``SAMPLE_CHARS`` characters in hash order, ``SAMPLE_CANDIDATES`` candidates.
+Labels come from two sides.  In every whole text, candidates that coincide with a base span are
+positive; those that have the shape of one but fail its check, short numbers and every 60th word (never a
+candidate itself) are negative.  And each kind has positives and negatives of its own, which every
+text gets written between words of its own (``worded``): addresses spelled out against plain words around "at" and
+"dot", random keys after words such as token or secret against long words in quotes, numbers of local phones and
+social security after their words against dates, prices, versions and page numbers: one a text, or, in a corpus of
+fewer than ``WORDED`` texts, as many of each as make up that number.  Thresholds are calibrated for each kind on the
+half of the texts (by hash) that the trees don't see: the lowest score from which on precision is at least
+``PRECISION``, never under ``FLOOR``.
+
+All texts take part.  Spark groups the spans of the corpus by their features (half-precision numbers, so that
+values are bounded) with their counts; bin edges are quantiles of these counts; each level of a tree is one pass
+that sums the gradients of all spans by node, feature and bin, and only these sums (at most 4 x 33 x 17 cells) reach
+the driver.  Gradients are multiples of 2 ** -20, so sums are exact in any order.  Scores of the trees so far
+are written with the spans every ``CARRY`` trees.
 
 Scans are linear in the text: each generator starts from a rare character and
 looks only at the run of characters that could belong to its match.
 
 Defined cases: null or empty text has no spans (hash of the empty text); an
-empty sample gives no trees, then base spans only; repeated rows come back each.
+empty corpus gives no trees, then base spans only; repeated rows come back each.
 """
 
 from __future__ import annotations
@@ -35,8 +39,9 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import accumulate, islice
 
 import numpy as np
@@ -44,11 +49,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_share
+from .common import drop_written, written
 from .registry import documents, query
 
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CANDIDATES = 2000, 20_000, 20_000
-WORDED = 3000  # labelled spans written for the kinds
+WORDED = 3000  # labelled spans written for the kinds, at least
+GRID = 1 << 14  # score steps of the calibration
+CARRY = 10
 PRECISION, FLOOR = 0.98, 0.9
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("number", "handle", "spelled", "key")
@@ -176,6 +182,12 @@ def features(text: str, kind: str, s: int, e: int) -> list[float]:
             *(float(any(w in cue for w in words)) for cue in _CUES)]
 
 
+def matrix(rows: list[list[float]]) -> np.ndarray:
+    """Features in half precision: at most 2 ** 16 values each."""
+    with np.errstate(over="ignore"):
+        return np.array(rows, float).reshape(-1, FEATURES).astype(np.float16)
+
+
 class BoostedTrees:
     """Gradient boosting of depth-3 regression trees on binned features, logistic loss."""
 
@@ -189,58 +201,88 @@ class BoostedTrees:
         return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(self.edges)], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+        """From arrays; ``grow`` takes the sums from anywhere."""
         self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(x.shape[1])]
-        b, p = self._bin(x), np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        b, score, done = self._bin(x), np.zeros(len(x)), 0
+
+        def sums(tree: list[tuple[int, int, float]]) -> np.ndarray:
+            nonlocal score, done
+            score, done = score + self.raw(b, done), len(self.trees)
+            return self.sums(b, y, np.ones(len(y)), score, tree)
+        return self.grow(y.mean(), sums)
+
+    def grow(self, share: float, sums: Callable[[list[tuple[int, int, float]]], np.ndarray]) -> BoostedTrees:
+        """Trees from ``sums(tree)``: what ``sums`` gives over all rows for the tree that is being grown."""
+        p = np.clip(share, 1e-3, 1 - 1e-3)
         self.bias = float(np.log(p / (1 - p)))
-        score = np.full(len(y), self.bias)
         for _ in range(self.rounds):
-            prob = 1 / (1 + np.exp(-score))
-            g, h = y - prob, prob * (1 - prob)
-            tree, node = [], np.zeros(len(y), np.int64)
-            for level in range(self.depth):
-                for k in range(1 << level):
-                    mine = np.flatnonzero(node == (1 << level) - 1 + k)
-                    tree.append(self._split(b[mine], g[mine], h[mine]))
-                at = np.array([(t[0], t[1]) for t in tree])[node]
-                node = 2 * node + 1 + (b[np.arange(len(y)), at[:, 0]] > at[:, 1])
-            leaf = node - ((1 << self.depth) - 1)
-            sums = [np.bincount(leaf, w, minlength=1 << self.depth) for w in (g, h)]
-            values = self.rate * sums[0] / (sums[1] + 1.0)
-            self.trees.append([*tree, *((-1, -1, float(v)) for v in values)])
-            score += values[leaf]
+            tree, values = [], []
+            for _ in range(self.depth):
+                own = [(self._split(*at), at) for at in sums(tree)]
+                tree += [cut for cut, _ in own]
+            for (f, k, _), (g, h) in own:
+                for at in (slice(None, k + 1), slice(k + 1, None)):
+                    values.append((-1, -1, float(self.rate * g[f, at].sum() / (h[f, at].sum() + 1.0))))
+            self.trees.append([*tree, *values])
         return self
 
-    def _split(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int, float]:
-        best = (0, self.bins + 1, 0.0)  # all to the left
-        if len(b) < 2:
-            return best
-        total_g, total_h, gain = g.sum(), h.sum(), 1e-6
-        for f in range(b.shape[1]):
-            cg = np.cumsum(np.bincount(b[:, f], g, minlength=self.bins + 1))[:-1]
-            ch = np.cumsum(np.bincount(b[:, f], h, minlength=self.bins + 1))[:-1]
-            won = cg ** 2 / (ch + 1) + (total_g - cg) ** 2 / (total_h - ch + 1) - total_g ** 2 / (total_h + 1)
-            k = int(won.argmax())
-            if won[k] > gain:
-                gain, best = won[k], (f, k, 0.0)
+    def _walk(self, b: np.ndarray, tree: list[tuple[int, int, float]], levels: int) -> np.ndarray:
+        at, node = np.array([(t[0], t[1]) for t in tree]).reshape(-1, 2), np.zeros(len(b), np.int64)
+        rows = np.arange(len(b))
+        for _ in range(levels):
+            node = 2 * node + 1 + (b[rows, at[node, 0]] > at[node, 1])
+        return node
+
+    def raw(self, b: np.ndarray, first: int = 0) -> np.ndarray:
+        """Sum of the trees from ``first`` on; the bias comes with the first."""
+        score = np.full(len(b), 0.0 if first else self.bias)
+        for tree in self.trees[first:]:
+            score += np.array([t[2] for t in tree])[self._walk(b, tree, self.depth)]
+        return score
+
+    def sums(self, b: np.ndarray, y: np.ndarray, weight: np.ndarray, score: np.ndarray, tree: list[tuple[int, int, float]]) -> np.ndarray:
+        """(node, gradient or hessian, feature, bin): sums over some rows at the level to which ``tree`` has grown."""
+        level = (len(tree) + 1).bit_length() - 1
+        node = self._walk(b, tree, level) - len(tree)
+        prob = 1 / (1 + np.exp(-score))
+        out = np.zeros((1 << level, 2, b.shape[1], self.bins + 1))
+        for i, value in enumerate((y - prob, prob * (1 - prob))):
+            value = np.rint(value * 2 ** 20) / 2 ** 20 * weight
+            for f in range(b.shape[1]):
+                out[:, i, f] = np.bincount(node * (self.bins + 1) + b[:, f], value, minlength=(self.bins + 1) << level).reshape(-1, self.bins + 1)
+        return out
+
+    def _split(self, g: np.ndarray, h: np.ndarray) -> tuple[int, int, float]:
+        best, gain = (0, self.bins + 1, 0.0), 1e-6  # all to the left
+        total_g, total_h = g[0].sum(), h[0].sum()
+        cg, ch = np.cumsum(g, axis=1)[:, :-1], np.cumsum(h, axis=1)[:, :-1]
+        won = cg ** 2 / (ch + 1) + (total_g - cg) ** 2 / (total_h - ch + 1) - total_g ** 2 / (total_h + 1)
+        for f in range(len(g)):
+            k = int(won[f].argmax())
+            if won[f, k] > gain:
+                gain, best = won[f, k], (f, k, 0.0)
         return best
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b, score, inner = self._bin(x), np.full(len(x), self.bias), (1 << self.depth) - 1
-        for tree in self.trees:
-            at, node = np.array([(t[0], t[1]) for t in tree]), np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (b[np.arange(len(x)), at[node, 0]] > at[node, 1])
-            score += np.array([t[2] for t in tree])[node]
-            assert (node >= inner).all()
-        return 1 / (1 + np.exp(-score))
+        return 1 / (1 + np.exp(-self.raw(self._bin(x))))
+
 
+_WORD = re.compile(r"[\W\d_]([^\W\d_]{2,14})")
 
-def worded(texts: list[str], n: int = WORDED, seed: int = 5) -> list[tuple[str, str, int, int, float]]:
-    """(text, kind, start, end, label): spans of each kind, and of what looks like it, between words of the sample."""
+
+def worded(texts: list[str], n: int = WORDED, seed: int = 5, first: int = 0) -> list[tuple[str, str, int, int, float]]:
+    """(text, kind, start, end, label): spans of each kind, and of what looks like it, between words from anywhere in the texts."""
     rng = random.Random(seed)
-    words = [w for t in texts[:500] for w in re.findall(r"[^\W\d_]{2,14}", t)[:200]] or ["word"]
-    plain = [w for w in words if w.isascii()] or ["word"]
-    word, ascii_word = lambda: rng.choice(words), lambda: rng.choice(plain).lower()
+
+    def word(ascii_only: bool = False) -> str:
+        for _ in range(8):
+            t = texts[int(rng.random() * len(texts))]
+            at = int(rng.random() * len(t))
+            m = _WORD.search(t[at - 1:at + 200] if at else " " + t[:200])
+            if m and (not ascii_only or m[1].isascii()):
+                return m[1]
+        return "word"
+    ascii_word = lambda: word(True).lower()
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
 
     def spelled(real: bool) -> tuple[str, str, str]:
@@ -275,7 +317,7 @@ def worded(texts: list[str], n: int = WORDED, seed: int = 5) -> list[tuple[str,
                             f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(3)}-{digits(4)}"))
         return rng.choice(("", "", "in ", "page ", "version ", "year ", "no ", "chapter ", "vol ")), shape, rng.choice((" ", ".", ","))
     out = []
-    for k in range(n):
+    for k in range(first, first + n):
         kind, make = (("spelled", spelled), ("key", key), ("number", number))[k % 3]
         real = k // 3 % 2 == 0
         before, body, after = make(real)
@@ -288,6 +330,33 @@ def worded(texts: list[str], n: int = WORDED, seed: int = 5) -> list[tuple[str,
     return out
 
 
+def labelled(text: str) -> list[tuple[str, list[float], float]]:
+    """(kind, features, label) of the candidates of a text, its failed shapes and every 60th word."""
+    base, failed = base_spans(text)
+    exact = {(s, e) for _, s, e in base}
+    starts, ends = sorted(s for s, _ in exact), list(accumulate((e for _, e in sorted(exact)), max))
+    spans = [*candidates(text), *(("number", s, e) for s, e in failed),
+             *(("handle" if k == "email" else "number", s, e) for k, s, e in base)]
+    words = [m.span() for m in islice(re.finditer(r"\S{4,}", text), 0, None, 60)]
+    out = []
+    for k, s, e in dict.fromkeys([*spans, *(("handle", a, b) for a, b in words if (a, b) not in exact)]):
+        if (s, e) not in exact and (i := bisect_right(starts, s)) and ends[i - 1] >= e:
+            continue  # part of a base span: neither label is right
+        out.append((k, features(text, k, s, e), float((s, e) in exact)))
+    return out
+
+
+def written_spans(texts: list[str], n: int, seed: int = 5, first: int = 0) -> list[tuple[str, list[float], float]]:
+    """(kind, features, label) of ``worded``, and of what else the generators find on its spans."""
+    out = []
+    for text, k, s, e, label in worded(texts, n, seed, first):
+        out.append((k, features(text, k, s, e), label))
+        for other, a, b in candidates(text):  # parts of it, and what lies across it, are no spans of their own
+            if (other, a, b) != (k, s, e) and a < e and s < b:
+                out.append((other, features(text, other, a, b), 0.0))
+    return out
+
+
 class SpanModel:
     """Trees with a threshold for each kind."""
 
@@ -297,48 +366,26 @@ class SpanModel:
 
     @classmethod
     def train(cls, texts: list[str]) -> SpanModel:
-        rows, labels, kinds = [], [], []
-        for text in texts:
-            base, failed = base_spans(text)
-            exact = {(s, e) for _, s, e in base}
-            spans = [(k, s, e) for k, s, e in candidates(text)]
-            spans += [("number", s, e) for s, e in failed]
-            spans += [("handle" if k == "email" else "number", s, e) for k, s, e in base]
-            words = [m.span() for m in islice(re.finditer(r"\S{4,}", text), 0, None, 60)]
-            for k, s, e in dict.fromkeys([*spans, *(("handle", a, b) for a, b in words if (a, b) not in exact)]):
-                inside = any(a <= s and e <= b for a, b in exact)
-                if inside and (s, e) not in exact:
-                    continue  # part of a base span: neither label is right
-                rows.append(features(text, k, s, e))
-                labels.append(float((s, e) in exact))
-                kinds.append(k)
-            if len(rows) >= SAMPLE_CANDIDATES:
-                break
-        for text, k, s, e, label in worded(texts) if texts else []:
-            rows.append(features(text, k, s, e))
-            labels.append(label)
-            kinds.append(k)
-            for other, a, b in candidates(text):  # parts of it, and what lies across it, are no spans of their own
-                if (other, a, b) != (k, s, e) and a < e and s < b:
-                    rows.append(features(text, other, a, b))
-                    labels.append(0.0)
-                    kinds.append(other)
+        """From texts at hand; ``fit`` does the same for a table."""
+        rows = [r for text in texts for r in labelled(text)] + (written_spans(texts, WORDED) if texts else [])
         out = cls()
-        x, y, kind = np.array(rows), np.array(labels), np.array(kinds)
+        kind, x, y = np.array([r[0] for r in rows]), matrix([r[1] for r in rows]), np.array([r[2] for r in rows])
         fit = np.random.default_rng(3).random(len(y)) < 0.5
         if len(y) < 20 or len(set(y[fit])) < 2:
             return out
-        out.trees = BoostedTrees().fit(x[fit], y[fit])
-        score, truth = out.trees.predict(x[~fit]), y[~fit]
+        out.trees = BoostedTrees().fit(x[fit].astype(float), y[fit])
+        out.calibrate(kind[~fit], out.trees.predict(x[~fit]), y[~fit], np.ones(int((~fit).sum())))
+        return out
+
+    def calibrate(self, kind: np.ndarray, score: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> None:
         for k in ADDED:
-            own = kind[~fit] == k
-            if own.sum() < 50 or not truth[own].any():
+            own = kind == k
+            if weight[own].sum() < 50 or not truth[own].any():
                 own = np.ones(len(score), bool)
-            order = np.argsort(-score[own], kind="stable")
-            precise = np.cumsum(truth[own][order]) / np.arange(1, len(order) + 1)
-            good = np.flatnonzero(precise >= PRECISION)
-            out.thresholds[k] = max(FLOOR, float(score[own][order][good[-1]])) if len(good) else 1.1
-        return out
+            scores, at = np.unique(score[own], return_inverse=True)
+            hits = np.cumsum(np.bincount(at, truth[own] * weight[own], minlength=len(scores))[::-1])
+            good = np.flatnonzero(hits >= PRECISION * np.cumsum(np.bincount(at, weight[own], minlength=len(scores))[::-1]))
+            self.thresholds[k] = max(FLOOR, float(scores[::-1][good[-1]])) if len(good) else 1.1
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Candidates over their threshold that overlap no base span and no better candidate."""
@@ -350,7 +397,7 @@ class SpanModel:
         spans = [c for c in dict.fromkeys(candidates(text)) if free(c[1], c[2])]
         if not spans:
             return []
-        score = self.trees.predict(np.array([features(text, *c) for c in spans]))
+        score = self.trees.predict(matrix([features(text, *c) for c in spans]))
         out: list[tuple[str, int, int]] = []
         held: list[tuple[int, int]] = []
         for i in np.argsort(-score, kind="stable"):
@@ -362,13 +409,146 @@ class SpanModel:
         return sorted(out, key=lambda x: (ADDED.index(x[0]), x[1]))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SpanModel:
-    """Train on at most ``sample_docs`` documents of up to SAMPLE_CHARS characters that hold a digit, the first in hash order.  A first
-    pass counts them, so that tasks send about twice that many rows in all, however many tasks there are."""
-    rows = docs.where(F.col("text").rlike("[0-9]") & (F.char_length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("h"))
-    share = min(1.0, 2.0 * sample_docs / max(1, rows.count()))
-    some = rows.where(hash_share(F.col("h")) <= share).orderBy("h", "text").limit(sample_docs)
-    return SpanModel.train([r["text"] for r in some.collect()])
+SPAN = np.dtype([("x", "<f2", FEATURES), ("kind", "u1"), ("label", "u1"), ("held", "u1")])
+BINNED = np.dtype([("b", "u1", FEATURES), ("kind", "u1"), ("label", "u1"), ("held", "u1")])
+DISTINCT, BLOCK = 100_000, 100_000  # distinct spans that a task holds, and that one row of the packed table does
+
+
+def _counted(keys: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"v": list(keys), "n": list(keys.values())})
+
+
+def _spans(batches: Iterator[pd.DataFrame], each: int) -> Iterator[pd.DataFrame]:
+    """Labelled spans of whole texts with their number; ``held``: of a text the trees don't see."""
+    seen: Counter[bytes] = Counter()
+    for batch in batches:
+        for text, h in zip(batch["text"].array, batch["h"]):
+            rows = labelled(text) + written_spans([text], each, int(h), (int(h) >> 1) % 6)
+            out = np.zeros(len(rows), SPAN)
+            out["x"], out["kind"] = matrix([r[1] for r in rows]), [ADDED.index(r[0]) for r in rows]
+            out["label"], out["held"] = [r[2] for r in rows], int(h) & 1
+            seen.update(r.tobytes() for r in out)
+            if len(seen) >= DISTINCT:
+                yield _counted(seen)
+                seen.clear()
+    if seen:
+        yield _counted(seen)
+
+
+def _unpacked(batch: pd.DataFrame, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["v"].array), kind)
+
+
+def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Values of each feature with their number, in the texts the trees see."""
+    for batch in batches:
+        spans, n = _unpacked(batch, SPAN), batch["n"].to_numpy(float)
+        fit = spans["held"] == 0
+        for f in range(FEATURES):
+            value, at = np.unique(spans["x"][fit, f], return_inverse=True)
+            yield pd.DataFrame({"f": f, "value": value.astype(float), "n": np.bincount(at, n[fit], minlength=len(value)).astype(np.int64)})
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``BLOCK`` distinct binned spans to a row, no scores yet."""
+    for batch in batches:
+        for i in range(0, len(batch), BLOCK):
+            some = batch[i:i + BLOCK]
+            yield pd.DataFrame({"v": [b"".join(some["v"].array)], "n": [some["n"].to_numpy("<i8").tobytes()],
+                                "score": [np.zeros(len(some)).tobytes()]})
+
+
+BLOCKS = "v binary, n binary, score binary"
+
+
+def _each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for v, n, score in zip(batch["v"].array, batch["n"].array, batch["score"].array):
+            yield np.frombuffer(v, BINNED), np.frombuffer(n, "<i8"), np.frombuffer(score)
+
+
+def _binned(spans: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """Distinct binned spans with their number, packed in blocks and written."""
+    trees = BoostedTrees()
+    trees.edges = edges
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = _unpacked(batch, SPAN)
+            out = np.zeros(len(seen), BINNED)
+            out["b"] = trees._bin(seen["x"].astype(float))
+            for c in ("kind", "label", "held"):
+                out[c] = seen[c]
+            yield pd.DataFrame({"v": [r.tobytes() for r in out], "n": batch["n"]})
+    rows = spans.mapInPandas(run, "v binary, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    return written(rows.repartition(spans.count() // BLOCK + 1).mapInPandas(_packed, BLOCKS), "pii-binned", release=True)
+
+
+def _grown(blocks: DataFrame, edges: list[np.ndarray], share: float) -> tuple[BoostedTrees, DataFrame]:
+    """Trees from the blocks, one pass a level, and the blocks with what scores have been written."""
+    trees, carried = BoostedTrees(), 0
+    trees.edges = edges
+    cells = FEATURES * (trees.bins + 1)
+
+    def sums(tree: list[tuple[int, int, float]]) -> np.ndarray:
+        nonlocal blocks, carried
+        if len(trees.trees) - carried == CARRY:
+            def carry(batches: Iterator[pd.DataFrame], first: int = carried) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    yield batch.assign(score=[(score + trees.raw(v["b"], first)).tobytes() for v, _, score in _each([batch])])
+            old, blocks, carried = blocks, written(blocks.mapInPandas(carry, BLOCKS), "pii-scored"), len(trees.trees)
+            drop_written(old)
+
+        def run(batches: Iterator[pd.DataFrame], first: int = carried) -> Iterator[pd.DataFrame]:
+            total = 0
+            for v, n, score in _each(batches):
+                fit = v["held"] == 0
+                total += trees.sums(v["b"][fit], v["label"][fit], n[fit], score[fit] + trees.raw(v["b"][fit], first), tree)
+            if not np.isscalar(total):
+                g, h = total[:, 0].ravel(), total[:, 1].ravel()
+                at = np.flatnonzero((g != 0) | (h != 0))
+                yield pd.DataFrame({"cell": at, "g": g[at], "h": h[at]})
+        got = blocks.mapInPandas(run, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        out = np.zeros((len(tree) + 1, 2, cells))
+        for cell, g, h in got:
+            out[cell // cells, :, cell % cells] = g, h
+        return out.reshape(len(tree) + 1, 2, FEATURES, trees.bins + 1)
+    return trees.grow(share, sums), blocks
+
+
+def fit(docs: DataFrame) -> SpanModel:
+    """Train and calibrate on all texts of ``docs``, each a whole text."""
+    out = SpanModel()
+    rows = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
+    each = max(1, math.ceil(WORDED / max(1, rows.count())))
+    spans = written(rows.mapInPandas(lambda it: _spans(it, each), "v binary, n long").groupBy("v").agg(F.sum("n").alias("n")),
+                    "pii-spans", release=True)
+    label, held = (F.expr(f"ascii(substring(hex(v), {2 * SPAN.fields[c][1] + 2}, 1)) = 49") for c in ("label", "held"))
+    seen = {(r["label"], r["held"]): r["n"] for r in
+            spans.groupBy(label.alias("label"), held.alias("held")).agg(F.sum("n").alias("n")).collect()}
+    pos, neg = seen.get((True, False), 0), seen.get((False, False), 0)
+    if sum(seen.values()) < 20 or not pos or not neg:
+        return out
+    values = spans.mapInPandas(_values, "f int, value double, n long").groupBy("f", "value").agg(F.sum("n").alias("n")).toPandas()
+    edges = []
+    for _, own in values.sort_values(["f", "value"]).groupby("f"):
+        up_to, at = own["n"].cumsum().to_numpy(), np.linspace(0, 1, BoostedTrees().bins + 1)[1:-1]
+        edges.append(np.unique(own["value"].to_numpy()[np.searchsorted(up_to, np.floor(at * (up_to[-1] - 1)), side="right")]))
+    blocks = _binned(spans, edges)
+    drop_written(spans)
+    out.trees, blocks = _grown(blocks, edges, pos / (pos + neg))
+    trees, first = out.trees, (len(out.trees.trees) - 1) // CARRY * CARRY
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for v, n, score in _each(batches):
+            held = v["held"] == 1
+            score = 1 / (1 + np.exp(-score[held] - trees.raw(v["b"][held], first)))
+            yield pd.DataFrame({"kind": v["kind"][held], "label": v["label"][held], "step": np.floor(score * GRID), "n": n[held]}).groupby(
+                ["kind", "label", "step"], as_index=False).sum()
+    got = blocks.mapInPandas(run, "kind int, label int, step long, n long").groupBy("kind", "label", "step").agg(F.sum("n").alias("n")).toPandas()
+    drop_written(blocks)
+    out.calibrate(np.array(ADDED)[got["kind"].to_numpy(int)], got["step"].to_numpy() / GRID, got["label"].to_numpy(float), got["n"].to_numpy(float))
+    return out
 
 
 SCHEMA = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "

@@ -244,6 +244,35 @@ def test_pii_query_rows(spark, nasty, empty, planted):
     assert pii.find_spans(empty, pii.fit(empty)).count() == 0
 
 
+def test_pii_trees_of_all_texts(spark, planted):
+    """Whole texts of any length, with or without digits, and repeated ones: the trees and thresholds of Spark's passes are
+    those of all spans in one array."""
+    texts = [" ".join(planted[i % 300] for i in range(k, k + 160)) for k in range(0, 30, 10)] + planted[:40]
+    texts += ["plain words only, write to jo@ex.org or ann(at)home(dot)net"] * 3 + [""]
+    assert sum(len(t) > 20_000 for t in texts) == 3
+    docs = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in enumerate(texts)] + [(99, None, "x", "s", 0)], SCHEMA).repartition(5)
+    model = pii.fit(docs)
+    each = -(-pii.WORDED // len(texts))
+    hashes = {r[0]: r[1] for r in docs.selectExpr("text", "xxhash64(text)").collect()}
+    rows = [(*r, hashes[t] & 1) for t in texts
+            for r in pii.labelled(t) + pii.written_spans([t], each, hashes[t], (hashes[t] >> 1) % 6)]
+    x, y = pii.matrix([r[1] for r in rows]).astype(float), np.array([r[2] for r in rows])
+    held, kind = np.array([r[3] for r in rows]) == 1, np.array([r[0] for r in rows])
+    trees = pii.BoostedTrees()
+    trees.edges = model.trees.edges
+    for f, e in enumerate(trees.edges):
+        own = np.sort(x[~held, f])
+        assert e.tolist() == sorted({own[int(q * (len(own) - 1))] for q in np.linspace(0, 1, 17)[1:-1]})
+    b, w = trees._bin(x[~held]), np.ones(int((~held).sum()))
+    trees.grow(y[~held].mean(), lambda tree: trees.sums(b, y[~held], w, trees.raw(b), tree))
+    assert [[t[:2] for t in tree] for tree in trees.trees] == [[t[:2] for t in tree] for tree in model.trees.trees]
+    assert np.allclose(trees.raw(b), model.trees.raw(b))
+    for k, bar in model.thresholds.items():
+        assert bar == 1.1 or pii.FLOOR <= bar < 1
+        score, truth = trees.predict(x[held & (kind == k)]), y[held & (kind == k)]
+        assert bar == 1.1 or truth[score >= bar].mean() >= pii.PRECISION
+
+
 # -- language
 
 def test_gradient_is_right():
