@@ -110,6 +110,9 @@ def exact_percentile(df: DataFrame, group: Sequence[str], value: str, p: float,
        partial aggregates, so a group with a third of the rows is no hot task.  Running counts over the distinct
        values inside, some 6 n / accuracy rows a group at most, then name the two values at the position.
 
+    Only groups of more than ``accuracy`` rows have a bracket, so there are at most rows / accuracy of them: they are
+    broadcast, and no row moves to the task of its group.
+
     NULL values are ignored; a NULL group is a group; NaN is the largest value."""
     group, p = list(group), float(p)
     v = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
@@ -117,16 +120,16 @@ def exact_percentile(df: DataFrame, group: Sequence[str], value: str, p: float,
     cuts = F.percentile_approx("_v", [max(0.0, low), min(1.0, high)], accuracy)
     seen = v.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
                                  cuts.alias("_q"))
-    small = F.col("_n") <= accuracy
-    brackets = seen.select(
-        *group, "_n", F.when(small | F.lit(low <= 0), F.col("_min")).otherwise(F.get("_q", F.lit(0))).alias("_lo"),
-        F.when(small | F.lit(high >= 1), F.col("_max")).otherwise(F.get("_q", F.lit(1))).alias("_hi"))
-    near = (null_safe_join(v, brackets, group).where(F.col("_v") <= F.col("_hi"))
-            .groupBy(*group, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))  # null: below
+    brackets = seen.where(F.col("_n") > accuracy).select(
+        *group, "_n", F.when(F.lit(low <= 0), F.col("_min")).otherwise(F.get("_q", F.lit(0))).alias("_lo"),
+        F.when(F.lit(high >= 1), F.col("_max")).otherwise(F.get("_q", F.lit(1))).alias("_hi"))
+    near = (null_safe_join(v, F.broadcast(brackets), group, "left").where(F.col("_n").isNull() | (F.col("_v") <= F.col("_hi")))
+            .groupBy(*group, F.when(F.col("_n").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")).alias("_v"))  # null: below
             .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")))
     up_to = F.sum("_c").over(Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first())
                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = (F.col("_n") - 1) * F.lit(p)
+    total = F.coalesce(F.col("_n"), F.sum("_c").over(Window.partitionBy(*group)))  # without a bracket all rows are here
+    at = (total - 1) * F.lit(p)
     first_over = lambda k: F.min(F.when(F.col("_up") > k, F.col("_v")))
     got = near.withColumn("_up", up_to).withColumn("_at", at).groupBy(*group).agg(
         first_over(F.floor("_at")).alias("_a"), first_over(F.ceil("_at")).alias("_b"), F.first("_at").alias("_at"))

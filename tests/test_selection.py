@@ -140,3 +140,19 @@ def test_cells_rendered_together(spark):
     assert [r["t"] for r in got] == [[r["s0"], r["s1"], r["s2"]] for r in got]
     assert [r["t"] for r in got] == [[None if v is None or v != v else "%.4g" % v for v in row] for row in rows]
     assert "Python" not in plan(df.select(render_numbers_exact(cols)))
+
+
+def test_percentile_moves_no_row_to_its_group(spark):
+    """Brackets of large groups are broadcast, whatever the threshold; small groups need none."""
+    rows = [(g, float(i * 7919 % n)) for g, n in (("a", 3000), (None, 2500), ("b", 7), ("c", 1)) for i in range(n)] + [("d", None)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = exact_percentile(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 0.99, "q", accuracy=100)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {r["g"]: r["q"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    want = {g: np.quantile([v for h, v in rows if h == g], 0.99) for g in ("a", None, "b", "c")}
+    assert found.keys() == want.keys() and all(abs(found[g] - want[g]) < 1e-9 for g in want)
