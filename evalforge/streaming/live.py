@@ -33,6 +33,7 @@ from ..sources.jsonl import outcome_columns, tag_lines, with_detail
 
 REQUEST_TIMEOUT_SECONDS = 240  # the generation worker's timeout (fixed value)
 IDLE_RUN_SECONDS = 30 * 86400  # a run without batches for so long is over
+CACHE_BUCKETS = 4096  # of the score cache's keys
 
 
 def event_time(ts: Column) -> Column:
@@ -171,32 +172,66 @@ class _Stateful(StatefulProcessor):
 
 
 class ScoreCache(_Stateful):
-    """The stamp of a key's last miss; gone once the watermark has passed stamp + TTL."""
+    """The stamps of the last misses of a bucket's keys; a stamp goes once the watermark has passed it by the TTL.
 
-    schema = "stamp LONG"
+    A call, a state value and a timer serve all keys of a bucket: their cost is that of the buckets, not of the keys.
+    ``timer`` is when the bucket's next stamp goes."""
 
-    def __init__(self, keys: Sequence[str], tie: str, ttl_us: int):
-        self.out, self.tie, self.ttl = (*keys, tie, "cache_hit"), tie, ttl_us
+    def __init__(self, keys: Sequence[str], tie: str, ttl_us: int, schema: str):
+        self.keys, self.out, self.tie, self.ttl, self.schema = list(keys), (*keys, tie, "cache_hit"), tie, ttl_us, schema
 
-    def expiry_ms(self, value: tuple) -> int:
-        return (value[0] + self.ttl) // 1000 + 1
+    def due(self, stamp: int) -> int:
+        return (stamp + self.ttl) // 1000 + 1
+
+    def hold(self, stamps: dict[tuple, int], before: int | None, watermark_ms: int) -> None:
+        """Store the stamps that the watermark has not passed; ``before``: the timer that is set."""
+        live = {k: v for k, v in stamps.items() if self.due(v) > watermark_ms}
+        timer = self.due(min(live.values())) if live else None
+        if before is not None and before != timer:
+            self.handle.deleteTimer(before)
+        if timer is None:
+            self.value.clear()
+            return
+        if before != timer:
+            self.handle.registerTimer(timer)
+        self.value.update((timer, [(*k, v) for k, v in live.items()]))
+
+    def held(self) -> tuple[int | None, dict[tuple, int]]:
+        value = self.value.get()
+        return (None, {}) if value is None else (value[0], self.stamps(value[1]))
+
+    @staticmethod
+    def stamps(held) -> dict[tuple, int]:
+        parts = (tuple(x.values() if isinstance(x, dict) else x) for x in held)  # initial rows come as dicts
+        return {x[:-1]: x[-1] for x in parts}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held, late = self.value.get(), []
-        stamp = None if held is None else held[0]
+        timer, stamps = self.held()
         events = []
         for r in rows:
-            (late if r["_t"] is None else events).append((r["_t"], r[self.tie]))
-        for _, tie in late:  # without a time: a miss that stamps nothing
-            yield self.row(*key, tie, False)
-        for t, tie in sorted(events):
-            age = None if stamp is None else t - stamp
-            hit = age is not None and 0 <= age < self.ttl
-            if age is None or age >= self.ttl:
-                stamp = t
-            yield self.row(*key, tie, hit)
-        if stamp is not None:
-            self.keep((stamp,), held, timerValues.getCurrentWatermarkInMs())
+            k = tuple(r[c] for c in self.keys)
+            if r["_t"] is None:  # without a time: a miss that stamps nothing
+                yield self.row(*k, r[self.tie], False)
+            else:
+                events.append((r["_t"], r[self.tie], k))
+        for t, tie, k in sorted(events, key=lambda e: (e[0], e[1] is None, e[1] or 0)):
+            stamp = stamps.get(k)
+            hit = stamp is not None and 0 <= t - stamp < self.ttl
+            if stamp is None or t - stamp >= self.ttl:
+                stamps[k] = t
+            yield self.row(*k, tie, hit)
+        if stamps:
+            self.hold(stamps, timer, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        timer, stamps = self.held()
+        if stamps:  # the timer that fires is gone by itself
+            fired = expiredTimerInfo.getExpiryTimeInMs()
+            self.hold(stamps, None if fired == timer else timer, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.hold(self.stamps(initialState["held"]), None, -1)
 
 
 def _ddl(df: DataFrame, cols: Sequence[str]) -> str:
@@ -205,17 +240,24 @@ def _ddl(df: DataFrame, cols: Sequence[str]) -> str:
 
 def cache_ttl_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: str,
                      ttl_seconds: int = CACHE_TTL_SECONDS, watermark: str = "1 hour",
-                     initial: DataFrame | None = None) -> DataFrame:
+                     initial: DataFrame | None = None, buckets: int = CACHE_BUCKETS) -> DataFrame:
     """Score-cache expiry; output: keys, tie, cache_hit.
 
     Event time decides, not arrival: a row is a hit only if the stamp is not after it and younger
     than the TTL; a row older than the stamp is a miss that leaves the stamp alone.  ``initial`` (keys,
-    stamp in microseconds) starts the stream where a batch run ended (``sequence.cache_stamps``)."""
+    stamp in microseconds) starts the stream where a batch run ended (``sequence.cache_stamps``).
+    State is kept by ``buckets`` of keys (by hash); more of them for more keys that are live at once."""
     s = (stream.withColumn("_et", event_time(F.col(ts))).withWatermark("_et", watermark)
          .select(*keys, tie, "_et", _micros(F.col("_et")).alias("_t")))
-    return s.groupBy(*keys).transformWithState(
-        ScoreCache(keys, tie, int(ttl_seconds) * 1_000_000), f"{_ddl(s, [*keys, tie])}, cache_hit BOOLEAN", "append", "eventTime",
-        None if initial is None else initial.groupBy(*keys))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(int(buckets))).alias("_bucket")
+    stamps = None
+    if initial is not None:
+        own = initial.select(*[F.col(k).cast(s.schema[k].dataType).alias(k) for k in keys], F.col("stamp").cast("long").alias("stamp"))
+        stamps = own.groupBy(bucket).agg(F.collect_list(F.struct(*keys, "stamp")).alias("held")).groupBy("_bucket")
+    parts = ", ".join(f"{k}: {s.schema[k].dataType.simpleString()}" for k in keys)
+    cache = ScoreCache(keys, tie, int(ttl_seconds) * 1_000_000, f"timer LONG, held ARRAY<STRUCT<{parts}, stamp: BIGINT>>")
+    return s.select("*", bucket).groupBy("_bucket").transformWithState(
+        cache, f"{_ddl(s, [*keys, tie])}, cache_hit BOOLEAN", "append", "eventTime", stamps)
 
 
 class Cooldown(_Stateful):

@@ -133,3 +133,16 @@ def test_epochs_over_windows(spark):
     vals = [0.1, 0.15, 0.3, 2.0]
     assert first["avg_reward"] == pytest.approx(sum(vals) / 4) and first["avg_loss"] == 1.0
     assert first["reward_variance"] == pytest.approx(sum(v * v for v in vals) / 4 - (sum(vals) / 4) ** 2)
+
+
+def test_cache_of_keys_that_share_a_bucket(spark):
+    """One state value and one timer serve all keys of a bucket; the answers are those of the batch operator and expired keys go."""
+    events = [(i, [None, "a", "b", "c", "d"][i * i % 5], at(i * 0.9 + (5 if i % 11 == 3 else 0))) for i in range(90)]
+    df = spark.createDataFrame(events, CACHE)
+    want = {r["id"]: r["cache_hit"] for r in SQ.cache_ttl(df, ["key"], "ts", "id").collect()}
+    events.sort(key=lambda e: e[2])
+    batches = [events[i:i + 15] for i in range(0, 90, 15)]
+    got = run_available(L.cache_ttl_stream(source(spark, batches, CACHE), ["key"], "ts", "id", buckets=1), "bucket")
+    assert {r["id"]: r["cache_hit"] for r in got.collect()} == want
+    many = [[(i, f"k{i}", at(i / 100)) for i in range(40)], [(100, "late", at(50))], [(101, "late", at(51))]]
+    assert rows_held(L.cache_ttl_stream(source(spark, many[:1], CACHE), ["key"], "ts", "id", buckets=4)) <= 8
