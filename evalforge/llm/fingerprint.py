@@ -18,6 +18,7 @@ A pair counts only in the first table that shows it.
 
 Results return to the rows by fingerprint.  A fingerprint of more than 1/HOT of all
 rows is one of at most HOT; those are broadcast, so copies of one text stay where they are.
+No other table is: Spark sizes rows after an explode as those before it, so the others are joined by sorting.
 
 Defined cases: null text is empty; an empty or white-space text has no terms
 and fingerprint zero; null doc_ids sort first; equal doc_ids are ordered by
@@ -174,12 +175,12 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, ch
                      for t, use in enumerate(tables)])
     index = own.select("hi", "lo", F.explode(keys).alias("k")).select("hi", "lo", "k.*")
     shared = index.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = index.join(shared, ["table", "key"]).withColumn("of", F.ceil(F.col("n") / chunk)).withColumn(
+    members = index.join(shared.hint("merge"), ["table", "key"]).withColumn("of", F.ceil(F.col("n") / chunk)).withColumn(
         "chunk", F.pmod(F.xxhash64("hi", "lo", F.lit(3)), F.col("of")))
     chunks = written(members.groupBy("table", "key", "chunk", "of").agg(F.collect_list(F.struct("hi", "lo")).alias("many")),
                      "block-tables")
     asked = repeated(chunks.select("table", "key", "of", F.col("many").alias("mine")), "of", "other")
-    met = (asked.withColumn("chunk", F.col("other") - 1).join(chunks.drop("of"), ["table", "key", "chunk"])
+    met = (asked.withColumn("chunk", F.col("other") - 1).join(chunks.drop("of").hint("merge"), ["table", "key", "chunk"])
            .select("table", "many", F.explode("mine").alias("m")).select("table", "many", "m.*"))
 
     def linked(x: Column) -> Column:
@@ -217,9 +218,9 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_links(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """``rows`` (doc_id, hi, lo, ...) with class_id and n_links."""
     classes = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    linked = written(classes.join(neighbours(classes), ["hi", "lo"], "left").select(
+    linked = written(classes.join(neighbours(classes).hint("merge"), ["hi", "lo"], "left").select(
         "hi", "lo", "class_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "fingerprint-classes")
     many = F.col("copies") * hot > (linked.agg(F.sum("copies")).first()[0] or 0)
     often, rare = linked.where(many).drop("copies"), linked.where(~many).drop("copies")
     return (rows.join(F.broadcast(often), ["hi", "lo"])
-            .unionByName(rows.join(F.broadcast(often), ["hi", "lo"], "left_anti").join(rare, ["hi", "lo"])))
+            .unionByName(rows.join(F.broadcast(often), ["hi", "lo"], "left_anti").join(rare.hint("merge"), ["hi", "lo"])))

@@ -116,6 +116,19 @@ def test_likeness_orders(spark, prose):
     assert (got.near_edited > got.near_next).mean() > 0.9
 
 
+def test_only_hot_fingerprints_are_broadcast(spark, monkeypatch):
+    """Tables that grow with the corpus are small here, and Spark sizes them low; even so they are not broadcast."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, written = [], fingerprint.written
+    monkeypatch.setattr(fingerprint, "written", lambda df, *a, **b: plans.append(plan(df)) or written(df, *a, **b))
+    rows = spark.createDataFrame([(i, i * i, 1 << i % 4) for i in range(200)], "doc_id long, hi long, lo long")
+    out = fingerprint.with_links(rows)
+    assert out.count() == 200
+    assert len(plans) == 2 and all("Join" in p and "BroadcastExchange" not in p for p in plans)
+    joins = [line for line in plan(out).splitlines() if "Join" in line]
+    assert sum("BroadcastHashJoin" in x for x in joins) == 2 and sum("SortMergeJoin" in x for x in joins) == 1
+
+
 @pytest.mark.parametrize("chunk", [4, 256])
 def test_block_tables_find_all(spark, chunk):
     rng = np.random.default_rng(7)
