@@ -286,6 +286,32 @@ def test_frequent_words_are_exact(spark):
         assert all(c[w] >= share / 2 * c.total() for w in got)
 
 
+def test_every_word_has_a_restaurant(spark):
+    """Words of a far smaller share than FREQUENT foretell the next one; with frequent words alone that is lost."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"a{j} b{j}" for j in (rng.randrange(900) for _ in range(60))), "x", "s", 0) for i in range(420)]
+    assert 1 / 1800 < pitmanyor.FREQUENT / 4
+    docs = spark.createDataFrame(rows, SCHEMA)
+    every, some = (pitmanyor.score_documents(docs, pitmanyor.crc_mod("doc_id", 7) == 2, **x).where("held_out").toPandas()
+                   for x in ({}, {"share": pitmanyor.FREQUENT}))
+    per = lambda x: x.score.sum() / x.n_tokens.sum()
+    assert len(every) == len(some) > 40 and per(some) < -2.9 and per(every) > -1.8
+
+
+def test_pair_rows_and_word_rows_agree(spark, prose, nasty, monkeypatch):
+    """Cells as rows of their own, all cells with the word that follows, and any mixture: one model."""
+    for docs, at, some in ((spark.createDataFrame(prose[:150], SCHEMA), ["doc_id"], 1 / 40),
+                           (nasty.where("doc_id < 9"), ["doc_id", "n_tokens"], 2.0)):
+        out = []
+        for share in (some, 1e-9):
+            monkeypatch.setattr(pitmanyor, "FREQUENT", share)
+            out.append(pitmanyor.score_documents(docs, pitmanyor.crc_mod("doc_id", 7) == 2, 500, 100).toPandas()
+                       .sort_values([*at, "score"]).reset_index(drop=True))
+        a, b = out
+        assert (a[["doc_id", "n_tokens", "n_known"]] == b[["doc_id", "n_tokens", "n_known"]]).all(axis=None)
+        assert abs(a.score - b.score).max() < 1e-4  # prices are kept with 4 bytes
+
+
 def test_scores_nasty(spark, nasty, empty):
     got = pitmanyor.score_documents(nasty, pitmanyor.crc_mod("doc_id", 7) == 2).toPandas()
     assert len(got) == len(nasty_rows()) and np.isfinite(got.score).all()
